@@ -160,6 +160,6 @@ def _search(docs: DataFrame, items: DataFrame, window: int, keyed: bool = False)
                 n_words, n_hit, found, spans = _shard(block, phrases.value)
                 rows = batch.slice(block.first, len(n_words))
                 columns = [rows.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, out.field("items").type), pa.array(spans, out.field("spans").type)]
-                yield pa.RecordBatch.from_arrays(columns + [rows.column("text_hash")] * keyed, schema=out)
+                yield pa.RecordBatch.from_arrays(columns + ([rows.column("text_hash")] if keyed else []), schema=out)
 
     return docs.mapInArrow(search, SCHEMA + ", text_hash long" * keyed)
