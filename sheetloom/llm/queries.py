@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .minhash import near_duplicates
+from .substrings import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""
@@ -69,12 +75,35 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(least(doc_id, m),
 FROM sets LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) r ON r.u = doc_id
 """
 
+OP6_SQL = """
+WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (
+  SELECT doc_id, i, md5_number(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM doc WHERE octet_length(b) >= 200)
+), rep AS (
+  SELECT doc_id, i FROM win SEMI JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) r ON win.h = r.h
+), flagged AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS opens FROM rep
+), spans AS (
+  SELECT doc_id, k, min(i) AS s, max(i) + 200 AS e FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM flagged) GROUP BY doc_id, k
+), gaps AS (
+  SELECT doc_id, lag(e, 1, 1) OVER w AS s, s AS e FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY s)
+  UNION ALL SELECT doc_id, max(e), NULL FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, unhex(string_agg(hex(CASE WHEN e IS NULL THEN b[s:] ELSE b[s:e - 1] END), '' ORDER BY s)) AS b FROM gaps JOIN doc USING (doc_id) GROUP BY doc_id
+), size AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(k.b, d.b)) AS kept_sha256
+FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_minhash": op4_minhash,
+    "op6_substrings": op6_substrings,
 }
 
 SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "op4_minhash": OP4_SQL,
+    "op6_substrings": OP6_SQL,
 }

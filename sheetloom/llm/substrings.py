@@ -2,13 +2,16 @@
 
 A window of 200 bytes has a minimizer: the smallest hash among its 16-byte grams, at its first place. Equal windows
 have equal minimizers at equal distances, so texts are cut into segments (runs of windows that share one minimizer
-place) and only segments of equal minimizers are brought together, aligned at the minimizer. There the order of all
-suffixes of a column and their common prefixes follow from those of the column to its right by inserting one symbol of
-each segment; a window is repeated if it shares 200 bytes with a neighbour in its column.
+place) and only segments of equal minimizers are brought together, aligned at the minimizer. There the construction
+runs column by column from the right: each round inserts one symbol of every segment, which turns the order of the
+suffixes of one column and their common prefixes into those of the next. The symbols read in that order are the
+column's part of the collection's Burrows-Wheeler transform; orders and prefixes are two sequential runs that each round
+reads once and writes anew. A window is repeated if it shares 200 bytes with a neighbour of its column.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,72 +20,259 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Scratch
-from .tokens import Block, Prefix, blocks, mix
+from .tokens import Block, Prefix, blocks
 
 LENGTH = 200
 GRAM = 16
-#: Windows of a segment at most; a longer run is cut into several.
-RUN = 256
+#: Bits of a minimizer's sort key that hold its place, so that the first place wins a tie; longer texts go in pieces.
+PLACE_BITS = 23
+PIECE_BYTES = 4 << 20
 #: Bytes of segments that are built up together.
 COLLECTION_BYTES = 2 << 20
-#: Segments of one minimizer that are built up together at most; windows of larger groups are brought together by
-#: their last bytes too, see _split.
+#: Distinct segments that one minimizer may bring together. Those of a larger group are cut by columns and dealt by the
+#: bytes that all windows of a cut hold, so that no group grows with the input.
 GROUP = 8192
+CUT = 16
+
+_PLACE = np.uint64((1 << PLACE_BITS) - 1)
 
 
 def segments(block: Block, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows: text, start, number of windows, minimizer, hash of the bytes, distance of the minimizer from
-    the start, and whether the minimizer's gram occurs twice or more in the segment."""
-    none = tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, bool))
-    data, gram = block.data, min(GRAM, length)
-    n, span = len(data), length - gram + 1
+    """Of each run of windows: text, start in it, number of windows, minimizer, hash of the bytes, and distance of the
+    minimizer from the start."""
+    found = []
+    total = len(block.data)
+    for a in range(0, max(1, total - length + 1), PIECE_BYTES):
+        found.append(_segments(block, a, min(total, a + PIECE_BYTES + length - 1), length))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _segments(block: Block, low: int, high: int, length: int) -> tuple[np.ndarray, ...]:
+    data = block.data[low:high]
+    n, span = len(data), length - GRAM + 1
     n_windows = n - length + 1
     if n_windows < 1:
-        return none
+        return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     prefix = Prefix(data)
-    at = np.arange(n - gram + 1)
-    grams = prefix.of(at, at + gram)
-    # sliding minimum over `span` grams: of the rest of one stretch and the start of the next
-    padded = np.full(-(-len(grams) // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[: len(grams)] = grams
+    at = np.arange(n - GRAM + 1)
+    keys = (prefix.of(at, at + GRAM) & ~_PLACE) | at.astype(np.uint64)
+    # sliding minimum: of the rest of one stretch of `span` grams and of the start of the next
+    padded = np.full(-(-len(keys) // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[: len(keys)] = keys
     rows = padded.reshape(-1, span)
-    to_left = np.minimum.accumulate(rows, axis=1).ravel()
-    to_right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(to_right[:n_windows], to_left[span - 1 : span - 1 + n_windows])
-    # its first place: that of the next gram, from each window's start on, that equals it
-    text = np.searchsorted(block.bounds, np.arange(n_windows), "right") - 1
-    whole = np.arange(n_windows) + length <= block.bounds[text + 1]
-    place = _first_place(grams, least, span)
-    start = np.flatnonzero(whole & np.append(True, (place[1:] != place[:-1]) | ~whole[:-1] | (text[1:] != text[:-1])))
-    if not len(start):
-        return none
-    last = np.flatnonzero(whole & np.append((place[1:] != place[:-1]) | ~whole[1:] | (text[1:] != text[:-1]), True))
-    count = last - start + 1
-    if count.max() > RUN:
-        pieces = -(-count // RUN)
-        offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN
-        start, count = np.repeat(start, pieces) + offset, np.minimum(np.repeat(count, pieces) - offset, RUN)
-    value = least[start]
-    end = start + count + length - 1
-    return text[start], start - block.bounds[text[start]], count, value, prefix.of(start, end), place[start] - start, _twice(grams, start, end - gram + 1, value)
-
-
-def _first_place(grams: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
-    """For each window the first gram from its start on that has its minimum."""
-    n = len(least)
-    change = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    ends = np.append(change[1:], n)
-    place = np.empty(n, np.int64)
-    # where the minimum comes in from the right it stands at the window's end; all its places follow from equality
-    hits = np.flatnonzero(grams[: n + span - 1] == np.maximum(0, least[np.minimum(np.arange(n + span - 1), n - 1)])) if False else None
-    for a, b in zip(change.tolist(), ends.tolist(), strict=True):
-        where = a + np.flatnonzero(grams[a : b + span - 1] == least[a])
-        place[a:b] = where[np.searchsorted(where, np.arange(a, b))]
-    return place
-
-
-def _twice(grams, start, end, value):
-    out = np.zeros(len(start), bool)
-    for k, (a, b, v) in enumerate(zip(start.tolist(), end.tolist(), value, strict=True)):
-        out[k] = np.count_nonzero(grams[a:b] == v) > 1
-    return out
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    rest = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(rest[:n_windows], ahead[span - 1 : span - 1 + n_windows])
+    # a window must not cross the end of its text
+    whole = np.ones(n_windows, bool)
+    for edge in block.bounds[1:-1]:
+        a = int(edge) - low
+        if -length < a - 1 and a - length + 1 < n_windows:
+            whole[max(0, a - length + 1) : max(0, a)] = False
+    change = least[1:] != least[:-1]
+    start = np.flatnonzero(whole & np.append(True, change | ~whole[:-1]))
+    last = np.flatnonzero(whole & np.append(change | ~whole[1:], True))
+    end = last + length
+    text = np.searchsorted(block.bounds, start + low, "right") - 1
+    place = (least[start] & _PLACE).astype(np.int64)
+    return text, start + low - block.bounds[text], last - start + 1, least[start] & ~_PLACE, prefix.of(start, end), place - start
+
+
+def repeated_windows(group: np.ndarray, first: np.ndarray, count: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
+    """For every window of every segment, one segment after the other, whether its bytes begin at the same column of
+    another segment of its group. group: ascending numbers; first: the column at which a segment begins."""
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = count + length - 1
+    offset = np.cumsum(sizes) - sizes - first  # of the byte of column 0
+    mark_at = np.cumsum(count) - count - first
+    marked = np.zeros(int(count.sum()), bool)
+    end = first + sizes
+    joins = np.argsort(-end, kind="stable")
+    joins_end = -end[joins]
+    order, common = np.zeros(0, np.int64), np.zeros(0, np.int32)
+    for column in range(int(end.max()) - 1, int(first.min()) - 1, -1):
+        new = joins[np.searchsorted(joins_end, -(column + 1), "left") : np.searchsorted(joins_end, -(column + 1), "right")]
+        keep = np.flatnonzero(first[order] <= column)
+        if len(keep) < len(order):  # segments that are done go, and their neighbours share the least of what they shared
+            common = np.minimum.reduceat(common[: keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else common[:0]
+            order = order[keep]
+        if len(new):  # a segment's last symbol stands before all longer suffixes
+            order = np.concatenate([new, order])
+            common = np.concatenate([np.zeros(len(new), np.int32), common])
+        if not len(order):
+            continue
+        key = group[order] << 8 | flat[offset[order] + column]
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        same = np.flatnonzero(key[1:] == key[:-1]) + 1
+        now = np.zeros(len(order), np.int32)
+        if len(same):
+            pairs = np.stack([by[same - 1] + 1, by[same] + 1], 1).ravel()
+            now[same] = 1 + np.minimum.reduceat(np.append(common, 0), pairs)[::2]
+        order, common = order[by], now
+        long = np.flatnonzero(common >= length)
+        if len(long):
+            both = order[np.concatenate([long, long - 1])]
+            marked[mark_at[both] + column] = True
+    return marked
+
+
+def remove_repeats(documents: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """Removes each byte that lies in a `length`-byte string which begins anywhere else in the table too.
+
+    Texts are whole UTF-8 texts; a null text is empty; matches stay within a document, overlaps count, and strings are
+    judged on the input. Returns one row for each row of `documents`: doc_id, n_bytes, n_removed, spans (maximal removed
+    runs, as array of first and end byte), kept (remaining bytes). Rows that repeat another, its id included, count as
+    further documents; a null id stays null. Other columns are ignored.
+    """
+    spark = documents.sparkSession
+    scratch = Scratch(spark, "substrings")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    runs = scratch.write(docs.mapInArrow(_runs(length), "doc_id long, row long, start long, n int, minimizer long, bytes long, distance int"), "runs")
+    shared = runs.groupBy("minimizer").agg(F.count("*").alias("n"), (F.min("bytes") < F.max("bytes")).alias("mixed")).filter("n > 1").select("minimizer", "mixed")
+    hits = scratch.write(runs.join(shared, "minimizer"), "hits")
+    scratch.drop("runs")
+    whole = hits.filter("not mixed")
+    mixed = hits.filter("mixed")
+    place = F.struct("doc_id", "row", "start", "n", "distance")
+    distinct = scratch.write(mixed.groupBy("minimizer", "bytes").agg(F.count("*").alias("copies"), F.min(place).alias("at")).select("minimizer", "bytes", "copies", "at.*"), "distinct")
+    large = distinct.groupBy("minimizer").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("minimizer", F.lit(True).alias("large"))
+    # the bytes of one segment for each distinct one
+    picks = (
+        distinct.join(large, "minimizer", "left")
+        .groupBy("doc_id", "row")
+        .agg(F.collect_list(F.struct("start", "n", "minimizer", "distance", F.coalesce("large", F.lit(False)).alias("large"), (F.col("copies") == 1).alias("lone"))).alias("picks"))
+    )
+    same_row = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
+    once = docs.join(picks.withColumnsRenamed({"doc_id": "p_id", "row": "p_row"}), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row"))).select("doc_id", "row", "text", "picks")
+    cut = once.mapInArrow(_cut(length), "doc_id long, row long, start long, n int, first int, lone boolean, key long, bytes binary")
+    cut = cut.repartition("key").sortWithinPartitions("key")
+    parts = cut.mapInArrow(_build(length), "doc_id long, row long, first_byte long, end_byte long")
+    copied = mixed.join(distinct.filter("copies > 1").select("minimizer", "bytes"), ["minimizer", "bytes"], "left_semi")
+    full = whole.select("doc_id", "row", "start", "n").union(copied.select("doc_id", "row", "start", "n"))
+    spans = full.select("doc_id", "row", F.col("start").alias("first_byte"), (F.col("start") + F.col("n") + (length - 1)).alias("end_byte")).union(parts)
+    spans = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first_byte", "end_byte")).alias("spans"))
+    spans = scratch.write(spans, "spans")
+    scratch.drop("hits")
+    scratch.drop("distinct")
+    ready = docs.join(spans.withColumnsRenamed({"doc_id": "p_id", "row": "p_row"}), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row")), "left")
+    return ready.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<first_byte:long,end_byte:long>>, kept binary")
+
+
+def _runs(length: int):
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text"), PIECE_BYTES):
+                text, start, n, minimizer, bytes_, distance = segments(block, length)
+                rows = pa.array(text + block.first)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array(start), pa.array(n.astype(np.int32)), pa.array(minimizer.view(np.int64)), pa.array(bytes_.view(np.int64)), pa.array(distance.astype(np.int32))],
+                    ["doc_id", "row", "start", "n", "minimizer", "bytes", "distance"],
+                )
+
+    return runs
+
+
+def _cut(length: int):
+    names = ["doc_id", "row", "start", "n", "first", "lone", "key", "bytes"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()], strict=True)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            size, done = 0, set()
+            for doc, row, text, picks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "picks")), strict=True):
+                if (doc, row) in done:  # rows alike in id and text: one of them gives the bytes
+                    continue
+                done.add((doc, row))
+                raw = text.encode()
+                for p in picks:
+                    a, n, first, key = p["start"], p["n"], -p["distance"], p["minimizer"]
+                    pieces = [(a, n, first, key)]
+                    if p["large"]:
+                        pieces = []
+                        while n:
+                            k = min(n, CUT - first % CUT)
+                            core = raw[a + (first // CUT + 1) * CUT - first - 1 : a - first + first // CUT * CUT + length]
+                            own = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=key.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
+                            pieces.append((a, k, first, own ^ (first // CUT)))
+                            a, n, first = a + k, n - k, first + k
+                    for a, n, first, key in pieces:
+                        x = raw[a : a + n + length - 1]
+                        size += len(x)
+                        for column, value in zip(out, (doc, row, a, n, first, p["lone"], key, x), strict=True):
+                            column.append(value)
+                if size > COLLECTION_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                    out, size = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return cut
+
+
+def _build(length: int):
+    def finish(t: pa.Table) -> pa.RecordBatch:
+        key = t.column("key").to_numpy()
+        group = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        count = t.column("n").to_numpy().astype(np.int64)
+        marked = repeated_windows(group, t.column("first").to_numpy().astype(np.int64), count, t.column("bytes").to_pylist(), length)
+        # maximal runs of marked windows of each segment whose bytes occur once as a whole
+        owner = np.repeat(np.arange(len(count)), count)
+        edge = np.append(True, owner[1:] != owner[:-1])
+        opens = np.flatnonzero(marked & (edge | ~np.append(False, marked[:-1])))
+        shuts = np.flatnonzero(marked & (np.append(edge[1:], True) | ~np.append(marked[1:], False)))
+        rows = owner[opens]
+        base = t.column("start").to_numpy() - (np.cumsum(count) - count)
+        lone = t.column("lone").to_numpy(zero_copy_only=False)[rows]
+        rows, opens, shuts = rows[lone], opens[lone], shuts[lone]
+        take = lambda c: t.column(c).combine_chunks().take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([_flat(take("doc_id")), _flat(take("row")), pa.array(base[rows] + opens), pa.array(base[rows] + shuts + length)], ["doc_id", "row", "first_byte", "end_byte"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            sizes = np.cumsum(batch.column("n").to_numpy().astype(np.int64) + length - 1)
+            heads = np.flatnonzero(key[1:] != key[:-1]) + 1
+            if held and held[-1].column("key")[-1].as_py() != key[0]:
+                heads = np.append(0, heads)
+            done = 0
+            for h in heads.tolist():  # a collection ends with a group
+                if size + (sizes[h - 1] if h else 0) - (sizes[done - 1] if done else 0) >= COLLECTION_BYTES:
+                    yield finish(pa.Table.from_batches([*held, batch.slice(done, h - done)]))
+                    held, size, done = [], 0, h
+            held.append(batch.slice(done))
+            size += int(sizes[-1] - (sizes[done - 1] if done else 0))
+        if held:
+            yield finish(pa.Table.from_batches(held))
+
+    return build
+
+
+def _flat(x):
+    return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+
+
+def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first_byte", pa.int64()), ("end_byte", pa.int64())])), pa.binary()]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+            raw, merged, kept, done = text.encode(), [], [], 0
+            for s in sorted(spans or [], key=lambda s: s["first_byte"]):
+                if merged and s["first_byte"] <= merged[-1]["end_byte"]:
+                    merged[-1]["end_byte"] = max(merged[-1]["end_byte"], s["end_byte"])
+                else:
+                    merged.append(s)
+            for s in merged:
+                kept.append(raw[done : s["first_byte"]])
+                done = s["end_byte"]
+            kept = b"".join([*kept, raw[done:]])
+            for column, value in zip(out, (doc, len(raw), len(raw) - len(kept), merged, kept), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
