@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .minhash import near_duplicates
 from .substrings import remove_repeats
+from .tables import Scratch
+from .token_files import read_tokens, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,18 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "token-files").root
+    write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""
@@ -100,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_minhash": op4_minhash,
     "op6_substrings": op6_substrings,
+    "op8_token_files": op8_token_files,
 }
 
 SQL: dict[str, str] = {

@@ -82,8 +82,9 @@ def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[Block]:
         i = j
 
 
-def words(block: Block, kind: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words as byte offsets, the first word of each text (with a last entry), and word hashes."""
+def words(block: Block, kind: np.ndarray, lower: bool = True, breaks: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words as byte offsets, the first word of each text (with a last entry), and word hashes.
+    breaks: also begin a word where a byte of the second kind follows one of the first."""
     data = LOWER[block.data] if lower else block.data
     n = len(data)
     inner = kind[data]
@@ -94,11 +95,15 @@ def words(block: Block, kind: np.ndarray, lower: bool = True) -> tuple[np.ndarra
         before[0] = False
         before[1:] = inner[:-1]
         before[edges] = False
+        if breaks:
+            before[1:] &= ~(breaks[0][data[:-1]] & breaks[1][data[1:]])
     starts = np.flatnonzero(inner & ~before)
     after = np.empty(n, bool)
     if n:
         after[-1] = False
         after[:-1] = inner[1:]
         after[edges[edges > 0] - 1] = False
+        if breaks:
+            after[:-1] &= ~(breaks[0][data[:-1]] & breaks[1][data[1:]])
     ends = np.flatnonzero(inner & ~after) + 1
     return starts, ends, np.searchsorted(starts, block.bounds), Prefix(data).of(starts, ends)
