@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .minhash import near_duplicates
+from .quality import score_quality
 from .substrings import remove_repeats
-from .tables import Scratch
+from .tables import Scratch, held_out
 from .token_files import read_tokens, write_tokens
+from .toxicity import score_toxicity
+from .vectors import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +33,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -45,6 +58,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    scored = score_quality(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-files").root
     write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), path)
@@ -74,6 +93,19 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM doc d LEFT JOIN hit h USING (doc_id) LEFT JOIN its t USING (doc_id)
 """
 
+OP2_SQL = """
+WITH RECURSIVE vec AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+good AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM vec WHERE label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(least(vec_id, m), vec_id) AS component_id, coalesce(least(vec_id, m), vec_id) = vec_id AS kept
+FROM vec LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) c ON c.u = vec_id LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) r ON r.u = vec_id
+"""
+
 OP4_SQL = r"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -112,13 +144,17 @@ FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN kept k USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_vectors": op2_vectors,
     "op4_minhash": op4_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
     "op8_token_files": op8_token_files,
+    "op9_quality": op9_quality,
 }
 
 SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
+    "op2_vectors": OP2_SQL,
     "op4_minhash": OP4_SQL,
     "op6_substrings": OP6_SQL,
 }
