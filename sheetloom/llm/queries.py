@@ -14,6 +14,7 @@ from .substrings import remove_repeats
 from .tables import Scratch, held_out
 from .token_files import read_tokens, write_tokens
 from .toxicity import score_toxicity
+from .urls import judge_urls
 from .vectors import near_vectors
 
 
@@ -37,6 +38,14 @@ def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+#: verdict, host, path
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -106,6 +115,57 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(least(vec_id,
 FROM vec LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) c ON c.u = vec_id LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) r ON r.u = vec_id
 """
 
+def _op3_sql() -> str:
+    level = """
+, seg{d} AS (SELECT *, segments[{d}] AS segment FROM tree{p}),
+val{d} AS (SELECT host, template, segment, sum(n) AS n FROM seg{d} WHERE segment IS NOT NULL GROUP BY ALL),
+lit{d} AS (
+  SELECT host, template, segment, true AS literal FROM val{d} JOIN (SELECT host, template, sum(n) AS total FROM val{d} GROUP BY ALL) USING (host, template)
+  WHERE n >= 4 AND CAST(n AS DOUBLE) >= CAST(total AS DOUBLE) * 0.02
+), tree{d} AS (
+  SELECT host, path, n, labelled, blocked, segments, template || CASE WHEN segment IS NULL THEN '' ELSE '/' || CASE WHEN literal THEN segment ELSE
+      CASE WHEN segment = '' THEN '' WHEN regexp_full_match(stem, '[0-9]+') THEN '{{n}}' WHEN regexp_full_match(stem, '[A-Za-z]+') THEN '{{w}}' ELSE '{{x}}' END || substr(segment, length(stem) + 1) END END
+    || CASE WHEN {d} = 3 AND len(segments) > 3 THEN '/**' ELSE '' END AS template, {branch} AS branch0
+  FROM (SELECT s.*, literal, regexp_replace(s.segment, '[.][A-Za-z][A-Za-z0-9]{{0,4}}$', '') AS stem
+    FROM seg{d} s LEFT JOIN lit{d} l ON s.host = l.host AND s.template = l.template AND s.segment = l.segment)
+)"""
+    levels = "".join(level.format(d=d, p=d - 1, branch="''" if d == 1 else "CASE WHEN branch0 = '' THEN template ELSE branch0 END") for d in (1, 2, 3))
+    return """
+WITH url AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+judged AS (
+  SELECT u.*, (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+    (SELECT max_by(verdict, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS own FROM url u
+), tree0 AS (
+  SELECT host, path, count(*) AS n, count(own) AS labelled, count(*) FILTER (own = 'block') AS blocked, '' AS template, '' AS branch0,
+    string_split(regexp_replace(path, '^/', ''), '/') AS segments FROM judged GROUP BY host, path
+)""" + levels + """
+, leaf AS (SELECT host, path, n, labelled, blocked, branch0 AS branch, substr(template, length(branch0) + 1) AS shape FROM tree3),
+shapes AS (SELECT host, branch, shape, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM leaf GROUP BY ALL),
+branches AS (SELECT host, branch, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM shapes GROUP BY ALL),
+heads AS (SELECT * FROM branches QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC, branch) = 1),
+pairs AS (
+  SELECT b.host, b.branch, b.n AS own_n, h.branch AS head, h.n AS head_n FROM branches b JOIN heads h ON b.host = h.host AND b.branch <> h.branch
+  WHERE CASE WHEN b.labelled > 0 AND h.labelled > 0 THEN abs(b.blocked / b.labelled - h.blocked / h.labelled) <= 0.2 ELSE (b.labelled > 0) = (h.labelled > 0) END
+), alike AS (
+  SELECT p.host, p.branch, p.head FROM pairs p JOIN shapes s ON s.host = p.host AND s.branch = p.branch JOIN shapes t ON t.host = p.host AND t.branch = p.head AND t.shape = s.shape
+  GROUP BY p.host, p.branch, p.head, own_n, head_n
+  HAVING 1 - CAST(sum(least(s.n * head_n, t.n * own_n)) AS DOUBLE) / (CAST(own_n AS DOUBLE) * CAST(head_n AS DOUBLE)) <= 0.1 + 1 / sqrt(CAST(own_n AS DOUBLE))
+), merged AS (SELECT s.*, coalesce(head, s.branch) AS merged FROM shapes s LEFT JOIN alike a ON s.host = a.host AND s.branch = a.branch),
+rate AS (SELECT coalesce(CAST(sum(blocked) AS DOUBLE) / nullif(CAST(sum(labelled) AS DOUBLE), 0), 0) AS rate FROM merged),
+bad AS (
+  SELECT m.host, m.branch, m.shape FROM merged m JOIN (
+    SELECT host, merged, shape FROM merged, rate GROUP BY host, merged, shape, rate
+    HAVING sum(labelled) > 0 AND (CAST(sum(blocked) AS DOUBLE) + CAST(4 AS DOUBLE) * rate) / (CAST(sum(labelled) AS DOUBLE) + CAST(4 AS DOUBLE)) >= 0.9) r
+  ON m.host = r.host AND m.merged = r.merged AND m.shape = r.shape
+), bad_paths AS (SELECT l.host, l.path FROM leaf l SEMI JOIN bad b ON l.host = b.host AND l.branch = b.branch AND l.shape = b.shape)
+SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN b.path IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN bad_paths b ON j.host = b.host AND j.path = b.path
+"""
+
+
 OP4_SQL = r"""
 WITH RECURSIVE doc AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -145,6 +205,7 @@ FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN kept k USING (doc_id)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_vectors": op2_vectors,
+    "op3_urls": op3_urls,
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
@@ -155,6 +216,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_decontaminate": OP1_SQL,
     "op2_vectors": OP2_SQL,
+    "op3_urls": _op3_sql(),
     "op4_minhash": OP4_SQL,
     "op6_substrings": OP6_SQL,
 }
