@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .minhash import near_duplicates
+from .mixing import label_domains, mix
 from .quality import score_quality
 from .substrings import remove_repeats
 from .tables import Scratch, held_out
@@ -67,6 +68,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+MIX_TARGETS = {"good": 0.93, "low": 0.05, "toxic": 0.02}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), MIX_TARGETS).drop("text_hash")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "quality")
     scored = score_quality(table(spark, sf_dir, "documents"), labels)
@@ -209,6 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_substrings": op6_substrings,
+    "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
 }
