@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .lines import remove_repeated_lines
 from .minhash import near_duplicates
 from .mixing import label_domains, mix
 from .quality import score_quality
@@ -87,6 +88,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeated_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""
@@ -210,6 +216,28 @@ SELECT d.doc_id, CAST(octet_length(d.b) AS BIGINT) AS n_bytes, CAST(coalesce(n_r
 FROM doc d LEFT JOIN size USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
+OP10_SQL = """
+WITH every AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents
+), lines AS (
+  SELECT doc_id, idx, trim(line, ' ' || chr(9) || chr(13)) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos
+  FROM every WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
+), runs AS (SELECT a.doc_id, a.pos, a.line || chr(10) || b.line AS r FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
+later AS (SELECT doc_id, pos FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM later UNION ALL SELECT doc_id, pos + 1 FROM later)),
+marked AS (SELECT l.doc_id, l.idx, l.pos, g.pos IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos),
+count_runs AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_runs
+  FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM marked) GROUP BY doc_id
+), kept AS (
+  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.idx) AS kept FROM every e LEFT JOIN marked m ON e.doc_id = m.doc_id AND e.idx = m.idx
+  WHERE NOT coalesce(m.gone, false) GROUP BY e.doc_id
+)
+SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN count_runs c ON d.doc_id = c.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_vectors": op2_vectors,
@@ -220,6 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
+    "op10_lines": op10_lines,
 }
 
 SQL: dict[str, str] = {
@@ -228,4 +257,5 @@ SQL: dict[str, str] = {
     "op3_urls": _op3_sql(),
     "op4_minhash": OP4_SQL,
     "op6_substrings": OP6_SQL,
+    "op10_lines": OP10_SQL,
 }
