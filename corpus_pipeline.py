@@ -3,13 +3,68 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from sheetloom.llm.decontaminate import decontaminate
+from sheetloom.llm.minhash import near_duplicates
+from sheetloom.llm.mixing import label_domains, mix, sample
+from sheetloom.llm.queries import table, tokenizer_path
+from sheetloom.llm.tables import Scratch, held_out
+from sheetloom.llm.token_files import read_tokens, write_tokens
+from sheetloom.llm.toxicity import score_toxicity
+
+#: A document goes if its probability of the toxic label is this or more.
+TOXIC = 0.5
+#: Target shares of tokens; low is what the labels call quality 0.
+TARGETS = {"good": 0.98, "low": 0.02}
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a probability below TOXIC, learned from the labels outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    return score_toxicity(docs, labels).filter(F.col("toxicity") < TOXIC).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group; rows with a null id stay."""
+    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs; rows with a null id are judged by the rows of that id together."""
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti").select(*docs.columns)
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its rate says, so that domains have their target shares of tokens."""
+    labels = label_domains(table(spark, sf_dir, "labels").filter("coalesce(toxic, 0) = 0"), with_toxic=False)
+    return sample(docs, mix(docs, labels, TARGETS))
+
+
+def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the files written."""
+    path = Scratch(spark, "token-files").root
+    write_tokens(docs, tokenizer_path(), path)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("mixing", mix_domains),
+    ("token_files", to_token_files),
+]
+
+#: SQL expresses neither the learned stages nor the token files; tests hold the run against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
     return docs
