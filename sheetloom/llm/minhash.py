@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import Scratch
+from .tables import Scratch, groups
 from .tokens import NON_SPACE, Block, blocks, mix, words
 
 SHINGLE = 5
@@ -18,12 +18,19 @@ COORDINATES = 48
 #: Coordinates that a pair must share to be confirmed on its full sets. A pair of similarity 0.85 shares 40.8 on
 #: average with a standard deviation of 2.5, and fewer than 24 with a probability under 1e-9.
 LEAST_SHARED = 24
-#: Documents under one coordinate-value pair that are compared in one step.
-POSTING_BLOCK = 512
+#: Documents around one hub that are compared with as many others in one step.
+HUB_BLOCK = 512
+#: Coordinates of the sketch by which documents around a hub are compared where their differences from it are not
+#: held, and how many must agree: similarity 0.85 gives 217.6 on average with a deviation of 5.7.
+SKETCH, SKETCH_SHARED = 256, 182
+#: Similarity (hundredths) to a hub from which a document's difference from it is held.
+HELD_PERCENT = 45
 
 _random = np.random.default_rng(48)
 _MULTIPLY = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _random.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
+_SKETCH_MULTIPLY = _random.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SKETCH_FLIP = _random.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 _STEP = _random.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -78,65 +85,122 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column("text")):
             flat, bounds = shingle_sets(block)
-            sets = [flat[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, len(sets)), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            prints = [_sketch(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "shingles", "sketch"])
 
 
-def _confirm(percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(own: np.ndarray) -> bytes:
+    """The top byte of the mixed minimum of each of SKETCH coordinates."""
+    out = np.zeros(SKETCH, np.uint8)
+    for k in range(0, SKETCH if len(own) else 0, 32):
+        least = ((own ^ _SKETCH_FLIP[k : k + 32, None]) * _SKETCH_MULTIPLY[k : k + 32, None]).min(1)
+        out[k : k + 32] = mix(least) >> np.uint64(56)
+    return out.tobytes()
+
+
+def _linked(x, y, apart, percent: int):
+    """Whether sets of sizes x and y that differ in `apart` shingles are similar enough."""
+    return 100 * (x + y - apart) >= percent * (x + y + apart)
+
+
+def _against(percent: int):
+    """Of pairs of full sets: whether they are linked, the size of the first, and in what it differs from the second."""
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked, size, delta = [], [], []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 every = np.sort(np.concatenate([x, y]))
-                shared = int(np.count_nonzero(every[1:] == every[:-1]))
-                keep.append(100 * shared >= percent * (len(every) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, i, j): each group's pairs of different components that share enough coordinates.
-    Rows of side i are compared with those of side j, or with each other where i = j."""
-    held: list[pa.RecordBatch] = []
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        token, i, j, side = (t.column(c).to_numpy() for c in ("token", "i", "j", "side"))
-        doc, part = t.column("doc_id").to_numpy(), t.column("component").to_numpy()
-        prints = np.frombuffer(b"".join(t.column("prints").to_pylist()), np.uint16).reshape(len(doc), COORDINATES)
-        edge = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in zip(edge.tolist(), np.append(edge[1:], len(doc)).tolist(), strict=True):
-            left = right = np.arange(a, b)
-            if i[a] != j[a]:
-                left, right = left[side[a:b] == i[a]], right[side[a:b] == j[a]]
-            for k in left.tolist():
-                there = right[right > k] if i[a] == j[a] else right
-                there = there[part[there] != part[k]]
-                there = there[np.count_nonzero(prints[there] == prints[k], axis=1) >= LEAST_SHARED]
-                u.append(np.full(len(there), doc[k]))
-                v.append(doc[there])
-        u, v = np.concatenate(u), np.concatenate(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+                twice = np.append(every[1:] == every[:-1], False)
+                alone = every[~(twice | np.append(False, twice[:-1]))] if len(every) else every
+                linked.append(bool(_linked(len(x), len(y), len(alone), percent)))
+                size.append(len(x))
+                delta.append(alone.tobytes() if _linked(len(x), len(y), len(alone), HELD_PERCENT) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(delta, pa.binary())], ["u", "v", "linked", "size", "delta"])
+
+    return against
+
+
+def _overlaps(deltas: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Shingles that each difference of the left shares with each of the right."""
+    sets = [np.frombuffer(d, np.uint64) for d in deltas]
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element, times = np.unique(flat, return_inverse=True, return_counts=True)
+    many = times[element] > 1
+    element, owner = np.unique(element[many], return_inverse=True)[1], owner[many]
+    row = {k: np.full(len(sets), -1) for k in ("left", "right")}
+    row["left"][left], row["right"][right] = np.arange(len(left)), np.arange(len(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(element.max(initial=-1)) + 1, 4096):
+        some = (element >= low) & (element < low + 4096)
+        sides = []
+        for name, n in (("left", len(left)), ("right", len(right))):
+            matrix = np.zeros((n, 4096), np.float32)
+            mine = some & (row[name][owner] >= 0)
+            matrix[row[name][owner[mine]], element[mine] - low] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = [batch.column(c).to_numpy() for c in ("token", "i", "j")]
-        last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
-        cut = int(last[-1]) + 1 if len(last) else 0  # where the group that may go on begins
-        if held and (cut or any(h.column(c)[0].as_py() != batch.column(c)[0].as_py() for h in held[:1] for c in ("token", "i", "j"))):
-            yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        elif cut:
-            yield pairs(pa.Table.from_batches([batch.slice(0, cut)]))
-        held.append(batch.slice(cut))
-    if held:
-        yield pairs(pa.Table.from_batches(held))
+
+def _compare(percent: int):
+    """Rows sorted by (hub, i, j): the pairs of different components in each group. Where both differences from the hub
+    are held, links follow exactly, and of these only what each document reaches is passed on (sure); other pairs are
+    passed on if their sketches agree enough."""
+
+    def one(t: pa.Table) -> pa.RecordBatch | None:
+        part, i, j, side = (t.column(c).to_numpy() for c in ("component", "i", "j", "side"))
+        if (part == part[0]).all():
+            return None
+        doc, size = t.column("doc_id").to_numpy(), t.column("size").to_numpy(zero_copy_only=False)
+        delta = t.column("delta").to_pylist()
+        held = np.array([d is not None for d in delta])
+        left = right = np.arange(len(doc))
+        if i[0] != j[0]:
+            left, right = left[side == i[0]], right[side == j[0]]
+        u, v, sure = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        a, b = left[held[left]], right[held[right]]
+        if len(a) and len(b):
+            kept = np.flatnonzero(held)
+            at = np.full(len(doc), -1)
+            at[kept] = np.arange(len(kept))
+            n = np.array([len(delta[k]) // 8 for k in kept])
+            apart = n[at[a]][:, None] + n[at[b]] - 2 * _overlaps([delta[k] for k in kept], at[a], at[b])
+            link = _linked(size[a][:, None], size[b], apart, percent) & (part[a][:, None] != part[b])
+            x, y = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
+            if len(x):
+                link, mine, theirs = link[np.ix_(x, y)], doc[a[x]], doc[b[y]]
+                most, one_side, other = np.iinfo(np.int64).max, mine, theirs
+                while True:
+                    now = np.minimum(one_side, np.where(link, other, most).min(1))
+                    then = np.minimum(other, np.where(link, now[:, None], most).min(0))
+                    if (now == one_side).all() and (then == other).all():
+                        break
+                    one_side, other = now, then
+                u.append(np.concatenate([mine, theirs]))
+                v.append(np.concatenate([one_side, other]))
+                sure.append(np.ones(len(u[-1]), bool))
+        prints = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(doc), SKETCH)
+        for k in left.tolist():
+            there = right[right > k] if i[0] == j[0] else right
+            there = there[(part[there] != part[k]) & ~(held[there] & held[k])]
+            there = there[np.count_nonzero(prints[there] == prints[k], axis=1) >= SKETCH_SHARED]
+            u.append(np.full(len(there), doc[k]))
+            v.append(doc[there])
+            sure.append(np.zeros(len(there), bool))
+        u, v, sure = np.concatenate(u), np.concatenate(v), np.concatenate(sure)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(sure)], ["u", "v", "sure"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["hub", "i", "j"]):
+            found = one(t)
+            if found is not None and found.num_rows:
+                yield found
+
+    return compare
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
@@ -153,8 +217,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     3. Every posted document is compared with one hub of each of its lists, the one that shares most lists; pairs that
        share 24 coordinates are confirmed on their full sets. Groups of many copies thus give a row for each
        document rather than one for each pair.
-    4. In lists that still hold several components, all pairs across components are compared by signature, in blocks
-       of POSTING_BLOCK by POSTING_BLOCK documents, and confirmed likewise.
+    4. Two documents of a list share its hub. Around each hub that still has several components, documents of
+       different components are compared, HUB_BLOCK by HUB_BLOCK: if the differences of both from the hub are held,
+       their own difference follows exactly from these; else their sketches must agree before their full sets are
+       compared. Only connections are passed on, not pairs.
 
     Returns one row for each row of `documents`: doc_id, n_shingles, component_id (smallest id reached), kept (doc_id
     = component_id). Null or wordless texts have 0 shingles and stand alone. Rows with a null id link with nothing
@@ -181,43 +247,48 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     )
     prefix = scratch.write(prefix, "prefix")
     hubs = prefix.groupBy("token").agg(F.max(F.struct("weight", "rep")).alias("hub")).select("token", F.col("hub.rep").alias("hub"))
+    around = scratch.write(prefix.join(hubs, "token").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "around")
+    scratch.drop("prefix")
+    coordinates = classes.select("rep", "coordinates")
     first = (
-        prefix.join(hubs, "token")
-        .filter("rep <> hub")
-        .select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v"))
-        .distinct()
-    )
-    prints = classes.select("rep", "coordinates")
-    first = (
-        first.join(prints.select(F.col("rep").alias("u"), F.col("coordinates").alias("x")), "u")
-        .join(prints.select(F.col("rep").alias("v"), F.col("coordinates").alias("y")), "v")
+        around.filter("u <> v")
+        .join(coordinates.select(F.col("rep").alias("u"), F.col("coordinates").alias("x")), "u")
+        .join(coordinates.select(F.col("rep").alias("v"), F.col("coordinates").alias("y")), "v")
         .filter(F.size(F.array_intersect("x", "y")) >= LEAST_SHARED)
         .select("u", "v")
     )
     first = scratch.write(first, "first")
-    links = scratch.write(_confirmed(docs, first, percent, scratch, "wanted-1"), "links-1")
-    scratch.drop("wanted-1-sets")
-    parts = scratch.write(connected_components(links, scratch, "part"), "parts")
+    # only texts of documents with a hub are read again; their ids are written, so that Spark knows their size
+    several = around.groupBy("v").agg(F.count("*").alias("n")).filter("n > 2").select("v")
+    wanted = first.select(F.col("u").alias("doc_id")).union(first.select("v")).union(around.join(several, "v", "left_semi").select("u")).distinct()
+    wanted = scratch.write(wanted, "wanted")
+    sets = scratch.write(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles binary, sketch binary"), "sets", "lz4")
+    near = scratch.write(_pairs(first, sets).mapInArrow(_against(percent), "u long, v long, linked boolean, size long, delta binary").dropDuplicates(["u", "v", "linked", "delta"]), "near", "lz4")
+    parts = scratch.write(connected_components(near.filter("linked").select("u", "v"), scratch, "part"), "parts")
 
-    placed = prefix.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "token", F.coalesce("component", "rep").alias("component"))
-    placed = scratch.write(placed, "placed")
-    scratch.drop("prefix")
-    mixed = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most")
+    placed = around.join(parts.select(F.col("node").alias("u"), "component"), "u", "left").select("u", "v", F.coalesce("component", "u").alias("component"))
+    mixed = placed.groupBy("v").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most and n > 2")
     dealt = (
-        placed.join(mixed.select("token", F.ceil(F.col("n") / POSTING_BLOCK).cast("int").alias("n_blocks")), "token")
-        .withColumn("side", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+        placed.join(mixed.select("v", F.ceil(F.col("n") / HUB_BLOCK).cast("int").alias("n_blocks")), "v")
+        .join(near.select("u", "v", "size", "delta"), ["u", "v"], "left")
+        .join(sets.select(F.col("doc_id").alias("u"), "sketch", (F.octet_length("shingles") / 8).cast("long").alias("own_size")), "u")
+        .withColumn("side", F.pmod(F.xxhash64("u"), F.col("n_blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("rep", "token", "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-        .join(classes.select("rep", F.expr("unhex(array_join(transform(coordinates, c -> lpad(hex(c & 65535), 4, '0')), ''))").alias("prints")), "rep")
-        .select(F.col("rep").alias("doc_id"), "token", "component", "side", "i", "j", "prints")
+        .select(
+            F.col("v").alias("hub"), F.col("u").alias("doc_id"), "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "sketch",
+            F.coalesce("size", "own_size").alias("size"), F.when(F.col("u") == F.col("v"), F.coalesce("delta", F.lit(b""))).otherwise(F.col("delta")).alias("delta"),
+        )
     )
-    dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    second = dealt.mapInArrow(_compare, "u long, v long").distinct().join(first, ["u", "v"], "left_anti")
-    second = scratch.write(second, "second")
-    again = _confirmed(docs, second, percent, scratch, "wanted-2").join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    dealt = dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    second = scratch.write(dealt.mapInArrow(_compare(percent), "u long, v long, sure boolean").distinct(), "second")
+    guessed = second.filter("not sure").select("u", "v").join(first, ["u", "v"], "left_anti")
+    found = _pairs(guessed, sets).mapInArrow(_against(percent), "u long, v long, linked boolean, size long, delta binary").filter("linked").select("u", "v")
+    found = found.union(second.filter("sure").select("u", "v"))
+    found = found.join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     twice = own.select("doc_id", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps"), F.min("rep").alias("u")).filter(F.size("reps") > 1).select("u", F.explode("reps").alias("v"))
-    links = scratch.write(again.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).union(parts.select("node", "component")).union(twice), "links-2")
-    scratch.drop("wanted-2-sets")
+    links = scratch.write(found.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).union(parts.select("node", "component")).union(twice), "links")
+    for name in ("sets", "near", "around"):
+        scratch.drop(name)
     final = connected_components(links, scratch, "final")
     reps = classes.select("set_a", "set_b", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(reps, ["set_a", "set_b"], "left")
@@ -225,10 +296,5 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (u, v) whose full sets are similar; only texts of documents in a pair are read again. Their
-    ids are written first, so that Spark knows their size when it picks the join."""
-    wanted = scratch.write(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), name)
-    sets = scratch.write(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles binary"), f"{name}-sets", "lz4")
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
-    return both.mapInArrow(_confirm(percent), "u long, v long").distinct()
+def _pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    return pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +49,32 @@ def ascii_lower(column):
 def held_out(doc_id):
     """True for the rows whose crc32 of the id as text is 0 modulo 5; labels of these are never learned from."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of sorted rows, one after the other; each is to be of a bounded size."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, text and the other columns of labels (one row for each id) of about `most` labelled documents at most,
+    by hash of the id. The sample of ids has a bounded size, so it is broadcast and no text is shuffled."""
+    n = labels.count()
+    part = int(1_000_003 * min(1.0, most / max(1, n)))
+    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < part)
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

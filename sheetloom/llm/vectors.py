@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import Scratch
+from .tables import Scratch, groups
 
 #: Vectors for each pivot, on average; with more than PIVOTS pivots at this rate, fewer are taken.
 CELL = 2000
@@ -20,26 +20,6 @@ PIVOTS = 4096
 BLOCK = 2048
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The groups of sorted rows, one after the other; each is to be of a bounded size."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
-            yield pa.Table.from_batches(held)
-            held = []
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
-            held.append(batch.slice(a, b - a))
-            if b < batch.num_rows:
-                yield pa.Table.from_batches(held)
-                held = []
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
 
