@@ -13,7 +13,7 @@ def suffix_order(text: np.ndarray, bits: int) -> np.ndarray:
     n = len(text)
     h = max(1, 62 // bits)
     key = np.zeros(n, np.int64)
-    for j in range(h):
+    for j in range(min(h, n)):
         key[: n - j] |= text[j:].astype(np.int64) << (bits * (h - 1 - j))
     order = np.argsort(key)
     key = key[order]
