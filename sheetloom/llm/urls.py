@@ -26,12 +26,13 @@ def split_url(url):
 def longest_rule(host, path, rules: list[tuple[str, str, str]]):
     """rules: (verdict, host, path). Of those that fit, the longest as a struct (rule, verdict); null if none fits. A rule
     fits its host and its subdomains where the path starts with its path."""
-    out = None
-    for verdict, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "block", r[1])):
-        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
-        value = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
-        out = F.when(fits, value) if out is None else out.when(fits, value)
-    return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
+    ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0] != "block", r[1]))
+    if not ordered:
+        return F.lit(None).cast("struct<rule:string,verdict:string>")
+    every = F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(verdict).alias("verdict")) for verdict, h, p in ordered))
+    fits = lambda r: ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"])
+    first = F.get(F.filter(every, fits), F.lit(0))
+    return F.when(first.isNotNull(), F.struct(F.concat(first["host"], first["path"]).alias("rule"), first["verdict"].alias("verdict")))
 
 
 def wildcard(segment):
