@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
+from .tables import Scratch, labelled_sample
 
 #: Hash buckets of words, and the words that a text's average evidence counts for at most.
 BUCKETS, EVIDENCE = 4096, 50
+#: Labelled documents that the classifier is fitted on, at most (about), by hash of the id.
+FIT_ROWS = 20_000
 #: Pull of every rate towards 1; steps at most; residual (share of all tokens) at which they end.
 PULL, STEPS, CLOSE = 1e-3, 60, 1e-4
 #: Steps after which the rates are written, so that no plan grows long.
@@ -26,11 +28,12 @@ def _bucket(word):
 
 def posteriors(documents: DataFrame, labelled: DataFrame, scratch: Scratch, column: str = "text") -> tuple[DataFrame, list[str]]:
     """(doc_id, text_hash, n_tokens, posterior array) of each different row, and the domains in order. labelled: doc_id,
-    domain. Naive Bayes over hashed words: counts of all labelled rows give each bucket's weights, a table of BUCKETS
-    rows that is broadcast; a text's average weight counts for EVIDENCE words at most, so that long texts stay soft."""
+    domain. Naive Bayes over hashed words: counts of about FIT_ROWS labelled rows at most give each bucket's weights, a
+    table of BUCKETS rows that is broadcast; a text's average weight counts for EVIDENCE words at most, so that long texts stay soft."""
     known = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    words = documents.select("doc_id", F.explode(_words(F.col(column))).alias("word")).filter("word <> ''")
-    counts = words.join(known, "doc_id").groupBy(_bucket(F.col("word")).alias("bucket"), "domain").agg(F.count("*").alias("n")).collect()  # BUCKETS rows a domain at most
+    fitted = labelled_sample(documents.select("doc_id", F.col(column).alias("text")), known, FIT_ROWS)
+    words = fitted.select("domain", F.explode(_words(F.col("text"))).alias("word")).filter("word <> ''")
+    counts = words.groupBy(_bucket(F.col("word")).alias("bucket"), "domain").agg(F.count("*").alias("n")).collect()  # BUCKETS rows a domain at most
     share = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(share)
     table = np.ones((BUCKETS, max(1, len(domains))))
