@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
+from .tables import Scratch, labelled_sample
 
 #: A term or phrase is learned if it stands in this share of the toxic texts at least.
 SUPPORT = 0.01
 #: Least log ratio of a term's rates in toxic and other texts; an exception's at most.
 TERM_RATIO, EXCEPTION_RATIO = 2.0, -1.0
-#: Labelled rows that the final curve is fitted on, at most (about); counts cover all labelled rows.
-CURVE_ROWS = 20_000
+#: Labelled documents that lexicon and curve are learned from, at most (about), by hash of the id.
+FIT_ROWS = 20_000
 
 # fixed values: letters that look like a Latin letter, and digits and signs that stand for one
 LOOKALIKES = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y"}
@@ -102,8 +102,8 @@ class Lexicon:
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
     """labelled: text, toxic (0 or 1). Terms that are far more frequent in toxic texts, weighted by the logarithm of the
     ratio of their rates, and two-word phrases around a term that are rarer in toxic texts than elsewhere. All rows
-    are counted: candidates are what enough toxic texts hold, and then every labelled text is counted for these."""
-    rows = labelled.filter("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic")).distinct()
+    given are counted: candidates are what enough toxic texts hold, and then every text is counted for these."""
+    rows = labelled.filter("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = total.get(1, 0), total.get(0, 0)
     if not n_toxic or not n_other:
@@ -180,29 +180,28 @@ def measure(documents: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFram
     return source.mapInArrow(each, schema)
 
 
-def toxicity_model(documents: DataFrame, labels: DataFrame) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon from all labelled rows, and the curve from about CURVE_ROWS of them at most (by hash of the id)."""
+def toxicity_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray]:
+    """Lexicon and curve from about `fit_rows` labelled documents at most; of equal texts one is taken."""
     scratch = Scratch(documents.sparkSession, "toxicity")
-    known = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = scratch.write(documents.select("doc_id", "text").join(known, "doc_id"), "labelled")
+    known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    labelled = labelled_sample(documents, known, fit_rows).withColumn("hash", F.xxhash64("text")).dropDuplicates(["hash"])
+    labelled = scratch.write(labelled.select("doc_id", "text", "toxic"), "labelled")
     lexicon = learn_lexicon(labelled)
-    n = labelled.count()
-    part = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, CURVE_ROWS / max(1, n))))
-    rows = measure(part, lexicon, ["toxic"]).toPandas()
+    rows = measure(labelled, lexicon, ["toxic"]).toPandas()
     scratch.drop("labelled")
     if rows.empty:
         return lexicon, np.array([-5.0, 0, 0, 0])
     return lexicon, fit_curve(_features(rows["weight"], rows["found"], rows["n_words"]), rows["toxic"].to_numpy(float))
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def score_toxicity(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The columns of `documents` and toxicity (0 to 1, of the whole text alone), learned from the labels given.
 
     labels: doc_id, toxic; rows with a null in either teach nothing, and of several rows for an id the largest label
     counts. Terms weigh the logarithm of their rate ratio; the sum is set against the length of the text, and a curve
     gives the probability of the label. A null text scores as an empty one. Repeated rows are scored each. A column
     called toxicity is replaced."""
-    lexicon, curve = toxicity_model(documents, labels)
+    lexicon, curve = toxicity_model(documents, labels, fit_rows)
     keep = [c for c in documents.columns if c != "toxicity"]
     if "text" not in keep:
         raise ValueError("documents need a column text")
