@@ -13,6 +13,8 @@ DESIGNATION_WORDS = ["principal", "supervisor", "teacher", "assistant", "clerk",
 # fixed values: kind and pattern of the label, in the order in which they are tried
 LABELS = [("serial", "sr|no|#|serial"), ("name", "name"), ("designation", "designation|role|position|title"), ("percentage", "%|percent"), ("date", "date|day"), ("status", "status|present|absent|lwp"), ("numeric", "total|working|balance|days|count")]
 WORKSPACE_LABELS = [("serial", "sr|no|#|serial"), ("name", "name"), ("designation", "designation|role"), ("percentage", "%|percent"), ("numeric", "total|working|days|balance|absent|present|lwp|ott"), ("status", "status")]
+# fixed values: shapes of single cells
+SERIAL, PERCENTAGE, DATE = r"^[0-9]{1,3}\.?$", r"^[0-9]{1,3}(\.[0-9]+)?%?$", r"[0-9]{1,2}[/.-][0-9]{1,2}([/.-][0-9]{2,4})?"
 NUMBER, FULL_NAME, WHOLE = r"^[0-9]+(\.[0-9]+)?$", r"^[A-Z][a-z]+(\s[A-Z][a-z]+)+", r"^[0-9]+$"
 
 
@@ -23,6 +25,12 @@ def by_label(label: Column, labels: list[tuple[str, str]]) -> Column:
     return out
 
 
+def shape(cell: Column) -> Column:
+    """What a single cell looks like: serial, numeric, percentage, date or name; null for none of these."""
+    text = trim_all(cell)
+    return F.when(text.rlike(SERIAL), "serial").when(text.rlike(NUMBER), "numeric").when(text.rlike(PERCENTAGE), "percentage").when(text.rlike(DATE), "date").when(text.rlike(FULL_NAME), "name")
+
+
 def _cells(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_idx", F.posexplode("columns").alias("col_idx", "cell"))
 

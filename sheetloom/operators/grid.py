@@ -162,3 +162,15 @@ def preprocess(pixels: DataFrame, brightness: float = 0.0, contrast: float = 1.0
     around = [F.coalesce(f("g").over(w), F.lit(0.0)) for w in (row, column) for f in (F.lag, F.lead)]
     sharp = 5 * F.col("g") - around[0] - around[1] - around[2] - around[3]
     return out.withColumn("g", F.greatest(F.lit(0.0), F.least(F.lit(255.0), sharp)))
+
+
+def crop(pixels: DataFrame, boxes: DataFrame, scale: int = 3, dark: int = 140, inverted: bool = False) -> DataFrame:
+    """The pixels (gray g) of each cell, each repeated scale by scale times: img_id, row_idx, col_idx, y, x and v, which is 1
+    for dark ones, or for light ones of an inverted image. Cells and pixels of an image meet on its rows of pixels."""
+    rows = boxes.withColumn("py", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)))
+    p = pixels.select("img_id", F.col("y").alias("py"), F.col("x").alias("px"), "g")
+    inside = rows.join(p, ["img_id", "py"]).filter((F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")))
+    ink = (255 - F.col("g") if inverted else F.col("g")) < dark
+    steps = F.sequence(F.lit(0), F.lit(scale - 1))
+    big = inside.select("img_id", "row_idx", "col_idx", F.explode(steps).alias("dy"), ((F.col("py") - F.col("y")) * scale).alias("y0"), ((F.col("px") - F.col("x")) * scale).alias("x0"), ink.cast("int").alias("v"))
+    return big.select("img_id", "row_idx", "col_idx", (F.col("y0") + F.col("dy")).alias("y"), F.explode(steps).alias("dx"), "x0", "v").select("img_id", "row_idx", "col_idx", "y", (F.col("x0") + F.col("dx")).alias("x"), "v")

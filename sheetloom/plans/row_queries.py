@@ -69,6 +69,12 @@ def clean_dispatch(spark, d):
     return _dirty(spark, d).select("id", "kind", T.clean_cell("raw", "kind").alias("cleaned"))
 
 
+def cell_shapes(spark, d):
+    cells = R.ocr_rows(spark, d).select("doc_id", "row_idx", F.posexplode("columns").alias("col_idx", "cell"))
+    dates = R.sessions(spark, d).select(F.col("id").cast("long").alias("doc_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), F.date_format("session_date", "dd/MM/yyyy").alias("cell"))
+    return cells.union(dates).select(C.shape(F.col("cell")).alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))
+
+
 def character_rules(spark, d):
     return _dirty(spark, d).select("id", T.apply_character_rules("raw").alias("cleaned"))
 
@@ -143,7 +149,7 @@ _FIT = "CASE WHEN len(columns) < 3 THEN columns || list_transform(range(3 - len(
 
 QUERIES = {
     "q_clean_numeric": _clean(T.clean_numeric), "q_clean_name": _clean(T.clean_name), "q_clean_status": _clean(T.clean_status), "q_clean_serial": _clean(T.clean_serial),
-    "q_clean_dispatch": clean_dispatch, "q_char_rules": character_rules, "q_number_marks": _clean(T.keep_number_marks), "q_one_line": _clean(T.one_line), "q_display": display_values,
+    "q_clean_dispatch": clean_dispatch, "q_char_rules": character_rules, "q_cell_shapes": cell_shapes, "q_number_marks": _clean(T.keep_number_marks), "q_one_line": _clean(T.one_line), "q_display": display_values,
     "q_validate_row": validate_row, "q_validate_doc": validate_documents, "q_drop_blank": drop_blank, "q_pad": padded, "q_classify": classify, "q_merge_headers": merge_headers,
     "q_doc_summary": summarise, "q_infer_schema": infer_schema, "q_workspace_types": workspace_types,
 }
@@ -153,6 +159,10 @@ SQL = {
     "q_clean_status": f"WITH {_DIRTY} SELECT id, {_status('raw')} AS cleaned FROM dirty",
     "q_clean_serial": f"WITH {_DIRTY} SELECT id, {_serial('raw')} AS cleaned FROM dirty",
     "q_clean_dispatch": f"WITH {_DIRTY} SELECT id, kind, {_cell('raw', 'kind')} AS cleaned FROM dirty",
+    "q_cell_shapes": rf"""WITH {R.OCR_ROWS}, {R.SESSIONS}, cells AS (SELECT unnest(columns) AS cell FROM ocr_rows UNION ALL SELECT strftime(session_date, '%d/%m/%Y') FROM sessions),
+t AS (SELECT {trim_sql('cell')} AS t FROM cells)
+SELECT CASE WHEN regexp_matches(t, '^[0-9]{{1,3}}\.?$') THEN 'serial' WHEN regexp_matches(t, '^[0-9]+(\.[0-9]+)?$') THEN 'numeric' WHEN regexp_matches(t, '^[0-9]{{1,3}}(\.[0-9]+)?%?$') THEN 'percentage'
+  WHEN regexp_matches(t, '[0-9]{{1,2}}[/.-][0-9]{{1,2}}([/.-][0-9]{{2,4}})?') THEN 'date' WHEN regexp_matches(t, '^[A-Z][a-z]+(\s[A-Z][a-z]+)+') THEN 'name' END AS shape, count(*) AS n FROM t GROUP BY 1""",
     "q_number_marks": rf"WITH {_DIRTY} SELECT id, regexp_replace(raw, '[^0-9.\-]', '', 'g') AS cleaned FROM dirty",
     "q_one_line": f"WITH {_DIRTY} SELECT id, replace({trim_sql('raw')}, chr(10), ' ') AS cleaned FROM dirty",
     "q_display": f"""WITH {R.MEMBERS} SELECT id, coalesce(nullif(department, ''), '-') AS department, coalesce(nullif(email, ''), '-') AS email,

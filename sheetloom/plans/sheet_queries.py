@@ -38,6 +38,11 @@ def cell_grid(spark, d):
     return grid.cells(grid.boundaries(_line_share(spark, d, "y"), THRESHOLD / 4, GAP), grid.boundaries(_line_share(spark, d, "x"), THRESHOLD / 4, GAP))
 
 
+def crop(spark, d):
+    gray = R.pixels(spark, d).select("img_id", "y", "x", "g")
+    return grid.crop(gray, cell_grid(spark, d)).groupBy("img_id", "row_idx", "col_idx").agg(F.count("*").alias("n"), F.sum("v").alias("ink"), F.max("x").alias("right"))
+
+
 def components(spark, d):
     return grid.connected_components(R.sparse_ink(spark, d)).select("img_id", "x", "y", "w", "h", "area")
 
@@ -90,7 +95,7 @@ label AS (SELECT img_id, u AS id, min(v) AS part FROM reach GROUP BY ALL),
 parts AS (SELECT img_id, part, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM label JOIN inked USING (img_id, id) GROUP BY img_id, part)"""
 
 QUERIES = {
-    "q_binarize": binarize, "q_dilate": dilate, "q_erode": erode, "q_projection": projection, "q_boundaries": boundaries, "q_cell_grid": cell_grid, "q_components": components, "q_density": density,
+    "q_binarize": binarize, "q_dilate": dilate, "q_erode": erode, "q_projection": projection, "q_boundaries": boundaries, "q_cell_grid": cell_grid, "q_crop": crop, "q_components": components, "q_density": density,
     "q_downscale": downscale, "q_sharpen": sharpened, "q_word_rows": word_rows, "q_heal": heal,
 }
 SQL = {
@@ -102,6 +107,10 @@ SELECT s.img_id, s.y, s.x, CASE WHEN h.img_id IS NULL THEN 0 ELSE 1 END AS v FRO
     "q_boundaries": f"WITH {_PROFILE}, {_bounds('y')} SELECT img_id, at0 AS \"at\" FROM bound_y",
     "q_cell_grid": f"""WITH {_PROFILE}, {_bounds('y')}, {_bounds('x')} SELECT r.img_id, r.idx AS row_idx, c.idx AS col_idx, c.low + 3 AS x, r.low + 3 AS y, greatest(20, c.high - c.low - 6) AS w, greatest(20, r.high - r.low - 6) AS h
 FROM span_y r JOIN span_x c ON r.img_id = c.img_id""",
+    "q_crop": f"""WITH {_PROFILE}, {_bounds('y')}, {_bounds('x')}, box AS (SELECT r.img_id, r.idx AS row_idx, c.idx AS col_idx, c.low + 3 AS x, r.low + 3 AS y, greatest(20, c.high - c.low - 6) AS w, greatest(20, r.high - r.low - 6) AS h
+  FROM span_y r JOIN span_x c ON r.img_id = c.img_id)
+SELECT b.img_id, row_idx, col_idx, 9 * count(*) AS n, CAST(9 * sum(CASE WHEN g < 140 THEN 1 ELSE 0 END) AS BIGINT) AS ink, max(3 * (p.x - b.x) + 2) AS "right"
+FROM box b JOIN pixels p ON p.img_id = b.img_id AND p.y >= b.y AND p.y < b.y + h AND p.x >= b.x AND p.x < b.x + w GROUP BY ALL""",
     "q_components": f"WITH RECURSIVE {_PARTS} SELECT img_id, x, y, w, h, area FROM parts",
     "q_density": f"""WITH RECURSIVE {_PARTS}, page AS (SELECT img_id, avg(v) AS ratio, max(x) + 1 AS iw, max(y) + 1 AS ih FROM sparse GROUP BY img_id),
 n AS (SELECT img_id, count(*) AS n, count(*) FILTER (area >= 8 AND w / h::DOUBLE BETWEEN 0.1 AND 10 AND NOT ((x <= 2 OR y <= 2 OR x + w >= iw - 2 OR y + h >= ih - 2) AND (w > 0.8 * iw OR h > 0.8 * ih))) AS kept FROM parts JOIN page USING (img_id) GROUP BY img_id)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sheetloom.functions import text as T
 from sheetloom.operators import access, approvals, columns, edits, grid, healing, matching
 from sheetloom.operators import rows as O
-from sheetloom.sources import exports, readers
+from sheetloom.sources import exports, readers, recognise
 from sheetloom.streaming import intake
 
 
@@ -203,3 +203,13 @@ def test_intake_is_idempotent(spark, tmp_path):
     facts = {r["member_id"]: r["present"] for r in intake.current(spark, str(tmp_path / "out")).collect()}
     assert facts == {"m1": False, "x0": True, "x1": True}
     assert intake.versions(spark, str(tmp_path / "out")) == [1, 2]
+
+
+def test_recognise_and_enrich(spark):
+    cells = spark.createDataFrame([("d", 0, 0, bytearray(b"ab")), ("d", 0, 1, None), ("d", 0, 2, bytearray(b""))], "doc_id string, row_idx int, col_idx int, image binary")
+    got = recognise.recognise(cells, lambda image: (chr(image[0]), 77.0)).orderBy("col_idx").collect()
+    assert [(g["text"], g["confidence"], g["is_empty"]) for g in got] == [("a", 77.0, False), ("", 100.0, True), ("", 0.0, False)]
+    read = spark.createDataFrame([("d", 0, ["x"], True, 61.0)], "doc_id string, row_idx int, columns array<string>, is_header boolean, confidence double")
+    matched = spark.createDataFrame([("d", 0, "m1", 1.0), ("d", 1, None, 0.0)], "doc_id string, row_idx int, member_id string, confidence double")
+    both = {r["row_idx"]: r for r in recognise.enrich(matched, read, ["doc_id", "row_idx"]).collect()}
+    assert both[0]["ocr_confidence"] == 61.0 and both[0]["confidence"] == 1.0 and both[1]["columns"] is None
