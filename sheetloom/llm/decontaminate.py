@@ -118,13 +118,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     judged one by one (with a benchmark in parts, rows alike in id and text come out once). Items with a null id, a
     null text or no words have no windows; rows that share an item id pool their windows. Other columns are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_parts = max(1, -(-total // part_bytes))
+    items = _parts(benchmark, part_bytes)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if n_parts == 1:
-        return _search(docs, items, window)
-    parts = [_search(docs, items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k), window, keyed=True) for k in range(n_parts)]
+    if len(items) == 1:
+        return _search(docs, items[0], window)
+    parts = [_search(docs, part, window, keyed=True) for part in items]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -146,9 +144,37 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
-def _search(docs: DataFrame, items: DataFrame, window: int, keyed: bool = False) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of `documents`, with all their columns, in which no benchmark window occurs; see decontaminate. Parts of a
+    large benchmark are searched for one after the other, so no row is moved."""
+    kept = documents
+    for items in _parts(benchmark, part_bytes):
+        phrases = documents.sparkSession.sparkContext.broadcast(_phrases(items, window))
+
+        def clean(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in blocks(batch.column("text"), SHARD_BYTES):
+                    n_hit = _shard(block, phrases.value)[1]
+                    yield batch.slice(block.first, len(n_hit)).filter(pa.array(n_hit == 0))
+
+        kept = kept.mapInArrow(clean, documents.schema)
+    return kept
+
+
+def _parts(benchmark: DataFrame, part_bytes: int) -> list[DataFrame]:
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // part_bytes))
+    return [items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _phrases(items: DataFrame, window: int) -> Phrases:
     rows = items.collect()  # at most a part's bytes
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases([r[0] for r in rows], [r[1] for r in rows], window))
+    return Phrases([r[0] for r in rows], [r[1] for r in rows], window)
+
+
+def _search(docs: DataFrame, items: DataFrame, window: int, keyed: bool = False) -> DataFrame:
+    phrases = docs.sparkSession.sparkContext.broadcast(_phrases(items, window))
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in ("first_word", "last_word", "first_byte", "end_byte")])))])
     if keyed:
         docs = docs.withColumn("text_hash", F.xxhash64("text"))

@@ -92,6 +92,30 @@ def test_decontaminate(spark, docs, none, part_bytes):
     assert D.decontaminate(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 60])
+def test_drop_contaminated(spark, docs, none, part_bytes):
+    base = odd.words(120, 1).split(" ")
+    items = [("1", " ".join(base[10:40])), ("2", "One two"), (None, "ok"), ("3", None)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = D.drop_contaminated(docs, bench, part_bytes=part_bytes)
+    want = [str(r[0]) for r in odd.rows() if not plain_hits(r[1], items)[1]]
+    assert got.columns == docs.columns and sorted(str(r["doc_id"]) for r in got.collect()) == sorted(want)
+    assert D.drop_contaminated(none, bench).count() == 0 and D.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_components_of_chains_and_stars(spark):
+    import random
+
+    from sheetloom.llm.components import connected_components
+
+    r = random.Random(3)
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(80)] + [(7, 7), (None, 3)]
+    got = connected_components(spark.createDataFrame(pairs, "u long, v long"), Scratch(spark, "t"))
+    want = plain_components([p for p in pairs if None not in p], {x for p in pairs for x in p if x is not None and p[0] != p[1] and None not in p})
+    assert {g["node"]: g["component"] for g in got.collect()} == want and got.count() == len(want)
+    assert connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
+
+
 # 2
 
 
