@@ -62,7 +62,8 @@ def remove_repeated_lines(documents: DataFrame, run: int = RUN) -> DataFrame:
     place = F.struct("doc", "row", "pos")
     firsts = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
     later = suffixes.join(firsts, "rank").filter(place != F.col("first")).groupBy("doc", "row").agg(F.collect_list("pos").alias("starts"))
-    later = scratch.write(later, "later").withColumnRenamed("row", "later_row")
+    # either side may be large; a merge join treats them alike at every size
+    later = scratch.write(later, "later").withColumnRenamed("row", "later_row").hint("merge")
     for name in ("lines", *(f"pairs-{d}" for d in range(2, run + 1)), *(f"rank-{d}" for d in range(1, run + 1))):
         scratch.drop(name)
     joined = docs.join(later, (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("doc")) & (F.col("row") == F.col("later_row")), "left")
