@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
+from .tables import Scratch, labelled_sample
 from .tokens import ALNUM, NON_SPACE, Block, blocks, mix, words
 from .toxicity import fit_curve
 
@@ -99,9 +99,7 @@ class NBSVM:
 def quality_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> NBSVM:
     scratch = Scratch(documents.sparkSession, "quality")
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    n = known.count()
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, fit_rows / max(1, n))))
-    labelled = scratch.write(documents.select("doc_id", "text").join(known, "doc_id"), "labelled")
+    labelled = scratch.write(labelled_sample(documents, known, fit_rows), "labelled")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
