@@ -19,7 +19,8 @@ CUT = 15
 
 
 def _words(text):
-    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s]+")
+    """Parts between spaces and line feeds; empty ones are to be left out. Splitting at a plain space is the quickest."""
+    return F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" ")), " ")
 
 
 def _bucket(word):
@@ -44,7 +45,9 @@ def posteriors(documents: DataFrame, labelled: DataFrame, scratch: Scratch, colu
     spark = documents.sparkSession
     names = [f"w{k}" for k in range(weights.shape[1])]
     lookup = spark.createDataFrame([(b, *map(float, w)) for b, w in enumerate(weights)], ", ".join(["bucket int", *(f"{n} double" for n in names)]))
-    every = documents.select("doc_id", F.xxhash64(column).alias("text_hash"), F.posexplode(_words(F.col(column))).alias("at", "word")).withColumn("bucket", F.when(F.col("word") != "", _bucket(F.col("word"))))
+    # the hash is taken below the explode, which then carries no text
+    split = documents.select("doc_id", F.xxhash64(column).alias("text_hash"), _words(F.col(column)).alias("words"))
+    every = split.select("doc_id", "text_hash", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.when(F.col("word") != "", _bucket(F.col("word"))))
     sums = (
         every.join(F.broadcast(lookup), "bucket", "left")
         .groupBy("doc_id", "text_hash")

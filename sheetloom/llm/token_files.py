@@ -18,7 +18,7 @@ from .tokens import LOWER, NON_SPACE, blocks, words
 
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker keeps; then it starts anew.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
 BLOCKS_AT_ONCE = 32
 _encoders: dict = {}
 _codes = np.arange(256)
