@@ -18,6 +18,9 @@ from .tables import Scratch, labelled_sample
 SUPPORT = 0.01
 #: Least log ratio of a term's rates in toxic and other texts; an exception's at most.
 TERM_RATIO, EXCEPTION_RATIO = 2.0, -1.0
+#: Shortest and longest stem (beginning of words). A stem is learned if the log ratio of its occurrences reaches
+#: TERM_RATIO and that of the texts that hold it STEM_RATIO.
+STEM, LONGEST_STEM, STEM_RATIO = 4, 12, 0.7
 #: Labelled documents that lexicon and curve are learned from, at most (about), by hash of the id.
 FIT_ROWS = 20_000
 
@@ -57,8 +60,14 @@ def fold(text: str) -> str:
     return text.translate(_FOLD)
 
 
+def _stems(word: str) -> list[str]:
+    """The beginnings of a word that may be stems, shortest first, each with a closing *."""
+    return [word[:k] + "*" for k in range(STEM, min(len(word), LONGEST_STEM) + 1)]
+
+
 class Lexicon:
-    """Weights of terms (folded words) and exception phrases (two folded words, in which a term does not count)."""
+    """Weights of terms and exception phrases (two folded words, in which a term does not count). A term is a folded word,
+    or with a closing * the beginning of words; of the terms that fit a word the longest counts."""
 
     def __init__(self, weights: dict[str, float], exceptions: set[str] = frozenset()):
         self.weights, self.exceptions = weights, set(exceptions)
@@ -70,74 +79,113 @@ class Lexicon:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def holds(self, word: str) -> bool:
+        return word in self.weights or any(s in self.weights for s in _stems(word))
+
+    def _build(self):
+        import ahocorasick
+
+        entries: dict[str, list] = {}  # key: weight as a word, weight as a stem, whether it is an exception
+        for k, w in self.weights.items():
+            entries.setdefault(k.removesuffix("*"), [None, None, False])[k.endswith("*")] = w
+        for k in self.exceptions:
+            entries.setdefault(k, [None, None, False])[2] = True
+        automaton = ahocorasick.Automaton()
+        for k, (word, stem, exception) in entries.items():
+            automaton.add_word(k, (len(k), word, stem, exception))
+        automaton.make_automaton()
+        return automaton
+
     def measure(self, text: str) -> tuple[float, int, int]:
         """Weight of the terms found, their number, and words of the text."""
         if self._automaton is None:
-            import ahocorasick
-
-            self._automaton = ahocorasick.Automaton()
-            for k, w in self.weights.items():
-                self._automaton.add_word(k, (len(k), w))
-            for k in self.exceptions:
-                self._automaton.add_word(k, (len(k), None))
-            self._automaton.make_automaton()
+            self._automaton = self._build()
         folded = fold(text)
         n_words = folded.count(" ") + folded.count("\n") + 1
         if not self.weights:
             return 0.0, 0, n_words
-        found, excepted = [], []
-        for end, (size, weight) in self._automaton.iter(folded):
+        found: dict[int, tuple[int, float]] = {}
+        excepted = []
+        for end, (size, word, stem, exception) in self._automaton.iter(folded):
             start = end - size + 1
-            if (start and folded[start - 1].isalnum()) or folded[end + 1 : end + 2].isalnum():
+            if start and folded[start - 1].isalnum():
                 continue
-            if weight is None:
+            closed = not folded[end + 1 : end + 2].isalnum()
+            if exception and closed:
                 excepted.append((start, end))
-            else:
-                found.append((start, end, weight))
+            weight = word if word is not None and closed else stem
+            if weight is not None:
+                found[start] = end, weight  # ends ascend, so the longest stays
         if excepted:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in excepted)]
-        return sum(f[2] for f in found), len(found), n_words
+            found = {a: x for a, x in found.items() if not any(b <= a and x[0] <= c for b, c in excepted)}
+        return sum(w for _, w in found.values()), len(found), n_words
 
 
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
-    """labelled: text, toxic (0 or 1). Terms that are far more frequent in toxic texts, weighted by the logarithm of the
-    ratio of their rates, and two-word phrases around a term that are rarer in toxic texts than elsewhere. All rows
-    given are counted: candidates are what enough toxic texts hold, and then every text is counted for these."""
+    """labelled: text, toxic (0 or 1). Words that far more toxic texts hold, stems that occur far more often in toxic texts,
+    both weighted by the logarithm of the ratio of the shares of texts that hold them, and two-word phrases around a
+    term that are rarer in toxic texts than elsewhere. A stem tells of inflected and compound words each of which is
+    rare. All rows given are counted: candidates are what enough toxic texts hold, and then every text is counted for these."""
     rows = labelled.filter("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = total.get(1, 0), total.get(0, 0)
     if not n_toxic or not n_other:
         return Lexicon({})
     least = max(5, SUPPORT * n_toxic)
+    columns = ["toxic", "other", "toxic_uses", "other_uses"]  # texts that hold a term, and its occurrences
 
     def count(keep):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, Counter] = {0: Counter(), 1: Counter()}
+            held, uses = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
             for batch in batches:
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                    if toxic in sums:
-                        sums[toxic].update(keep(fold(text)))
-            keys = list(sums[0].keys() | sums[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([sums[1][k] for k in keys], pa.int64()), pa.array([sums[0][k] for k in keys], pa.int64())], ["term", "toxic", "other"])
+                    if toxic in held:
+                        terms = keep(fold(text))
+                        held[toxic].update(terms.keys())
+                        uses[toxic].update(terms)
+            keys = list(held[0].keys() | held[1].keys())
+            sums = [pa.array([c[k] for k in keys], pa.int64()) for c in (held[1], held[0], uses[1], uses[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *sums], ["term", *columns])
 
         return each
 
     def counted(df: DataFrame, keep) -> DataFrame:
-        return df.mapInArrow(count(keep), "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        return df.mapInArrow(count(keep), "term string, " + ", ".join(f"{c} long" for c in columns)).groupBy("term").agg(*(F.sum(c).alias(c) for c in columns))
 
     def ratio(toxic: int, other: int) -> float:
         return float(np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_other + 1)))
 
-    # a text holds each candidate once, so there are few: SUPPORT of the toxic texts hold it
-    frequent = {r["term"] for r in counted(rows.filter("toxic = 1"), lambda t: set(_WORD.findall(t))).filter(F.col("toxic") >= least).collect()}
-    found = counted(rows, lambda t: frequent.intersection(_WORD.findall(t))).collect()
-    weights = {r["term"]: ratio(r["toxic"], r["other"]) for r in found}
-    weights = {k: w for k, w in weights.items() if w >= TERM_RATIO}
+    def terms(text: str, among: set[str] | None = None) -> Counter:
+        uses: Counter = Counter()
+        for word, n in Counter(_WORD.findall(text)).items():
+            for t in (word, *_stems(word)):
+                if among is None or t in among:
+                    uses[t] += n
+        return uses
 
-    def phrases(text: str) -> set[str]:
+    # a text holds each candidate once, so there are few: SUPPORT of the toxic texts hold it
+    frequent = {r["term"] for r in counted(rows.filter("toxic = 1"), terms).filter(F.col("toxic") >= least).collect()}
+    found = {r["term"]: tuple(r[c] for c in columns) for r in counted(rows, lambda t: terms(t, frequent)).collect()}
+    longer: dict[str, list[str]] = {}
+    for t in found:
+        if t.endswith("*"):
+            longer.setdefault(t[:-2] + "*", []).append(t)
+    weights = {}
+    for t, n in found.items():
+        weight = ratio(n[0], n[1])
+        if not t.endswith("*"):
+            fits = weight >= TERM_RATIO
+        else:  # a stem with the counts of a word or of a longer stem tells nothing more
+            fits = weight >= STEM_RATIO and ratio(n[2], n[3]) >= TERM_RATIO and all(found.get(x) != n for x in (t[:-1], *longer.get(t, ())))
+        if fits:
+            weights[t] = weight
+    lexicon = Lexicon(weights)
+
+    def phrases(text: str) -> dict[str, int]:
         words = _WORD.findall(text)
-        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in weights or b in weights}
-        return {p for p in pairs if p in text}
+        held = {w for w in set(words) if lexicon.holds(w)}
+        pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in held or b in held}
+        return dict.fromkeys((p for p in pairs if p in text), 1)
 
     exceptions: set[str] = set()
     if weights:
@@ -198,7 +246,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_
     """The columns of `documents` and toxicity (0 to 1, of the whole text alone), learned from the labels given.
 
     labels: doc_id, toxic; rows with a null in either teach nothing, and of several rows for an id the largest label
-    counts. Terms weigh the logarithm of their rate ratio; the sum is set against the length of the text, and a curve
+    counts. Terms (words and stems) weigh the logarithm of their rate ratio; the sum is set against the length of the text, and a curve
     gives the probability of the label. A null text scores as an empty one. Repeated rows are scored each. A column
     called toxicity is replaced."""
     lexicon, curve = toxicity_model(documents, labels, fit_rows)

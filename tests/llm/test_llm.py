@@ -449,3 +449,17 @@ def test_pipeline(spark, data):
     assert after["toxicity"].join(toxic, "doc_id").filter("toxic = 1").count() <= 0.3 * before
     clean = source.join(toxic, "doc_id").filter("toxic = 0 and quality = 1").count()
     assert after["toxicity"].join(toxic, "doc_id").filter("toxic = 0 and quality = 1").count() >= 0.97 * clean
+
+
+def test_toxic_stems(spark):
+    from sheetloom.llm.toxicity import Lexicon, learn_lexicon
+
+    lexicon = Lexicon({"scum": 2.0, "achlich*": 1.0, "achliche*": 3.0}, {"no scum"})
+    assert lexicon.measure("scum scums achlichs Achlichen machlich") == (6.0, 3, 5)
+    assert lexicon.measure("no scum")[:2] == (0.0, 0)
+    assert lexicon.measure("no achlich")[:2] == (1.0, 1)
+    ends = ["al", "bo", "cu", "da", "er", "fi", "go", "ha", "il", "ju"]
+    toxic = [(f"plain w{a} vrak{a}{b} and vrak{b}{a}", 1) for a in ends for b in ends if a != b]
+    clean = [(f"plain w{a} words{b} and more", 0) for a in ends for b in ends]
+    weights = learn_lexicon(spark.createDataFrame(toxic + clean, "text string, toxic int")).weights
+    assert "vrak*" in weights and not any(w.startswith(("plain", "w", "and")) for w in weights)
