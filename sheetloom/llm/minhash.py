@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,14 +16,12 @@ from .tokens import NON_SPACE, Block, blocks, mix, words
 
 SHINGLE = 5
 COORDINATES = 48
-#: Coordinates that a pair must share to be confirmed on its full sets. A pair of similarity 0.85 shares 40.8 on
-#: average with a standard deviation of 2.5, and fewer than 24 with a probability under 1e-9.
-LEAST_SHARED = 24
+#: Probability at most that a pair at the threshold shares too few coordinates, or too few of the sketch, to be confirmed.
+MISS = 1e-9
 #: Documents around one hub that are compared with as many others in one step.
 HUB_BLOCK = 512
-#: Coordinates of the sketch by which documents around a hub are compared where their differences from it are not
-#: held, and how many must agree: similarity 0.85 gives 217.6 on average with a deviation of 5.7.
-SKETCH, SKETCH_SHARED = 256, 182
+#: Coordinates of the sketch by which documents around a hub are compared where their differences from it are not held.
+SKETCH = 256
 #: Similarity (hundredths) to a hub from which a document's difference from it is held.
 HELD_PERCENT = 45
 
@@ -34,6 +33,17 @@ _SKETCH_FLIP = _random.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 _STEP = _random.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def least_shared(n: int, percent: int) -> int:
+    """How many of n coordinates a pair must share, so that one of similarity `percent` hundredths falls short with a
+    probability of MISS at most."""
+    p, fewer = percent / 100, 0.0
+    for k in range(n):
+        fewer += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if fewer > MISS:
+            return max(1, k)
+    return n
+
+
 def shingle_sets(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, ascending, one text after the other; where each text's begin."""
     _, _, first, word = words(block, NON_SPACE)
@@ -150,6 +160,7 @@ def _compare(percent: int):
     """Rows sorted by (hub, i, j): the pairs of different components in each group. Where both differences from the hub
     are held, links follow exactly, and of these only what each document reaches is passed on (sure); other pairs are
     passed on if their sketches agree enough."""
+    sketch_shared = least_shared(SKETCH, percent)
 
     def one(t: pa.Table) -> pa.RecordBatch | None:
         part, i, j, side = (t.column(c).to_numpy() for c in ("component", "i", "j", "side"))
@@ -187,7 +198,7 @@ def _compare(percent: int):
         for k in left.tolist():
             there = right[right > k] if i[0] == j[0] else right
             there = there[(part[there] != part[k]) & ~(held[there] & held[k])]
-            there = there[np.count_nonzero(prints[there] == prints[k], axis=1) >= SKETCH_SHARED]
+            there = there[np.count_nonzero(prints[there] == prints[k], axis=1) >= sketch_shared]
             u.append(np.full(len(there), doc[k]))
             v.append(doc[there])
             sure.append(np.zeros(len(there), bool))
@@ -212,10 +223,10 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
 
     1. Equal sets are one class, joined by set hash; the smallest id stands for a class.
     2. Each representative is posted under its 48 coordinate-value pairs. Pairs under which it stands alone are
-       skipped, and of the others it stays posted under the rarest only: two signatures that share 24 coordinates
-       share one among the 25 rarest (prefix), and long posting lists are skipped.
+       skipped, and of the others it stays posted under the rarest only: two signatures that share t (least_shared)
+       of n coordinates share one among the n - t + 1 rarest (prefix), and long posting lists are skipped.
     3. Every posted document is compared with one hub of each of its lists, the one that shares most lists; pairs that
-       share 24 coordinates are confirmed on their full sets. Groups of many copies thus give a row for each
+       share t coordinates are confirmed on their full sets. Groups of many copies thus give a row for each
        document rather than one for each pair.
     4. Two documents of a list share its hub. Around each hub that still has several components, documents of
        different components are compared, HUB_BLOCK by HUB_BLOCK: if the differences of both from the hub are held,
@@ -229,6 +240,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "minhash")
+    shared_least = least_shared(COORDINATES, percent)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = scratch.write(docs.mapInArrow(_signed, "doc_id long, n_shingles long, set_a long, set_b long, coordinates array<long>"), "signed")
     own = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -241,8 +253,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         posted.join(shared, "token")
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("lists"))
-        .filter(F.size("lists") >= LEAST_SHARED)
-        .select("rep", F.slice("lists", 1, F.size("lists") - (LEAST_SHARED - 1)).alias("lists"))
+        .filter(F.size("lists") >= shared_least)
+        .select("rep", F.slice("lists", 1, F.size("lists") - (shared_least - 1)).alias("lists"))
         .select("rep", F.aggregate("lists", F.lit(0).cast("long"), lambda s, x: s + x.n).alias("weight"), F.explode("lists.token").alias("token"))
     )
     prefix = scratch.write(prefix, "prefix")
@@ -254,7 +266,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         around.filter("u <> v")
         .join(coordinates.select(F.col("rep").alias("u"), F.col("coordinates").alias("x")), "u")
         .join(coordinates.select(F.col("rep").alias("v"), F.col("coordinates").alias("y")), "v")
-        .filter(F.size(F.array_intersect("x", "y")) >= LEAST_SHARED)
+        .filter(F.size(F.array_intersect("x", "y")) >= shared_least)
         .select("u", "v")
     )
     first = scratch.write(first, "first")
