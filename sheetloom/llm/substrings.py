@@ -29,8 +29,9 @@ PLACE_BITS = 23
 PIECE_BYTES = 4 << 20
 #: Bytes of segments that are built up together.
 COLLECTION_BYTES = 2 << 20
-#: Distinct segments that one minimizer may bring together. Those of a larger group are cut by columns and dealt by the
-#: bytes that all windows of a cut hold, so that no group grows with the input.
+#: Distinct segments that one minimizer may bring together. Those of a larger group are cut by columns, one of equal
+#: pieces is kept, and these are dealt by the bytes that all windows of a cut hold. Where more different pieces than
+#: this hold the same bytes, their windows are counted one by one, so that no group grows with the input.
 GROUP = 8192
 CUT = 16
 
@@ -138,28 +139,71 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, group: int = GROU
     place = F.struct("doc_id", "row", "start", "n", "distance")
     distinct = scratch.write(mixed.groupBy("minimizer", "bytes").agg(F.count("*").alias("copies"), F.min(place).alias("at")).select("minimizer", "bytes", "copies", "at.*"), "distinct")
     large = distinct.groupBy("minimizer").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("minimizer", F.lit(True).alias("large"))
+    large = scratch.write(large, "large")
     # the bytes of one segment for each distinct one
-    picks = (
-        distinct.join(large, "minimizer", "left")
-        .groupBy("doc_id", "row")
-        .agg(F.collect_list(F.struct("start", "n", "minimizer", "distance", F.coalesce("large", F.lit(False)).alias("large"), (F.col("copies") == 1).alias("lone"))).alias("picks"))
-    )
-    same_row = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
-    once = docs.join(picks.withColumnsRenamed({"doc_id": "p_id", "row": "p_row"}), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row"))).select("doc_id", "row", "text", "picks")
-    cut = once.mapInArrow(_cut(length), "doc_id long, row long, start long, n int, first int, lone boolean, key long, bytes binary")
-    cut = cut.repartition("key").sortWithinPartitions("key")
-    parts = cut.mapInArrow(_build(length), "doc_id long, row long, first_byte long, end_byte long")
+    pick = F.struct("start", "n", "minimizer", "distance", F.coalesce("large", F.lit(False)).alias("large"), (F.col("copies") == 1).alias("lone"))
+    known = distinct.join(large, "minimizer", "left")
+
+    def cut(chosen: DataFrame) -> DataFrame:
+        picks = chosen.groupBy(F.col("doc_id").alias("p_id"), F.col("row").alias("p_row")).agg(F.collect_list(pick).alias("picks"))
+        once = docs.join(picks, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row"))).select("doc_id", "row", "text", "picks")
+        return once.mapInArrow(_cut(length), "doc_id long, row long, start long, n int, first int, lone boolean, key long, bytes binary")
+
+    dealt = cut(known.filter("large is null"))
+    settled = None
+    if not large.isEmpty():
+        few, settled = _settle(scratch.write(cut(known.filter("large")), "pieces", "lz4"), length, group, scratch)
+        dealt = dealt.unionByName(few)
+    dealt = dealt.repartition("key").sortWithinPartitions("key")
+    parts = dealt.mapInArrow(_build(length), "doc_id long, row long, first_byte long, end_byte long")
+    if settled is not None:
+        parts = parts.unionByName(settled)
     copied = mixed.join(distinct.filter("copies > 1").select("minimizer", "bytes"), ["minimizer", "bytes"], "left_semi")
     full = whole.select("doc_id", "row", "start", "n").union(copied.select("doc_id", "row", "start", "n"))
     spans = full.select("doc_id", "row", F.col("start").alias("first_byte"), (F.col("start") + F.col("n") + (length - 1)).alias("end_byte")).union(parts)
     spans = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first_byte", "end_byte")).alias("spans"))
     spans = scratch.write(spans, "spans")
-    scratch.drop("hits")
-    scratch.drop("distinct")
+    for name in ("hits", "distinct", "large", "pieces", "one", "wide"):
+        scratch.drop(name)
     ready = docs.join(spans.withColumnsRenamed({"doc_id": "p_id", "row": "p_row"}), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("row") == F.col("p_row")), "left")
     return ready.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, spans array<struct<first_byte:long,end_byte:long>>, kept binary")
 
 
+def _settle(pieces: DataFrame, length: int, group: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of the pieces of large groups: one of each equal ones, of keys that hold `group` of these at most, to be built up;
+    and the spans that are settled by counts alone, which are those of equal pieces and of windows of all other keys."""
+    same = ["key", "first", "bytes"]
+    one = pieces.groupBy(*same).agg(F.count("*").alias("held"), F.min(F.struct("doc_id", "row", "start", "n", "lone")).alias("at"))
+    one = scratch.write(one.select(*same, "held", "at.doc_id", "at.row", "at.start", "at.n", (F.col("at.lone") & (F.col("held") == 1)).alias("lone")), "one", "lz4")
+    wide = scratch.write(one.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("key"), "wide")
+    few = one.join(wide, "key", "left_anti").select(*pieces.columns)
+    windows = one.join(wide, "key", "left_semi").mapInArrow(_windows(length), "doc_id long, row long, start long, lone boolean, window binary")
+    repeated = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
+    alone = windows.filter("lone").join(repeated, "window", "left_semi").select("doc_id", "row", "start", F.lit(1).alias("n"))
+    equal = pieces.filter("lone").join(one.filter("held > 1").select(*same), same, "left_semi").select("doc_id", "row", "start", "n")
+    return few, equal.union(alone).select("doc_id", "row", F.col("start").alias("first_byte"), (F.col("start") + F.col("n") + (length - 1)).alias("end_byte"))
+
+
+def _windows(length: int):
+    """Each window of each piece by a hash of its bytes."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("n").to_numpy().astype(np.int64)
+            rows = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            hashes = [hashlib.blake2b(x[k : k + length], digest_size=16).digest() for x, m in zip(batch.column("bytes").to_pylist(), n.tolist(), strict=True) for k in range(m)]
+            pick = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pick), batch.column("row").take(pick), pa.array(batch.column("start").to_numpy()[rows] + at), batch.column("lone").take(pick), pa.array(hashes, pa.binary())],
+                ["doc_id", "row", "start", "lone", "window"],
+            )
+
+    return windows
+
+
 def _runs(length: int):
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
