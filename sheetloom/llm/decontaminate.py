@@ -115,7 +115,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Returns one row for each row of `documents`: doc_id, n_words, n_hit, items (ids as text, sorted) and spans (in
     words, and bytes of the UTF-8 text). A null text has no words; a null id stays null; rows that share an id are
-    judged one by one (with a benchmark in parts, rows alike in id and text come out once). Items with a null id, a
+    judged one by one, with a benchmark in parts too: rows alike in id and text are counted there and come out as often. Items with a null id, a
     null text or no words have no windows; rows that share an item id pool their windows. Other columns are ignored.
     """
     items = _parts(benchmark, part_bytes)
@@ -127,7 +127,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     for p in parts[1:]:
         every = every.unionByName(p)
     merged = F.aggregate(
-        F.array_sort(F.flatten(F.collect_list("spans"))),
+        F.array_sort(F.flatten(F.collect_set("spans"))),  # rows alike have the same in each part
         F.array().cast("array<struct<first_word:long,last_word:long,first_byte:long,end_byte:long>>"),
         lambda done, x: F.when(
             (F.size(done) > 0) & (x.first_word <= F.element_at(done, -1).last_word + 1),
@@ -138,8 +138,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         ).otherwise(F.concat(done, F.array(x))),
     )
     return (
-        every.groupBy("doc_id", "text_hash")
-        .agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), merged.alias("spans"))
+        every.groupBy("doc_id", "text_hash", "n_words")
+        .agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), merged.alias("spans"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.expr(f"n div {len(items)}"))))
         .select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.last_word - s.first_word + 1).alias("n_hit"), "items", "spans")
     )
 
