@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Scratch
-from .tokens import Block, Prefix, blocks
+from .tokens import Block, blocks, mix
 
 LENGTH = 200
 GRAM = 16
 #: Bits of a minimizer's sort key that hold its place, so that the first place wins a tie; longer texts go in pieces.
 PLACE_BITS = 23
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Bytes of segments that are built up together.
 COLLECTION_BYTES = 2 << 20
 #: Distinct segments that one minimizer may bring together. Those of a larger group are cut by columns, one of equal
@@ -36,11 +36,12 @@ GROUP = 8192
 CUT = 16
 
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
+_KEY = np.random.default_rng(16).integers(1, 1 << 63, 1, dtype=np.uint64)
 
 
 def segments(block: Block, length: int) -> tuple[np.ndarray, ...]:
-    """Of each run of windows: text, start in it, number of windows, minimizer, hash of the bytes, and distance of the
-    minimizer from the start."""
+    """Of each run of windows: text, start in it, number of windows, minimizer, BLAKE2b hash of the bytes (which with the
+    minimizer tells whether segments are equal), and distance of the minimizer from the start."""
     found = []
     total = len(block.data)
     for a in range(0, max(1, total - length + 1), PIECE_BYTES):
@@ -54,9 +55,8 @@ def _segments(block: Block, low: int, high: int, length: int) -> tuple[np.ndarra
     n_windows = n - length + 1
     if n_windows < 1:
         return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-    prefix = Prefix(data)
-    at = np.arange(n - GRAM + 1)
-    keys = (prefix.of(at, at + GRAM) & ~_PLACE) | at.astype(np.uint64)
+    eight = np.ndarray(n - 7, "<u8", data, strides=(1,))  # the bytes of half a gram from each place on
+    keys = (mix(mix(eight[:-8] ^ _KEY) ^ eight[8:]) & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)
     # sliding minimum: of the rest of one stretch of `span` grams and of the start of the next
     padded = np.full(-(-len(keys) // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[: len(keys)] = keys
@@ -76,7 +76,9 @@ def _segments(block: Block, low: int, high: int, length: int) -> tuple[np.ndarra
     end = last + length
     text = np.searchsorted(block.bounds, start + low, "right") - 1
     place = (least[start] & _PLACE).astype(np.int64)
-    return text, start + low - block.bounds[text], last - start + 1, least[start] & ~_PLACE, prefix.of(start, end), place - start
+    raw = memoryview(data)
+    digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return text, start + low - block.bounds[text], last - start + 1, least[start] & ~_PLACE, np.frombuffer(b"".join(digests), np.uint64), place - start
 
 
 def repeated_windows(group: np.ndarray, first: np.ndarray, count: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:

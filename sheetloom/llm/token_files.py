@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import random
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +17,11 @@ from pyspark.sql import functions as F
 
 from .huffman import LONGEST, Table, canonical, code_lengths, pack
 from .tables import Scratch
-from .tokens import LOWER, NON_SPACE, blocks, words
+from .tokens import LOWER, NON_SPACE, blocks, equal_runs, run_hashes, word_bounds
 
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker keeps; then it starts anew.
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 19
 BLOCKS_AT_ONCE = 32
 _encoders: dict = {}
 _codes = np.arange(256)
@@ -27,54 +30,82 @@ _MARK = np.isin(_codes, np.frombuffer(b'.,;:!?%*&#$)"', np.uint8))
 
 
 class WordIds:
-    """Ids of words. For a tokenizer that drops white space, lower-cases, and never joins letters to other marks, the ids
-    of a text are those of its words in turn, also where words are cut between an ASCII letter and one of the marks
-    .,;:!?%*&#$)" and A-Z are lower-cased first. Texts with <| may hold special tokens and are cut at white space only."""
+    """Ids of texts by way of their words. A tokenizer that drops white space, lower-cases, and never joins letters to other
+    marks gives the ids of a text as those of its words in turn, also where words are cut between an ASCII letter and one
+    of the marks .,;:!?%*&#$)" and A-Z are lower-cased first. Whether the given one does is tried on random texts; if it does
+    not, whole texts are encoded. Texts with <| may hold special tokens and are cut at white space only. Words are told
+    apart by their bytes."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, tokenizer: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(tokenizer)
         self.divider, self.divider_id = next(((t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized), ("", -1))
         self.end_id = end_id
         self.clear()
+        self.by_words = True
+        self.by_words = self._tried()
+
+    def _tried(self) -> bool:
+        r = random.Random(8)
+        texts = ["".join(r.choice("abAB09 \u00e9\u00df\u2003\u0301\t\n.,;:!?%*&#$)\"'-_/<|") for _ in range(r.randrange(1, 40))) for _ in range(300)]
+        for block in blocks(pa.array(texts)):
+            ids, size = self.encode(block)
+            cut = np.split(ids, np.cumsum(size)[:-1])
+        fits = all([*e.ids, self.end_id] == c.tolist() for e, c in zip(self._encode(texts), cut, strict=True))
+        self.clear()
+        return fits
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat = np.array([self.end_id], np.uint32)
         self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # entry 0 is the end id
 
-    def learn(self, hashes: list[int], texts: list[str], together: bool) -> None:
+    def learn(self, new: list[bytes], together: bool) -> None:
         """together: many words at once, parted by a special token that none of them holds."""
+        texts = [x.decode() for x in new]
         if together:
-            ids = self.tokenizer.encode_batch_fast([self.divider.join(texts[k : k + 256]) + self.divider for k in range(0, len(texts), 256)], add_special_tokens=False)
+            ids = self._encode([self.divider.join(texts[k : k + 256]) + self.divider for k in range(0, len(texts), 256)])
             flat = np.concatenate([np.array(e.ids, np.uint32) for e in ids])
             ends = np.flatnonzero(flat == self.divider_id)
             size = np.diff(ends, prepend=-1) - 1
             flat = flat[flat != self.divider_id]
         else:
-            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            ids = [e.ids for e in self._encode(texts)]
             size = np.array([len(i) for i in ids], np.int64)
             flat = np.array([i for x in ids for i in x], np.uint32)
-        self.known.update(zip(hashes, range(len(self.start), len(self.start) + len(hashes)), strict=True))
+        self.known.update(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.length = np.concatenate([self.length, size])
         self.flat = np.concatenate([self.flat, flat])
 
     def encode(self, block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each text, one text after the other, and how many each has, both with the end id."""
+        if not self.by_words:
+            raw = block.data.tobytes()
+            ids = [[*e.ids, self.end_id] for e in self._encode([raw[a:b].decode() for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist(), strict=True)])]
+            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
         plain = b"<|" not in block.data.tobytes()
-        starts, ends, first, hashes = words(block, NON_SPACE, plain, (_LETTER, _MARK) if plain else None)
-        each, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        data = LOWER[block.data] if plain else block.data
+        starts, ends = word_bounds(block, data, NON_SPACE, (_LETTER, _MARK) if plain else None)
+        first = np.searchsorted(starts, block.bounds)
+        _, at, back = np.unique(run_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        other = np.flatnonzero(~equal_runs(data, starts, ends, at[back]))  # words of one hash that are not the same
+        if len(other):
+            back[other] = len(at) + np.arange(len(other))
+            at = np.append(at, other)
         if len(self.known) > CACHE_WORDS:
             self.clear()
-        each = each.tolist()
-        new = [k for k, h in enumerate(each) if h not in self.known]
+        raw = data.tobytes()
+        each = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        new = list(dict.fromkeys(x for x in each if x not in self.known))
         if new:
-            raw = (LOWER[block.data] if plain else block.data).tobytes()
-            self.learn([each[k] for k in new], [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)], plain and bool(self.divider))
-        entry = np.array([self.known[h] for h in each], np.int64)[back] if each else np.zeros(0, np.int64)
+            self.learn(new, plain and bool(self.divider))
+        entry = np.array([self.known[x] for x in each], np.int64)[back] if each else np.zeros(0, np.int64)
         entry = np.insert(entry, first[1:], 0)
         size = self.length[entry]
         begin = np.cumsum(size) - size
@@ -84,10 +115,12 @@ class WordIds:
         return ids, total[edge[1:]] - total[edge[:-1]]
 
 
-def _encoder(path: str, end_id: int) -> WordIds:
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = WordIds(path, end_id)
-    return _encoders[path, end_id]
+def _encoder(tokenizer: str, end_id: int) -> WordIds:
+    key = hashlib.sha256(tokenizer.encode()).digest(), end_id
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordIds(tokenizer, end_id)
+    return _encoders[key]
 
 
 def write_tokens(documents: DataFrame, tokenizer_path: str, out_path: str, end_id: int = 2, block_ids: int = BLOCK_IDS, longest: int = LONGEST) -> None:
@@ -104,9 +137,10 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, out_path: str, end_i
     spark = documents.sparkSession
     scratch = Scratch(spark, "tokens")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tokenizer = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())  # one vocabulary file, which executors need not hold
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer_path, end_id)
+        encoder = _encoder(tokenizer.value, end_id)
         for batch in batches:
             for block in blocks(batch.column("text")):
                 ids, size = encoder.encode(block)
