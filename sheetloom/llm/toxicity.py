@@ -21,6 +21,8 @@ TERM_RATIO, EXCEPTION_RATIO = 2.0, -1.0
 #: Shortest and longest stem (beginning of words). A stem is learned if the log ratio of its occurrences reaches
 #: TERM_RATIO and that of the texts that hold it STEM_RATIO.
 STEM, LONGEST_STEM, STEM_RATIO = 4, 12, 0.7
+#: Terms that a task counts before it hands their sums on, so that its memory does not grow with its texts.
+HELD_TERMS = 50_000
 #: Labelled documents that lexicon and curve are learned from, at most (about), by hash of the id.
 FIT_ROWS = 20_000
 
@@ -136,16 +138,23 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
 
     def count(keep):
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, uses = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
+            sums: dict[str, list[int]] = {}
+
+            def so_far() -> pa.RecordBatch:
+                rows = list(zip(*sums.values(), strict=True)) or [[]] * len(columns)
+                return pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), *(pa.array(x, pa.int64()) for x in rows)], ["term", *columns])
+
             for batch in batches:
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                    if toxic in held:
-                        terms = keep(fold(text))
-                        held[toxic].update(terms.keys())
-                        uses[toxic].update(terms)
-            keys = list(held[0].keys() | held[1].keys())
-            sums = [pa.array([c[k] for k in keys], pa.int64()) for c in (held[1], held[0], uses[1], uses[0])]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *sums], ["term", *columns])
+                    if toxic in (0, 1):
+                        for term, n in keep(fold(text)).items():
+                            own = sums.setdefault(term, [0, 0, 0, 0])
+                            own[1 - toxic] += 1
+                            own[3 - toxic] += n
+                    if len(sums) > HELD_TERMS:
+                        yield so_far()
+                        sums.clear()
+            yield so_far()
 
         return each
 
