@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import Scratch, groups
+from .tables import Scratch, groups, spread_join
 from .tokens import NON_SPACE, Block, blocks, mix, words
 
 SHINGLE = 5
 COORDINATES = 48
 #: Probability at most that a pair at the threshold shares too few coordinates, or too few of the sketch, to be confirmed.
 MISS = 1e-9
-#: Documents around one hub that are compared with as many others in one step.
-HUB_BLOCK = 512
+#: Documents around one hub that are compared with as many others in one step, and bytes of their differences from it.
+HUB_BLOCK, HUB_BYTES = 512, 8 << 20
 #: Coordinates of the sketch by which documents around a hub are compared where their differences from it are not held.
 SKETCH = 256
 #: Similarity (hundredths) to a hub from which a document's difference from it is held.
@@ -95,47 +95,39 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column("text")):
             flat, bounds = shingle_sets(block)
-            sets = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            prints = [_sketch(x) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(prints, pa.binary())], ["doc_id", "shingles", "sketch"])
+            prints = [_sketch(flat[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.first, len(prints)), sets, pa.array(prints, pa.binary())], ["doc_id", "shingles", "sketch"])
 
 
 def _sketch(own: np.ndarray) -> bytes:
     """The top byte of the mixed minimum of each of SKETCH coordinates."""
     out = np.zeros(SKETCH, np.uint8)
-    for k in range(0, SKETCH if len(own) else 0, 32):
-        least = ((own ^ _SKETCH_FLIP[k : k + 32, None]) * _SKETCH_MULTIPLY[k : k + 32, None]).min(1)
-        out[k : k + 32] = mix(least) >> np.uint64(56)
+    step = max(1, min(32, (1 << 16) // max(1, len(own))))  # coordinates at once, so that long sets need no more memory
+    for k in range(0, SKETCH if len(own) else 0, step):
+        least = ((own ^ _SKETCH_FLIP[k : k + step, None]) * _SKETCH_MULTIPLY[k : k + step, None]).min(1)
+        out[k : k + step] = mix(least) >> np.uint64(56)
     return out.tobytes()
 
 
 def _linked(x, y, apart, percent: int):
-    """Whether sets of sizes x and y that differ in `apart` shingles are similar enough."""
+    """Whether sets of sizes x and y that differ in `apart` shingles are similar enough; numbers, arrays or columns."""
     return 100 * (x + y - apart) >= percent * (x + y + apart)
 
 
-def _against(percent: int):
-    """Of pairs of full sets: whether they are linked, the size of the first, and in what it differs from the second."""
+def _against(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (u, v): whether their full sets are linked, the size of the first, and where they are not too far from each
+    other (HELD_PERCENT) in what they differ."""
+    x, y = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "x"), ("v", "y")))
+    both = spread_join(pairs, y, ["v"]).join(x, "u")
+    n, m = F.size("x").cast("long"), F.size("y").cast("long")
+    apart = n + m - 2 * F.size(F.array_intersect("x", "y"))
+    delta = F.when(_linked(n, m, apart, HELD_PERCENT), F.concat(F.array_except("x", "y"), F.array_except("y", "x")))
+    return both.select("u", "v", _linked(n, m, apart, percent).alias("linked"), n.alias("size"), delta.alias("delta"))
 
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked, size, delta = [], [], []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                every = np.sort(np.concatenate([x, y]))
-                twice = np.append(every[1:] == every[:-1], False)
-                alone = every[~(twice | np.append(False, twice[:-1]))] if len(every) else every
-                linked.append(bool(_linked(len(x), len(y), len(alone), percent)))
-                size.append(len(x))
-                delta.append(alone.tobytes() if _linked(len(x), len(y), len(alone), HELD_PERCENT) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(delta, pa.binary())], ["u", "v", "linked", "size", "delta"])
 
-    return against
-
-
-def _overlaps(deltas: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Shingles that each difference of the left shares with each of the right."""
-    sets = [np.frombuffer(d, np.uint64) for d in deltas]
     flat = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, element, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -167,8 +159,10 @@ def _compare(percent: int):
         if (part == part[0]).all():
             return None
         doc, size = t.column("doc_id").to_numpy(), t.column("size").to_numpy(zero_copy_only=False)
-        delta = t.column("delta").to_pylist()
-        held = np.array([d is not None for d in delta])
+        lists = t.column("delta").combine_chunks()
+        held = lists.is_valid().to_numpy(zero_copy_only=False)
+        edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        delta = [flat[p:q] for p, q in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         left = right = np.arange(len(doc))
         if i[0] != j[0]:
             left, right = left[side == i[0]], right[side == j[0]]
@@ -178,7 +172,7 @@ def _compare(percent: int):
             kept = np.flatnonzero(held)
             at = np.full(len(doc), -1)
             at[kept] = np.arange(len(kept))
-            n = np.array([len(delta[k]) // 8 for k in kept])
+            n = np.array([len(delta[k]) for k in kept])
             apart = n[at[a]][:, None] + n[at[b]] - 2 * _overlaps([delta[k] for k in kept], at[a], at[b])
             link = _linked(size[a][:, None], size[b], apart, percent) & (part[a][:, None] != part[b])
             x, y = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
@@ -263,9 +257,8 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     scratch.drop("prefix")
     coordinates = classes.select("rep", "coordinates")
     first = (
-        around.filter("u <> v")
+        spread_join(around.filter("u <> v"), coordinates.select(F.col("rep").alias("v"), F.col("coordinates").alias("y")), ["v"])
         .join(coordinates.select(F.col("rep").alias("u"), F.col("coordinates").alias("x")), "u")
-        .join(coordinates.select(F.col("rep").alias("v"), F.col("coordinates").alias("y")), "v")
         .filter(F.size(F.array_intersect("x", "y")) >= shared_least)
         .select("u", "v")
     )
@@ -274,32 +267,35 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     several = around.groupBy("v").agg(F.count("*").alias("n")).filter("n > 2").select("v")
     wanted = first.select(F.col("u").alias("doc_id")).union(first.select("v")).union(around.join(several, "v", "left_semi").select("u")).distinct()
     wanted = scratch.write(wanted, "wanted")
-    sets = scratch.write(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles binary, sketch binary"), "sets", "lz4")
-    near = scratch.write(_pairs(first, sets).mapInArrow(_against(percent), "u long, v long, linked boolean, size long, delta binary").dropDuplicates(["u", "v", "linked", "delta"]), "near", "lz4")
+    sets = scratch.write(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles array<long>, sketch binary"), "sets", "lz4")
+    near = scratch.write(_against(first, sets, percent).dropDuplicates(["u", "v", "linked", "delta"]), "near", "lz4")
     parts = scratch.write(connected_components(near.filter("linked").select("u", "v"), scratch, "part"), "parts")
 
     placed = around.join(parts.select(F.col("node").alias("u"), "component"), "u", "left").select("u", "v", F.coalesce("component", "u").alias("component"))
+    placed = scratch.write(placed, "placed")
     mixed = placed.groupBy("v").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most and n > 2")
+    weight = near.groupBy("v").agg(F.sum(8 * F.size("delta").cast("long")).alias("bytes"))
+    mixed = mixed.join(weight, "v", "left").select("v", F.ceil(F.greatest(F.col("n") / HUB_BLOCK, F.coalesce("bytes", F.lit(0)) / HUB_BYTES)).cast("int").alias("n_blocks"))
     dealt = (
-        placed.join(mixed.select("v", F.ceil(F.col("n") / HUB_BLOCK).cast("int").alias("n_blocks")), "v")
+        spread_join(placed, mixed, ["v"])
         .join(near.select("u", "v", "size", "delta"), ["u", "v"], "left")
-        .join(sets.select(F.col("doc_id").alias("u"), "sketch", (F.octet_length("shingles") / 8).cast("long").alias("own_size")), "u")
+        .join(sets.select(F.col("doc_id").alias("u"), "sketch", F.size("shingles").cast("long").alias("own_size")), "u")
         .withColumn("side", F.pmod(F.xxhash64("u"), F.col("n_blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select(
             F.col("v").alias("hub"), F.col("u").alias("doc_id"), "component", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "sketch",
-            F.coalesce("size", "own_size").alias("size"), F.when(F.col("u") == F.col("v"), F.coalesce("delta", F.lit(b""))).otherwise(F.col("delta")).alias("delta"),
+            F.coalesce("size", "own_size").alias("size"), F.when(F.col("u") == F.col("v"), F.coalesce("delta", F.array().cast("array<long>"))).otherwise(F.col("delta")).alias("delta"),
         )
     )
     dealt = dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     second = scratch.write(dealt.mapInArrow(_compare(percent), "u long, v long, sure boolean").distinct(), "second")
     guessed = second.filter("not sure").select("u", "v").join(first, ["u", "v"], "left_anti")
-    found = _pairs(guessed, sets).mapInArrow(_against(percent), "u long, v long, linked boolean, size long, delta binary").filter("linked").select("u", "v")
+    found = _against(scratch.write(guessed, "guessed"), sets, percent).filter("linked").select("u", "v")
     found = found.union(second.filter("sure").select("u", "v"))
     found = found.join(parts.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(parts.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     twice = own.select("doc_id", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).groupBy("doc_id").agg(F.collect_set("rep").alias("reps"), F.min("rep").alias("u")).filter(F.size("reps") > 1).select("u", F.explode("reps").alias("v"))
     links = scratch.write(found.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).union(parts.select("node", "component")).union(twice), "links")
-    for name in ("sets", "near", "around"):
+    for name in ("sets", "near", "around", "placed", "first", "wanted", "parts", "second", "guessed"):
         scratch.drop(name)
     final = connected_components(links, scratch, "final")
     reps = classes.select("set_a", "set_b", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
@@ -307,6 +303,3 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-
-def _pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,15 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: A key is heavy if it holds more than one in HEAVY of all rows, so there are fewer than HEAVY such keys, and is dealt
+#: over SALTS tasks.
+HEAVY, SALTS = 256, 32
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none (local tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sheetloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder of spark.checkpoint.dir, or that of SparkContext.setCheckpointDir; where neither is set, one in the
+    warehouse, which driver and executors share too. No setting is changed."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_sheetloom").rstrip("/")
 
 
 class Scratch:
@@ -41,6 +42,23 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows.join(table, keys, how) for a table of few rows a key, where one key may hold most of the rows: the rows of a
+    heavy key are dealt over SALTS tasks, and the table's rows of it go to each of these. `rows` is counted by key first,
+    so it should be a written table."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n__"))
+    total = F.lit(rows.count() // HEAVY)
+    heavy = counts.filter(F.col("n__") > total).select(*keys).limit(HEAVY).collect()  # fewer than HEAVY by their definition
+    if not heavy:
+        return rows.join(table, keys, how)
+    marked = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema).withColumn("heavy__", F.lit(True)))
+    salt = F.when(F.col("heavy__"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    every = F.explode(F.when(F.col("heavy__"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(marked, keys, "left").withColumn("salt__", salt).drop("heavy__")
+    right = table.join(marked, keys, "left").withColumn("salt__", every).drop("heavy__")
+    return left.join(right, [*keys, "salt__"], how).drop("salt__")
+
+
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
