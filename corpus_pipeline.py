@@ -15,6 +15,8 @@ from sheetloom.llm.toxicity import score_toxicity
 
 #: A document goes if its probability of the toxic label is this or more.
 TOXIC = 0.5
+#: Hundredths of shingles in common from which documents are near copies.
+SIMILAR = 80
 #: Target shares of tokens; low is what the labels call quality 0.
 TARGETS = {"good": 0.98, "low": 0.02}
 
@@ -26,9 +28,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; rows with a null id stay. A merge join, at every size."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """The document of the smallest id of each group of documents of a similarity of SIMILAR hundredths. Of rows alike in
+    id and text one stays; texts that share an id are one document and stay or go together. Rows with a null id stay, as
+    do those without words."""
+    gone = near_duplicates(docs, percent=SIMILAR).filter("not kept").select("doc_id").distinct()
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    # either list may be large; a merge join treats them alike at every size
+    once = docs.join(gone.union(twice).distinct().hint("merge"), "doc_id", "left_anti")
+    again = docs.join(twice, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
