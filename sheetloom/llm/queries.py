@@ -222,9 +222,18 @@ WITH every AS (
 ), lines AS (
   SELECT doc_id, idx, trim(line, ' ' || chr(9) || chr(13)) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS pos
   FROM every WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''
-), runs AS (SELECT a.doc_id, a.pos, a.line || chr(10) || b.line AS r FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1),
-later AS (SELECT doc_id, pos FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY doc_id, pos) > 1),
-gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, pos FROM later UNION ALL SELECT doc_id, pos + 1 FROM later)),
+), sized AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM lines),
+runs AS (
+  SELECT a.doc_id, a.pos, (SELECT string_agg(b.line, chr(10) ORDER BY b.pos) FROM sized b WHERE b.doc_id = a.doc_id AND b.pos >= a.pos AND b.upto - length(b.line) < a.upto - length(a.line) + 40) AS r
+  FROM sized a JOIN (SELECT doc_id, max(upto) AS total FROM sized GROUP BY doc_id) t ON t.doc_id = a.doc_id WHERE total - a.upto + length(a.line) >= 40
+), later AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER w AS doc2, first_value(pos) OVER w AS pos2 FROM runs WINDOW w AS (PARTITION BY r ORDER BY doc_id, pos) QUALIFY row_number() OVER w > 1
+), lists AS (SELECT doc_id, list(line ORDER BY pos) AS l FROM lines GROUP BY doc_id),
+same AS (
+  SELECT a.doc_id, a.pos, list_transform(range(least(len(x.l) - a.pos, len(y.l) - a.pos2) + 1), lambda i: x.l[a.pos + i] = y.l[a.pos2 + i]) AS s
+  FROM later a JOIN lists x ON x.doc_id = a.doc_id JOIN lists y ON y.doc_id = a.doc2
+), spans AS (SELECT doc_id, pos, coalesce(list_position(s, false) - 1, len(s)) AS n FROM same),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM spans),
 marked AS (SELECT l.doc_id, l.idx, l.pos, g.pos IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos),
 count_runs AS (
   SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_runs

@@ -38,17 +38,31 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = self._path(f"{self.root}/{name}")
+        self._system(path).delete(path, True)
 
+    def keep_only(self, *names: str) -> None:
+        """Removes all tables but those that the result still reads."""
+        root = self._path(self.root)
+        for status in self._system(root).listStatus(root):
+            if status.getPath().getName() not in names:
+                self.drop(status.getPath().getName())
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _system(self, path):
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows.join(table, keys, how) for a table of few rows a key, where one key may hold most of the rows: the rows of a
-    heavy key are dealt over SALTS tasks, and the table's rows of it go to each of these. `rows` is counted by key first,
-    so it should be a written table."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n__"))
-    total = F.lit(rows.count() // HEAVY)
-    heavy = counts.filter(F.col("n__") > total).select(*keys).limit(HEAVY).collect()  # fewer than HEAVY by their definition
+    heavy key are dealt over SALTS tasks, and the table's rows of it go to each of these. counts: keys and n, of the keys
+    that more than one row holds; else `rows`, which should be a written table, is counted first."""
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = counts.filter(F.col("n") > total // HEAVY).select(*keys).collect()  # fewer than HEAVY by their definition
     if not heavy:
         return rows.join(table, keys, how)
     marked = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema).withColumn("heavy__", F.lit(True)))

@@ -374,26 +374,35 @@ def test_token_files(spark, docs, none, tmp_path):
 # 10
 
 
-def plain_lines(data, run):
+def plain_common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def plain_lines(data, least):
     order = sorted({(i if i is not None else -(1 << 63), t) for i, t in data if t is not None}, key=lambda x: x[0])
-    seen, gone = set(), collections.defaultdict(set)
+    first, gone = {}, collections.defaultdict(set)
     for key in order:
         own = [x.strip(" \t\r") for x in key[1].split("\n")]
         own = [x for x in own if x]
-        for i in range(len(own) - run + 1):
-            w = tuple(own[i : i + run])
-            if w in seen:
-                gone[key] |= set(range(i, i + run))
-            seen.add(w)
+        for i in range(len(own)):
+            ends = [j for j in range(i + 1, len(own) + 1) if sum(map(len, own[i:j])) >= least]
+            if ends:
+                other, at = first.setdefault(tuple(own[i : ends[0]]), (own, i))
+                if (other, at) != (own, i) or other is not own:
+                    gone[key] |= set(range(i, i + plain_common(own[i:], other[at:])))
     return gone
 
 
-@pytest.mark.parametrize("run", [1, 2, 3])
-def test_lines(spark, docs, none, run):
+@pytest.mark.parametrize("least", [1, 5, 40])
+def test_lines(spark, docs, none, least):
     data = [(r[0], r[1]) for r in odd.rows() if r[0] not in (18,)] + [(40 + i, "\n".join(f"l{(i * k) % 5}" for k in range(9))) for i in range(12)]
+    data += [(60, "\n".join(odd.words(6, 80 + k) for k in range(30))), (61, "x\n" + "\n".join(odd.words(6, 80 + k) for k in range(3, 28)) + "\nend"), (62, "\n".join(["again"] * 40))]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumns({"pos": F.lit(1), "rank": F.lit(1)})
-    gone = plain_lines(data, run)
-    got = lines.remove_repeated_lines(df, run).collect()
+    gone = plain_lines(data, least)
+    got = lines.remove_repeated_lines(df, least).collect()
     want = []
     for i, t in data:
         drop = gone[i if i is not None else -(1 << 63), t] if t is not None else set()
@@ -407,7 +416,29 @@ def test_lines(spark, docs, none, run):
         want.append((str(i), len(t.split("\n")) if t is not None else 0, len(drop), "\n".join(kept) if t is not None else None))
     key = lambda x: (x[0], x[1], x[2], x[3] or "")
     assert sorted(((str(g["doc_id"]), g["n_lines"], g["n_removed"], g["kept"]) for g in got), key=key) == sorted(want, key=key)
-    assert lines.remove_repeated_lines(none, run).count() == 0
+    assert lines.remove_repeated_lines(none, least).count() == 0
+
+
+def test_suffix_array_of_lines(spark):
+    r = np.random.default_rng(10)
+    texts = {i: [f"v{k}" for k in r.integers(0, 3, 25)] for i in range(5)} | {9: ["v0", "v1"] * 20}
+    df = spark.createDataFrame([(i, "\n".join(t), 0) for i, t in texts.items()], "doc_id long, text string, row long")
+    scratch = Scratch(spark, "t")
+    rounds = lines.line_ranks(scratch.write(lines.line_table(df, 1), "l"), scratch)
+    suffixes = [(d, p) for d, t in texts.items() for p in range(len(t))]
+    for j, ranks in enumerate(rounds):
+        got = {(x["doc"], x["pos"]): x["rank"] for x in ranks.collect()}
+        run = lambda s, n=1 << j: tuple(texts[s[0]][s[1] : s[1] + n])
+        count = collections.Counter(run(s) for s in suffixes if len(run(s)) == 1 << j)
+        assert set(got) == {s for s in suffixes if count[run(s)] > 1}
+        assert len(set(got.values())) == len({run(s) for s in got}) == len({(got[s], run(s)) for s in got})
+        if j:  # order by the first half, then by the second
+            assert all((got[a] < got[b]) == (half[a] < half[b] or (half[a] == half[b] and half[a[0], a[1] + (1 << j - 1)] < half[b[0], b[1] + (1 << j - 1)])) for a in list(got)[:30] for b in got if got[a] != got[b])
+        half = got
+    assert 1 << len(rounds) > max(plain_common(texts[a][i:], texts[b][k:]) for a, i in suffixes for b, k in suffixes if (a, i) != (b, k))
+    pairs = [(*suffixes[a], 0, *suffixes[b], 0) for a, b in r.integers(0, len(suffixes), (200, 2)).tolist()]
+    found = lines.common_lines(spark.createDataFrame(pairs, "doc long, pos int, row long, doc2 long, pos2 int, row2 long"), rounds, scratch)
+    assert all(x["common"] == plain_common(texts[x["doc"]][x["pos"] :], texts[x["doc2"]][x["pos2"] :]) or (x["doc"], x["pos"]) == (x["doc2"], x["pos2"]) for x in found.collect())
 
 
 # the pipeline
