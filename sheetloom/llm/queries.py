@@ -129,23 +129,48 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(least(vec_id,
 FROM vec LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) c ON c.u = vec_id LEFT JOIN (SELECT u, min(v) AS m FROM reach GROUP BY u) r ON r.u = vec_id
 """
 
-def _op3_sql() -> str:
+def _op3_sql(depth: int = 4) -> str:
+    """The template tree written out level by level, as deep as the paths of the given tables."""
+    shape = "CASE WHEN {0} = '' THEN '' WHEN regexp_full_match(regexp_replace({0}, '[.][A-Za-z][A-Za-z0-9]{{0,4}}$', ''), '[0-9]+') THEN '{{n}}' WHEN regexp_full_match(regexp_replace({0}, '[.][A-Za-z][A-Za-z0-9]{{0,4}}$', ''), '[A-Za-z]+') THEN '{{w}}' ELSE '{{x}}' END || regexp_extract({0}, '[.][A-Za-z][A-Za-z0-9]{{0,4}}$')"
     level = """
-, seg{d} AS (SELECT *, segments[{d}] AS segment FROM tree{p}),
-val{d} AS (SELECT host, template, segment, sum(n) AS n FROM seg{d} WHERE segment IS NOT NULL GROUP BY ALL),
-lit{d} AS (
-  SELECT host, template, segment, true AS literal FROM val{d} JOIN (SELECT host, template, sum(n) AS total FROM val{d} GROUP BY ALL) USING (host, template)
+, val{d} AS (SELECT host, template, segments[{d}] AS segment, sum(n) AS n FROM tree{p} GROUP BY ALL),
+tot{d} AS (SELECT host, template, sum(n) AS total FROM val{d} GROUP BY ALL),
+lit{d} AS (SELECT host, template, segment, true AS literal FROM val{d} JOIN tot{d} USING (host, template) WHERE n >= 4 AND CAST(n AS DOUBLE) >= CAST(total AS DOUBLE) * 0.02),
+named{d} AS (
+  SELECT t.host, t.path, t.n, t.labelled, t.blocked, t.segments, t.template, '/' || CASE WHEN literal THEN t.segments[{d}] ELSE {segment} END AS branch,
+    array_to_string(list_transform(t.segments[{d} + 1:], lambda x: '/' || {x}), '') AS rest, array_to_string(list_transform(t.segments[{d} + 1:], lambda x: '/' || x), '') AS tail
+  FROM tree{p} t LEFT JOIN lit{d} l ON l.host = t.host AND l.template = t.template AND l.segment = t.segments[{d}]
+), sh{d} AS (SELECT host, template, branch, rest, CAST(sum(n) AS HUGEINT) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked, count(*) AS paths FROM named{d} GROUP BY ALL),
+br{d} AS (
+  SELECT *, row_number() OVER (PARTITION BY host, template ORDER BY n DESC, branch) AS k FROM (SELECT host, template, branch, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM sh{d} GROUP BY ALL) JOIN tot{d} USING (host, template)
   WHERE n >= 4 AND CAST(n AS DOUBLE) >= CAST(total AS DOUBLE) * 0.02
-), tree{d} AS (
-  SELECT host, path, n, labelled, blocked, segments, template || CASE WHEN segment IS NULL THEN '' ELSE '/' || CASE WHEN literal THEN segment ELSE
-      CASE WHEN segment = '' THEN '' WHEN regexp_full_match(stem, '[0-9]+') THEN '{{n}}' WHEN regexp_full_match(stem, '[A-Za-z]+') THEN '{{w}}' ELSE '{{x}}' END || substr(segment, length(stem) + 1) END END
-    || CASE WHEN {d} = 3 AND len(segments) > 3 THEN '/**' ELSE '' END AS template, {branch} AS branch0
-  FROM (SELECT s.*, literal, regexp_replace(s.segment, '[.][A-Za-z][A-Za-z0-9]{{0,4}}$', '') AS stem
-    FROM seg{d} s LEFT JOIN lit{d} l ON s.host = l.host AND s.template = l.template AND s.segment = l.segment)
-)"""
-    levels = "".join(level.format(d=d, p=d - 1, branch="''" if d == 1 else "CASE WHEN branch0 = '' THEN template ELSE branch0 END") for d in (1, 2, 3))
+), alike{d} AS (
+  SELECT host, template, k, list(k2) AS alike FROM (
+    SELECT a.host, a.template, a.k, b.k AS k2, a.n AS na, b.n AS nb, sum(least(x.n * b.n, y.n * a.n)) AS common FROM br{d} a JOIN br{d} b ON a.host = b.host AND a.template = b.template AND b.k < a.k
+    JOIN sh{d} x ON x.host = a.host AND x.template = a.template AND x.branch = a.branch JOIN sh{d} y ON y.host = b.host AND y.template = b.template AND y.branch = b.branch AND y.rest = x.rest
+    WHERE a.labelled = 0 OR b.labelled = 0 OR abs(a.blocked / a.labelled - b.blocked / b.labelled) <= 0.2 GROUP BY ALL)
+  WHERE 1 - CAST(common AS DOUBLE) / (CAST(na AS DOUBLE) * CAST(nb AS DOUBLE)) <= 0.1 + 1 / sqrt(CAST(na AS DOUBLE)) GROUP BY ALL
+), root{d}(host, template, k, roots) AS (
+  SELECT DISTINCT host, template, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM br{d}
+  UNION ALL SELECT r.host, r.template, b.k, CASE WHEN list_has_any(coalesce(a.alike, []), r.roots) THEN r.roots ELSE list_append(r.roots, b.k) END
+  FROM root{d} r JOIN br{d} b ON b.host = r.host AND b.template = r.template AND b.k = r.k + 1 LEFT JOIN alike{d} a ON a.host = b.host AND a.template = b.template AND a.k = b.k
+), map{d} AS (
+  SELECT b.host, b.template, b.branch, c.branch AS root FROM br{d} b JOIN alike{d} a ON a.host = b.host AND a.template = b.template AND a.k = b.k
+  JOIN (SELECT host, template, arg_max(roots, k) AS roots FROM root{d} GROUP BY ALL) r ON r.host = b.host AND r.template = b.template
+  JOIN br{d} c ON c.host = b.host AND c.template = b.template AND c.k = list_min(list_intersect(a.alike, r.roots))
+), sized{d} AS (
+  SELECT host, template, branch, root, sum(n) OVER w AS node_n, sum(paths) OVER w AS node_paths FROM (
+    SELECT s.host, s.template, s.branch, coalesce(m.root, s.branch) AS root, sum(n) AS n, sum(paths) AS paths FROM sh{d} s LEFT JOIN map{d} m ON m.host = s.host AND m.template = s.template AND m.branch = s.branch GROUP BY ALL)
+  WINDOW w AS (PARTITION BY host, template, root)
+), grown{d} AS (
+  SELECT n.host, n.path, n.n, n.labelled, n.blocked, n.segments, n.template || z.root AS template,
+    CASE WHEN len(segments) <= {d} THEN '' WHEN node_n < 4 THEN rest WHEN node_paths = 1 THEN tail END AS below
+  FROM named{d} n JOIN sized{d} z ON z.host = n.host AND z.template = n.template AND z.branch = n.branch
+), tree{d} AS (SELECT host, path, n, labelled, blocked, segments, template FROM grown{d} WHERE below IS NULL)"""
+    levels = "".join(level.format(d=d, p=d - 1, segment=shape.format(f"t.segments[{d}]"), x=shape.format("x")) for d in range(1, depth + 1))
+    ends = " UNION ALL ".join(f"SELECT host, path, n, labelled, blocked, template || below AS template FROM grown{d} WHERE below IS NOT NULL" for d in range(1, depth + 1))
     return """
-WITH url AS (
+WITH RECURSIVE url AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
 ), rules(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
@@ -153,28 +178,17 @@ judged AS (
   SELECT u.*, (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
     (SELECT max_by(verdict, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS own FROM url u
 ), tree0 AS (
-  SELECT host, path, count(*) AS n, count(own) AS labelled, count(*) FILTER (own = 'block') AS blocked, '' AS template, '' AS branch0,
+  SELECT host, path, count(*) AS n, count(own) AS labelled, count(*) FILTER (own = 'block') AS blocked, '' AS template,
     string_split(regexp_replace(path, '^/', ''), '/') AS segments FROM judged GROUP BY host, path
-)""" + levels + """
-, leaf AS (SELECT host, path, n, labelled, blocked, branch0 AS branch, substr(template, length(branch0) + 1) AS shape FROM tree3),
-shapes AS (SELECT host, branch, shape, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM leaf GROUP BY ALL),
-branches AS (SELECT host, branch, sum(n) AS n, sum(labelled) AS labelled, sum(blocked) AS blocked FROM shapes GROUP BY ALL),
-heads AS (SELECT * FROM branches QUALIFY row_number() OVER (PARTITION BY host ORDER BY n DESC, branch) = 1),
-pairs AS (
-  SELECT b.host, b.branch, b.n AS own_n, h.branch AS head, h.n AS head_n FROM branches b JOIN heads h ON b.host = h.host AND b.branch <> h.branch
-  WHERE CASE WHEN b.labelled > 0 AND h.labelled > 0 THEN abs(b.blocked / b.labelled - h.blocked / h.labelled) <= 0.2 ELSE (b.labelled > 0) = (h.labelled > 0) END
-), alike AS (
-  SELECT p.host, p.branch, p.head FROM pairs p JOIN shapes s ON s.host = p.host AND s.branch = p.branch JOIN shapes t ON t.host = p.host AND t.branch = p.head AND t.shape = s.shape
-  GROUP BY p.host, p.branch, p.head, own_n, head_n
-  HAVING 1 - CAST(sum(least(s.n * head_n, t.n * own_n)) AS DOUBLE) / (CAST(own_n AS DOUBLE) * CAST(head_n AS DOUBLE)) <= 0.1 + 1 / sqrt(CAST(own_n AS DOUBLE))
-), merged AS (SELECT s.*, coalesce(head, s.branch) AS merged FROM shapes s LEFT JOIN alike a ON s.host = a.host AND s.branch = a.branch),
-rate AS (SELECT coalesce(CAST(sum(blocked) AS DOUBLE) / nullif(CAST(sum(labelled) AS DOUBLE), 0), 0) AS rate FROM merged),
+)""" + levels + f"""
+, leaf AS ({ends} UNION ALL SELECT host, path, n, labelled, blocked, template || '**' FROM tree{depth}),
+hosts AS (SELECT host, CAST(sum(labelled) AS DOUBLE) AS hl, CAST(sum(blocked) AS DOUBLE) AS hb FROM leaf GROUP BY host),
+overall AS (SELECT coalesce(CAST(sum(blocked) AS DOUBLE) / nullif(CAST(sum(labelled) AS DOUBLE), 0), 0) AS rate FROM leaf),
 bad AS (
-  SELECT m.host, m.branch, m.shape FROM merged m JOIN (
-    SELECT host, merged, shape FROM merged, rate GROUP BY host, merged, shape, rate
-    HAVING sum(labelled) > 0 AND (CAST(sum(blocked) AS DOUBLE) + CAST(4 AS DOUBLE) * rate) / (CAST(sum(labelled) AS DOUBLE) + CAST(4 AS DOUBLE)) >= 0.9) r
-  ON m.host = r.host AND m.merged = r.merged AND m.shape = r.shape
-), bad_paths AS (SELECT l.host, l.path FROM leaf l SEMI JOIN bad b ON l.host = b.host AND l.branch = b.branch AND l.shape = b.shape)
+  SELECT t.host, t.template FROM (SELECT host, template, sum(n) AS n, sum(labelled) AS l, sum(blocked) AS b FROM leaf GROUP BY ALL) t JOIN hosts h ON h.host = t.host, overall
+  WHERE l > 0 AND CAST(l AS DOUBLE) >= CAST(0.2 AS DOUBLE) * CAST(n AS DOUBLE)
+    AND (CAST(b AS DOUBLE) + CAST(4 AS DOUBLE) * ((hb + CAST(4 AS DOUBLE) * rate) / (hl + CAST(4 AS DOUBLE)))) / (CAST(l AS DOUBLE) + CAST(4 AS DOUBLE)) >= CAST(0.8 AS DOUBLE)
+), bad_paths AS (SELECT l.host, l.path FROM leaf l SEMI JOIN bad b ON l.host = b.host AND l.template = b.template)
 SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN b.path IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN bad_paths b ON j.host = b.host AND j.path = b.path
 """

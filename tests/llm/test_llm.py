@@ -170,11 +170,100 @@ def test_urls(spark, data):
     assert shown["x://h?q"][:2] == ("h", "") and shown["x://h#f://com/en/1"][:2] == ("h", "")
     assert shown["http://b.t.org"][2] is None and shown["http://b.t.org/q#z"][2:] == ("t.org/", "block")
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
-    # a template whose labelled pages are all bad is rejected for pages without a rule too
-    many = spark.createDataFrame([(i, f"http://s.net/{'en' if i % 2 else 'x' + str(i)}/p{i}") for i in range(400)], "page_id long, url string")
-    bad = urls.judge_urls(many, [("block", "s.net", f"/x{i}") for i in range(10, 99)])
-    assert bad.filter("rule is null and path like '/x%' and verdict = 'block'").count() == 5
-    assert bad.filter("path like '/en/%' and verdict = 'block'").count() == 0
+
+
+def plain_wildcard(x):
+    stem, end = re.fullmatch(r"(.*?)(\.[A-Za-z][A-Za-z0-9]{0,4})?", x, re.S).groups()
+    return ("" if x == "" else "{n}" if re.fullmatch("[0-9]+", stem) else "{w}" if re.fullmatch("[A-Za-z]+", stem) else "{x}") + (end or "")
+
+
+def plain_templates(rows, at, template, out):
+    """rows: (segments, key, pages, labelled, blocked) of one node; fills out with key: template."""
+    total, values = sum(r[2] for r in rows), collections.Counter()
+    for r in rows:
+        values[r[0][at]] += r[2]
+    branches = collections.defaultdict(list)
+    for r in rows:
+        x = r[0][at]
+        branches["/" + (x if values[x] >= 4 and values[x] >= total * urls.LEAST_SHARE else plain_wildcard(x))].append(r)
+    rest = lambda r: "".join("/" + plain_wildcard(x) for x in r[0][at + 1 :])
+    seen = {}
+    for b, own in branches.items():
+        shapes = collections.Counter()
+        for r in own:
+            shapes[rest(r)] += r[2]
+        seen[b] = [sum(r[k] for r in own) for k in (2, 3, 4)] + [shapes]
+
+    def alike(b, c):
+        (n, lab, bad, x), (m, lab2, bad2, y) = seen[b], seen[c]
+        if lab and lab2 and abs(bad / lab - bad2 / lab2) > urls.PURITY_APART:
+            return False
+        return 1 - sum(min(v * m, y[k] * n) for k, v in x.items()) / (n * m) <= urls.APART + 1 / n**0.5
+
+    roots, joined = [], {}
+    for b in sorted((b for b in seen if seen[b][0] >= 4 and seen[b][0] >= total * urls.LEAST_SHARE), key=lambda b: (-seen[b][0], b)):
+        joined[b] = next((r for r in roots if alike(b, r)), b)
+        roots += [b] * (joined[b] == b)
+    nodes = collections.defaultdict(list)
+    for b, own in branches.items():
+        nodes[joined.get(b, b)] += own
+    for root, own in nodes.items():
+        more = []
+        for r in own:
+            if len(r[0]) <= at + 1:
+                out[r[1]] = template + root
+            elif sum(x[2] for x in own) < 4:
+                out[r[1]] = template + root + rest(r)
+            elif len(own) == 1:
+                out[r[1]] = template + root + "".join("/" + x for x in r[0][at + 1 :])
+            else:
+                more.append(r)
+        if more:
+            plain_templates(more, at + 1, template + root, out)
+
+
+def test_template_tree_of_deep_paths(spark):
+    import random
+
+    r = random.Random(33)
+    kinds = [lambda: r.choice(["a", "b", "c"]), lambda: str(r.randrange(50)), lambda: f"x{r.randrange(9)}.html", lambda: r.choice(["shop", "news", ""])]
+    data = []
+    for i in range(900):
+        depth = r.choice([1, 3, 6, 9])
+        path = "/" + "/".join(kinds[(i + k // 2) % 4]() for k in range(depth))
+        data.append((i, f"http://h{r.choice([0, 0, 0, 1, 2])}.net{path}"))
+    data += [(2000 + i, "http://h1.net/" + "deep/" * 300) for i in range(6)]
+    rules = [("block", "h0.net", "/a"), ("allow", "h0.net", "/b"), ("block", "h1.net", "/shop"), ("block", "h2.net", "/1")]
+    pages = spark.createDataFrame(data, "page_id long, url string")
+    got = {x["page_id"]: x for x in urls.judge_urls(pages, rules).collect()}
+    seen = collections.defaultdict(lambda: [0, 0, 0])
+    for x in got.values():
+        for k, v in enumerate((1, x["rule"] is not None, x["rule"] is not None and x["verdict"] == "block")):
+            seen[x["host"], x["path"]][k] += v
+    want = {}
+    for host in {h for h, _ in seen}:
+        plain_templates([(re.sub("^/", "", p).split("/"), (h, p), *v) for (h, p), v in seen.items() if h == host], 0, "", want)
+    paths = spark.createDataFrame([(h, p, *v) for (h, p), v in seen.items()], "host string, path string, n long, labelled long, blocked long")
+    tree = {(x["host"], x["path"]): x["template"] for x in urls.template_tree(paths, Scratch(spark, "t")).collect()}
+    assert tree == want and max(t.count("/") for t in want.values()) > 4
+    rate = sum(v[2] for v in seen.values()) / sum(v[1] for v in seen.values())
+    for x in got.values():
+        if x["rule"] is None:
+            mine = [v for k, v in seen.items() if k[0] == x["host"] and want[k] == want[x["host"], x["path"]]]
+            n, lab, bad = (sum(v[k] for v in mine) for k in range(3))
+            hl, hb = (sum(v[k] for key, v in seen.items() if key[0] == x["host"]) for k in (1, 2))
+            purity = (bad + 4 * (hb + 4 * rate) / (hl + 4)) / (lab + 4)
+            assert x["verdict"] == ("block" if lab and lab >= 0.2 * n and purity >= 0.8 else "allow")
+
+
+def test_pages_without_a_rule_are_rejected_in_mostly_blocked_templates(spark, data):
+    got = queries.op3_urls(spark, data.replace("sf0.001", "sf0.1")).filter("rule is null and verdict = 'block'")
+    assert got.count() > 100
+    few = [(i, f"http://s.net/{'en' if i % 3 else 'de'}/{i}") for i in range(300)]
+    bad = urls.judge_urls(spark.createDataFrame(few, "page_id long, url string"), [("block", "s.net", "/en")])
+    assert bad.filter("path like '/de%' and verdict = 'block'").count() == 100
+    good = urls.judge_urls(spark.createDataFrame(few, "page_id long, url string"), [("allow", "s.net", "/en")])
+    assert good.filter("verdict = 'block'").count() == 0
 
 
 # 4
