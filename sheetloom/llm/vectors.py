@@ -34,14 +34,17 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98, cell: int =
     the plane half way between the two pivots is within r. Cells join independently, `block` vectors by `block` at a
     time. Links are counted where the first vector belongs; of each block only the connections are passed on.
 
-    Returns one row for each distinct row: vec_id, n_links, component_id (smallest vec_id reached), kept (vec_id =
+    Returns one row for each row: vec_id, n_links, component_id (smallest vec_id reached), kept (vec_id =
     component_id). Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label
-    or id, link with nothing. Vectors of different lengths are not compared. Rows that share an id but differ are
-    vectors of their own, in one component. A null id is kept, with a null component. Other columns are ignored.
+    or id, link with nothing. Vectors of different lengths are not compared. Rows alike in id, label and vector are one
+    vector, which comes out as often; rows that share an id but differ are vectors of their own, in one component. A
+    null id is kept, with a null component. Of equally near pivots the first counts. Ids are taken as long. An empty
+    table gives no rows. Other columns are ignored.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "vectors")
-    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding")).distinct()
+    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    vectors = vectors.groupBy("vec_id", "label", "embedding").agg(F.count("*").alias("copies"))
     big = F.lit(float("inf"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (x < big) & (x > -big)) & F.exists("embedding", lambda x: x != 0)
     vectors = scratch.write(vectors.withColumn("row", F.xxhash64("vec_id", "label", "embedding")), "vectors")
@@ -95,7 +98,7 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98, cell: int =
             a, b = np.flatnonzero(side), np.flatnonzero(~side)
             if not len(a) or not len(b):
                 continue
-            raw, ids, rows = _matrix(t.column("vector")), t.column("vec_id").to_numpy(), t.column("row").to_numpy()
+            raw, ids, rows = _scaled(_matrix(t.column("vector"))), t.column("vec_id").to_numpy(), t.column("row").to_numpy()
             x, y = _unit(raw[a]), _unit(raw[b])
             cosine = x @ y.T
             linked = cosine >= least_cosine
@@ -123,10 +126,15 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98, cell: int =
     scratch.drop("assigned")
     counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
     parts = connected_components(found.select(F.col("node").alias("u"), F.col("least").alias("v")), scratch)
-    out = vectors.select("vec_id", "row").join(counts, "row", "left").join(parts.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
+    out = vectors.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("vec_id", "row").join(counts, "row", "left").join(parts.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no digit; else squares of very large or small numbers are lost."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small numbers are lost
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
