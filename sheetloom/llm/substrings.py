@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
+from .tables import Scratch, spread_join
 from .tokens import Block, blocks, mix
 
 LENGTH = 200
@@ -81,30 +81,32 @@ def _segments(block: Block, low: int, high: int, length: int) -> tuple[np.ndarra
     return text, start + low - block.bounds[text], last - start + 1, least[start] & ~_PLACE, np.frombuffer(b"".join(digests), np.uint64), place - start
 
 
-def repeated_windows(group: np.ndarray, first: np.ndarray, count: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
-    """For every window of every segment, one segment after the other, whether its bytes begin at the same column of
-    another segment of its group. group: ascending numbers; first: the column at which a segment begins."""
+def insert_columns(group: np.ndarray, first: np.ndarray, sizes: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The column-wise construction over a collection of texts that begin at column `first` each: from the last column to the
+    first, a round inserts the symbol that stands at the column in every text. Yields the column; the texts in order
+    of their suffixes from it on (within their groups; a suffix that ends stands before longer ones); the common prefix
+    of each with the one before it; and in the same order the symbols at the column before, which are this column's part of
+    the Burrows-Wheeler transform of the collection (0 where a text begins here). Each round reads these three runs once
+    from front to back and writes them anew."""
     flat = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = count + length - 1
     offset = np.cumsum(sizes) - sizes - first  # of the byte of column 0
-    mark_at = np.cumsum(count) - count - first
-    marked = np.zeros(int(count.sum()), bool)
     end = first + sizes
     joins = np.argsort(-end, kind="stable")
     joins_end = -end[joins]
-    order, common = np.zeros(0, np.int64), np.zeros(0, np.int32)
-    for column in range(int(end.max()) - 1, int(first.min()) - 1, -1):
+    order, common, symbols = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    for column in range(int(end.max(initial=0)) - 1, int(first.min(initial=0)) - 1, -1):
         new = joins[np.searchsorted(joins_end, -(column + 1), "left") : np.searchsorted(joins_end, -(column + 1), "right")]
         keep = np.flatnonzero(first[order] <= column)
-        if len(keep) < len(order):  # segments that are done go, and their neighbours share the least of what they shared
+        if len(keep) < len(order):  # texts that are done go, and their neighbours share the least of what they shared
             common = np.minimum.reduceat(common[: keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else common[:0]
-            order = order[keep]
-        if len(new):  # a segment's last symbol stands before all longer suffixes
+            order, symbols = order[keep], symbols[keep]
+        if len(new):  # a text's last symbol stands before all longer suffixes
             order = np.concatenate([new, order])
             common = np.concatenate([np.zeros(len(new), np.int32), common])
+            symbols = np.concatenate([flat[offset[new] + column], symbols])
         if not len(order):
             continue
-        key = group[order] << 8 | flat[offset[order] + column]
+        key = group[order] << 8 | symbols
         by = np.argsort(key, kind="stable")
         key = key[by]
         same = np.flatnonzero(key[1:] == key[:-1]) + 1
@@ -113,6 +115,16 @@ def repeated_windows(group: np.ndarray, first: np.ndarray, count: np.ndarray, te
             pairs = np.stack([by[same - 1] + 1, by[same] + 1], 1).ravel()
             now[same] = 1 + np.minimum.reduceat(np.append(common, 0), pairs)[::2]
         order, common = order[by], now
+        symbols = np.where(first[order] < column, flat[np.maximum(offset[order] + column - 1, 0)], 0).astype(np.uint8)
+        yield column, order, common, symbols
+
+
+def repeated_windows(group: np.ndarray, first: np.ndarray, count: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
+    """For every window of every segment, one segment after the other, whether its bytes begin at the same column of
+    another segment of its group. group: ascending numbers; first: the column at which a segment begins."""
+    mark_at = np.cumsum(count) - count - first
+    marked = np.zeros(int(count.sum()), bool)
+    for column, order, common, _ in insert_columns(group, first, count + length - 1, texts):
         long = np.flatnonzero(common >= length)
         if len(long):
             both = order[np.concatenate([long, long - 1])]
@@ -133,9 +145,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, group: int = GROU
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     runs = scratch.write(docs.mapInArrow(_runs(length), "doc_id long, row long, start long, n int, minimizer long, bytes long, distance int"), "runs")
-    shared = runs.groupBy("minimizer").agg(F.count("*").alias("n"), (F.min("bytes") < F.max("bytes")).alias("mixed")).filter("n > 1").select("minimizer", "mixed")
-    hits = scratch.write(runs.join(shared, "minimizer"), "hits")
+    shared = runs.groupBy("minimizer").agg(F.count("*").alias("n"), (F.min("bytes") < F.max("bytes")).alias("mixed")).filter("n > 1")
+    shared = scratch.write(shared, "shared")
+    hits = scratch.write(spread_join(runs, shared.select("minimizer", "mixed"), ["minimizer"], counts=shared.select("minimizer", "n")), "hits")
     scratch.drop("runs")
+    scratch.drop("shared")
     whole = hits.filter("not mixed")
     mixed = hits.filter("mixed")
     place = F.struct("doc_id", "row", "start", "n", "distance")
@@ -160,7 +174,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, group: int = GROU
     parts = dealt.mapInArrow(_build(length), "doc_id long, row long, first_byte long, end_byte long")
     if settled is not None:
         parts = parts.unionByName(settled)
-    copied = mixed.join(distinct.filter("copies > 1").select("minimizer", "bytes"), ["minimizer", "bytes"], "left_semi")
+    copies = distinct.filter("copies > 1").select("minimizer", "bytes", F.col("copies").alias("n"))
+    copied = spread_join(mixed, copies.drop("n"), ["minimizer", "bytes"], "left_semi", copies)
     full = whole.select("doc_id", "row", "start", "n").union(copied.select("doc_id", "row", "start", "n"))
     spans = full.select("doc_id", "row", F.col("start").alias("first_byte"), (F.col("start") + F.col("n") + (length - 1)).alias("end_byte")).union(parts)
     spans = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first_byte", "end_byte")).alias("spans"))

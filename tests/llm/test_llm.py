@@ -123,7 +123,7 @@ def test_near_vectors(spark):
     random = np.random.default_rng(5)
     base = random.normal(size=(30, 8))
     data = [(i, (base[i % 30] + random.normal(size=8) * (0.03 if i % 2 else 0.3)).tolist(), i % 3) for i in range(240)]
-    data += [(500, None, 1), (501, [0.0] * 8, 1), (502, [1.0, None] * 4, 1), (503, [float("nan")] * 8, 1), (504, data[3][1], None), (505, [], 1), (506, [float("inf")] * 8, 0), (507, base[0].tolist()[:4], 0), (None, data[1][1], 1), (3, data[3][1], 0), (3, data[6][1], 0), (508, (np.array(data[9][1]) * 1e200).tolist(), 0)]
+    data += [(500, None, 1), (501, [0.0] * 8, 1), (502, [1.0, None] * 4, 1), (503, [float("nan")] * 8, 1), (504, data[3][1], None), (505, [], 1), (506, [float("inf")] * 8, 0), (507, base[0].tolist()[:4], 0), (None, data[1][1], 1), (3, data[3][1], 0), (3, data[6][1], 0), (508, (np.array(data[9][1]) * 1e200).tolist(), 0), data[5], data[5], (None, data[1][1], 1)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumns({"row": F.lit(1), "pivot": F.lit(2)})
     distinct = list(dict.fromkeys((i, None if e is None else tuple(e), lab) for i, e, lab in data))
     good = [k for k, (i, e, lab) in enumerate(distinct) if i is not None and lab is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)]
@@ -145,7 +145,8 @@ def test_near_vectors(spark):
         for b in links[a]:
             x, y = sorted((find(distinct[a][0]), find(distinct[b][0])))
             root[y] = x
-    want = sorted((str(i), len(links[k]), str(find(i)) if i is not None else "None") for k, (i, *_) in enumerate(distinct))
+    times = collections.Counter((i, None if e is None else tuple(e), lab) for i, e, lab in data)
+    want = sorted((str(i), len(links[k]), str(find(i)) if i is not None else "None") for k, (i, e, lab) in enumerate(distinct) for _ in range(times[i, e, lab]))
     for cell, block in ((2000, 2048), (10, 16)):
         got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in vectors.near_vectors(df, cell=cell, block=block).collect())
         assert [g for g in got if g[0] != "None"] == [w for w in want if w[0] != "None"]
@@ -379,6 +380,23 @@ def test_remove_repeats(spark, docs, none, group):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_column_wise_construction():
+    r = np.random.default_rng(66)
+    texts = [bytes(r.integers(97, 100, n).astype(np.uint8)) for n in r.integers(1, 30, 40)]
+    first, group = r.integers(-6, 7, 40), np.sort(r.integers(0, 3, 40))
+    sizes = np.array([len(t) for t in texts])
+    columns = {c: rest for c, *rest in substrings.insert_columns(group, first, sizes, texts)}
+    for c in range(first.min(), (first + sizes).max()):
+        held = [k for k in range(40) if first[k] <= c < first[k] + sizes[k]]
+        if not held:
+            continue
+        order, common, symbols = columns[c]
+        suffix = [texts[k][c - first[k] :] for k in order]
+        assert sorted(order.tolist()) == held and [(group[k], s) for k, s in zip(order, suffix, strict=True)] == sorted((group[k], s) for k, s in zip(order, suffix, strict=True))
+        assert common[0] == 0 and all(common[i] == (plain_common(suffix[i - 1], suffix[i]) if group[order[i]] == group[order[i - 1]] else 0) for i in range(1, len(order)))
+        assert symbols.tolist() == [texts[k][c - first[k] - 1] if c > first[k] else 0 for k in order]
+
+
 def test_remove_repeats_in_random_text(spark):
     import random
 
