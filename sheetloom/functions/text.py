@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # fixed values: marks of attendance by their lower-case spelling
 MARKERS = {"p": "P", "a": "A", "h": "H", "l": "L", "wfh": "WFH", "present": "P", "absent": "A", "half": "HD", "leave": "L", "holiday": "H", "sunday": "S"}
 
-_SPACE = r"[\s\p{Z}\x{FEFF}]"
+#: Every kind of white space.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def col(c: Column | str) -> Column:
@@ -17,7 +18,7 @@ def col(c: Column | str) -> Column:
 
 def trim_all(c: Column | str) -> Column:
     """Without any kind of white space at either end; trim() takes spaces only."""
-    return F.regexp_replace(col(c), rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def round_half_up(c: Column | str) -> Column:
@@ -77,8 +78,7 @@ def clean_name(c: Column | str) -> Column:
 
 def clean_cell(c: Column | str, kind: Column | str) -> Column:
     """Blank text becomes empty. Else bars, brackets and points go from both ends and the kind of column decides."""
-    text = F.regexp_replace(F.regexp_replace(trim_all(c), r"^[\[|\].]+", ""), r"[\[|\].]+$", "")
-    text = trim_all(text)
+    text = trim_all(F.btrim(trim_all(c), F.lit("[|].")))
     kind = col(kind)
     cleaned = (
         F.when(kind == "numeric", clean_numeric(text))

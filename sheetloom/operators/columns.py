@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_all
+from .rows import any_found
 
 SAMPLES = 10
 # fixed values: words of a designation, as substrings
@@ -45,28 +46,32 @@ def _labels(headers: DataFrame, widths: DataFrame) -> DataFrame:
 
 def infer_schema(classified: DataFrame) -> DataFrame:
     """Kind, label, confidence and samples of every column of each document of classified rows: the label decides, else the
-    first SAMPLES cells that are not blank do."""
-    used = classified.filter(F.col("region").isin("header", "data"))
-    widths = classified.groupBy("doc_id").agg(F.greatest(F.coalesce(F.max(F.when(F.col("region").isin("header", "data"), F.size("columns"))), F.lit(0)), F.lit(1)).alias("width"))
-    labels = _labels(used.filter(F.col("region") == "header"), widths)
-    cells = _cells(used.filter(F.col("region") == "data")).filter(trim_all("cell") != "")
-    cells = cells.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "col_idx").orderBy("row_idx"))).filter(F.col("k") <= SAMPLES)
-    text = trim_all("cell")
-    designation = F.exists(F.array(*(F.lit(w) for w in DESIGNATION_WORDS)), lambda w: F.contains(F.lower("cell"), w))
-    samples = cells.groupBy("doc_id", "col_idx").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "cell"))), lambda s: s["cell"]).alias("samples"),
-        F.avg(text.rlike(NUMBER).cast("int")).alias("numbers"),
-        F.avg(text.rlike(FULL_NAME).cast("int")).alias("names"),
-        F.avg(designation.cast("int")).alias("designations"),
+    first SAMPLES cells that are not blank do. Rows are read once and stay with their document: the first row stands for
+    columns that have no cells."""
+    table = F.col("region").isin("header", "data")
+    doc = Window.partitionBy("doc_id")
+    rows = classified.select(
+        "doc_id", "row_idx", "columns", (F.col("region") == "data").alias("is_data"),
+        (F.col("row_idx") == F.min(F.when(F.col("region") == "header", F.col("row_idx"))).over(doc)).alias("is_label"),
+        F.greatest(F.coalesce(F.max(F.when(table, F.size("columns"))).over(doc), F.lit(1)), F.lit(1)).alias("width"),
+        (F.row_number().over(doc.orderBy("row_idx")) == 1).alias("is_first"),
     )
-    n = F.coalesce(F.size("samples"), F.lit(0))
+    rows = rows.filter("is_data or is_label or is_first")
+    own = F.least(F.size("columns"), F.col("width"))
+    cells = rows.withColumn("col_idx", F.explode(F.sequence(F.lit(0), F.when(F.col("is_first"), F.col("width")).otherwise(own) - 1, F.lit(1)))).withColumn("cell", F.get("columns", F.col("col_idx")))
+    full = F.col("is_data") & (trim_all("cell") != "")
+    found = cells.groupBy("doc_id", "col_idx").agg(
+        F.max(F.when(F.col("is_label"), F.col("cell"))).alias("label"), F.slice(F.array_sort(F.collect_list(F.when(full, F.struct("row_idx", "cell")))), 1, SAMPLES).alias("samples")
+    )
+    found = found.select("doc_id", "col_idx", F.coalesce("label", F.concat(F.lit("Col "), (F.col("col_idx") + 1).cast("string"))).alias("label"), F.transform("samples", lambda s: s["cell"]).alias("samples"))
+    n = F.size("samples")
+    share = lambda test: F.size(F.filter("samples", test)) / n
     kind = F.coalesce(
         by_label(F.col("label"), LABELS),
-        F.when(n == 0, "unknown").when(F.col("numbers") > 0.7, "numeric").when(F.col("names") > 0.4, "name").when(F.col("designations") > 0.4, "designation").otherwise("text"),
-    )
-    return labels.join(samples, ["doc_id", "col_idx"], "left").select(
-        "doc_id", "col_idx", kind.alias("kind"), "label", F.when(n > 3, 80).otherwise(50).alias("confidence"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples")
+        F.when(n == 0, "unknown").when(share(lambda c: trim_all(c).rlike(NUMBER)) > 0.7, "numeric").when(share(lambda c: trim_all(c).rlike(FULL_NAME)) > 0.4, "name")
+        .when(share(lambda c: any_found(F.lower(c), DESIGNATION_WORDS)) > 0.4, "designation").otherwise("text"),
     )
+    return found.select("doc_id", "col_idx", kind.alias("kind"), "label", F.when(n > 3, 80).otherwise(50).alias("confidence"), "samples")
 
 
 def workspace_schema(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +42,12 @@ def fold_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
 
 def merge_up(rows: DataFrame, merges: DataFrame) -> DataFrame:
     """Rows named by merges (session_id, row_id) add their cells to the nearest row above that stays, which keeps all
-    else; the first row of a session stays."""
+    else; the first row of a session stays. A row without cells adds none."""
     marked = rows.join(merges.select("session_id", "row_id", F.lit(True).alias("up")).distinct(), ["session_id", "row_id"], "left")
     order = Window.partitionBy("session_id").orderBy("row_idx")
     marked = marked.withColumn("up", F.coalesce("up", F.lit(False)) & (F.row_number().over(order) > 1))
     marked = marked.withColumn("block", F.count_if(~F.col("up")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = marked.groupBy("session_id", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "columns"))), lambda s: s["columns"])).alias("all_cells"))
+    cells = marked.groupBy("session_id", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", F.coalesce("columns", F.array().cast("array<string>")).alias("columns")))), lambda s: s["columns"])).alias("all_cells"))
     kept = marked.filter(~F.col("up")).join(cells, ["session_id", "block"])
     return kept.withColumn("columns", F.col("all_cells")).select(*rows.columns)
 
@@ -58,20 +60,31 @@ def approve_data(rows: DataFrame) -> DataFrame:
 def replay_versions(log: DataFrame) -> DataFrame:
     """log: session_id, seq, op (edit, undo or redo), version. An edit drops all versions after the cursor and adds its
     own; undo and redo move the cursor as far as there are versions. Returns session_id, version (null if none) and
-    n_versions. Each session's log is replayed in order, which has no built-in form."""
-
-    def replay(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        versions, at = [], -1
-        for op, version in rows.sort_values("seq")[["op", "version"]].itertuples(index=False):
-            if op == "edit":
-                versions = [*versions[: at + 1], version]
-                at = len(versions) - 1
-            elif op == "undo":
-                at = max(0, at - 1) if versions else -1
-            elif op == "redo":
-                at = min(len(versions) - 1, at + 1)
-        return pd.DataFrame({"session_id": [key[0]], "version": [versions[at] if versions else None], "n_versions": [len(versions)]})
-
-    return log.select("session_id", "seq", "op", "version").groupBy("session_id").applyInPandas(replay, "session_id string, version string, n_versions long")
+    n_versions. Each session's log is replayed in order, which has no built-in form; it streams through its task, which
+    holds the versions of one session alone."""
 
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["session_id", "version", "n_versions"]
+        session, versions, at, done = None, None, -1, []
+        result = lambda: (session, versions[at] if versions else None, len(versions))
+        for batch in batches:
+            for own, op, version in batch.itertuples(index=False):
+                if versions is None or own != session:
+                    if versions is not None:
+                        done.append(result())
+                    session, versions, at = own, [], -1
+                if op == "edit":
+                    del versions[at + 1 :]
+                    versions.append(version)
+                    at += 1
+                elif op == "undo":
+                    at = max(0, at - 1) if versions else -1
+                elif op == "redo":
+                    at = min(len(versions) - 1, at + 1)
+            yield pd.DataFrame(done, columns=names)
+            done = []
+        if versions is not None:
+            yield pd.DataFrame([result()], columns=names)
 
+    ordered = log.filter("session_id is not null").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return ordered.select("session_id", "op", "version").mapInPandas(replay, "session_id string, version string, n_versions long")

@@ -24,11 +24,13 @@ def exact(texts: DataFrame, members: DataFrame, ids_contain: bool = True) -> Dat
     aliases = members.select(F.explode("aliases").alias("alias"), "member_ord", F.col("id").alias("member_id")).select(F.lower("alias").alias("t"), "member_ord", "member_id")
     keys = names.unionByName(aliases)
     if ids_contain:
-        low = F.lower("id")
-        starts = F.sequence(F.lit(1), F.length("id"))
-        parts = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("id") - i + 1), lambda n: F.substr(low, i, n)))))
-        keys = keys.unionByName(members.filter(F.length("id") > 0).select(F.explode(F.concat(F.array(F.lit("")), parts)).alias("t"), "member_ord", F.col("id").alias("member_id")))
-    first = keys.groupBy("t").agg(F.min_by("member_id", F.struct("member_ord", "member_id")).alias("member_id"))
+        longest = members.agg(F.coalesce(F.max(F.length("id")), F.lit(0))).first()[0]
+        # lengths of texts up to that of the longest id
+        lengths = [r[0] for r in texts.select(F.length("t").alias("n")).filter(F.col("n").between(1, longest)).distinct().collect()]
+        low, part = F.lower("id"), lambda n: F.transform(F.sequence(F.lit(1), F.length("id") - n + 1), lambda i: F.substr(low, i, F.lit(n)))
+        parts = F.array_distinct(F.concat(F.array(F.lit("")), *(F.when(F.length("id") >= n, part(n)).otherwise(F.array().cast("array<string>")) for n in lengths)))
+        keys = keys.unionByName(members.filter(F.length("id") > 0).select(F.explode(parts).alias("t"), "member_ord", F.col("id").alias("member_id")))
+    first = keys.join(texts, "t", "left_semi").groupBy("t").agg(F.min_by("member_id", F.struct("member_ord", "member_id")).alias("member_id"))
     return texts.join(first, "t")
 
 
@@ -67,20 +69,28 @@ def _grams(c: Column) -> Column:
 def fuzzy(texts: DataFrame, members: DataFrame, most: float = FUZZY) -> DataFrame:
     """For each different text t the member whose name or alias has a part nearest to it, within `most` edits a character.
 
-    A text of m >= 4 characters with k = floor(most * m) edits keeps m - 1 - 2k >= 1 of its two-character parts, so only
-    names that share one are compared; shorter texts keep an unbroken part of floor(m / (k + 1)) characters at least,
-    and are compared with names that hold such a part. Candidates rank by edits, names before aliases, whole edit
-    distance, then roster order."""
+    A text of m >= 4 characters with k = floor(most * m) edits keeps all but 2k of its g different two-character parts, so
+    a name within reach holds g - 2k of them at least, and one at least of the text's 2k + 1 that the fewest names
+    hold; only names that do so, and are not too short, are compared. Shorter texts keep an unbroken part of
+    floor(m / (k + 1)) characters at least, and are compared with names that hold such a part. Candidates rank by edits,
+    names before aliases, whole edit distance, then roster order."""
     texts = texts.select("t").distinct().filter("t <> ''")
     keys = members.select(F.lower("full_name").alias("name"), F.lit(0).alias("kind"), "member_ord", F.col("id").alias("member_id")).unionByName(
         members.select(F.explode("aliases").alias("a"), "member_ord", "id").select(F.lower("a").alias("name"), F.lit(1).alias("kind"), "member_ord", F.col("id").alias("member_id"))
     )
-    long = texts.filter(F.length("t") >= 4).select("t", F.explode(_grams(F.col("t"))).alias("g"))
-    held = keys.filter(F.length("name") >= 2).select("name", F.explode(_grams(F.col("name"))).alias("g")).distinct()
+    held = keys.filter(F.length("name") >= 2).select("name").distinct().withColumn("grams", _grams(F.col("name"))).withColumn("g", F.explode("grams"))
+    rare = held.groupBy("g").agg(F.count("*").alias("n"))
+    lost = 2 * F.floor(F.length("t") * most).cast("int")
+    long = texts.filter(F.length("t") >= 4).withColumn("grams_t", _grams(F.col("t"))).withColumn("lost", lost)
+    # parts that no name holds come first, and need no looking up
+    chosen = long.withColumn("g", F.explode("grams_t")).join(rare, "g", "left").groupBy("t").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("by"))
+    prefix = long.join(chosen, "t").select("t", "grams_t", "lost", F.explode(F.slice("by", F.lit(1), F.col("lost") + 1)).alias("x")).filter("x.n > 0").select("t", "grams_t", "lost", F.col("x.g").alias("g"))
+    near = prefix.join(held, "g").filter(F.length("name") >= F.length("t") - F.col("lost") / 2)
+    near = near.filter(F.size(F.array_intersect("grams_t", "grams")) >= F.greatest(F.lit(1), F.size("grams_t") - F.col("lost"))).select("t", "name")
     ones = F.array_distinct(F.filter(F.split("t", ""), lambda c: c != ""))
     short = texts.filter(F.length("t") < 4).select("t", F.explode(ones).alias("g"))
     letters = keys.select("name", F.explode(F.array_distinct(F.filter(F.split("name", ""), lambda c: c != ""))).alias("g")).distinct()
-    pairs = long.join(held, "g").select("t", "name").union(short.join(letters, "g").select("t", "name")).distinct()
+    pairs = near.union(short.join(letters, "g").select("t", "name")).distinct()
     near = pairs.withColumn("edits", edits_within(F.col("t"), F.col("name"))).filter(F.col("edits") <= most * F.length("t"))
     near = near.withColumn("score", F.col("edits") / F.length("t")).join(keys, "name")
     order = Window.partitionBy("t").orderBy("score", "kind", F.levenshtein("t", "name"), "member_ord")

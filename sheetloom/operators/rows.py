@@ -5,6 +5,9 @@ Rows carry doc_id and row_idx; order is never taken from a DataFrame. Windows ar
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +18,21 @@ HEADER_WORDS = ["sr", "no", "name", "designation", "total", "working", "days", "
 TITLE_WORDS = ["register", "attendance", "summary", "report", "sheet", "record", "yearly", "monthly", "quarterly", "school", "department", "company"]
 METADATA_WORDS = ["date", "prepared", "by", "approved", "department", "year", "month", "www.", "http", "@", ".com", ".org", "info"]
 FOOTER_WORDS = ["total", "grand", "average", "sum"]
+# fixed values: issues of rows, explanations of regions
+MISSING, EXTRA = ("Missing ", " column(s) — padding with empty cells"), ("Extra ", " column(s) — likely merged cell or OCR split")
+NOISE = "Row appears to be visual noise or separator line"
+EMPTY, TITLE, METADATA_ABOVE, METADATA = "No text content detected", "Contains title keyword in top region", "Contains metadata pattern", "Matches metadata pattern"
+HEADER, MARKED_HEADER, FOOTER, DATA = " header keywords detected", "Geometric header + 1 keyword", "Summary row in footer region", "Default data row classification"
+MERGED = "Merged fragmented header rows"
 
 
 def words_found(text: Column, words: list[str]) -> Column:
     """How many of the words the text contains."""
-    return F.size(F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w)))
+    return reduce(add, (F.contains(text, F.lit(w)).cast("int") for w in words))
+
+
+def any_found(text: Column, words: list[str]) -> Column:
+    return reduce(or_, (F.contains(text, F.lit(w)) for w in words))
 
 
 def all_blank(columns: Column | str) -> Column:
@@ -46,10 +59,10 @@ def validate_row(rows: DataFrame, expected: Column, kinds: Column | None = None)
     noise = F.forall("corrected", lambda x: F.length(trim_all(x)) <= 1)
     issues = F.array_compact(
         F.array(
-            F.when(size < expected, F.concat(F.lit("Missing "), (expected - size).cast("string"), F.lit(" column(s) — padding with empty cells"))).when(
-                (size > expected) & (expected > 0), F.concat(F.lit("Extra "), (size - expected).cast("string"), F.lit(" column(s) — likely merged cell or OCR split"))
+            F.when(size < expected, F.concat(F.lit(MISSING[0]), (expected - size).cast("string"), F.lit(MISSING[1]))).when(
+                (size > expected) & (expected > 0), F.concat(F.lit(EXTRA[0]), (size - expected).cast("string"), F.lit(EXTRA[1]))
             ),
-            F.when(noise, F.lit("Row appears to be visual noise or separator line")),
+            F.when(noise, F.lit(NOISE)),
         )
     )
     return out.withColumn("issues", issues).withColumn("is_valid", F.size("issues") == 0)
@@ -81,49 +94,50 @@ def validate_documents(rows: DataFrame) -> DataFrame:
 def classify(rows: DataFrame) -> DataFrame:
     """Adds region, region_confidence and explanation. Needs text, columns, is_header; a document's rows are counted by a
     window of the document."""
-    n = F.count("*").over(Window.partitionBy("doc_id"))
-    text = trim_all("text")
-    lower = F.lower(text)
-    few = F.size("columns") <= 2
-    out = rows.withColumn("n_rows", n).withColumn("header_words", words_found(lower, HEADER_WORDS))
-    title, meta, footer = (words_found(lower, w) > 0 for w in (TITLE_WORDS, METADATA_WORDS, FOOTER_WORDS))
-    top = F.col("row_idx") < 4
+    out = rows.withColumn("n_rows", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("lower", F.lower(trim_all("text")))
+    lower, few = F.col("lower"), F.size("columns") <= 2
+    meta, footer = any_found(lower, METADATA_WORDS), any_found(lower, FOOTER_WORDS)
+    out = out.withColumn("header_words", words_found(lower, HEADER_WORDS))
+    top, heads = F.col("row_idx") < 4, F.col("header_words")
     cases = [
-        ((text == "") | all_blank("columns"), "empty", 99, F.lit("No text content detected")),
-        (top & few & title, "title", 90, F.lit("Contains title keyword in top region")),
-        (top & few & meta, "metadata", 85, F.lit("Contains metadata pattern")),
-        (few & meta, "metadata", 80, F.lit("Matches metadata pattern")),
-        (F.col("header_words") >= 2, "header", 90, F.concat(F.col("header_words").cast("string"), F.lit(" header keywords detected"))),
-        (F.coalesce("is_header", F.lit(False)) & (F.col("header_words") >= 1), "header", 75, F.lit("Geometric header + 1 keyword")),
-        ((F.col("row_idx") > F.col("n_rows") * 0.85) & footer, "footer", 80, F.lit("Summary row in footer region")),
+        ((lower == "") | all_blank("columns"), "empty", 99, F.lit(EMPTY)),
+        (top & few & any_found(lower, TITLE_WORDS), "title", 90, F.lit(TITLE)),
+        (top & few & meta, "metadata", 85, F.lit(METADATA_ABOVE)),
+        (few & meta, "metadata", 80, F.lit(METADATA)),
+        (heads >= 2, "header", 90, F.concat(heads.cast("string"), F.lit(HEADER))),
+        (F.coalesce("is_header", F.lit(False)) & (heads >= 1), "header", 75, F.lit(MARKED_HEADER)),
+        ((F.col("row_idx") > F.col("n_rows") * 0.85) & footer, "footer", 80, F.lit(FOOTER)),
     ]
-    otherwise = ("data", 70, F.lit("Default data row classification"))
     picked = F.when(cases[0][0], 0)
     for k, case in enumerate(cases[1:], 1):
         picked = picked.when(case[0], k)
     out = out.withColumn("case", picked.otherwise(len(cases)))
-    values = [c[1:] for c in cases] + [otherwise]
 
-    def pick(i: int) -> Column:
-        return F.element_at(F.array(*(v[i] if isinstance(v[i], Column) else F.lit(v[i]) for v in values)), F.col("case") + 1)
+    def pick(i: int, otherwise) -> Column:
+        value = F.when(F.col("case") == 0, cases[0][i])
+        for k, case in enumerate(cases[1:], 1):
+            value = value.when(F.col("case") == k, case[i])
+        return value.otherwise(otherwise)
 
-    return out.withColumn("region", pick(0)).withColumn("region_confidence", pick(1)).withColumn("explanation", pick(2)).drop("case", "header_words", "n_rows")
+    return out.withColumn("region", pick(1, "data")).withColumn("region_confidence", pick(2, 70)).withColumn("explanation", pick(3, DATA)).drop("case", "header_words", "n_rows", "lower")
 
 
 def merge_headers(rows: DataFrame, near: float = 20.0) -> DataFrame:
     """Header rows that follow each other within `near` pixels are joined in pairs, cell by cell, from the top: in a run of
-    such rows the odd ones join those above them. Needs region and bbox."""
+    such rows the odd ones join those above them. Needs region and bbox; an explanation says that rows were merged."""
     w = Window.partitionBy("doc_id").orderBy("row_idx")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     close = (F.col("region") == "header") & (F.lag("region").over(w) == "header") & (F.abs(F.col("bbox.y0") - F.lag("bbox.y1").over(w)) < near)
-    out = rows.withColumn("joins", F.coalesce(close, F.lit(False)))
-    out = out.withColumn("run", F.count_if(~F.col("joins")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("row_idx")) - 1)
-    pair = Window.partitionBy("doc_id", "run").orderBy("row_idx")
-    under = F.when((F.col("at") % 2 == 0) & (F.col("region") == "header"), F.lead("columns").over(pair))
-    merged = F.transform("columns", lambda c, i: F.when(F.coalesce(F.get(F.col("under"), i), F.lit("")) != "", trim_all(F.concat(c, F.lit(" "), F.get(F.col("under"), i)))).otherwise(c))
-    out = out.withColumn("under", under).filter(F.col("at") % 2 == 0).withColumn("columns", F.when(F.col("under").isNotNull(), merged).otherwise(F.col("columns")))
-    out = out.withColumn("text", F.when(F.col("under").isNotNull(), F.array_join("columns", "  ")).otherwise(F.col("text")))
-    return out.drop("joins", "run", "at", "under")
+    out = rows.withColumn("joins", F.coalesce(close, F.lit(False))).withColumn("at", F.row_number().over(w))
+    out = out.withColumn("at", F.col("at") - F.max(F.when(~F.col("joins"), F.col("at"))).over(so_far))
+    out = out.withColumn("under", F.when(F.lead("joins").over(w) & (F.col("region") == "header"), F.lead("columns").over(w))).filter(F.col("at") % 2 == 0)
+    joined, under = F.col("under").isNotNull(), F.col("under")
+    merged = F.transform("columns", lambda c, i: F.when(F.coalesce(F.get(under, i), F.lit("")) != "", trim_all(F.concat(c, F.lit(" "), F.get(under, i)))).otherwise(c))
+    out = out.withColumn("columns", F.when(joined, merged).otherwise(F.col("columns")))
+    out = out.withColumn("text", F.when(joined, F.array_join("columns", "  ")).otherwise(F.col("text")))
+    if "explanation" in rows.columns:
+        out = out.withColumn("explanation", F.when(joined, MERGED).otherwise(F.col("explanation")))
+    return out.drop("joins", "at", "under")
 
 
 def summarise(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 ROSTER = "full_name string, aliases string, department string, phone string, email string"
 LARGEST_IMAGE = 10 * 1024 * 1024
 # fixed values: endings and first bytes of the image kinds that are taken
-KINDS = {"image/jpeg": (("jpg", "jpeg"), "FFD8FF"), "image/png": (("png",), "89504E470D0A1A0A"), "image/webp": (("webp",), "52494646")}
+KINDS = {"image/jpeg": "FFD8FF", "image/png": "89504E470D0A1A0A", "image/webp": "52494646........57454250"}
 
 
 def read_roster(spark: SparkSession, path: str, schema: str = ROSTER) -> DataFrame:
@@ -20,12 +20,15 @@ def read_roster(spark: SparkSession, path: str, schema: str = ROSTER) -> DataFra
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content and kind (by first bytes), one row for each file."""
-    files = spark.read.format("binaryFile").load(path)
+    """path, length, content and kind (by first bytes; a dot stands for any digit), one row for each file."""
+    return with_kind(spark.read.format("binaryFile").load(path))
+
+
+def with_kind(files: DataFrame) -> DataFrame:
     head = F.hex(F.substring("content", 1, 12))
     kind = F.when(F.lit(False), "")
-    for name, (_, magic) in KINDS.items():
-        kind = kind.when(head.startswith(magic), name)
+    for name, magic in KINDS.items():
+        kind = kind.when(head.rlike(f"^{magic}"), name)
     return files.withColumn("kind", kind)
 
 

@@ -1,40 +1,16 @@
-"""Approved rows that arrive as files, upserted batch by batch."""
+"""Approved rows that arrive as files, turned into facts batch by batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.approvals import attendance_of, upsert
-
-KEYS = ["session_id", "member_id"]
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions of the table at root, in order; a version is complete when its files are committed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted(int(n[8:]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS")))
-
-
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    found = versions(spark, root)
-    return spark.read.parquet(f"{root}/version={found[-1]}") if found else None
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
-def take_in(rows: DataFrame, sessions: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """rows: a stream of session_id, row_idx, member_id, is_header, present. Each batch writes a new version of the table
-    of facts, numbered by the batch, so that a batch which runs again after a failure writes the same version again."""
+from ..operators.approvals import attendance_of
 
-    def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        before = [v for v in versions(spark, root) if v < number + 1]
-        facts = attendance_of(df, sessions)
-        if before:
-            facts = upsert(spark.read.parquet(f"{root}/version={before[-1]}"), facts, KEYS)
-        facts.write.mode("overwrite").parquet(f"{root}/version={number + 1}")
 
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def take_in(rows: DataFrame, sessions: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """rows: a stream of session_id, row_idx, member_id, is_header, present. Each batch's facts go to `upsert` with the
+    number of the batch; keyed by session and member, a batch that runs again after a failure changes nothing."""
+    return rows.writeStream.foreachBatch(lambda df, number: upsert(attendance_of(df, sessions), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

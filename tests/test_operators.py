@@ -68,6 +68,7 @@ def test_merge_headers(spark):
     rows = O.classify(rows_of(spark, [["Total Working", "x", "q"], ["Days Present", "", "q"], ["1", "2", "3"]]))
     got = O.merge_headers(rows).orderBy("row_idx").collect()
     assert [r["columns"] for r in got] == [["Total Working Days Present", "x", "q q"], ["1", "2", "3"]]
+    assert got[0]["explanation"] == O.MERGED and got[1]["explanation"] == O.DATA
 
 
 def test_kinds(spark):
@@ -190,19 +191,30 @@ def test_readers(spark, tmp_path):
     (tmp_path / "img").mkdir()
     (tmp_path / "img/a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + b"x")
     (tmp_path / "img/b.txt").write_bytes(b"hello")
+    (tmp_path / "img/c.wav").write_bytes(b"RIFF\x00\x00\x00\x00WAVEfmt ")
+    (tmp_path / "img/d.webp").write_bytes(b"RIFF\x00\x00\x00\x00WEBPVP8 ")
     taken, rejected = readers.guard_images(readers.read_images(spark, str(tmp_path / "img")))
-    assert [r["kind"] for r in taken.collect()] == ["image/png"] and rejected.count() == 1
+    assert sorted(r["kind"] for r in taken.collect()) == ["image/png", "image/webp"] and rejected.count() == 2
 
 
-def test_intake_is_idempotent(spark, tmp_path):
+def test_intake_passes_each_batch_on(spark, tmp_path):
     schema = "session_id string, row_idx int, member_id string, is_header string, present boolean"
     sessions = spark.createDataFrame([("s", "e")], "id string, event_name string").withColumn("session_date", F.lit("2024-01-01").cast("date"))
+    facts = {}
+
+    def upsert(batch, number):
+        facts.update({(r["session_id"], r["member_id"]): (r["present"], number) for r in batch.collect()})
+
     for k, present in enumerate((True, False)):
         spark.createDataFrame([("s", 1, "m1", None, present), ("s", 2, f"x{k}", None, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        intake.take_in(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), sessions, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
-    facts = {r["member_id"]: r["present"] for r in intake.current(spark, str(tmp_path / "out")).collect()}
-    assert facts == {"m1": False, "x0": True, "x1": True}
-    assert intake.versions(spark, str(tmp_path / "out")) == [1, 2]
+        intake.take_in(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), sessions, upsert, str(tmp_path / "check")).awaitTermination(60)
+    assert facts == {("s", "m1"): (False, 1), ("s", "x0"): (True, 0), ("s", "x1"): (True, 1)}
+
+
+def test_merge_up_over_rows_without_cells(spark):
+    rows = spark.createDataFrame([("s", "a", 0, ["x"]), ("s", "b", 1, None), ("s", "c", 2, ["y"])], "session_id string, row_id string, row_idx int, columns array<string>")
+    merges = rows.filter("row_idx > 0").select("session_id", "row_id")
+    assert [r["columns"] for r in edits.merge_up(rows, merges).collect()] == [["x", "y"]]
 
 
 def test_recognise_and_enrich(spark):
