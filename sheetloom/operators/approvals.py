@@ -19,6 +19,21 @@ def with_defaults(table: DataFrame, defaults: dict) -> DataFrame:
     return table.withColumns({c: F.coalesce(c, d) if c in table.columns else d for c, d in defaults.items()})
 
 
+def append(table: DataFrame, rows: DataFrame, defaults: dict) -> DataFrame:
+    """The table and new rows, which get the defaults of columns that they lack or leave null."""
+    given = with_defaults(rows, defaults)
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in given.columns]
+    return table.unionByName(given.select("*", *absent).select(*table.columns))
+
+
+def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows of the table with the values of the row of changes that has their key (one at most), nulls too; other columns and
+    rows stay, and a key that the table does not hold changes nothing."""
+    new = [c for c in changes.columns if c != key]
+    hit = changes.select(key, *(F.col(c).alias(f"{c}__new") for c in new), F.lit(True).alias("hit__"))
+    return table.join(hit, key, "left").select(*(F.when(F.col("hit__"), F.col(f"{c}__new")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in table.columns))
+
+
 def session_name(name, date):
     """The name, or one from the date if it is blank."""
     return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.concat(F.lit("Attendance — "), F.date_format(date, "dd MMM yyyy")))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, approvals, edits, kpis
 from ..operators.matching import assign
-from ..sources import exports
+from ..sources import exports, readers, recognise
 from . import relations as R
 
 OWNER = 7
@@ -25,7 +25,7 @@ def session_search(spark, d):
 
 
 def rls(spark, d):
-    return access.of_owned_sessions(R.match_rows(spark, d), R.sessions(spark, d), OWNER).groupBy("session_id").agg(F.count("*").alias("n"))
+    return access.of_owned_sessions(R.match_rows(spark, d), R.sessions(spark, d), OWNER).select("session_id", "row_idx", "status")
 
 
 def history(spark, d):
@@ -72,7 +72,7 @@ def session_defaults(spark, d):
 
 
 def approval_filter(spark, d):
-    return approvals.approved_rows(R.match_rows(spark, d)).groupBy("session_id").agg(F.count("*").alias("n"))
+    return approvals.approved_rows(R.match_rows(spark, d)).select("session_id", "row_idx", "member_id")
 
 
 def _facts(spark, d, strict):
@@ -103,8 +103,9 @@ def approve_session(spark, d):
     s = R.sessions(spark, d).withColumn("updated_at", F.lit(None).cast("date"))
     rows = R.match_rows(spark, d).withColumn("is_header", F.col("is_header").cast("string"))
     mine = rows.join(s.filter(F.col("owner_id") == OWNER).select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    done, _ = approvals.approve(s, mine, _before(spark, d), OWNER, F.to_date(F.lit("2024-05-05")))
-    return done.select("id", "status", F.col("updated_at").cast("string").alias("updated_at"))
+    done, facts = approvals.approve(s, mine, _before(spark, d), OWNER, F.to_date(F.lit("2024-05-05")))
+    shown = done.select("id", F.lit(None).cast("string").alias("member_id"), "status", F.col("updated_at").cast("string").alias("day"), F.lit("").alias("present"))
+    return shown.union(facts.select("session_id", "member_id", "event_name", F.col("attendance_date").cast("string"), F.col("present").cast("string")))
 
 
 def upsert_corrections(spark, d):
@@ -116,7 +117,7 @@ def upsert_corrections(spark, d):
 def cascade_delete(spark, d):
     s = R.sessions(spark, d)
     left, children = approvals.delete_cascade(s, s.filter(F.col("owner_id") % 3 == 0).select("id"), {"rows": (R.match_rows(spark, d), "session_id")})
-    return kpis.table_counts(sessions=left, **children)
+    return left.select(F.lit("sessions").alias("of"), "id", F.lit("").alias("row_idx")).union(children["rows"].select(F.lit("rows"), "session_id", F.col("row_idx").cast("string")))
 
 
 def json_bind(spark, d):
@@ -137,14 +138,14 @@ def edit_fold(spark, d):
 
 
 def merge_up(spark, d):
-    rows = R.edit_rows(spark, d).withColumn("columns", F.coalesce("columns", F.array("ocr_name")))
+    rows = R.edit_rows(spark, d)
     merges = R.edit_log(spark, d).filter("op = 'flag'").select("session_id", "row_id")
     return edits.merge_up(rows, merges).select("session_id", "row_id", F.array_join("columns", "¦").alias("cells"))
 
 
 def approve_data(spark, d):
     rows = R.match_rows(spark, d).withColumn("region", F.when(F.col("row_idx") % 3 == 0, "data").when(F.col("row_idx") % 3 == 1, "title"))
-    return edits.approve_data(rows).groupBy("session_id").agg(F.count_if(F.col("status") == "approved").alias("n"))
+    return edits.approve_data(rows).select("session_id", "row_idx", "status")
 
 
 def undo(spark, d):
@@ -171,6 +172,64 @@ def clean_export(spark, d):
     return exports.to_wide(rows, exports.widest(rows))
 
 
+def member_append(spark, d):
+    """New members, of whom some have no department."""
+    c = R.table(spark, d, "customer").filter("c_custkey % 10 = 3")
+    new = c.select((F.col("c_custkey") + 1000000).alias("member_ord"), F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("id"), F.upper("c_name").alias("full_name"), F.when(F.col("c_custkey") % 4 == 3, F.col("c_mktsegment")).alias("department"))
+    out = approvals.append(R.members(spark, d), new, {"department": F.lit("none"), "aliases": F.array().cast("array<string>")})
+    return out.select("member_ord", "id", "full_name", F.array_join("aliases", ",").alias("aliases"), "department", "email")
+
+
+def draft_update(spark, d):
+    """A draft saved again: another name and status, an unset day, for sessions of one owner; unknown ids change nothing."""
+    s = R.sessions(spark, d).withColumn("session_date", F.col("session_date").cast("string"))
+    mine = s.filter(F.col("owner_id") == OWNER).select("id", F.concat("event_name", F.lit(" (draft)")).alias("event_name"), F.lit("refining").alias("status"), F.lit(None).cast("string").alias("session_date"))
+    changes = mine.unionByName(mine.limit(1).withColumn("id", F.lit("unknown")))
+    return approvals.update(s, changes, "id").select("id", "owner_id", "event_name", "session_date", "status")
+
+
+def attendance_csv(spark, d):
+    """The facts as CSV files, read back."""
+    path = R.new_folder(spark, "attendance")
+    exports.write_attendance(_shown(_facts(spark, d, False)), R.members(spark, d), path)
+    return spark.read.option("header", True).csv(path).select("session_id", "member_id", "attendance_date", "event_name", "present", "member_name")
+
+
+def roster_csv(spark, d):
+    """Members as a CSV file, in another order of columns and with one that a roster has not, read back."""
+    path = R.new_folder(spark, "roster")
+    m = R.members(spark, d)
+    m.select(F.lower("email").alias("email"), F.col("id").alias("unused"), F.concat("full_name", F.lit(', "'), "id", F.lit('"')).alias("full_name"), "department").write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_roster(spark, path)
+
+
+def upload_guard(spark, d):
+    """Files of every kind and size by their first bytes."""
+    heads = F.array(*map(F.lit, ("FFD8FFE0", "89504E470D0A1A0A00", "52494646000000005745425056", "524946460000000057415645", "474946383961", "89504E47")))
+    p, k = R.table(spark, d, "part"), F.col("p_partkey")
+    files = p.select(k.alias("path"), (k * 1000003 % 20000000).alias("length"), F.unhex(F.element_at(heads, (k % 6 + 1).cast("int"))).alias("content"))
+    taken, rejected = readers.guard_images(readers.with_kind(files))
+    return taken.select("path", "kind", F.lit(None).cast("string").alias("reason")).union(rejected.select("path", "kind", "reason"))
+
+
+def enriched(spark, d):
+    rows = R.match_rows(spark, d).select(F.col("session_id").cast("long").alias("doc_id"), (F.col("row_idx") % 7).cast("int").alias("row_idx"), "member_id", F.col("row_idx").alias("place"))
+    return recognise.enrich(rows, R.ocr_rows(spark, d), ["doc_id", "row_idx"]).select("doc_id", "place", "member_id", F.array_join("columns", "¦").alias("cells"), F.coalesce(F.col("is_header").cast("string"), F.lit("")).alias("is_header"), F.coalesce("ocr_confidence", F.lit(-1.0)).alias("ocr_confidence"))
+
+
+def recognised(spark, d):
+    """A recogniser that fails on some cells; some are empty."""
+    p, k = R.table(spark, d, "part"), F.col("p_partkey")
+    cells = p.select(k.alias("doc_id"), F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), F.when(k % 5 != 0, F.encode(F.concat("p_name", F.when(k % 7 == 0, F.lit("!")).otherwise(F.lit(""))), "UTF-8")).alias("image"))
+
+    def read(image: bytes) -> tuple[str, float]:
+        if image.endswith(b"!"):
+            raise ValueError("unreadable")
+        return image.decode().title(), float(len(image))
+
+    return recognise.recognise(cells, read).select("doc_id", F.lower("text").alias("text"), "confidence", "is_empty")
+
+
 _FACTS = f"""{R.MATCH_ROWS}, {R.SESSIONS}, facts AS (
   SELECT session_id, member_id, session_date AS attendance_date, event_name, coalesce(present, true) AS present
   FROM (SELECT * FROM match_rows WHERE NOT is_header AND member_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, member_id ORDER BY row_idx DESC) = 1) m
@@ -187,13 +246,14 @@ QUERIES = {
     "q_route": routing, "q_counts": counts, "q_session_kpi": session_kpi, "q_row_counts": row_counts, "q_width_histogram": width_histogram, "q_session_defaults": session_defaults,
     "q_approval_filter": approval_filter, "q_approve_upsert": approve_upsert, "q_approve_compat": approve_compat, "q_approve_session": approve_session, "q_upsert_corrections": upsert_corrections,
     "q_cascade_delete": cascade_delete, "q_json_bind": json_bind, "q_assign_member": assign_member, "q_edit_fold": edit_fold, "q_merge_up": merge_up, "q_approve_data": approve_data, "q_undo": undo,
+    "q_member_append": member_append, "q_draft_update": draft_update, "q_attendance_csv": attendance_csv, "q_roster_csv": roster_csv, "q_upload_guard": upload_guard, "q_enrich": enriched, "q_recognise": recognised,
     "q_export_csv": export_csv, "q_export_tsv": export_tsv, "q_clean_export": clean_export,
 }
 SQL = {
     "q_point_lookup": f"WITH {R.SESSIONS} SELECT id, owner_id, event_name, status FROM sessions WHERE id = '7'",
     "q_member_search": f"WITH {R.MEMBERS} SELECT id, full_name FROM members WHERE contains(lower(full_name), 'r#00000001') OR coalesce(contains(lower(email), 'r#00000001'), false)",
     "q_session_search": f"WITH {R.SESSIONS} SELECT id, event_name FROM sessions WHERE contains(lower(event_name), 'urgent')",
-    "q_rls_semi": f"WITH {R.SESSIONS}, {R.MATCH_ROWS} SELECT session_id, count(*) AS n FROM match_rows m WHERE EXISTS (SELECT 1 FROM sessions s WHERE s.id = m.session_id AND s.owner_id = {OWNER}) GROUP BY 1",
+    "q_rls_semi": f"WITH {R.SESSIONS}, {R.MATCH_ROWS} SELECT session_id, row_idx, status FROM match_rows m WHERE EXISTS (SELECT 1 FROM sessions s WHERE s.id = m.session_id AND s.owner_id = {OWNER})",
     "q_history": f"""WITH {R.SESSIONS} SELECT id, strftime(created_at, '%b %d, %Y') AS shown, CASE status WHEN 'approved' THEN 'Completed' WHEN 'refining' THEN 'Refining' ELSE 'Pending' END AS label,
   CASE status WHEN 'approved' THEN 'View' ELSE 'Continue Approval' END AS action FROM sessions ORDER BY created_at DESC NULLS FIRST, id""",
     "q_top5": f"WITH {R.SESSIONS} SELECT id, event_name FROM sessions ORDER BY created_at DESC NULLS FIRST, id LIMIT 5",
@@ -208,19 +268,42 @@ SQL = {
     "q_width_histogram": f"WITH {R.OCR_ROWS} SELECT len(columns) AS width, count(*) AS n FROM ocr_rows GROUP BY 1",
     "q_session_defaults": f"""WITH {R.SESSIONS} SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'Attendance — ' || strftime(session_date, '%d %b %Y') ELSE event_name END AS event_name, status,
   CAST(coalesce(created_at, DATE '2024-01-01') AS VARCHAR) AS created_at, '2024-01-02' AS updated_at FROM sessions""",
-    "q_approval_filter": f"WITH {R.MATCH_ROWS} SELECT session_id, count(*) AS n FROM match_rows WHERE member_id IS NOT NULL AND NOT is_header GROUP BY 1",
+    "q_approval_filter": f"WITH {R.MATCH_ROWS} SELECT session_id, row_idx, member_id FROM match_rows WHERE member_id IS NOT NULL AND NOT is_header",
     "q_approve_upsert": f"""WITH {_FACTS}, source AS (SELECT * FROM facts WHERE CAST(session_id AS BIGINT) % 2 = 0)
 SELECT session_id, member_id, CAST(attendance_date AS VARCHAR) AS attendance_date, event_name, present FROM before ANTI JOIN source USING (session_id, member_id)
 UNION ALL SELECT session_id, member_id, CAST(attendance_date AS VARCHAR), event_name, present FROM source""",
     "q_approve_compat": f"""WITH {_FACTS} SELECT session_id, member_id, CAST(attendance_date AS VARCHAR) AS attendance_date, event_name, present FROM facts
 UNION ALL SELECT session_id, NULL, CAST(session_date AS VARCHAR), event_name, present FROM match_rows m JOIN sessions s ON s.id = m.session_id WHERE NOT is_header AND member_id IS NULL""",
-    "q_approve_session": f"""WITH {R.SESSIONS}, {R.MATCH_ROWS} SELECT id, CASE WHEN hit THEN 'approved' ELSE status END AS status, CASE WHEN hit THEN '2024-05-05' END AS updated_at
-FROM (SELECT *, owner_id = {OWNER} AND id IN (SELECT session_id FROM match_rows) AS hit FROM sessions)""",
+    "q_approve_session": f"""WITH {_FACTS}, mine AS (SELECT f.* FROM facts f JOIN sessions s ON s.id = f.session_id WHERE owner_id = {OWNER})
+SELECT id, NULL AS member_id, CASE WHEN hit THEN 'approved' ELSE status END AS status, CASE WHEN hit THEN '2024-05-05' END AS day, '' AS present
+FROM (SELECT *, owner_id = {OWNER} AND id IN (SELECT session_id FROM match_rows) AS hit FROM sessions)
+UNION ALL SELECT session_id, member_id, event_name, CAST(attendance_date AS VARCHAR), CAST(present AS VARCHAR) FROM before ANTI JOIN mine USING (session_id, member_id)
+UNION ALL SELECT session_id, member_id, event_name, CAST(attendance_date AS VARCHAR), CAST(present AS VARCHAR) FROM mine""",
+    "q_undo": f"""WITH RECURSIVE {R.EDIT_LOG}, log AS (
+  SELECT session_id, CASE WHEN seq % 3 = 2 THEN 'undo' WHEN seq % 7 = 3 THEN 'redo' ELSE 'edit' END AS op, CAST(seq AS VARCHAR) AS version, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM edit_log
+), state(session_id, k, versions, cursor) AS (
+  SELECT DISTINCT session_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT) FROM log
+  UNION ALL SELECT s.session_id, l.k, CASE WHEN op = 'edit' THEN list_append(versions[1:cursor], version) ELSE versions END,
+    CASE op WHEN 'edit' THEN cursor + 1 WHEN 'undo' THEN least(len(versions), greatest(1, cursor - 1)) ELSE least(len(versions), cursor + 1) END FROM state s JOIN log l ON l.session_id = s.session_id AND l.k = s.k + 1
+) SELECT session_id, versions[cursor] AS version, CAST(len(versions) AS BIGINT) AS n_versions FROM state QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY k DESC) = 1""",
+    "q_member_append": f"""WITH {R.MEMBERS} SELECT member_ord, id, full_name, array_to_string(aliases, ',') AS aliases, department, email FROM members
+UNION ALL SELECT c_custkey + 1000000, 'new' || c_custkey, upper(c_name), '', CASE WHEN c_custkey % 4 = 3 THEN c_mktsegment ELSE 'none' END, NULL FROM customer WHERE c_custkey % 10 = 3""",
+    "q_draft_update": f"""WITH {R.SESSIONS} SELECT id, owner_id, CASE WHEN owner_id = {OWNER} THEN event_name || ' (draft)' ELSE event_name END AS event_name,
+  CASE WHEN owner_id <> {OWNER} THEN CAST(session_date AS VARCHAR) END AS session_date, CASE WHEN owner_id = {OWNER} THEN 'refining' ELSE status END AS status FROM sessions""",
+    "q_attendance_csv": f"""WITH {_FACTS}, {R.MEMBERS}, every AS (SELECT * FROM facts UNION ALL SELECT session_id, NULL, session_date, event_name, present FROM match_rows m JOIN sessions s ON s.id = m.session_id WHERE NOT is_header AND member_id IS NULL)
+SELECT session_id, member_id, CAST(attendance_date AS VARCHAR) AS attendance_date, event_name, CAST(present AS VARCHAR) AS present, full_name AS member_name FROM every LEFT JOIN members ON id = member_id""",
+    "q_roster_csv": f"""WITH {R.MEMBERS} SELECT full_name || ', "' || id || '"' AS full_name, NULL AS aliases, department, NULL AS phone, lower(email) AS email FROM members""",
+    "q_upload_guard": """SELECT p_partkey AS path, CASE p_partkey % 6 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/webp' END AS kind,
+  CASE WHEN p_partkey % 6 > 2 THEN 'not a JPEG, PNG or WebP image' WHEN p_partkey * 1000003 % 20000000 > 10485760 THEN 'larger than 10 MB' END AS reason FROM part""",
+    "q_enrich": f"""WITH {R.MATCH_ROWS}, {R.OCR_ROWS} SELECT CAST(m.session_id AS BIGINT) AS doc_id, m.row_idx AS place, member_id, array_to_string(columns, '¦') AS cells, coalesce(CAST(o.is_header AS VARCHAR), '') AS is_header, coalesce(confidence, -1.0::DOUBLE) AS ocr_confidence
+FROM match_rows m LEFT JOIN ocr_rows o ON o.doc_id = CAST(m.session_id AS BIGINT) AND o.row_idx = m.row_idx % 7""",
+    "q_recognise": """SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN '' ELSE lower(p_name) END AS text,
+  CASE WHEN p_partkey % 5 = 0 THEN 100 WHEN p_partkey % 7 = 0 THEN 0 ELSE strlen(p_name) END::DOUBLE AS confidence, p_partkey % 5 = 0 AS is_empty FROM part""",
     "q_upsert_corrections": f"""WITH {R.ROSTER}, {R.READ_NAMES}, {R.CORRECTIONS}, base AS (SELECT incorrect_text, min(corrected_member_id) AS m, count(*) AS f FROM corrections GROUP BY 1),
 new AS (SELECT ocr_name AS incorrect_text, max_by('n' || row_idx, row_idx) AS m, count(*) AS n FROM read_names WHERE row_idx % 5 = 2 GROUP BY 1)
 SELECT incorrect_text, coalesce(new.m, base.m) AS corrected_member_id, coalesce(f, 0) + coalesce(n, 0) AS frequency FROM base FULL JOIN new USING (incorrect_text)""",
-    "q_cascade_delete": """SELECT 'sessions' AS name, count(*) AS n FROM orders WHERE o_custkey % 3 <> 0
-UNION ALL SELECT 'rows', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 3 = 0)""",
+    "q_cascade_delete": f"""WITH {R.MATCH_ROWS} SELECT 'sessions' AS "of", CAST(o_orderkey AS VARCHAR) AS id, '' AS row_idx FROM orders WHERE o_custkey % 3 <> 0
+UNION ALL SELECT 'rows', session_id, CAST(row_idx AS VARCHAR) FROM match_rows WHERE session_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 3 = 0)""",
     "q_json_bind": f"""WITH {R.SESSIONS} SELECT event_id, id, event_name, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events JOIN sessions ON id = json_extract_string(props, '$.k') WHERE event_type IS DISTINCT FROM 'error'""",
     "q_assign_member": f"""WITH {R.MATCH_ROWS}, {R.MEMBERS}, choices AS (
   SELECT CAST(200000000 + p_partkey AS VARCHAR) AS row_id, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'absent' ELSE CAST(p_partkey % 50 AS VARCHAR) END AS member_id FROM part)
@@ -237,8 +320,8 @@ FROM edit_rows r LEFT JOIN cells USING (session_id, row_id) LEFT JOIN st USING (
     "q_merge_up": f"""WITH {R.EDIT_ROWS}, {R.EDIT_LOG}, ups AS (SELECT DISTINCT session_id, row_id FROM edit_log WHERE op = 'flag'),
 marked AS (SELECT r.*, u.row_id IS NOT NULL AND r.row_idx > 0 AS up FROM edit_rows r LEFT JOIN ups u ON u.session_id = r.session_id AND u.row_id = r.row_id),
 placed AS (SELECT *, count(*) FILTER (NOT up) OVER (PARTITION BY session_id ORDER BY row_idx) AS block FROM marked)
-SELECT session_id, min_by(row_id, row_idx) AS row_id, string_agg(array_to_string(coalesce(columns, [ocr_name]), '¦'), '¦' ORDER BY row_idx) AS cells FROM placed GROUP BY session_id, block""",
-    "q_approve_data": f"WITH {R.MATCH_ROWS} SELECT session_id, count(*) FILTER (status = 'approved' OR row_idx % 3 = 0) AS n FROM match_rows GROUP BY 1",
+SELECT session_id, min_by(row_id, row_idx) AS row_id, array_to_string(flatten(list(coalesce(columns, []) ORDER BY row_idx)), '¦') AS cells FROM placed GROUP BY session_id, block""",
+    "q_approve_data": f"WITH {R.MATCH_ROWS} SELECT session_id, row_idx, CASE WHEN row_idx % 3 = 0 THEN 'approved' ELSE status END AS status FROM match_rows",
     "q_export_csv": f"""WITH {_EXPORT}, lines AS (SELECT session_id, -1 AS k, {_QUOTED} AS line FROM x WHERE is_header QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY row_idx) = 1
   UNION ALL SELECT session_id, row_idx, {_QUOTED} FROM shown) SELECT session_id, string_agg(line, chr(10) ORDER BY k) AS csv FROM lines GROUP BY 1""",
     "q_export_tsv": f"WITH {_EXPORT} SELECT session_id, string_agg(array_to_string(columns, chr(9)), chr(10) ORDER BY row_idx) AS tsv FROM shown GROUP BY 1",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from ..operators import grid, healing, words
 from . import relations as R
+from .row_queries import cell_sql, classified_sql, schema_sql, trim_sql
 
 THRESHOLD, GAP = 0.2, 1
 
@@ -40,7 +43,7 @@ def cell_grid(spark, d):
 
 def crop(spark, d):
     gray = R.pixels(spark, d).select("img_id", "y", "x", "g")
-    return grid.crop(gray, cell_grid(spark, d)).groupBy("img_id", "row_idx", "col_idx").agg(F.count("*").alias("n"), F.sum("v").alias("ink"), F.max("x").alias("right"))
+    return grid.crop(gray, cell_grid(spark, d))
 
 
 def components(spark, d):
@@ -71,7 +74,7 @@ def heal(spark, d):
     """Lines of documents as cells, some read badly, with a second reading in capitals."""
     rows = R.ocr_rows(spark, d).select("doc_id", "row_idx", F.posexplode("columns").alias("col_idx", "text"))
     k = F.col("doc_id") + F.col("row_idx") + F.col("col_idx")
-    cells = rows.select("doc_id", "row_idx", "col_idx", "text", (60 + k % 40).cast("double").alias("confidence"), (k % 11 == 0).alias("is_empty"), F.upper("text").alias("fallback_text"), (65 + k % 9).cast("double").alias("fallback_confidence"))
+    cells = rows.select("doc_id", "row_idx", "col_idx", "text", (60 + k % 40).cast("double").alias("confidence"), (k % 11 == 0).alias("is_empty"), F.translate("text", ascii_lowercase, ascii_uppercase).alias("fallback_text"), (65 + k % 9).cast("double").alias("fallback_confidence"))
     return healing.heal(cells).select("doc_id", "row_idx", F.array_join("columns", "¦").alias("cells"), F.round("confidence", 6).alias("confidence"), "is_header", "heal_note")
 
 
@@ -87,6 +90,10 @@ bound_{axis} AS (SELECT img_id, at0 FROM mid_{axis} UNION SELECT img_id, 0 FROM
 span_{axis} AS (SELECT img_id, row_number() OVER w - 1 AS idx, at0 AS low, lead(at0) OVER w AS high FROM bound_{axis} WINDOW w AS (PARTITION BY img_id ORDER BY at0) QUALIFY lead(at0) OVER w IS NOT NULL)"""
 
 
+def _line(x: str) -> str:
+    return f"replace({trim_sql(x)}, chr(10), ' ')"
+
+
 _PARTS = R.SPARSE_INK + """,
 inked AS (SELECT img_id, y * 1000 + x AS id, y, x FROM sparse WHERE v = 1),
 edge AS (SELECT a.img_id, a.id AS u, b.id AS v FROM inked a JOIN inked b ON a.img_id = b.img_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
@@ -109,8 +116,8 @@ SELECT s.img_id, s.y, s.x, CASE WHEN h.img_id IS NULL THEN 0 ELSE 1 END AS v FRO
 FROM span_y r JOIN span_x c ON r.img_id = c.img_id""",
     "q_crop": f"""WITH {_PROFILE}, {_bounds('y')}, {_bounds('x')}, box AS (SELECT r.img_id, r.idx AS row_idx, c.idx AS col_idx, c.low + 3 AS x, r.low + 3 AS y, greatest(20, c.high - c.low - 6) AS w, greatest(20, r.high - r.low - 6) AS h
   FROM span_y r JOIN span_x c ON r.img_id = c.img_id)
-SELECT b.img_id, row_idx, col_idx, 9 * count(*) AS n, CAST(9 * sum(CASE WHEN g < 140 THEN 1 ELSE 0 END) AS BIGINT) AS ink, max(3 * (p.x - b.x) + 2) AS "right"
-FROM box b JOIN pixels p ON p.img_id = b.img_id AND p.y >= b.y AND p.y < b.y + h AND p.x >= b.x AND p.x < b.x + w GROUP BY ALL""",
+SELECT b.img_id, row_idx, col_idx, 3 * (p.y - b.y) + dy.d AS y, 3 * (p.x - b.x) + dx.d AS x, CASE WHEN g < 140 THEN 1 ELSE 0 END AS v
+FROM box b JOIN pixels p ON p.img_id = b.img_id AND p.y >= b.y AND p.y < b.y + h AND p.x >= b.x AND p.x < b.x + w, (SELECT unnest(range(3)) AS d) dy, (SELECT unnest(range(3)) AS d) dx""",
     "q_components": f"WITH RECURSIVE {_PARTS} SELECT img_id, x, y, w, h, area FROM parts",
     "q_density": f"""WITH RECURSIVE {_PARTS}, page AS (SELECT img_id, avg(v) AS ratio, max(x) + 1 AS iw, max(y) + 1 AS ih FROM sparse GROUP BY img_id),
 n AS (SELECT img_id, count(*) AS n, count(*) FILTER (area >= 8 AND w / h::DOUBLE BETWEEN 0.1 AND 10 AND NOT ((x <= 2 OR y <= 2 OR x + w >= iw - 2 OR y + h >= ih - 2) AND (w > 0.8 * iw OR h > 0.8 * ih))) AS kept FROM parts JOIN page USING (img_id) GROUP BY img_id)
@@ -129,4 +136,26 @@ joined AS (SELECT doc_id, k, string_agg(trim(cell), '¦' ORDER BY c) AS cells, c
 stat AS (SELECT doc_id, k, avg(confidence) AS conf, avg(abs(y0 + 6 - mid)) AS off, min(x0) AS x0, max(x0 + 50) AS x1 FROM line GROUP BY ALL)
 SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS row_idx, cells, round(conf, 6) AS confidence, round((greatest(0, 100 - 5 * off) + CASE WHEN n > 1 THEN 75 ELSE 50 END + conf) / 3, 6) AS total,
   dense_rank() OVER (PARTITION BY doc_id ORDER BY k) <= 2 OR hint AS is_header, x0, x1 FROM joined JOIN stat USING (doc_id, k)""",
+    "q_heal": rf"""WITH {R.OCR_ROWS}, cell0 AS (SELECT doc_id, row_idx, unnest(range(len(columns))) AS i, unnest(columns) AS t FROM ocr_rows), cell AS (SELECT *, doc_id + row_idx + i AS k FROM cell0),
+grid AS (
+  SELECT r.doc_id, r.row_idx, r.i, width, CASE WHEN k % 11 = 0 THEN '' ELSE coalesce({_line('t')}, '') END AS text, CAST(CASE WHEN k IS NULL THEN 0 WHEN k % 11 = 0 THEN 100 ELSE 60 + k % 40 END AS DOUBLE) AS conf,
+    coalesce({_line(f"translate(t, '{ascii_lowercase}', '{ascii_uppercase}')")}, '') AS again, CASE WHEN k IS NOT NULL THEN CAST(65 + k % 9 AS DOUBLE) END AS fb
+  FROM (SELECT doc_id, row_idx, width, unnest(range(width)) AS i FROM (SELECT DISTINCT doc_id, row_idx FROM cell) JOIN (SELECT doc_id, max(i) + 1 AS width FROM cell GROUP BY doc_id) USING (doc_id)) r
+  LEFT JOIN cell c ON c.doc_id = r.doc_id AND c.row_idx = r.row_idx AND c.i = r.i
+), locked AS (
+  SELECT doc_id, row_idx, list(text ORDER BY i) AS columns, false AS is_header, string_agg(text, '  ' ORDER BY i) FILTER (text <> '') AS text FROM grid WHERE row_idx < 4
+  GROUP BY doc_id, row_idx HAVING count(*) FILTER ({trim_sql('text')} <> '') > 0
+), {classified_sql('locked', '1')}, {schema_sql()},
+typed AS (
+  SELECT g.*, kind, CASE WHEN g.row_idx >= 4 AND kind = 'numeric' THEN regexp_replace(text, '[^0-9.\-]', '', 'g') ELSE text END AS read, conf < 70 AND coalesce(fb, -1) > conf AS better
+  FROM grid g LEFT JOIN kinds n ON n.doc_id = g.doc_id AND n.col_idx = g.i
+), cleaned AS (SELECT *, {cell_sql('read', 'kind')} AS first, {cell_sql('CASE WHEN better THEN again ELSE read END', 'kind')} AS second FROM typed),
+state AS (
+  SELECT doc_id, row_idx, count(*) FILTER (len({trim_sql('first')}) > 1) = 0 AS noise, count(*) FILTER (len({trim_sql('first')}) > 1) = 0 OR sum(conf) / CAST(any_value(width) AS DOUBLE) < 75 AS weak, bool_or(better) AS better
+  FROM cleaned GROUP BY doc_id, row_idx HAVING count(*) FILTER ({trim_sql('read')} <> '') > 0
+)
+SELECT c.doc_id, c.row_idx, string_agg(CASE WHEN NOT weak THEN first WHEN s.better THEN second ELSE read END, '¦' ORDER BY i) AS cells, round(sum(CASE WHEN weak AND c.better THEN fb ELSE conf END) / CAST(any_value(width) AS DOUBLE), 6) AS confidence,
+  c.row_idx < 4 AND (c.doc_id, c.row_idx) IN (SELECT (doc_id, row_idx) FROM classified WHERE region = 'header') AS is_header,
+  trim(CASE WHEN any_value(weak AND noise) THEN 'Corrected: Row appears to be visual noise or separator line | ' ELSE '' END || CASE WHEN any_value(weak AND s.better) THEN 'Healed low-confidence cells using fallback model.' ELSE '' END) AS heal_note
+FROM cleaned c JOIN state s ON s.doc_id = c.doc_id AND s.row_idx = c.row_idx GROUP BY c.doc_id, c.row_idx""",
 }

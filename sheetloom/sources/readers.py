@@ -12,9 +12,9 @@ KINDS = {"image/jpeg": "FFD8FF", "image/png": "89504E470D0A1A0A", "image/webp":
 
 
 def read_roster(spark: SparkSession, path: str, schema: str = ROSTER) -> DataFrame:
-    """CSV with a header; every value is text and blank lines are skipped. Columns are matched to the header by name, so the
+    """CSV with a header; every value is text, quotes within one are doubled, and blank lines are skipped. Columns are matched to the header by name, so the
     order in the file is free; columns that the schema does not name are dropped, absent ones are null."""
-    found = spark.read.option("header", True).option("multiLine", True).csv(path)
+    found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     wanted = [f.strip().split(" ")[0] for f in schema.split(",")]
     return found.select(*(F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in wanted))
 

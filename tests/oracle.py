@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _value(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or str(v) == "<NA>" or (isinstance(v, float) and math.isnan(v)):
         return "~"
     if isinstance(v, bool):
         return str(int(v))

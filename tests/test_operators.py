@@ -34,6 +34,50 @@ def test_character_rules(spark):
     assert got == ["0 5", "55 55 87", "1 9", "a  b", "", "x-y"]
 
 
+def plain_rules(x):
+    word = lambda i: 0 <= i < len(x) and (x[i].isascii() and (x[i].isalnum() or x[i] == "_"))
+    edge = lambda i: word(i - 1) != word(i)
+    digit = lambda i: 0 <= i < len(x) and x[i] in "0123456789"
+    space = " \t\n\x0b\f\r"
+
+    def digit_after(i):
+        while i < len(x) and x[i] in space:
+            i += 1
+        return digit(i)
+
+    def digit_before(i):
+        n = 0
+        while i > 0 and x[i - 1] in space and n < 9:
+            i, n = i - 1, n + 1
+        return digit(i - 1)
+
+    def put(holds, to):
+        return "".join(to if holds(i) else c for i, c in enumerate(x))
+
+    alone = lambda i: edge(i) and edge(i + 1)
+    for holds, to in (
+        (lambda i: x[i] == "O" and alone(i) and digit_after(i + 1), "0"), (lambda i: x[i] == "O" and edge(i + 1) and digit_before(i), "0"), (lambda i: x[i] in "lL" and alone(i) and digit_after(i + 1), "1"),
+        (lambda i: x[i] == "S" and edge(i) and digit(i + 1), "5"), (lambda i: x[i] == "S" and edge(i + 1) and digit(i - 1), "5"), (lambda i: x[i] == "B" and edge(i) and digit(i + 1), "8"),
+        (lambda i: x[i] == "B" and edge(i + 1) and digit(i - 1), "8"), (lambda i: x[i] == "l" and alone(i), "1"), (lambda i: x[i] == "|" and digit_after(i + 1), "1"),
+    ):
+        x = put(holds, to)
+    x, out, i = x.replace("—", "-"), "", 0
+    while i < len(x):
+        n = len(x[i:]) - len(x[i:].lstrip("|"))
+        out, i = (out + "|" * (n == 1), i + n) if n else (out + x[i], i + 1)
+    return "" if out and not out.strip(space + "|[].") else out
+
+
+def test_character_rules_against_plain_ones(spark):
+    import random
+
+    r = random.Random(50)
+    texts = ["".join(r.choice("OlLSB||0179 a—[]._\t") for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.apply_character_rules("t").alias("c")).collect()
+    wrong = [(texts[g["i"]], g["c"], plain_rules(texts[g["i"]])) for g in got if g["c"] != plain_rules(texts[g["i"]])]
+    assert not wrong, wrong[:5]
+
+
 def test_rounding_and_display(spark):
     assert value(spark, T.round_half_up(F.lit(-0.5))) == 0
     assert value(spark, T.display(F.lit(""))) == "-"
