@@ -147,7 +147,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, group: int = GROU
     runs = scratch.write(docs.mapInArrow(_runs(length), "doc_id long, row long, start long, n int, minimizer long, bytes long, distance int"), "runs")
     shared = runs.groupBy("minimizer").agg(F.count("*").alias("n"), (F.min("bytes") < F.max("bytes")).alias("mixed")).filter("n > 1")
     shared = scratch.write(shared, "shared")
-    hits = scratch.write(spread_join(runs, shared.select("minimizer", "mixed"), ["minimizer"], counts=shared.select("minimizer", "n")), "hits")
+    hits = scratch.write(spread_join(runs, shared.select("minimizer", "mixed"), ["minimizer"], counts=shared.select("minimizer", "n"), hint="merge"), "hits")
     scratch.drop("runs")
     scratch.drop("shared")
     whole = hits.filter("not mixed")
@@ -175,7 +175,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, group: int = GROU
     if settled is not None:
         parts = parts.unionByName(settled)
     copies = distinct.filter("copies > 1").select("minimizer", "bytes", F.col("copies").alias("n"))
-    copied = spread_join(mixed, copies.drop("n"), ["minimizer", "bytes"], "left_semi", copies)
+    copied = spread_join(mixed, copies.drop("n"), ["minimizer", "bytes"], "left_semi", copies, "merge")
     full = whole.select("doc_id", "row", "start", "n").union(copied.select("doc_id", "row", "start", "n"))
     spans = full.select("doc_id", "row", F.col("start").alias("first_byte"), (F.col("start") + F.col("n") + (length - 1)).alias("end_byte")).union(parts)
     spans = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first_byte", "end_byte")).alias("spans"))

@@ -55,22 +55,24 @@ class Scratch:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
-def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None, hint: str | None = None) -> DataFrame:
     """rows.join(table, keys, how) for a table of few rows a key, where one key may hold most of the rows: the rows of a
     heavy key are dealt over SALTS tasks, and the table's rows of it go to each of these. counts: keys and n, of the keys
-    that more than one row holds; else `rows`, which should be a written table, is counted first."""
+    that more than one row holds; else `rows`, which should be a written table, is counted first. hint: of the join; with
+    "merge" it is the same join at every size."""
+    hinted = lambda df: df.hint(hint) if hint else df
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     heavy = counts.filter(F.col("n") > total // HEAVY).select(*keys).collect()  # fewer than HEAVY by their definition
     if not heavy:
-        return rows.join(table, keys, how)
+        return rows.join(hinted(table), keys, how)
     marked = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema).withColumn("heavy__", F.lit(True)))
     salt = F.when(F.col("heavy__"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
     every = F.explode(F.when(F.col("heavy__"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
     left = rows.join(marked, keys, "left").withColumn("salt__", salt).drop("heavy__")
     right = table.join(marked, keys, "left").withColumn("salt__", every).drop("heavy__")
-    return left.join(right, [*keys, "salt__"], how).drop("salt__")
+    return left.join(hinted(right), [*keys, "salt__"], how).drop("salt__")
 
 
 def ascii_lower(column):
