@@ -25,33 +25,31 @@ SCHEMA = (
 
 
 class Phrases:
-    """The windows of a part of the benchmark over its own vocabulary: symbols from 2 on, 1 for any other word."""
+    """The windows of a part of the benchmark over its own vocabulary: symbols from 2 on, 1 for any other word; and the items
+    (numbers of `names`, in order of text) that own each, one run of numbers after the other."""
 
     def __init__(self, items: list[str], texts: list[str | None], window: int):
-        vocabulary, rows, owners = [np.zeros(0, np.uint64)], [], []
+        self.names = sorted(set(items))
+        number = np.searchsorted(np.array(self.names, object), np.array(items, object)) if items else np.zeros(0, np.int64)
+        hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for block in blocks(pa.array(texts, pa.string())):
-            _, _, first, hashes = words(block, ALNUM)
-            vocabulary.append(hashes)
-            for k in range(len(first) - 1):
-                own = hashes[first[k] : first[k + 1]]
-                for i in range(max(1, len(own) - window + 1) if len(own) else 0):
-                    rows.append(own[i : i + window])
-                    owners.append(items[block.first + k])
-        self.vocabulary = np.unique(np.concatenate(vocabulary))
-        found: dict[bytes, int] = {}
-        self.owners: list[set[str]] = []
-        kept = []
-        for row, owner in zip(rows, owners, strict=True):
-            k = found.setdefault(row.tobytes(), len(found))
-            if k == len(self.owners):
-                self.owners.append(set())
-                kept.append(row)
-            self.owners[k].add(owner)
-        self.lengths = np.array([len(r) for r in kept], np.int64)
-        self.patterns = np.zeros((len(kept), window), np.int32)
-        for k, r in enumerate(kept):
-            self.patterns[k, : len(r)] = self.symbols(r)
+            _, _, first, own = words(block, ALNUM)
+            hashes.append(own)
+            sizes.append(np.diff(first))
+        flat, size = np.concatenate(hashes), np.concatenate(sizes)
+        self.vocabulary = np.unique(flat)
         self.n_symbols = len(self.vocabulary) + 2
+        n_windows = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        item = np.repeat(np.arange(len(size)), n_windows)
+        starts = np.arange(len(item)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + (np.cumsum(size) - size)[item]
+        lengths = np.minimum(size, window)[item]
+        at = np.arange(window, dtype=np.int32)
+        symbols = np.append(self.symbols(flat), np.zeros(window, np.int32))
+        patterns = np.where(at < lengths[:, None], symbols[starts[:, None] + at], np.int32(0))
+        self.patterns, back = np.unique(patterns, axis=0, return_inverse=True) if len(patterns) else (patterns, item)
+        self.lengths = np.count_nonzero(self.patterns, axis=1)
+        owned = np.unique(np.stack([back.ravel(), number[item]], 1).astype(np.int64), axis=0)
+        self.owners, self.owned_from = owned[:, 1], np.searchsorted(owned[:, 0], np.arange(len(self.patterns) + 1))
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -86,9 +84,11 @@ def _shard(block, phrases: Phrases):
             found = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, which], 1), axis=0)
     covered = np.cumsum(hit)[:n] > 0
     before = np.concatenate([[0], np.cumsum(covered)])
-    items: list[set[str]] = [set() for _ in range(n_texts)]
-    for text, k in found.tolist():
-        items[text] |= phrases.owners[k]
+    items: list[list[str]] = [[] for _ in range(n_texts)]
+    n_owners = np.diff(phrases.owned_from)[found[:, 1]]
+    owner = np.arange(n_owners.sum()) - np.repeat(np.cumsum(n_owners) - n_owners - phrases.owned_from[found[:, 1]], n_owners)
+    for text, k in np.unique(np.stack([np.repeat(found[:, 0], n_owners), phrases.owners[owner]], 1), axis=0).tolist():
+        items[text].append(phrases.names[k])
     opens = covered.copy()
     opens[1:] &= ~covered[:-1]
     shuts = covered.copy()
@@ -101,7 +101,7 @@ def _shard(block, phrases: Phrases):
         text = int(np.searchsorted(first, a, "right")) - 1
         base = int(block.bounds[text])
         spans[text].append({"first_word": a - int(first[text]), "last_word": b - int(first[text]), "first_byte": int(starts[a]) - base, "end_byte": int(ends[b]) - base})
-    return np.diff(first), before[first[1:]] - before[first[:-1]], [sorted(s) for s in items], spans
+    return np.diff(first), before[first[1:]] - before[first[:-1]], items, spans
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -115,8 +115,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Returns one row for each row of `documents`: doc_id, n_words, n_hit, items (ids as text, sorted) and spans (in
     words, and bytes of the UTF-8 text). A null text has no words; a null id stays null; rows that share an id are
-    judged one by one, with a benchmark in parts too: rows alike in id and text are counted there and come out as often. Items with a null id, a
-    null text or no words have no windows; rows that share an item id pool their windows. Other columns are ignored.
+    judged one by one, with a benchmark in parts too: rows alike in id and text are counted there and come out as often.
+    Items with a null id, a null text or no words have no windows; rows that share an item id pool their windows; a
+    window that several items hold counts for each. Ids of documents are taken as long. An empty table of documents gives
+    no rows, an empty benchmark no hits. A text is held whole by its task. Other columns are ignored.
     """
     items = _parts(benchmark, part_bytes)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
