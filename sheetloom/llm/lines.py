@@ -40,20 +40,20 @@ def _ranked(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> Da
     parts = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))  # one row a part
     before = F.sum("n").over(Window.partitionBy("part").orderBy(*keys)) - F.col("n")
     ranks = placed.withColumn("before", before).join(parts, "part").select(*keys, (F.col("base") + F.col("before")).alias("rank"))
-    done = scratch.write(spread_join(rows, ranks, keys, counts=placed.select(*keys, "n")).drop(*keys), f"rank-{name}")
+    done = scratch.write(spread_join(rows, ranks, keys, counts=placed.select(*keys, "n"), hint="merge").drop(*keys), f"rank-{name}")
     scratch.drop(f"class-{name}")
     return done
 
 
 def line_ranks(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """The rounds of prefix doubling: table j ranks the suffixes (doc, row, pos) by their first 2**j lines, of those whose
+    """The rounds of prefix doubling (all joins are merge joins, so no table passes through the driver at any size): table j ranks the suffixes (doc, row, pos) by their first 2**j lines, of those whose
     2**j lines begin another suffix too. It ends when no suffix is tied with another, so the ranks reach the full depth
     of the suffix array."""
     rounds = [_ranked(lines.select(*_DOC, "pos", "line"), ["line"], scratch, "0")]
     while not rounds[-1].isEmpty():
         last, step = rounds[-1], 1 << len(rounds) - 1
         below = last.select(*_DOC, (F.col("pos") - step).alias("pos"), F.col("rank").alias("r2"))
-        pairs = scratch.write(last.withColumnRenamed("rank", "r1").join(below, [*_DOC, "pos"]), f"pairs-{len(rounds)}")
+        pairs = scratch.write(last.withColumnRenamed("rank", "r1").join(below.hint("merge"), [*_DOC, "pos"]), f"pairs-{len(rounds)}")
         rounds.append(_ranked(pairs, ["r1", "r2"], scratch, str(len(rounds))))
         scratch.drop(f"pairs-{len(rounds) - 1}")
     return rounds[:-1]
@@ -67,7 +67,7 @@ def common_lines(pairs: DataFrame, rounds: list[DataFrame], scratch: Scratch) ->
         one = rounds[j].select(*_DOC, F.col("pos").alias("at"), "rank")
         two = rounds[j].select(F.col("doc").alias("doc2"), F.col("row").alias("row2"), F.col("pos").alias("at2"), F.col("rank").alias("rank2"))
         out = out.withColumns({"at": F.col("pos") + F.col("common"), "at2": F.col("pos2") + F.col("common")})
-        out = out.join(one, [*_DOC, "at"], "left").join(two, ["doc2", "row2", "at2"], "left")
+        out = out.join(one.hint("merge"), [*_DOC, "at"], "left").join(two.hint("merge"), ["doc2", "row2", "at2"], "left")
         out = out.withColumn("common", F.col("common") + F.when(F.col("rank") == F.col("rank2"), 1 << j).otherwise(0)).drop("at", "at2", "rank", "rank2")
         if j % 4 == 0:
             out = scratch.write(out, f"common-{j}")
@@ -79,18 +79,18 @@ def repeated_runs(lines: DataFrame, scratch: Scratch) -> DataFrame:
     rounds = line_ranks(lines, scratch)
     if not rounds:
         return lines.select(*_DOC, "pos", F.lit(0).alias("common")).limit(0)
-    starts = lines.filter("k is not null").select(*_DOC, "pos", "k").join(rounds[0], [*_DOC, "pos"])
+    starts = lines.filter("k is not null").select(*_DOC, "pos", "k").join(rounds[0].hint("merge"), [*_DOC, "pos"])
     # the suffixes that share k lines at least are an interval of the suffix array, named by the ranks of its first and last
     # 2**j lines
     intervals = starts.filter("k = 1").select(*_DOC, "pos", "k", F.col("rank").alias("a"), F.col("rank").alias("b"))
     for j in range(1, len(rounds)):
         some = starts.filter(F.col("k").between(1 << j, (2 << j) - 1)).drop("rank").withColumn("at", F.col("pos") + F.col("k") - (1 << j))
         ends = rounds[j].select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("b"))
-        some = some.join(rounds[j].withColumnRenamed("rank", "a"), [*_DOC, "pos"]).join(ends, [*_DOC, "at"])
+        some = some.join(rounds[j].withColumnRenamed("rank", "a").hint("merge"), [*_DOC, "pos"]).join(ends.hint("merge"), [*_DOC, "at"])
         intervals = intervals.unionByName(some.select(*_DOC, "pos", "k", "a", "b"))
     intervals, keys, place = scratch.write(intervals, "intervals"), ["k", "a", "b"], F.struct(*_DOC, "pos")
     firsts = scratch.write(intervals.groupBy(*keys).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "firsts")
-    later = spread_join(intervals, firsts.select(*keys, "first"), keys, counts=firsts.select(*keys, "n")).filter(place != F.col("first"))
+    later = spread_join(intervals, firsts.select(*keys, "first"), keys, counts=firsts.select(*keys, "n"), hint="merge").filter(place != F.col("first"))
     later = later.select(*_DOC, "pos", F.col("first.doc").alias("doc2"), F.col("first.row").alias("row2"), F.col("first.pos").alias("pos2"))
     # where the lines above match as well, the run above holds this one
     order = Window.partitionBy(*_DOC).orderBy("pos")

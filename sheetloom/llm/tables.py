@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 
 #: A key is heavy if it holds more than one in HEAVY of all rows, so there are fewer than HEAVY such keys, and is dealt
-#: over SALTS tasks.
-HEAVY, SALTS = 256, 32
+#: over SALTS tasks. Keys of LEAST_HEAVY rows or fewer need no dealing.
+HEAVY, SALTS, LEAST_HEAVY = 256, 32, 500
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,10 +63,10 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "
     hinted = lambda df: df.hint(hint) if hint else df
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    heavy = counts.filter(F.col("n") > total // HEAVY).select(*keys).collect()  # fewer than HEAVY by their definition
-    if not heavy:
+    most, total = counts.agg(F.max("n"), F.sum("n")).first()
+    if most is None or most <= max(LEAST_HEAVY, total // HEAVY):
         return rows.join(hinted(table), keys, how)
+    heavy = counts.filter(F.col("n") > total // HEAVY).select(*keys).collect()  # fewer than HEAVY by their definition
     marked = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema).withColumn("heavy__", F.lit(True)))
     salt = F.when(F.col("heavy__"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
     every = F.explode(F.when(F.col("heavy__"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
