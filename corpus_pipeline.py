@@ -1,4 +1,7 @@
-"""Documents to token blocks in stages, each of which calls one operator on all that its predecessor kept."""
+"""Documents to token blocks in stages, each of which calls one operator on all that its predecessor kept.
+
+Every stage takes an empty table (and gives one), null ids and texts, texts of any length, and further columns of any name,
+which all stages but the last hand on as they are. What each makes of nulls, ties and repeated rows stands at its head."""
 
 from __future__ import annotations
 
@@ -22,7 +25,8 @@ TARGETS = {"good": 0.98, "low": 0.02}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a probability below TOXIC, learned from the labels outside the held-out fold."""
+    """Documents of a probability below TOXIC, learned from the labels outside the held-out fold. A row is judged by its
+    text alone: repeated rows stay or go together, a null text counts as an empty one, and one of exactly TOXIC goes."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     return score_toxicity(docs, labels).filter(F.col("toxicity") < TOXIC).select(*docs.columns)
 
@@ -40,18 +44,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark window occurs."""
+    """Documents in which no benchmark window occurs. Each row is judged by itself; null and empty texts stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, so that domains have their target shares of tokens."""
+    """Each document as often as its rate says, so that domains have their target shares of tokens. Rows alike in id and
+    text have one rate and one hash, so they stay, go or double together; a null or empty text has no tokens and the rate of
+    the prior shares."""
     labels = label_domains(table(spark, sf_dir, "labels").filter("coalesce(toxic, 0) = 0"), with_toxic=False)
     return sample(docs, mix(docs, labels, TARGETS))
 
 
 def to_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the files written."""
+    """doc_id, start, n_tokens and ids_crc32 of each row, read back from the files written: ascending ids, null ones first,
+    rows of one id in any order. A null or empty text is the end id alone."""
     path = Scratch(spark, "token-files").root
     write_tokens(docs, tokenizer_path(), path)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
