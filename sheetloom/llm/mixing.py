@@ -99,7 +99,8 @@ def mix(documents: DataFrame, labelled: DataFrame, targets: dict[str, float]) ->
 
     labelled: doc_id, domain; nulls teach nothing, and of several domains for an id the first in order counts. A domain
     without a target has target 0; one without labelled rows is left out. A null text has no tokens and the priors as
-    its posterior; null ids stay null; repeated rows have one rate and count each. Other columns are ignored.
+    its posterior; null ids stay null; repeated rows have one rate and count each. An empty table gives no rows; without
+    labels, or with targets of 0 alone, all rates are 1. Ids are taken as long. Other columns are ignored.
     DataFrame functions alone."""
     scratch = Scratch(documents.sparkSession, "mixing")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -119,7 +119,9 @@ def score_quality(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
 
     labels: doc_id, quality; rows with a null in either teach nothing, and of several rows for an id the largest label
     counts. About `fit_rows` labelled rows at most are fitted on. A null text scores as an empty one, repeated rows are
-    scored each, and a null id stays null. Other columns are ignored."""
+    scored each, and a null id stays null. Without labels of both kinds all texts score alike. N-grams of one hash bucket
+    count as one. An empty table gives no rows. Ids are taken as long. A text is held whole by its task. Other columns are
+    ignored."""
     shared = documents.sparkSession.sparkContext.broadcast(quality_model(documents, labels, fit_rows))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,7 +138,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, group: int = GROU
     Texts are whole UTF-8 texts; a null text is empty; matches stay within a document, overlaps count, and strings are
     judged on the input. Returns one row for each row of `documents`: doc_id, n_bytes, n_removed, spans (maximal removed
     runs, as array of first and end byte), kept (remaining bytes). Rows that repeat another, its id included, count as
-    further documents; a null id stays null. Other columns are ignored.
+    further documents; a null id stays null. All copies of a string go, so there are no ties. Texts are searched in pieces
+    of PIECE_BYTES. An empty table gives no rows. Ids are taken as long. Other columns are ignored.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "substrings")

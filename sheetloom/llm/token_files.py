@@ -131,13 +131,15 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, out_path: str, end_i
       bit first) and offsets (32-bit little-endian bit offsets of every 1024th id). A block holds whole documents of
       about `block_ids` ids and is decoded by itself.
 
-    Parts, blocks and the documents in them ascend by doc_id; null ids come first, rows of one id in any order. A null
-    text is empty and gives the end id alone. Other columns are ignored.
+    Parts, blocks and the documents in them ascend by doc_id; null ids come first, rows of one id in any order, each row is
+    a document. A null or empty text gives the end id alone. Of equally frequent ids the smaller has the earlier code. An
+    empty table gives files without rows. Ids are taken as long. A document is never cut, so a long text makes a block of
+    its own size. The vocabulary file is read by the driver and sent to the tasks. Other columns are ignored.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "tokens")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokenizer = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())  # one vocabulary file, which executors need not hold
+    tokenizer = spark.sparkContext.broadcast(Path(tokenizer_path).read_text(encoding="utf-8"))  # one vocabulary file, which executors need not hold
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer.value, end_id)

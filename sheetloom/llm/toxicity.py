@@ -257,7 +257,9 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_
     labels: doc_id, toxic; rows with a null in either teach nothing, and of several rows for an id the largest label
     counts. Terms (words and stems) weigh the logarithm of their rate ratio; the sum is set against the length of the text, and a curve
     gives the probability of the label. A null text scores as an empty one. Repeated rows are scored each. A column
-    called toxicity is replaced."""
+    called toxicity is replaced, and others keep their names and values. Of terms that fit at one place the longest counts,
+    a word before a stem. Without labels of both kinds nothing is learned and all texts score alike. An empty table gives
+    no rows. Texts are scored one at a time, so a long one needs memory for itself alone."""
     lexicon, curve = toxicity_model(documents, labels, fit_rows)
     keep = [c for c in documents.columns if c != "toxicity"]
     if "text" not in keep:
