@@ -29,11 +29,11 @@ PLACE_BITS = 23
 PIECE_BYTES = 1 << 20
 #: Bytes of segments that are built up together.
 COLLECTION_BYTES = 2 << 20
-#: Distinct segments that one minimizer may bring together. Those of a larger group are cut by columns, one of equal
-#: pieces is kept, and these are dealt by the bytes that all windows of a cut hold. Where more different pieces than
-#: this hold the same bytes, their windows are counted one by one, so that no group grows with the input.
-GROUP = 8192
-CUT = 16
+#: Distinct segments that one minimizer may bring together (some 10 MB). Those of a larger group are cut in two: windows
+#: that begin far before the minimizer, and others. Pieces are dealt by the bytes that all windows of a half can hold,
+#: which are more than half a window, and one of equal ones is kept. Where more different pieces than this hold the same
+#: bytes, their windows are counted one by one, so that no group grows with the input.
+GROUP = 32_768
 
 _PLACE = np.uint64((1 << PLACE_BITS) - 1)
 _KEY = np.random.default_rng(16).integers(1, 1 << 63, 1, dtype=np.uint64)
@@ -240,6 +240,8 @@ def _cut(length: int):
     names = ["doc_id", "row", "start", "n", "first", "lone", "key", "bytes"]
     schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()], strict=True)))
 
+    width = (length - GRAM) // 2 + 1
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
@@ -255,10 +257,11 @@ def _cut(length: int):
                     if p["large"]:
                         pieces = []
                         while n:
-                            k = min(n, CUT - first % CUT)
-                            core = raw[a + (first // CUT + 1) * CUT - first - 1 : a - first + first // CUT * CUT + length]
+                            half = (first - 1) // width  # columns half * width + 1 to (half + 1) * width
+                            k = min(n, (half + 1) * width - first + 1)
+                            core = raw[a - first + (half + 1) * width : a - first + half * width + 1 + length]
                             own = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=key.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                            pieces.append((a, k, first, own ^ (first // CUT)))
+                            pieces.append((a, k, first, own ^ half))
                             a, n, first = a + k, n - k, first + k
                     for a, n, first, key in pieces:
                         x = raw[a : a + n + length - 1]
