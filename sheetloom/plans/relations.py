@@ -5,6 +5,7 @@ Every builder has a fragment of the same name in SQL, so that a query and its SQ
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own where driver and executors can write: below spark.checkpoint.dir, else in the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder of its own where driver and executors can write: below spark.checkpoint.dir, else a temporary one in local
+    mode and one in the warehouse on a cluster."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    shared = shared or (tempfile.gettempdir() if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
