@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,11 +18,15 @@ HEAVY, SALTS, LEAST_HEAVY = 256, 32, 500
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or that of SparkContext.setCheckpointDir; where neither is set, one in the
-    warehouse, which driver and executors share too. No setting is changed."""
+    """The folder of spark.checkpoint.dir, or that of SparkContext.setCheckpointDir. Where neither is set: in local mode a
+    temporary folder of the application, on a cluster one in the warehouse, which driver and executors share. No setting
+    is changed."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_sheetloom").rstrip("/")
+    if not folder:
+        local = context.master.startswith("local")
+        folder = f"{tempfile.gettempdir()}/sheetloom-{context.applicationId}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_sheetloom"
+    return folder.rstrip("/")
 
 
 class Scratch:
