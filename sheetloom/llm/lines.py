@@ -32,15 +32,12 @@ def line_table(documents: DataFrame, least: int) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """The rows whose keys others have too, with their rank: how many suffixes stand before the first of these keys. Keys
-    are dealt by range, so no task holds more than its range, and the suffixes of one key are one row there."""
+    """The rows whose keys others have too, with their rank, which is in the order of the keys. Keys are dealt by range, so no
+    task holds more than its range, and the suffixes of one key are one row there."""
     classes = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
-    placed = scratch.write(classes.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), f"class-{name}")
-    parts = placed.groupBy("part").agg(F.sum("n").alias("size"))
-    parts = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base"))  # one row a part
-    before = F.sum("n").over(Window.partitionBy("part").orderBy(*keys)) - F.col("n")
-    ranks = placed.withColumn("before", before).join(parts, "part").select(*keys, (F.col("base") + F.col("before")).alias("rank"))
-    done = scratch.write(spread_join(rows, ranks, keys, counts=placed.select(*keys, "n"), hint="merge").drop(*keys), f"rank-{name}")
+    ordered = classes.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranks = scratch.write(ordered.withColumn("rank", F.monotonically_increasing_id()), f"class-{name}")  # ascends over the ranges
+    done = scratch.write(spread_join(rows, ranks.drop("n"), keys, counts=ranks.select(*keys, "n"), hint="merge").drop(*keys), f"rank-{name}")
     scratch.drop(f"class-{name}")
     return done
 
