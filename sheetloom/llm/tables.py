@@ -72,11 +72,11 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "
     if most is None or most <= max(LEAST_HEAVY, total // HEAVY):
         return rows.join(hinted(table), keys, how)
     heavy = counts.filter(F.col("n") > total // HEAVY).select(*keys).collect()  # fewer than HEAVY by their definition
-    marked = F.broadcast(rows.sparkSession.createDataFrame(heavy, rows.select(*keys).schema).withColumn("heavy__", F.lit(True)))
-    salt = F.when(F.col("heavy__"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int")
-    every = F.explode(F.when(F.col("heavy__"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    left = rows.join(marked, keys, "left").withColumn("salt__", salt).drop("heavy__")
-    right = table.join(marked, keys, "left").withColumn("salt__", every).drop("heavy__")
+    kinds = {f.name: f.dataType for f in rows.schema}
+    listed = F.array(*(F.struct(*(F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(keys, row, strict=True))) for row in heavy))
+    is_heavy = F.array_contains(listed, F.struct(*keys))
+    left = rows.withColumn("salt__", F.when(is_heavy, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
+    right = table.withColumn("salt__", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(hinted(right), [*keys, "salt__"], how).drop("salt__")
 
 
