@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .tables import Scratch, groups
+from .tables import Scratch, groups, spread_join
 
 #: Vectors for each pivot, on average; with more than PIVOTS pivots at this rate, fewer are taken.
 CELL = 2000
@@ -32,7 +32,8 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98, cell: int =
     they are broadcast. Each vector belongs to the cell of its nearest pivot, and is copied to each other cell that could
     hold a vector within r: by the triangle inequality its distance to that pivot exceeds the nearest by 2r at most, and
     the plane half way between the two pivots is within r. Cells join independently, `block` vectors by `block` at a
-    time. Links are counted where the first vector belongs; of each block only the connections are passed on.
+    time. Links are counted where the first vector belongs; of each block only the connections are passed on. Equal
+    vectors of a label are one class, which enters once with its number of members, so that copies make no pairs.
 
     Returns one row for each row: vec_id, n_links, component_id (smallest vec_id reached), kept (vec_id =
     component_id). Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label
@@ -47,8 +48,10 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98, cell: int =
     vectors = vectors.groupBy("vec_id", "label", "embedding").agg(F.count("*").alias("copies"))
     big = F.lit(float("inf"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (x < big) & (x > -big)) & F.exists("embedding", lambda x: x != 0)
-    vectors = scratch.write(vectors.withColumn("row", F.xxhash64("vec_id", "label", "embedding")), "vectors")
-    valid = vectors.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)))
+    compared = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
+    vectors = scratch.write(vectors.withColumn("row", F.when(compared, F.xxhash64("label", "embedding"))), "vectors")
+    valid = vectors.filter("row is not null").groupBy("row", "label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("members"))
+    valid = scratch.write(valid, "valid")
     every = max(cell, math.ceil(valid.count() / pivots))
     chosen: dict[tuple, list] = {}
     for r in valid.filter(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("label", "embedding").collect():  # about `pivots` rows at most
@@ -78,18 +81,18 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98, cell: int =
                     own = where == nearest[there]
                 pick = pa.array(rows[there])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").take(pick), pa.array(np.full(len(there), key[1], np.int32)), pa.array(where.astype(np.int32)), pa.array(own), batch.column("vec_id").take(pick), batch.column("row").take(pick), pa.array([v.tobytes() for v in raw[there]], pa.binary())],
-                    ["label", "dims", "pivot", "own", "vec_id", "row", "vector"],
+                    [batch.column("label").take(pick), pa.array(np.full(len(there), key[1], np.int32)), pa.array(where.astype(np.int32)), pa.array(own), batch.column("vec_id").take(pick), batch.column("row").take(pick), batch.column("members").take(pick), pa.array([v.tobytes() for v in raw[there]], pa.binary())],
+                    ["label", "dims", "pivot", "own", "vec_id", "row", "members", "vector"],
                 )
 
     at = ["label", "dims", "pivot"]
-    assigned = scratch.write(valid.select("label", "vec_id", "row", "embedding").mapInArrow(assign, "label string, dims int, pivot int, own boolean, vec_id long, row long, vector binary"), "assigned", "lz4")
+    assigned = scratch.write(valid.select("label", "vec_id", "row", "members", "embedding").mapInArrow(assign, "label string, dims int, pivot int, own boolean, vec_id long, row long, members long, vector binary"), "assigned", "lz4")
     sizes = assigned.groupBy(*at).agg(F.ceil(F.count_if("own") / block).cast("int").alias("n_own"), F.ceil(F.count("*") / block).cast("int").alias("n_all")).filter("n_own > 0")
     placed = assigned.join(sizes, at)
     slot = lambda n: F.pmod(F.xxhash64("row", "own"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    first = placed.filter("own").withColumn("i", slot("n_own")).select(*at, "i", upto("n_all").alias("j"), F.lit(True).alias("side"), "vec_id", "row", "vector")
-    second = placed.withColumn("j", slot("n_all")).select(*at, upto("n_own").alias("i"), "j", F.lit(False).alias("side"), "vec_id", "row", "vector")
+    first = placed.filter("own").withColumn("i", slot("n_own")).select(*at, "i", upto("n_all").alias("j"), F.lit(True).alias("side"), "vec_id", "row", "members", "vector")
+    second = placed.withColumn("j", slot("n_all")).select(*at, upto("n_own").alias("i"), "j", F.lit(False).alias("side"), "vec_id", "row", "members", "vector")
     dealt = first.unionByName(second).repartition(*at, "i", "j").sortWithinPartitions(*at, "i", "j")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,16 +121,27 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98, cell: int =
                     break
                 left, right = left_now, right_now
             node, least = np.concatenate([mine, theirs]), np.concatenate([left, right])
-            count = np.concatenate([links.sum(1), np.zeros(len(theirs), np.int64)])
+            members = t.column("members").to_numpy()[b[other]]
+            count = np.concatenate([(links * members).sum(1), np.zeros(len(theirs), np.int64)])
             row = np.concatenate([rows[a[some]], rows[b[other]]])
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(node), pa.array(least), pa.array(count.astype(np.int64))], ["row", "node", "least", "n"])
 
     found = scratch.write(dealt.mapInArrow(join, "row long, node long, least long, n long"), "found")
     scratch.drop("assigned")
-    counts = found.groupBy("row").agg(F.sum("n").alias("n_links"))
-    parts = connected_components(found.select(F.col("node").alias("u"), F.col("least").alias("v")), scratch)
-    out = vectors.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("vec_id", "row").join(counts, "row", "left").join(parts.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    # classes stand for their members; an id of several rows joins its classes
+    several = vectors.filter("vec_id is not null").groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id")
+    several = scratch.write(vectors.select("vec_id", "row").join(several, "vec_id", "left_semi"), "several")
+    ids = several.join(valid.select("row", F.col("vec_id").alias("v")), "row").select(F.col("vec_id").alias("u"), "v")
+    parts = connected_components(found.select(F.col("node").alias("u"), F.col("least").alias("v")).union(ids), scratch)
+    parts = parts.select(F.col("node").alias("vec_id"), "component")
+    others = valid.filter("members > 1").select("row", F.col("vec_id").alias("node"), (F.col("members") - 1).alias("n"))
+    linked = found.select("row", "node", "n").union(others).groupBy("row").agg(F.min("node").alias("vec_id"), F.sum("n").alias("n_links"))
+    linked = linked.join(parts, "vec_id", "left").select("row", "n_links", F.coalesce("component", "vec_id").alias("component"))
+    shared_ids = several.select("vec_id").distinct().join(parts.withColumnRenamed("component", "by_id"), "vec_id")
+    out = spread_join(vectors.select("vec_id", "row", "copies"), linked, ["row"], "left").join(shared_ids, "vec_id", "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("by_id", "component", "vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:

@@ -123,6 +123,7 @@ def test_near_vectors(spark):
     random = np.random.default_rng(5)
     base = random.normal(size=(30, 8))
     data = [(i, (base[i % 30] + random.normal(size=8) * (0.03 if i % 2 else 0.3)).tolist(), i % 3) for i in range(240)]
+    data += [(600 + i, data[9][1], 0) for i in range(70)] + [(100, data[9][1], 0), (700, data[7][1], 2), (2, data[9][1], None), (699, [1.0, None] * 4, 2)]
     data += [(500, None, 1), (501, [0.0] * 8, 1), (502, [1.0, None] * 4, 1), (503, [float("nan")] * 8, 1), (504, data[3][1], None), (505, [], 1), (506, [float("inf")] * 8, 0), (507, base[0].tolist()[:4], 0), (None, data[1][1], 1), (3, data[3][1], 0), (3, data[6][1], 0), (508, (np.array(data[9][1]) * 1e200).tolist(), 0), data[5], data[5], (None, data[1][1], 1)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumns({"row": F.lit(1), "pivot": F.lit(2)})
     distinct = list(dict.fromkeys((i, None if e is None else tuple(e), lab) for i, e, lab in data))
