@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +54,16 @@ def _folding() -> dict[int, str]:
 
 _FOLD = _folding()
 _SIGN = re.compile(r"(?<=[^\W_])[@$!|€](?=[^\W_])")
+#: Signs at a word's beginning or end, and several in a row within it, which may be letters or marks.
+_EDGE = re.compile(r"[@$€]+(?=[^\W\d_])|(?<=[^\W\d_])[@$€]+|(?<!\S)!(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def fold(text: str) -> str:
-    """Text with look-alikes, accents, digits and signs within words brought to plain lower-case letters."""
+def fold(text: str, edges: bool = False) -> str:
+    """Text with look-alikes, accents, digits and signs within words brought to plain lower-case letters; with `edges`
+    signs at the edge of a word too. Both readings have the same length."""
+    if edges:
+        text = _EDGE.sub(lambda m: "".join(SIGNS[s] for s in m[0]), text)
     if any(s in text for s in SIGNS):
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
     return text.translate(_FOLD)
@@ -99,13 +106,26 @@ class Lexicon:
         return automaton
 
     def measure(self, text: str) -> tuple[float, int, int]:
-        """Weight of the terms found, their number, and words of the text."""
+        """Weight of the terms found, their number, and words of the text. A sign at the edge of a word is read as a mark, and
+        also as a letter: a term that needs the letter counts in place of those within it."""
         if self._automaton is None:
             self._automaton = self._build()
         folded = fold(text)
         n_words = folded.count(" ") + folded.count("\n") + 1
         if not self.weights:
             return 0.0, 0, n_words
+        found = self._scan(folded)
+        if _EDGE.search(text):
+            lettered = fold(text, edges=True)
+            for start, (end, weight) in self._scan(lettered).items():
+                if lettered[start : end + 1] != folded[start : end + 1]:
+                    for a in range(start, end + 1):
+                        found.pop(a, None)
+                    found[start] = end, weight
+        return sum(w for _, w in found.values()), len(found), n_words
+
+    def _scan(self, folded: str) -> dict[int, tuple[int, float]]:
+        """The terms in folded text, but those within an exception: start, and end and weight."""
         found: dict[int, tuple[int, float]] = {}
         excepted = []
         for end, (size, word, stem, exception) in self._automaton.iter(folded):
@@ -119,8 +139,10 @@ class Lexicon:
             if weight is not None:
                 found[start] = end, weight  # ends ascend, so the longest stays
         if excepted:
-            found = {a: x for a, x in found.items() if not any(b <= a and x[0] <= c for b, c in excepted)}
-        return sum(w for _, w in found.values()), len(found), n_words
+            excepted.sort()
+            starts, furthest = [b for b, _ in excepted], [-1, *accumulate((c for _, c in excepted), max)]
+            found = {a: x for a, x in found.items() if x[0] > furthest[bisect_right(starts, a)]}
+        return found
 
 
 def learn_lexicon(labelled: DataFrame) -> Lexicon:

@@ -15,7 +15,16 @@ from . import odd
 
 
 def plain_measure(text, weights, exceptions):
-    folded = toxicity.fold(text)
+    marks, letters = toxicity.fold(text), toxicity.fold(text, edges=True)
+    assert len(marks) == len(letters)
+    kept = plain_scan(marks, weights, exceptions)
+    for a, (b, w) in plain_scan(letters, weights, exceptions).items():
+        if letters[a:b] != marks[a:b]:
+            kept = {c: x for c, x in kept.items() if not a <= c < b} | {a: (b, w)}
+    return sum(w for _, w in kept.values()), len(kept)
+
+
+def plain_scan(folded, weights, exceptions):
     alnum = lambda i: 0 <= i < len(folded) and folded[i].isalnum()
     found, excepted = {}, []
     for i in range(len(folded)):
@@ -30,8 +39,14 @@ def plain_measure(text, weights, exceptions):
             size, _, w = max(fits)
             found[i] = i + size, w
         excepted += [(i, i + len(p)) for p in exceptions if folded.startswith(p, i) and not alnum(i + len(p))]
-    kept = [w for a, (b, w) in found.items() if not any(c <= a and b <= d for c, d in excepted)]
-    return sum(kept), len(kept)
+    return {a: (b, w) for a, (b, w) in found.items() if not any(c <= a and b <= d for c, d in excepted)}
+
+
+def test_signs_at_the_edge_of_a_word():
+    named = toxicity.Lexicon({"scum": 3.0, "ass": 2.0, "idiot": 1.0})
+    assert named.measure("$cum, @s$ a$$ !diot")[:2] == (8.0, 4)
+    assert named.measure("@idiot $scum idiot! scum$ |scum|")[:2] == (11.0, 5)
+    assert named.measure("$5 @ home 5$ a@b.c !!")[:2] == (0, 0)
 
 
 def test_lexicon_against_a_plain_scan():
