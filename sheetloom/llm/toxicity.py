@@ -53,17 +53,27 @@ def _folding() -> dict[int, str]:
 
 
 _FOLD = _folding()
-_SIGN = re.compile(r"(?<=[^\W_])[@$!|€](?=[^\W_])")
+# patterns begin with the signs, so that texts are searched for these only
+_SIGN = re.compile(r"[@$!|€](?<=[^\W_].)(?=[^\W_])")
 #: Signs at a word's beginning or end, and several in a row within it, which may be letters or marks.
-_EDGE = re.compile(r"[@$€]+(?=[^\W\d_])|(?<=[^\W\d_])[@$€]+|(?<!\S)!(?=[^\W\d_])")
+_EDGE = re.compile(r"[@$€!][@$€]*")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _lettered(m: re.Match) -> str:
+    """Signs beside a letter as letters; ! only where it begins a word after white space."""
+    signs, before, after = m[0], m.string[max(0, m.start() - 1) : m.start()], m.string[m.end() : m.end() + 1].isalpha()
+    if signs == "!":
+        return "i" if after and not before.strip() else "!"
+    mark = signs[: signs[0] == "!"]
+    return mark + "".join(SIGNS[s] for s in signs[len(mark) :]) if after or before.isalpha() and not mark else signs
+
+
 def fold(text: str, edges: bool = False) -> str:
     """Text with look-alikes, accents, digits and signs within words brought to plain lower-case letters; with `edges`
     signs at the edge of a word too. Both readings have the same length."""
     if edges:
-        text = _EDGE.sub(lambda m: "".join(SIGNS[s] for s in m[0]), text)
+        text = _EDGE.sub(_lettered, text)
     if any(s in text for s in SIGNS):
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
     return text.translate(_FOLD)
@@ -115,8 +125,8 @@ class Lexicon:
         if not self.weights:
             return 0.0, 0, n_words
         found = self._scan(folded)
-        if _EDGE.search(text):
-            lettered = fold(text, edges=True)
+        lettered = fold(text, edges=True) if any(s in text for s in "@$€!") else folded
+        if lettered != folded:
             for start, (end, weight) in self._scan(lettered).items():
                 if lettered[start : end + 1] != folded[start : end + 1]:
                     for a in range(start, end + 1):
