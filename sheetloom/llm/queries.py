@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clusters import cluster_vectors
 from .decontaminate import decontaminate
+from .lexical import rank_documents
 from .lines import remove_repeated_lines
 from .minhash import near_duplicates
 from .mixing import label_domains, mix
+from .products import top_products
 from .quality import score_quality
 from .substrings import remove_repeats
 from .tables import Scratch, held_out
@@ -93,6 +96,18 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""
@@ -261,6 +276,58 @@ SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) A
 FROM documents d LEFT JOIN count_runs c ON d.doc_id = c.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+def _op11_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds written out one after the other."""
+    assign = """
+, a{r} AS MATERIALIZED (
+  SELECT n, vec_id, e, CAST(arg_min(c, (d, c)) AS INTEGER) AS cluster, CAST(min(d) AS BIGINT) AS d FROM (
+    SELECT v.n, v.vec_id, v.e, c.c, list_sum(list_transform(range(1, 65), lambda i: CAST(v.e[i] - c.e[i] AS HUGEINT) * (v.e[i] - c.e[i]))) AS d FROM v, c{r} c)
+  GROUP BY n, vec_id, e
+)"""
+    update = """
+, c{s} AS MATERIALIZED (
+  SELECT o.c, coalesce(m.e, o.e) AS e FROM c{r} o LEFT JOIN (
+    SELECT cluster, list(CAST(CASE WHEN t < 0 THEN -((n - 1 - t) // n) ELSE t // n END AS BIGINT) ORDER BY j) AS e
+    FROM (SELECT cluster, j, sum(x) AS t, count(*) AS n FROM (SELECT cluster, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM a{r}) GROUP BY cluster, j) GROUP BY cluster) m ON m.cluster = o.c
+)"""
+    steps = "".join(assign.format(r=r) + (update.format(r=r, s=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, e) - 1 AS BIGINT) AS c, e FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, e FROM v ORDER BY h, e LIMIT {k}))""" + steps + f"""
+SELECT vec_id, cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.e, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.c
+"""
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, q.e AS asked, v.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
+    FROM v q JOIN v ON len(q.e) = len(v.e) AND q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0))
+WHERE rank <= 20
+"""
+
+OP13_SQL = f"""
+WITH doc AS (SELECT row_number() OVER () AS uid, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({_WORDS.format("coalesce(text, '')")}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY item_id, t),
+total AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM doc WHERE len(w) > 0),
+post AS (SELECT uid, t, count(*) AS tf FROM (SELECT uid, unnest(w) AS t FROM doc) GROUP BY uid, t),
+weight AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM post GROUP BY t), total),
+scored AS (
+  SELECT p.uid, p.t, w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 75 + (75 * len(d.w) * n) // l))) AS score FROM post p JOIN weight w ON p.t = w.t JOIN doc d ON p.uid = d.uid, total
+), sums AS (
+  SELECT item_id, uid, CAST(sum(score * times) AS BIGINT) AS score FROM scored JOIN asked ON scored.t = asked.t GROUP BY item_id, uid HAVING sum(score * times) > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST, uid) AS rank FROM sums JOIN doc USING (uid)) WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_vectors": op2_vectors,
@@ -272,6 +339,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_quality": op9_quality,
     "op10_lines": op10_lines,
+    "op11_clusters": op11_clusters,
+    "op12_products": op12_products,
+    "op13_lexical": op13_lexical,
 }
 
 SQL: dict[str, str] = {
@@ -281,4 +351,7 @@ SQL: dict[str, str] = {
     "op4_minhash": OP4_SQL,
     "op6_substrings": OP6_SQL,
     "op10_lines": OP10_SQL,
+    "op11_clusters": _op11_sql(),
+    "op12_products": OP12_SQL,
+    "op13_lexical": OP13_SQL,
 }

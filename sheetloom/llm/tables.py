@@ -37,9 +37,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", codec).parquet(path)
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """The table as written. by: a column whose values become folders; it then stands last."""
+        path, out = f"{self.root}/{name}", df.write.option("compression", codec)
+        (out.partitionBy(by) if by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
