@@ -15,7 +15,7 @@ from .clusters import finite
 from .tables import Scratch, groups
 
 #: Candidates and queries of a block; with more than MOST_BLOCKS blocks of candidates they grow instead.
-CANDIDATES, QUERIES, MOST_BLOCKS = 8192, 4096, 1 << 18
+CANDIDATES, QUERIES, MOST_BLOCKS = 4096, 4096, 1 << 18
 #: The longest vectors, from which each query has a first threshold; and those of the sample that the axes are fitted on.
 HEAD, FIT_ROWS = 1024, 8192
 #: Axes and first thresholds are made for the LENGTHS most frequent numbers of components of up to LONGEST.
@@ -88,21 +88,25 @@ def _ints(column) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.int32).reshape(len(raw), -1).astype(np.int64)
 
 
-def _numbered(df: DataFrame, order: list[Column], size: int, name: str) -> DataFrame:
-    """Rows in ranges by the given order, which begins with dims, in blocks of up to `size` rows of one dims."""
+def _numbered(df: DataFrame, order: list[Column], size: int, name: str, scratch: Scratch) -> DataFrame:
+    """Rows in the given order, which begins with dims, in blocks of `size` rows of one dims. Spark orders ranges, each task
+    numbers its own rows, and the ranges' sizes, one row for each range and dims, say where each begins."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, n, last = TaskContext.get().partitionId() << 32, 0, None
+        seen, part = {}, TaskContext.get().partitionId()
         for batch in batches:
-            out = np.zeros(batch.num_rows, np.int64)
-            for i, d in enumerate(batch.column("dims").to_pylist()):
-                if n == size or d != last and last is not None:
-                    block, n = block + 1, 0
-                out[i], n, last = block, n + 1, d
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
+            dims, place = batch.column("dims").to_numpy(), np.zeros(batch.num_rows, np.int64)
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                place[own] = seen.get(d, 0) + np.arange(len(own))
+                seen[d] = seen.get(d, 0) + len(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(place)], [*batch.schema.names, "part", "place"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"{kinds}, {name} long")
+    placed = scratch.write(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, f"{kinds}, part int, place long"), name)
+    before = Window.partitionBy("dims").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = placed.groupBy("dims", "part").agg(F.count("*").alias("n")).withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    return placed.join(begins, ["dims", "part"]).withColumn(name, F.expr(f"(begin + place) div {size}")).drop("part", "place", "begin")
 
 
 def top_products(embeddings: DataFrame, is_query: Column, k: int = 20, scale: int = 64, candidates: int = CANDIDATES, queries: int = QUERIES, head: int = HEAD) -> DataFrame:
@@ -168,10 +172,10 @@ def top_products(embeddings: DataFrame, is_query: Column, k: int = 20, scale: in
     asked = packed.filter("asks").select("vec_id", "dims", "square", "vector").mapInArrow(threshold, "vec_id long, dims int, square double, vector binary, least long")
     # the square of the least length of a candidate that can reach the threshold
     reach = F.when((F.col("least") > 0) & (F.col("square") > 0), F.col("least").cast("double") * F.col("least") / F.col("square")).when(F.col("least") > 0, float("inf")).otherwise(0.0)
-    asked = scratch.write(_numbered(asked.withColumn("reach", reach), [F.col("dims"), F.col("reach"), F.col("vec_id")], queries, "i"), "asked")
+    asked = _numbered(asked.withColumn("reach", reach), [F.col("dims"), F.col("reach"), F.col("vec_id")], queries, "i", scratch)
     size = max(candidates, math.ceil(packed.count() / MOST_BLOCKS))
-    held = scratch.write(_numbered(packed.select("vec_id", "dims", "square", "vector"), [F.col("dims"), F.desc("square"), F.col("vec_id")], size, "j"), "held")
-    # one row for each block: fewer than MOST_BLOCKS and a block for each partition and length of vectors
+    held = _numbered(packed.select("vec_id", "dims", "square", "vector"), [F.col("dims"), F.desc("square"), F.col("vec_id")], size, "j", scratch)
+    # one row for each block: MOST_BLOCKS at most, and one more for each number of components
     longest = held.groupBy("dims", "j").agg(F.max("square").alias("longest"))
     asks = asked.groupBy("dims", "i").agg(F.min("reach").alias("reach"))
     pairs = scratch.write(asks.join(F.broadcast(longest), "dims").filter(F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("reach")).select("dims", "i", "j"), "pairs")

@@ -88,7 +88,7 @@ def plain_products(data, ask, k, scale=64):
 
 def test_products(spark):
     data, df = vectors(spark, 160, 16, 3)
-    for size, head in ((8192, 1024), (13, 5), (40, 60)):
+    for size, head in ((4096, 1024), (13, 5), (40, 60)):
         got = products.top_products(df.repartition(4), F.col("vec_id") % 20 == 0, candidates=size, queries=7 if size < 100 else 4096, head=head)
         assert got.columns == ["query_id", "rank", "vec_id", "score"]
         assert collections.Counter(map(tuple, got.collect())) == plain_products(data, lambda i: i % 20 == 0, 20)
