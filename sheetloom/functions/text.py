@@ -102,7 +102,7 @@ _B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 # fixed values: pattern and replacement, in the order in which they apply (word edges are ASCII)
 CHARACTER_RULES = [
     (rf"{_B}O{_B}(?=\s*[0-9])", "0"),
-    (rf"(?<=[0-9]\s{{0,9}})O{_B}", "0"),
+    (rf"(?<=[0-9]\s*)O{_B}", "0"),
     (rf"{_B}[lL]{_B}(?=\s*[0-9])", "1"),
     (rf"{_B}S(?=[0-9])", "5"),
     (rf"(?<=[0-9])S{_B}", "5"),

@@ -48,12 +48,13 @@ def by_name(members: DataFrame) -> DataFrame:
 
 
 def status_label(status: Column) -> Column:
-    """What a list of sessions shows for a status."""
-    return F.when(status == "approved", "Completed").when(status == "refining", "Refining").otherwise("Pending")
+    """The badge that a list of sessions shows for a status."""
+    return F.when(status == "approved", "Approved").when(status == "refining", "In Review").otherwise("Pending")
 
 
 def action_label(status: Column) -> Column:
-    return F.when(status == "approved", "View").otherwise("Continue Approval")
+    """What a list of sessions says is left to do."""
+    return F.when(status == "approved", "Completed").otherwise("Continue Approval")
 
 
 def route(user: Column, path: Column) -> Column:

@@ -35,8 +35,8 @@ def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def session_name(name, date):
-    """The name, or one from the date if it is blank."""
-    return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.concat(F.lit("Attendance — "), F.date_format(date, "dd MMM yyyy")))
+    """The name as it stands, or one from the date if it is null or empty; blanks are a name."""
+    return F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("Attendance — "), F.date_format(date, "dd MMM yyyy")))
 
 
 def attendance_of(rows: DataFrame, sessions: DataFrame, strict: bool = True) -> DataFrame:

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 INK, INK_INVERTED = 160, 100
 
 
+def luma():
+    return 0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")
+
+
 def binarize(pixels: DataFrame, inverted: bool = False) -> DataFrame:
     """v: 1 where the luma is below INK, or above INK_INVERTED for light ink."""
-    luma = 0.2126 * F.col("r") + 0.7152 * F.col("g") + 0.0722 * F.col("b")
-    ink = luma > INK_INVERTED if inverted else luma < INK
+    ink = luma() > INK_INVERTED if inverted else luma() < INK
     return pixels.withColumn("v", ink.cast("int")).drop("r", "g", "b")
 
 
@@ -148,27 +151,29 @@ def density(pixels: DataFrame, parts: DataFrame, least_ink: float = 0.005) -> Da
     )
 
 
-def preprocess(pixels: DataFrame, brightness: float = 0.0, contrast: float = 1.0, threshold: int | None = None, grayscale: bool = True, sharpen: bool = False) -> DataFrame:
-    """Gray values g (0 to 255): brightness and contrast about 128, cut to the range, an optional threshold, and an optional
-    3 by 3 sharpening with zeros around the image."""
-    gray = (0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")) if grayscale else F.col("g")
-    value = F.greatest(F.lit(0.0), F.least(F.lit(255.0), (gray + brightness * 255 - 128) * contrast + 128))
+def preprocess(pixels: DataFrame, brightness: float = 0.0, contrast: float = 0.0, threshold: int | None = None, grayscale: bool = True, sharpen: bool = False) -> DataFrame:
+    """Channels r, g, b (0 to 255): gray, unless `grayscale` is off, then brightness (-1 to 1, of 255) and contrast about 128
+    (-1 to 1: a factor of 0 to 2), an optional threshold on red, and an optional 3 by 3 sharpening of each channel with zeros
+    around the image. After the first step and the last, values are cut to the range and rounded to 8 bits, halves to even."""
+    bits = lambda v: F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), v)))
+    value = lambda v: bits((v + brightness * 255 - 128) * (contrast + 1) + 128)
+    gray = luma()
+    out = pixels.select("img_id", "y", "x", *(value(gray if grayscale else F.col(c).cast("double")).alias(c) for c in "rgb"))
     if threshold is not None:
-        value = F.when(value > threshold, 255.0).otherwise(0.0)
-    out = pixels.select("img_id", "y", "x", value.alias("g"))
-    if not sharpen:
-        return out
-    row, column = Window.partitionBy("img_id", "y").orderBy("x"), Window.partitionBy("img_id", "x").orderBy("y")
-    around = [F.coalesce(f("g").over(w), F.lit(0.0)) for w in (row, column) for f in (F.lag, F.lead)]
-    sharp = 5 * F.col("g") - around[0] - around[1] - around[2] - around[3]
-    return out.withColumn("g", F.greatest(F.lit(0.0), F.least(F.lit(255.0), sharp)))
+        black = F.when(F.col("r") > threshold, 255.0).otherwise(0.0)
+        out = out.select("img_id", "y", "x", *(black.alias(c) for c in "rgb"))
+    if sharpen:
+        row, column = Window.partitionBy("img_id", "y").orderBy("x"), Window.partitionBy("img_id", "x").orderBy("y")
+        beside = lambda c: [F.coalesce(f(c).over(w), F.lit(0.0)) for w in (row, column) for f in (F.lag, F.lead)]
+        out = out.select("img_id", "y", "x", *(bits(5 * F.col(c) - sum(beside(c), F.lit(0.0))).alias(c) for c in "rgb"))
+    return out.select("img_id", "y", "x", *(F.col(c).cast("int").alias(c) for c in "rgb"))
 
 
 def crop(pixels: DataFrame, boxes: DataFrame, scale: int = 3, dark: int = 140, inverted: bool = False) -> DataFrame:
-    """The pixels (gray g) of each cell, each repeated scale by scale times: img_id, row_idx, col_idx, y, x and v, which is 1
+    """The pixels (r, g, b) of each cell, each repeated scale by scale times: img_id, row_idx, col_idx, y, x and v, which is 1
     for dark ones, or for light ones of an inverted image. Cells and pixels of an image meet on its rows of pixels."""
     rows = boxes.withColumn("py", F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1)))
-    p = pixels.select("img_id", F.col("y").alias("py"), F.col("x").alias("px"), "g")
+    p = pixels.select("img_id", F.col("y").alias("py"), F.col("x").alias("px"), luma().alias("g"))
     inside = rows.join(p, ["img_id", "py"]).filter((F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")))
     ink = (255 - F.col("g") if inverted else F.col("g")) < dark
     steps = F.sequence(F.lit(0), F.lit(scale - 1))

@@ -148,16 +148,18 @@ OCR_ROWS = """ocr_rows AS (
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as lines of 64 gray pixels, 25 to an image."""
+    """Vectors as lines of 64 pixels, 25 to an image; red, green and blue differ."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("x", "e"))
-    gray = F.floor((F.col("e").cast("double") + 0.6) * 250).cast("int")
-    return e.select((F.floor(F.col("vec_id") / 25)).cast("long").alias("img_id"), (F.col("vec_id") % 25).cast("int").alias("y"), "x", gray.alias("r"), gray.alias("g"), gray.alias("b"))
+    cut = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), v)).cast("int")
+    g, y = cut(F.floor((F.col("e").cast("double") + 0.6) * 250)), (F.col("vec_id") % 25).cast("int")
+    return e.select((F.floor(F.col("vec_id") / 25)).cast("long").alias("img_id"), y.alias("y"), "x", cut(g + F.col("x") % 7 * 9 - 20).alias("r"), g.alias("g"), cut(g - y % 5 * 12 + 20).alias("b"))
 
 
 PIXELS = """pixels AS (
-  SELECT vec_id // 25 AS img_id, vec_id % 25 AS y, x, CAST(floor((CAST(e AS DOUBLE) + 0.6::DOUBLE) * 250) AS INT) AS g
-  FROM (SELECT vec_id, unnest(range(len(embedding))) AS x, unnest(embedding) AS e FROM embeddings)),
-ink AS (SELECT img_id, y, x, CASE WHEN 0.2126::DOUBLE * g + 0.7152::DOUBLE * g + 0.0722::DOUBLE * g < 160 THEN 1 ELSE 0 END AS v FROM pixels)"""
+  SELECT img_id, y, x, CAST(greatest(0, least(255, g + x % 7 * 9 - 20)) AS INT) AS r, g, CAST(greatest(0, least(255, g - y % 5 * 12 + 20)) AS INT) AS b FROM (
+    SELECT vec_id // 25 AS img_id, vec_id % 25 AS y, x, CAST(greatest(0, least(255, floor((CAST(e AS DOUBLE) + 0.6::DOUBLE) * 250))) AS INT) AS g
+    FROM (SELECT vec_id, unnest(range(len(embedding))) AS x, unnest(embedding) AS e FROM embeddings))),
+ink AS (SELECT img_id, y, x, CASE WHEN 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b < 160 THEN 1 ELSE 0 END AS v FROM pixels)"""
 
 
 def sparse_ink(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def width_histogram(spark, d):
 
 
 def session_defaults(spark, d):
-    s = R.sessions(spark, d).withColumn("event_name", F.when(F.col("id").cast("long") % 4 == 0, " ").otherwise(F.col("event_name")))
+    s = R.sessions(spark, d).withColumn("event_name", F.when(F.col("id").cast("long") % 4 == 0, "").when(F.col("id").cast("long") % 4 == 1, "  a ").when(F.col("id").cast("long") % 4 == 2, " ").otherwise(F.col("event_name")))
     named = s.withColumn("event_name", approvals.session_name(F.col("event_name"), F.col("session_date")))
     out = approvals.with_defaults(named, {"status": F.lit("pending"), "created_at": F.to_date(F.lit("2024-01-01")), "updated_at": F.to_date(F.lit("2024-01-02"))})
     return out.select("id", "event_name", "status", F.col("created_at").cast("string").alias("created_at"), F.col("updated_at").cast("string").alias("updated_at"))
@@ -254,8 +254,8 @@ SQL = {
     "q_member_search": f"WITH {R.MEMBERS} SELECT id, full_name FROM members WHERE contains(lower(full_name), 'r#00000001') OR coalesce(contains(lower(email), 'r#00000001'), false)",
     "q_session_search": f"WITH {R.SESSIONS} SELECT id, event_name FROM sessions WHERE contains(lower(event_name), 'urgent')",
     "q_rls_semi": f"WITH {R.SESSIONS}, {R.MATCH_ROWS} SELECT session_id, row_idx, status FROM match_rows m WHERE EXISTS (SELECT 1 FROM sessions s WHERE s.id = m.session_id AND s.owner_id = {OWNER})",
-    "q_history": f"""WITH {R.SESSIONS} SELECT id, strftime(created_at, '%b %d, %Y') AS shown, CASE status WHEN 'approved' THEN 'Completed' WHEN 'refining' THEN 'Refining' ELSE 'Pending' END AS label,
-  CASE status WHEN 'approved' THEN 'View' ELSE 'Continue Approval' END AS action FROM sessions ORDER BY created_at DESC NULLS FIRST, id""",
+    "q_history": f"""WITH {R.SESSIONS} SELECT id, strftime(created_at, '%b %d, %Y') AS shown, CASE status WHEN 'approved' THEN 'Approved' WHEN 'refining' THEN 'In Review' ELSE 'Pending' END AS label,
+  CASE status WHEN 'approved' THEN 'Completed' ELSE 'Continue Approval' END AS action FROM sessions ORDER BY created_at DESC NULLS FIRST, id""",
     "q_top5": f"WITH {R.SESSIONS} SELECT id, event_name FROM sessions ORDER BY created_at DESC NULLS FIRST, id LIMIT 5",
     "q_members_sorted": f"WITH {R.MEMBERS} SELECT id, full_name FROM members ORDER BY full_name, id",
     "q_route": "SELECT event_id, CASE WHEN user_id % 2 <> 0 AND event_type <> 'click' THEN '/login' WHEN user_id % 2 = 0 AND event_type = 'click' THEN '/' END AS to FROM events".replace("AS to", 'AS "to"'),
@@ -266,7 +266,7 @@ SQL = {
   greatest(max(n_columns), 1) AS max_columns FROM match_rows GROUP BY session_id""",
     "q_row_counts": "SELECT CAST(o_orderkey AS VARCHAR) AS id, count(l_orderkey) AS n_rows FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
     "q_width_histogram": f"WITH {R.OCR_ROWS} SELECT len(columns) AS width, count(*) AS n FROM ocr_rows GROUP BY 1",
-    "q_session_defaults": f"""WITH {R.SESSIONS} SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'Attendance — ' || strftime(session_date, '%d %b %Y') ELSE event_name END AS event_name, status,
+    "q_session_defaults": f"""WITH {R.SESSIONS} SELECT id, CASE CAST(id AS BIGINT) % 4 WHEN 0 THEN 'Attendance — ' || strftime(session_date, '%d %b %Y') WHEN 1 THEN '  a ' WHEN 2 THEN ' ' ELSE event_name END AS event_name, status,
   CAST(coalesce(created_at, DATE '2024-01-01') AS VARCHAR) AS created_at, '2024-01-02' AS updated_at FROM sessions""",
     "q_approval_filter": f"WITH {R.MATCH_ROWS} SELECT session_id, row_idx, member_id FROM match_rows WHERE member_id IS NOT NULL AND NOT is_header",
     "q_approve_upsert": f"""WITH {_FACTS}, source AS (SELECT * FROM facts WHERE CAST(session_id AS BIGINT) % 2 = 0)
@@ -323,7 +323,8 @@ placed AS (SELECT *, count(*) FILTER (NOT up) OVER (PARTITION BY session_id ORDE
 SELECT session_id, min_by(row_id, row_idx) AS row_id, array_to_string(flatten(list(coalesce(columns, []) ORDER BY row_idx)), '¦') AS cells FROM placed GROUP BY session_id, block""",
     "q_approve_data": f"WITH {R.MATCH_ROWS} SELECT session_id, row_idx, CASE WHEN row_idx % 3 = 0 THEN 'approved' ELSE status END AS status FROM match_rows",
     "q_export_csv": f"""WITH {_EXPORT}, lines AS (SELECT session_id, -1 AS k, {_QUOTED} AS line FROM x WHERE is_header QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY row_idx) = 1
-  UNION ALL SELECT session_id, row_idx, {_QUOTED} FROM shown) SELECT session_id, string_agg(line, chr(10) ORDER BY k) AS csv FROM lines GROUP BY 1""",
-    "q_export_tsv": f"WITH {_EXPORT} SELECT session_id, string_agg(array_to_string(columns, chr(9)), chr(10) ORDER BY row_idx) AS tsv FROM shown GROUP BY 1",
+  UNION ALL SELECT session_id, row_idx, {_QUOTED} FROM shown) SELECT session_id, string_agg(line, chr(10) ORDER BY k) || chr(10) AS csv FROM lines GROUP BY 1""",
+    "q_export_tsv": f"""WITH {_EXPORT}, lines AS (SELECT session_id, -1 AS k, columns FROM x WHERE is_header QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY row_idx) = 1
+  UNION ALL SELECT session_id, row_idx, columns FROM shown) SELECT session_id, string_agg(array_to_string(columns, chr(9)), chr(10) ORDER BY k) || chr(10) AS tsv FROM lines GROUP BY 1""",
     "q_clean_export": f"""WITH {_EXPORT}, c AS (SELECT session_id, row_idx, coalesce(columns, [ocr_name]) AS c FROM x) SELECT session_id, row_idx, c[1] AS "A", c[2] AS "B", c[3] AS "C" FROM c""",
 }

@@ -42,8 +42,7 @@ def cell_grid(spark, d):
 
 
 def crop(spark, d):
-    gray = R.pixels(spark, d).select("img_id", "y", "x", "g")
-    return grid.crop(gray, cell_grid(spark, d))
+    return grid.crop(R.pixels(spark, d), cell_grid(spark, d))
 
 
 def components(spark, d):
@@ -62,7 +61,10 @@ def downscale(spark, d):
 
 
 def sharpened(spark, d):
-    return grid.preprocess(R.pixels(spark, d), brightness=0.1, contrast=1.2, sharpen=True).withColumn("g", F.round("g", 6))
+    """Gray and colour, with and without a threshold."""
+    ways = {"gray": {}, "colour": {"grayscale": False}, "black": {"threshold": 127}}
+    out = [grid.preprocess(R.pixels(spark, d), brightness=0.1, contrast=0.2, sharpen=True, **how).withColumn("way", F.lit(way)) for way, how in ways.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def word_rows(spark, d):
@@ -116,7 +118,7 @@ SELECT s.img_id, s.y, s.x, CASE WHEN h.img_id IS NULL THEN 0 ELSE 1 END AS v FRO
 FROM span_y r JOIN span_x c ON r.img_id = c.img_id""",
     "q_crop": f"""WITH {_PROFILE}, {_bounds('y')}, {_bounds('x')}, box AS (SELECT r.img_id, r.idx AS row_idx, c.idx AS col_idx, c.low + 3 AS x, r.low + 3 AS y, greatest(20, c.high - c.low - 6) AS w, greatest(20, r.high - r.low - 6) AS h
   FROM span_y r JOIN span_x c ON r.img_id = c.img_id)
-SELECT b.img_id, row_idx, col_idx, 3 * (p.y - b.y) + dy.d AS y, 3 * (p.x - b.x) + dx.d AS x, CASE WHEN g < 140 THEN 1 ELSE 0 END AS v
+SELECT b.img_id, row_idx, col_idx, 3 * (p.y - b.y) + dy.d AS y, 3 * (p.x - b.x) + dx.d AS x, CASE WHEN 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * p.b < 140 THEN 1 ELSE 0 END AS v
 FROM box b JOIN pixels p ON p.img_id = b.img_id AND p.y >= b.y AND p.y < b.y + h AND p.x >= b.x AND p.x < b.x + w, (SELECT unnest(range(3)) AS d) dy, (SELECT unnest(range(3)) AS d) dx""",
     "q_components": f"WITH RECURSIVE {_PARTS} SELECT img_id, x, y, w, h, area FROM parts",
     "q_density": f"""WITH RECURSIVE {_PARTS}, page AS (SELECT img_id, avg(v) AS ratio, max(x) + 1 AS iw, max(y) + 1 AS ih FROM sparse GROUP BY img_id),
@@ -125,9 +127,14 @@ SELECT img_id, ratio < 0.005 OR coalesce(kept, 0) = 0 AS is_empty, round(ratio,
   CASE WHEN ratio < 0.005 THEN 'Zero ink detected' WHEN coalesce(kept, 0) = 0 THEN 'Only noise or borders detected' END AS reason FROM page LEFT JOIN n USING (img_id)""",
     "q_downscale": """SELECT p_partkey, CAST(floor(w * s + 0.5) AS INT) AS w, CAST(floor(h * s + 0.5) AS INT) AS h FROM (SELECT *, least(1.0::DOUBLE, 1000.0::DOUBLE / greatest(w, h)) AS s
   FROM (SELECT p_partkey, p_size * 100 AS w, p_partkey % 977 + 1 AS h FROM part))""",
-    "q_sharpen": f"""WITH {R.PIXELS}, base AS (SELECT img_id, y, x, greatest(0.0::DOUBLE, least(255.0::DOUBLE, (0.299::DOUBLE * g + 0.587::DOUBLE * g + 0.114::DOUBLE * g + 0.1::DOUBLE * 255 - 128) * 1.2::DOUBLE + 128)) AS g FROM pixels)
-SELECT img_id, y, x, round(greatest(0.0::DOUBLE, least(255.0::DOUBLE, 5 * g - coalesce(lag(g) OVER r, 0) - coalesce(lead(g) OVER r, 0) - coalesce(lag(g) OVER c, 0) - coalesce(lead(g) OVER c, 0))), 6) AS g
-FROM base WINDOW r AS (PARTITION BY img_id, y ORDER BY x), c AS (PARTITION BY img_id, x ORDER BY y)""",
+    "q_sharpen": f"""WITH {R.PIXELS}, way AS (SELECT unnest(['gray', 'colour', 'black']) AS way),
+input AS (SELECT way, img_id, y, x, c, CASE WHEN way = 'colour' THEN CAST(v AS DOUBLE) ELSE 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b END AS v
+  FROM (SELECT *, unnest(['r', 'g', 'b']) AS c, unnest([r, g, b]) AS v FROM pixels), way),
+base AS (SELECT * EXCLUDE v, round_even(greatest(0.0::DOUBLE, least(255.0::DOUBLE, (v + 0.1::DOUBLE * 255 - 128) * 1.2::DOUBLE + 128)), 0) AS v FROM input),
+cut AS (SELECT * EXCLUDE v, CASE WHEN way <> 'black' THEN v WHEN v > 127 THEN 255 ELSE 0 END AS v FROM base),
+sharp AS (SELECT way, img_id, y, x, c, CAST(greatest(0.0::DOUBLE, least(255.0::DOUBLE, 5 * v - coalesce(lag(v) OVER r, 0) - coalesce(lead(v) OVER r, 0) - coalesce(lag(v) OVER k, 0) - coalesce(lead(v) OVER k, 0))) AS INT) AS v
+  FROM cut WINDOW r AS (PARTITION BY way, c, img_id, y ORDER BY x), k AS (PARTITION BY way, c, img_id, x ORDER BY y))
+SELECT way, img_id, y, x, max(v) FILTER (c = 'r') AS r, max(v) FILTER (c = 'g') AS g, max(v) FILTER (c = 'b') AS b FROM sharp GROUP BY way, img_id, y, x""",
     "q_word_rows": f"""WITH {R.WORDS}, line AS (SELECT *, word_ord // 8 AS k, CASE WHEN word_ord % 8 >= 4 THEN 1 ELSE 0 END AS half, avg(y0 + 6) OVER (PARTITION BY doc_id, word_ord // 8) AS mid FROM words),
 gaps AS (SELECT *, x0 - lag(x0 + 50) OVER w > 18 AS gap FROM line WINDOW w AS (PARTITION BY doc_id, k ORDER BY x0)),
 cut AS (SELECT *, count(*) FILTER (coalesce(gap, false)) OVER (PARTITION BY doc_id, k ORDER BY x0) AS c FROM gaps),

@@ -18,21 +18,24 @@ def _data(rows: DataFrame) -> DataFrame:
 
 def _joined(lines: DataFrame, name: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda s: s["line"])
-    return lines.groupBy("session_id").agg(F.array_join(ordered, "\n").alias(name))
+    return lines.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x, F.lit("\n"))), "").alias(name))
 
 
-def to_csv(rows: DataFrame) -> DataFrame:
-    """session_id and csv: the cells of the first header row, if it has any, then the data rows; every cell is quoted."""
-    line = lambda c: F.array_join(F.transform(c, quoted), ",")
+def _lines(rows: DataFrame, line) -> DataFrame:
+    """The cells of the first header row, if it has any, then the data rows, each made text by `line`."""
     head = rows.filter(F.coalesce("is_header", F.lit(False))).groupBy("session_id").agg(F.min_by("columns", "row_idx").alias("columns"))
     head = head.filter(F.size("columns") > 0).select("session_id", F.lit(-1).cast("long").alias("k"), line(F.col("columns")).alias("line"))
-    data = _data(rows).select("session_id", F.col("row_idx").cast("long").alias("k"), line(F.col("columns")).alias("line"))
-    return _joined(head.unionByName(data), "csv")
+    return head.unionByName(_data(rows).select("session_id", F.col("row_idx").cast("long").alias("k"), line(F.col("columns")).alias("line")))
+
+
+def to_csv(rows: DataFrame) -> DataFrame:
+    """session_id and csv: header and data rows with every cell quoted; every line ends, the last one too."""
+    return _joined(_lines(rows, lambda c: F.array_join(F.transform(c, quoted), ",")), "csv")
 
 
 def to_tsv(rows: DataFrame) -> DataFrame:
-    """session_id and tsv: cells of the data rows as they are, with tabs between."""
-    return _joined(_data(rows).select("session_id", F.col("row_idx").cast("long").alias("k"), F.array_join("columns", "\t").alias("line")), "tsv")
+    """session_id and tsv: header and data rows, cells as they are with tabs between (null ones empty); every line ends."""
+    return _joined(_lines(rows, lambda c: F.array_join(c, "\t", "")), "tsv")
 
 
 def letter(i: int) -> str:

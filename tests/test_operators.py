@@ -46,9 +46,8 @@ def plain_rules(x):
         return digit(i)
 
     def digit_before(i):
-        n = 0
-        while i > 0 and x[i - 1] in space and n < 9:
-            i, n = i - 1, n + 1
+        while i > 0 and x[i - 1] in space:
+            i -= 1
         return digit(i - 1)
 
     def put(holds, to):
@@ -73,6 +72,7 @@ def test_character_rules_against_plain_ones(spark):
 
     r = random.Random(50)
     texts = ["".join(r.choice("OlLSB||0179 a—[]._\t") for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    texts += [f"{r.choice('5a')}{' ' * n}{r.choice(('O', 'O O', 'l', 'S'))}" for n in range(40)]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.apply_character_rules("t").alias("c")).collect()
     wrong = [(texts[g["i"]], g["c"], plain_rules(texts[g["i"]])) for g in got if g["c"] != plain_rules(texts[g["i"]])]
     assert not wrong, wrong[:5]
@@ -223,8 +223,8 @@ def test_heal(spark):
 
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([("s", 0, ["A", 'q"'], True, None, "n"), ("s", 1, ["1", "2"], False, "data", "n"), ("s", 2, ["t"], False, "title", "n"), ("s", 3, None, False, None, "n")], "session_id string, row_idx int, columns array<string>, is_header boolean, region string, ocr_name string")
-    assert exports.to_csv(rows).first()["csv"] == '"A","q"""\n"1","2"'
-    assert exports.to_tsv(rows).first()["tsv"] == "1\t2"
+    assert exports.to_csv(rows).first()["csv"] == '"A","q"""\n"1","2"\n'
+    assert exports.to_tsv(rows).first()["tsv"] == 'A\tq"\n1\t2\n'
     assert [tuple(r)[2:] for r in exports.to_wide(rows, exports.widest(rows)).orderBy("row_idx").collect()] == [("A", 'q"'), ("1", "2"), ("t", None), ("n", None)]
 
 
@@ -269,3 +269,21 @@ def test_recognise_and_enrich(spark):
     matched = spark.createDataFrame([("d", 0, "m1", 1.0), ("d", 1, None, 0.0)], "doc_id string, row_idx int, member_id string, confidence double")
     both = {r["row_idx"]: r for r in recognise.enrich(matched, read, ["doc_id", "row_idx"]).collect()}
     assert both[0]["ocr_confidence"] == 61.0 and both[0]["confidence"] == 1.0 and both[1]["columns"] is None
+
+
+def test_preprocess_keeps_channels_and_bytes(spark):
+    """Red, a mixed colour, and a value that rounding to 8 bits brings to the threshold."""
+    p = spark.createDataFrame([(1, 0, 0, 255, 0, 0), (1, 0, 1, 10, 20, 30), (1, 0, 2, 128, 127, 127)], "img_id int, y int, x int, r int, g int, b int")
+    seen = lambda **how: [tuple(x)[3:] for x in grid.preprocess(p, **how).orderBy("x").collect()]
+    assert seen() == [(54, 54, 54), (19, 19, 19), (127, 127, 127)]
+    assert seen(grayscale=False) == [(255, 0, 0), (10, 20, 30), (128, 127, 127)]
+    assert seen(threshold=127) == [(0, 0, 0)] * 3 and seen(contrast=-1.0) == [(128,) * 3] * 3
+    assert seen(brightness=0.5, grayscale=False)[1] == (138, 148, 158)  # halves to even
+    assert seen(sharpen=True)[0] == (251, 251, 251)
+
+
+def test_labels_and_names(spark):
+    labels = [(value(spark, access.status_label(F.lit(s))), value(spark, access.action_label(F.lit(s)))) for s in ("approved", "refining", "pending")]
+    assert labels == [("Approved", "Completed"), ("In Review", "Continue Approval"), ("Pending", "Continue Approval")]
+    names = [value(spark, approvals.session_name(F.lit(n).cast("string"), F.lit("2024-03-05").cast("date"))) for n in ("  a ", " ", "", None)]
+    assert names == ["  a ", " ", "Attendance — 05 Mar 2024", "Attendance — 05 Mar 2024"]
