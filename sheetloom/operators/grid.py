@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INK, INK_INVERTED = 160, 100
@@ -28,29 +28,6 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("img_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
 
 
-def _spread(pixels: DataFrame, kx: int, ky: int) -> DataFrame:
-    rx, ry = kx // 2, ky // 2
-    ink = pixels.filter("v = 1").select("img_id", "y", "x")
-    if ry:
-        ink = ink.withColumn("y", F.explode(F.sequence(F.col("y") - ry, F.col("y") + ry)))
-    if rx:
-        ink = ink.withColumn("x", F.explode(F.sequence(F.col("x") - rx, F.col("x") + rx)))
-    return ink
-
-
-def dilate(pixels: DataFrame, kx: int, ky: int) -> DataFrame:
-    """Ink spreads to the rectangle of floor(k / 2) pixels to each side."""
-    hit = _spread(pixels, kx, ky).distinct().withColumn("hit", F.lit(1))
-    return pixels.join(hit, ["img_id", "y", "x"], "left").withColumn("v", F.coalesce("hit", F.lit(0))).drop("hit")
-
-
-def erode(pixels: DataFrame, kx: int, ky: int) -> DataFrame:
-    """Ink stays where the whole rectangle is ink; outside the image there is none."""
-    whole = (2 * (kx // 2) + 1) * (2 * (ky // 2) + 1)
-    full = _spread(pixels, kx, ky).groupBy("img_id", "y", "x").agg(F.count("*").alias("n")).filter(F.col("n") == whole)
-    return pixels.join(full, ["img_id", "y", "x"], "left").withColumn("v", F.coalesce(F.col("n") == whole, F.lit(False)).cast("int")).drop("n")
-
-
 def projection(pixels: DataFrame, axis: str = "y") -> DataFrame:
     """Share of ink of each line of pixels, in single precision as it is compared."""
     across = "w" if axis == "y" else "h"
@@ -58,21 +35,22 @@ def projection(pixels: DataFrame, axis: str = "y") -> DataFrame:
     return sums.join(sizes(pixels), "img_id").select("img_id", "at", (F.col("ink") / F.col(across)).cast("float").alias("share"), F.col("h" if axis == "y" else "w").alias("size"))
 
 
-def boundaries(profile: DataFrame, threshold: float, least_gap: int) -> DataFrame:
-    """profile: img_id, at, share, size. 0, the middle of each gap of at least `least_gap` lines at or below the threshold
+def boundaries(profile: DataFrame, threshold: float, least_gap: int | Column) -> DataFrame:
+    """profile: img_id, at, share, size (and the column of least_gap, one value an image). 0, the middle of each gap of at least `least_gap` lines at or below the threshold
     that ink ends, and the last line. Gaps are runs: the position less the number of gap lines so far is one value."""
     order = Window.partitionBy("img_id").orderBy("at")
     gap = F.col("share") <= F.lit(threshold)
+    profile = profile.withColumn("least", least_gap if isinstance(least_gap, Column) else F.lit(least_gap))
     runs = profile.withColumn("gap", gap).withColumn("run", F.col("at") - F.count_if("gap").over(order)).withColumn("last", F.max("at").over(Window.partitionBy("img_id")))
     middles = (
         runs.filter("gap")
         .groupBy("img_id", "run")
-        .agg(F.min("at").alias("a"), F.max("at").alias("b"), F.any_value("last").alias("last"))
-        .filter((F.col("b") < F.col("last")) & (F.col("b") - F.col("a") + 1 >= least_gap))
+        .agg(F.min("at").alias("a"), F.max("at").alias("b"), F.any_value("last").alias("last"), F.any_value("least").alias("least"))
+        .filter((F.col("b") < F.col("last")) & (F.col("b") - F.col("a") + 1 >= F.col("least")))
         .select("img_id", F.floor((F.col("a") + F.col("b") + 1) / 2 + 0.5).cast("int").alias("at"))
     )
-    ends = profile.select("img_id", F.explode(F.array(F.lit(0), F.col("size") - 1)).alias("at"))
-    return middles.union(ends).distinct()
+    ends = profile.groupBy("img_id").agg(F.any_value("size").alias("size")).select("img_id", F.explode(F.array(F.lit(0), F.col("size") - 1)).alias("at"))
+    return middles.union(ends)
 
 
 def scaled_gap(pixels: int, scale: float) -> int:

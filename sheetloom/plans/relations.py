@@ -5,9 +5,6 @@ Every builder has a fragment of the same name in SQL, so that a query and its SQ
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own where driver and executors can write: below spark.checkpoint.dir, else a temporary one in local
-    mode and one in the warehouse on a cluster."""
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    shared = shared or (tempfile.gettempdir() if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir"))
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
@@ -162,6 +150,17 @@ PIXELS = """pixels AS (
 ink AS (SELECT img_id, y, x, CASE WHEN 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b < 160 THEN 1 ELSE 0 END AS v FROM pixels)"""
 
 
+def spread_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of which most are white: bands of ink, five lines of 25 and 16 columns of 64 without any between."""
+    p = pixels(spark, sf_dir)
+    ink = (F.col("y") % 12 < 7) & (F.col("x") % 32 < 16) & (F.col("g") < 190)
+    return p.select("img_id", "y", "x", *(F.when(ink, F.col(c)).otherwise(255).alias(c) for c in "rgb"))
+
+
+SPREAD_PIXELS = PIXELS + """,
+spread AS (SELECT img_id, y, x, CASE WHEN ink THEN r ELSE 255 END AS r, CASE WHEN ink THEN g ELSE 255 END AS g, CASE WHEN ink THEN b ELSE 255 END AS b FROM (SELECT *, y % 12 < 7 AND x % 32 < 16 AND g < 190 AS ink FROM pixels))"""
+
+
 def sparse_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few pixels of ink, so that there are gaps and parts."""
     return pixels(spark, sf_dir).select("img_id", "y", "x", ((F.col("g") > 178) & (F.col("y") % 5 != 4)).cast("int").alias("v"))

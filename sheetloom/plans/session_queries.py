@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, approvals, edits, kpis
 from ..operators.matching import assign
-from ..sources import exports, readers, recognise
+from ..sources import exports, folders, readers, recognise
 from . import relations as R
 
 OWNER = 7
@@ -190,14 +190,14 @@ def draft_update(spark, d):
 
 def attendance_csv(spark, d):
     """The facts as CSV files, read back."""
-    path = R.new_folder(spark, "attendance")
+    path = folders.new_folder(spark, "attendance")
     exports.write_attendance(_shown(_facts(spark, d, False)), R.members(spark, d), path)
     return spark.read.option("header", True).csv(path).select("session_id", "member_id", "attendance_date", "event_name", "present", "member_name")
 
 
 def roster_csv(spark, d):
     """Members as a CSV file, in another order of columns and with one that a roster has not, read back."""
-    path = R.new_folder(spark, "roster")
+    path = folders.new_folder(spark, "roster")
     m = R.members(spark, d)
     m.select(F.lower("email").alias("email"), F.col("id").alias("unused"), F.concat("full_name", F.lit(', "'), "id", F.lit('"')).alias("full_name"), "department").write.option("header", True).option("escape", '"').csv(path)
     return readers.read_roster(spark, path)

@@ -6,7 +6,8 @@ from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import functions as F
 
-from ..operators import grid, healing, words
+from ..operators import grid, healing, scan, words
+from ..sources import recognise
 from . import relations as R
 from .row_queries import cell_sql, classified_sql, schema_sql, trim_sql
 
@@ -22,11 +23,45 @@ def _line_share(spark, d, axis):
 
 
 def dilate(spark, d):
-    return grid.dilate(R.sparse_ink(spark, d), 4, 2)
+    return scan.unpack(scan.dilate(scan.pack(R.sparse_ink(spark, d)), 4, 2))
 
 
 def erode(spark, d):
-    return grid.erode(grid.binarize(R.pixels(spark, d)), 3, 1)
+    return scan.unpack(scan.erode(scan.pack(grid.binarize(R.pixels(spark, d))), 3, 1))
+
+
+def segment(spark, d):
+    """Images wider than the size that is analysed: each pixel stands 17 times across and 3 times down."""
+    p = R.spread_pixels(spark, d)
+    wide = p.select("img_id", F.explode(F.sequence(F.col("y") * 3, F.col("y") * 3 + 2)).alias("y"), "x", "r", "g", "b").select("img_id", "y", F.explode(F.sequence(F.col("x") * 17, F.col("x") * 17 + 16)).alias("x"), "r", "g", "b")
+    return scan.segment(wide)
+
+
+def _decode(content: bytes) -> tuple[int, int, bytes]:
+    """A binary pixel map: P6, width, height and the largest value in lines, then the pixels."""
+    magic, size, most, data = content.split(b"\n", 3)
+    if magic != b"P6" or most != b"255":
+        raise ValueError("no pixel map")
+    w, h = map(int, size.split())
+    return w, h, data
+
+
+def image_cells(spark, d):
+    """Pixel maps as files, of which some are cut short or of another kind: cells of the good ones, and the bad ones."""
+    p = R.spread_pixels(spark, d)
+    hexed = F.concat(*(F.lpad(F.hex(c), 2, "0") for c in "rgb"))
+    content = p.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", hexed.alias("p")))).alias("all"), (F.max("y") + 1).alias("h"))
+    head = F.concat(F.when(F.col("img_id") % 9 == 5, "P5").otherwise("P6"), F.lit("\n64 "), F.col("h").cast("string"), F.lit("\n255\n"))
+    data = F.array_join(F.transform("all", lambda a: a["p"]), "")
+    data = F.when(F.col("img_id") % 9 == 4, F.substring(data, 1, 600)).otherwise(data)
+    images = content.select("img_id", F.unhex(F.concat(F.hex(F.encode(head, "UTF-8")), data)).alias("content"))
+    lines = recognise.scan_lines(images, _decode)
+    good = scan.segment_lines(lines.filter("error is null")).withColumn("error", F.lit(None).cast("string"))
+    return good.unionByName(lines.filter("error is not null").select("img_id", "error"), allowMissingColumns=True)
+
+
+def run_components(spark, d):
+    return scan.components(scan.pack(R.sparse_ink(spark, d)))
 
 
 def projection(spark, d):
@@ -103,8 +138,31 @@ reach AS (SELECT img_id, id AS u, id AS v FROM inked UNION SELECT r.img_id, r.u,
 label AS (SELECT img_id, u AS id, min(v) AS part FROM reach GROUP BY ALL),
 parts AS (SELECT img_id, part, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM label JOIN inked USING (img_id, id) GROUP BY img_id, part)"""
 
+
+def _bands(axis: str, other: str, across: int, along: int, threshold: float, gap: int) -> str:
+    """Boundaries of one axis, by spreading ink with running maxima, projecting it and going through the gaps."""
+    n, m = ("sh", "sw") if axis == "y" else ("sw", "sh")
+    return f"""s1{axis} AS (SELECT img_id, x, y, max(v) OVER (PARTITION BY img_id, y ORDER BY x ROWS BETWEEN {across} PRECEDING AND {across} FOLLOWING) AS v FROM small),
+s2{axis} AS (SELECT img_id, x, y, max(v) OVER (PARTITION BY img_id, x ORDER BY y ROWS BETWEEN {along} PRECEDING AND {along} FOLLOWING) AS v FROM s1{axis}),
+p{axis} AS (SELECT s.img_id, {axis} AS p, any_value({n}) AS size, any_value(scale) AS scale, CAST(sum(v) / CAST(any_value({m}) AS DOUBLE) AS FLOAT) <= {threshold}::DOUBLE AS gap FROM s2{axis} s JOIN dims USING (img_id) GROUP BY s.img_id, {axis}),
+g{axis} AS (SELECT *, p - count(*) FILTER (gap) OVER (PARTITION BY img_id ORDER BY p) AS run FROM p{axis}),
+m{axis} AS (SELECT img_id, floor((min(p) + max(p) + 1) / 2::DOUBLE + 0.5) AS p, any_value(scale) AS scale FROM g{axis} WHERE gap GROUP BY img_id, run
+  HAVING max(p) < any_value(size) - 1 AND count(*) >= greatest(3, floor({gap} / any_value(scale) + 0.5))),
+bd{axis} AS (SELECT img_id, CAST(floor(p * scale + 0.5) AS INT) AS p FROM (SELECT img_id, p, scale FROM m{axis} UNION ALL SELECT img_id, unnest([0, {n} - 1]), scale FROM dims)),
+i{axis} AS (SELECT img_id, row_number() OVER w - 1 AS idx, p AS low, lead(p) OVER w AS high FROM bd{axis} WINDOW w AS (PARTITION BY img_id ORDER BY p) QUALIFY lead(p) OVER w IS NOT NULL)"""
+
+
+_SEGMENT = f"""dims AS (SELECT img_id, w, h, scale, CASE WHEN w > h AND w > 1000 THEN 1000 ELSE CAST(floor(w / scale + 0.5) AS INT) END AS sw, CASE WHEN h >= w AND h > 1000 THEN 1000 ELSE CAST(floor(h / scale + 0.5) AS INT) END AS sh
+  FROM (SELECT img_id, max(x) + 1 AS w, max(y) + 1 AS h, greatest(1.0::DOUBLE, greatest(max(x) + 1, max(y) + 1) / 1000.0::DOUBLE) AS scale FROM image GROUP BY img_id)),
+place AS (SELECT img_id, scale, sw, ty FROM (SELECT *, unnest(range(sh)) AS ty FROM dims)),
+target AS (SELECT img_id, tx, ty, CAST(floor((tx + 0.5::DOUBLE) * scale) AS INT) AS x, CAST(floor((ty + 0.5::DOUBLE) * scale) AS INT) AS y FROM (SELECT *, unnest(range(sw)) AS tx FROM place)),
+small AS (SELECT t.img_id, tx AS x, ty AS y, CASE WHEN 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b < 160 THEN 1 ELSE 0 END AS v FROM target t JOIN image i ON i.img_id = t.img_id AND i.x = t.x AND i.y = t.y),
+{_bands('y', 'x', 10, 1, 0.015, 8)}, {_bands('x', 'y', 1, 10, 0.005, 10)},
+cell AS (SELECT r.img_id, r.idx AS row_idx, c.idx AS col_idx, c.low + 3 AS x, r.low + 3 AS y, greatest(20, c.high - c.low - 6) AS w, greatest(20, r.high - r.low - 6) AS h FROM iy r JOIN ix c ON r.img_id = c.img_id)"""
+
 QUERIES = {
     "q_binarize": binarize, "q_dilate": dilate, "q_erode": erode, "q_projection": projection, "q_boundaries": boundaries, "q_cell_grid": cell_grid, "q_crop": crop, "q_components": components, "q_density": density,
+    "q_segment": segment, "q_image_cells": image_cells, "q_run_components": run_components,
     "q_downscale": downscale, "q_sharpen": sharpened, "q_word_rows": word_rows, "q_heal": heal,
 }
 SQL = {
@@ -120,6 +178,10 @@ FROM span_y r JOIN span_x c ON r.img_id = c.img_id""",
   FROM span_y r JOIN span_x c ON r.img_id = c.img_id)
 SELECT b.img_id, row_idx, col_idx, 3 * (p.y - b.y) + dy.d AS y, 3 * (p.x - b.x) + dx.d AS x, CASE WHEN 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * p.b < 140 THEN 1 ELSE 0 END AS v
 FROM box b JOIN pixels p ON p.img_id = b.img_id AND p.y >= b.y AND p.y < b.y + h AND p.x >= b.x AND p.x < b.x + w, (SELECT unnest(range(3)) AS d) dy, (SELECT unnest(range(3)) AS d) dx""",
+    "q_segment": f"WITH {R.SPREAD_PIXELS}, image AS (SELECT img_id, y * 3 + dy.d AS y, x * 17 + dx.d AS x, r, g, b FROM spread, (SELECT unnest(range(3)) AS d) dy, (SELECT unnest(range(17)) AS d) dx), {_SEGMENT} SELECT * FROM cell",
+    "q_image_cells": f"""WITH {R.SPREAD_PIXELS}, image AS (SELECT * FROM spread WHERE img_id % 9 NOT IN (4, 5)), {_SEGMENT} SELECT *, NULL AS error FROM cell
+UNION ALL SELECT img_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN img_id % 9 = 4 THEN '300 bytes for 64 by ' || (max(y) + 1) || ' pixels' ELSE 'no pixel map' END FROM spread WHERE img_id % 9 IN (4, 5) GROUP BY img_id""",
+    "q_run_components": f"WITH RECURSIVE {_PARTS} SELECT img_id, CAST(row_number() OVER (PARTITION BY img_id ORDER BY part) - 1 AS INT) AS part, x, y, w, h, area FROM parts",
     "q_components": f"WITH RECURSIVE {_PARTS} SELECT img_id, x, y, w, h, area FROM parts",
     "q_density": f"""WITH RECURSIVE {_PARTS}, page AS (SELECT img_id, avg(v) AS ratio, max(x) + 1 AS iw, max(y) + 1 AS ih FROM sparse GROUP BY img_id),
 n AS (SELECT img_id, count(*) AS n, count(*) FILTER (area >= 8 AND w / h::DOUBLE BETWEEN 0.1 AND 10 AND NOT ((x <= 2 OR y <= 2 OR x + w >= iw - 2 OR y + h >= ih - 2) AND (w > 0.8 * iw OR h > 0.8 * ih))) AS kept FROM parts JOIN page USING (img_id) GROUP BY img_id)

@@ -28,6 +28,30 @@ def recognise(cells: DataFrame, read: Callable[[bytes], tuple[str, float]]) -> D
     return cells.mapInPandas(batches, schema)
 
 
+def scan_lines(images: DataFrame, decode: Callable[[bytes], tuple[int, int, bytes]]) -> DataFrame:
+    """images: img_id and content. decode gives the width, the height and 3 bytes (red, green, blue) for each pixel of an
+    image, line by line. One row for each scan line: img_id, y, w, h, line, error; and one with an error alone for an image
+    that cannot be decoded, or whose bytes do not fit its size. A null content is an error. An image is decoded in one task
+    and handed on line by line."""
+
+    def lines(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["img_id", "y", "w", "h", "line", "error"]
+        for part in parts:
+            for img_id, content in zip(part["img_id"], part["content"], strict=True):
+                try:
+                    w, h, data = decode(bytes(content))
+                    if w <= 0 or h <= 0 or len(data) != 3 * w * h:
+                        raise ValueError(f"{len(data)} bytes for {w} by {h} pixels")
+                except Exception as e:
+                    yield pd.DataFrame([(img_id, None, None, None, None, str(e) or type(e).__name__)], columns=columns).astype({"y": "Int32", "w": "Int32", "h": "Int32"})
+                    continue
+                for first in range(0, h, 256):
+                    yield pd.DataFrame([(img_id, y, w, h, data[3 * w * y : 3 * w * (y + 1)], None) for y in range(first, min(h, first + 256))], columns=columns)
+
+    kind = images.schema["img_id"].dataType.simpleString()
+    return images.select("img_id", "content").mapInPandas(lines, f"img_id {kind}, y int, w int, h int, line binary, error string")
+
+
 def enrich(matched: DataFrame, read: DataFrame, keys: list[str]) -> DataFrame:
     """Matched rows with what was read of them: cells, empty cells, confidence, header and box, by document and row."""
     columns = [c for c in ("columns", "empty_cells", "is_header", "bbox") if c in read.columns]

@@ -6,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sheetloom.functions import text as T
-from sheetloom.operators import access, approvals, columns, edits, grid, healing, matching
+from sheetloom.operators import access, approvals, columns, edits, grid, healing, matching, scan
 from sheetloom.operators import rows as O
 from sheetloom.sources import exports, readers, recognise
 from sheetloom.streaming import intake
@@ -287,3 +287,90 @@ def test_labels_and_names(spark):
     assert labels == [("Approved", "Completed"), ("In Review", "Continue Approval"), ("Pending", "Continue Approval")]
     names = [value(spark, approvals.session_name(F.lit(n).cast("string"), F.lit("2024-03-05").cast("date"))) for n in ("  a ", " ", "", None)]
     assert names == ["  a ", " ", "Attendance — 05 Mar 2024", "Attendance — 05 Mar 2024"]
+
+
+def plain_spread(ink, rx, ry, every):
+    h, w = ink.shape
+    out = np.zeros_like(ink)
+    for y in range(h):
+        for x in range(w):
+            around = ink[max(0, y - ry) : y + ry + 1, max(0, x - rx) : x + rx + 1]
+            out[y, x] = around.all() and around.size == (2 * rx + 1) * (2 * ry + 1) if every else around.any()
+    return out
+
+
+def pixel_rows(spark, images):
+    return spark.createDataFrame([(i, y, x, int(ink[y, x])) for i, ink in enumerate(images) for y in range(ink.shape[0]) for x in range(ink.shape[1])], "img_id int, y int, x int, v int")
+
+
+def test_running_windows_over_words(spark):
+    r = np.random.default_rng(6)
+    images = [r.random((9, 150)) < 0.1, r.random((30, 64)) < 0.93, r.random((1, 1)) < 2, r.random((5, 200)) < 0.9]
+    words = scan.pack(pixel_rows(spark, images)).cache()
+    for kx, ky in ((20, 2), (2, 20), (1, 1), (140, 3), (3, 3)):
+        for step, every in ((scan.dilate, False), (scan.erode, True)):
+            got = [np.zeros_like(i) for i in images]
+            for p in scan.unpack(step(words, kx, ky)).collect():
+                got[p["img_id"]][p["y"], p["x"]] = p["v"]
+            assert all((a == plain_spread(i, kx // 2, ky // 2, every)).all() for a, i in zip(got, images, strict=True)), (kx, ky, every)
+
+
+def test_components_over_runs(spark):
+    r = np.random.default_rng(7)
+    spiral = np.ones((19, 90), bool)
+    for k in range(1, 19, 2):
+        spiral[k, : 89 if k % 4 == 1 else 90] = False
+        spiral[k, 89 if k % 4 == 1 else 0] = True
+    images = [r.random((12, 700)) < 0.6, spiral, r.random((40, 40)) < 0.5, np.zeros((3, 3), bool), np.ones((4, 65), bool)]
+    got = {}
+    for p in scan.components(scan.pack(pixel_rows(spark, images))).orderBy("img_id", "part").collect():
+        got.setdefault(p["img_id"], []).append(tuple(p)[2:])
+    for i, ink in enumerate(images):
+        assert sorted(got.get(i, [])) == sorted(grid.components_of(ink))
+        order = [(b[1], b[0]) for b in got.get(i, [])]
+        assert [y for y, _ in order] == sorted(y for y, _ in order)
+
+
+def test_segments_of_images_of_any_size(spark):
+    """Bounds of the plain loops, over images larger and smaller than the size that is analysed."""
+    r = np.random.default_rng(9)
+
+    def loops(rgb):
+        h, w = rgb.shape[:2]
+        scale = max(1.0, max(w, h) / 1000)
+        sw, sh = (1000, int(h / scale + 0.5)) if w > h and w > 1000 else (int(w / scale + 0.5), 1000) if h > 1000 else (w, h)
+        at = lambda n: np.floor((np.arange(n) + 0.5) * scale).astype(int)
+        small = rgb[at(sh)][:, at(sw)].astype(float)
+        ink = small @ np.array([0.2126, 0.7152, 0.0722]) < 160
+        bounds = []
+        for spread, axis, threshold, gap in ((plain_spread(ink, 10, 1, False), 1, 0.015, 8), (plain_spread(ink, 1, 10, False), 0, 0.005, 10)):
+            share, found, start = (spread.sum(axis) / spread.shape[axis]).astype(np.float32), [0], None
+            for i, s in enumerate(share.tolist()):
+                if s <= threshold:
+                    start = i if start is None else start
+                elif start is not None:
+                    if i - start >= max(3, int(gap / scale + 0.5)):
+                        found.append(int((start + i) / 2 + 0.5))
+                    start = None
+            bounds.append([int(b * scale + 0.5) for b in [*found, len(share) - 1]])
+        rows, columns = bounds
+        return {(i, j, columns[j] + 3, rows[i] + 3, max(20, columns[j + 1] - columns[j] - 6), max(20, rows[i + 1] - rows[i] - 6)) for i in range(len(rows) - 1) for j in range(len(columns) - 1)}
+
+    images = []
+    for h, w in ((1300, 40), (60, 1105), (90, 130), (1, 1)):
+        rgb = np.full((h, w, 3), 255, np.uint8)
+        rgb[(np.arange(h) % 40 < 12)[:, None] & (np.arange(w) % 45 < 15)] = r.integers(0, 150, 3)
+        images.append(rgb)
+    data = [(i, f"P6 {im.shape[1]} {im.shape[0]} ".encode() + im.tobytes()) for i, im in enumerate(images)] + [(7, b"P6 2 2 short"), (8, None), (9, b"")]
+
+    def decode(content):
+        _, w, h, rest = content.split(b" ", 3)
+        return int(w), int(h), rest
+
+    lines = recognise.scan_lines(spark.createDataFrame(data, "img_id int, content binary"), decode).cache()
+    assert sorted(x["img_id"] for x in lines.filter("error is not null").collect()) == [7, 8, 9]
+    pixels = lines.filter("error is null").select("img_id", "y", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda x: F.hex(F.substr(F.col("line"), x * 3 + 1, F.lit(3))))).alias("x", "p"))
+    pixels = pixels.select("img_id", "y", "x", *(F.conv(F.substring("p", k, 2), 16, 10).cast("int").alias(c) for k, c in ((1, "r"), (3, "g"), (5, "b"))))
+    for found in (scan.segment_lines(lines.filter("error is null")), scan.segment(pixels)):
+        got = [{tuple(c)[1:] for c in found.filter(F.col("img_id") == i).collect()} for i in range(len(images))]
+        assert got == [loops(im) for im in images]
