@@ -58,18 +58,52 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(source.select(*keys), keys, "left_anti").unionByName(source.select(*target.columns))
 
 
-def approve(sessions: DataFrame, rows: DataFrame, attendance: DataFrame, owner, now, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Marks the sessions that have rows as approved, if owned by `owner`, and upserts their facts. Returns sessions and
-    attendance. Rows of sessions that are not the owner's are an error, as is an unknown session."""
-    ids = rows.select(F.col("session_id").alias("id")).distinct()
-    owned = sessions.filter(F.col("owner_id") == owner)
-    if ids.join(owned, "id", "left_anti").limit(1).count():
-        raise ValueError("session not found or not owned")
-    marked = ids.withColumn("hit", F.lit(True))
-    done = sessions.join(marked, "id", "left")
-    done = done.withColumn("status", F.when(F.col("hit"), "approved").otherwise(F.col("status"))).withColumn("updated_at", F.when(F.col("hit"), now).otherwise(F.col("updated_at"))).drop("hit")
-    facts = attendance_of(rows, owned, strict)
-    return done.select(*sessions.columns), upsert(attendance, facts, ["session_id", "member_id"])
+def rows_of(approvals: DataFrame) -> DataFrame:
+    """The rows of approvals (session_id, rows: a VARIANT array) one by one: session_id, pos, member_id, has_member (a member was
+    given, be it JSON null), is_header (text) and present. A member that is missing is told from one that is null."""
+    spark = approvals.sparkSession
+    each = approvals.select("session_id", "rows").lateralJoin(spark.tvf.variant_explode(F.col("rows").outer()))
+    text = lambda path: F.try_variant_get("value", path, "string")
+    return each.select(
+        "session_id",
+        "pos",
+        text("$.suggestedMember.id").alias("member_id"),
+        F.try_variant_get("value", "$.suggestedMember", "variant").isNotNull().alias("has_member"),
+        text("$.isHeader").alias("is_header"),
+        text("$.present").cast("boolean").alias("present"),
+    )
+
+
+def facts_of(approvals: DataFrame, sessions: DataFrame, strict: bool = True) -> DataFrame:
+    """Attendance facts of the rows of approvals, with the day and name of their session.
+
+    strict: rows without a member's id drop, and of several rows of a member the last counts. Otherwise rows whose member is
+    JSON null stay, each a fact without a member, rows that lack the member drop, and two rows of one member of a session
+    raise an error."""
+    rows = rows_of(approvals).filter(F.col("has_member") & ~F.col("is_header").eqNullSafe("true")).withColumn("row_idx", F.col("pos"))
+    if not strict:
+        rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("session_id", "member_id")))
+        twice = F.col("member_id").isNotNull() & (F.col("n") > 1)
+        rows = rows.filter(F.when(twice, F.raise_error(F.concat(F.lit("two rows of member "), "member_id", F.lit(" in session "), "session_id"))).otherwise(F.lit(True)).cast("boolean"))
+    return attendance_of(rows, sessions, strict)
+
+
+def approve(sessions: DataFrame, approvals: DataFrame, attendance: DataFrame, owner, now, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Sessions and attendance after approvals (session_id, rows: a VARIANT array; one for a session).
+
+    An approved session has the rows as final_table and suggested_table, the status approved and `now` as updated_at; its
+    facts (see facts_of) replace those of the same session and member. A session that is absent or not owned by `owner` is
+    an error, which the plans of both results raise themselves, so that no job beforehand is needed."""
+    asked = approvals.select(F.col("session_id").alias("id"), "rows", F.lit(True).alias("asked"))
+    refused = lambda: F.raise_error(F.concat(F.lit("session not found or not owned: "), "id"))
+    allowed = F.when(F.col("asked") & ~F.col("owner_id").eqNullSafe(F.lit(owner)), refused()).otherwise(F.lit(True)).cast("boolean")
+    done = sessions.join(asked, "id", "full_outer").filter(allowed)
+    new = {"status": F.lit("approved"), "updated_at": now, "final_table": F.col("rows"), "suggested_table": F.col("rows")}
+    present = [c for c in new if c not in sessions.columns]
+    done = done.withColumns({c: F.when(F.col("asked"), v).otherwise(F.col(c) if c in sessions.columns else F.lit(None)) for c, v in new.items()})
+    owned = asked.join(sessions.select("id", "owner_id", "event_name", "session_date"), "id", "left").filter(allowed)
+    facts = facts_of(owned.select(F.col("id").alias("session_id"), "rows"), owned, strict)
+    return done.select(*sessions.columns, *present), upsert(attendance, facts, ["session_id", "member_id"])
 
 
 def learn_corrections(corrections: DataFrame, batch: DataFrame) -> DataFrame:

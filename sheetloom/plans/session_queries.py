@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import access, approvals, edits, kpis
@@ -38,7 +39,8 @@ def top5(spark, d):
 
 
 def members_sorted(spark, d):
-    return access.by_name(R.members(spark, d)).select("id", "full_name")
+    """With the place of each, as a comparison of rows alone does not see the order."""
+    return access.numbered(access.by_name(R.members(spark, d)).select("id", "full_name"))
 
 
 def routing(spark, d):
@@ -99,13 +101,37 @@ def approve_compat(spark, d):
     return _shown(_facts(spark, d, False))
 
 
+def _approvals(spark, d, rows):
+    """One array of rows for each session, as JSON: a member as an object, as null or not at all, marks as booleans or absent."""
+    member = F.when(F.col("member_id").isNotNull(), F.concat(F.lit(',"suggestedMember":{"id":"'), "member_id", F.lit('"}'))).when(F.col("row_idx") % 2 == 0, ',"suggestedMember":null').otherwise("")
+    text = F.concat(F.lit('{"idx":'), F.col("row_idx").cast("string"), F.when(F.col("is_header"), ',"isHeader":true').otherwise(""), F.when(F.col("present"), "").otherwise(',"present":false'), member, F.lit("}"))
+    listed = rows.select("session_id", F.struct("row_idx", text.alias("row")).alias("r")).groupBy("session_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    return listed.select("session_id", F.parse_json(F.concat(F.lit("["), F.array_join(F.transform("rs", lambda r: r["row"]), ","), F.lit("]"))).alias("rows"))
+
+
 def approve_session(spark, d):
     s = R.sessions(spark, d).withColumn("updated_at", F.lit(None).cast("date"))
-    rows = R.match_rows(spark, d).withColumn("is_header", F.col("is_header").cast("string"))
-    mine = rows.join(s.filter(F.col("owner_id") == OWNER).select(F.col("id").alias("session_id")), "session_id", "left_semi")
-    done, facts = approvals.approve(s, mine, _before(spark, d), OWNER, F.to_date(F.lit("2024-05-05")))
-    shown = done.select("id", F.lit(None).cast("string").alias("member_id"), "status", F.col("updated_at").cast("string").alias("day"), F.lit("").alias("present"))
-    return shown.union(facts.select("session_id", "member_id", "event_name", F.col("attendance_date").cast("string"), F.col("present").cast("string")))
+    mine = access.of_owned_sessions(R.match_rows(spark, d), s, OWNER)
+    done, facts = approvals.approve(s, _approvals(spark, d, mine), _before(spark, d), OWNER, F.to_date(F.lit("2024-05-05")))
+    shown = done.select("id", F.lit(None).cast("string").alias("member_id"), "status", F.col("updated_at").cast("string").alias("day"), F.lit("").alias("present"), F.to_json("final_table").alias("final_table"), F.to_json("suggested_table").alias("suggested_table"))
+    return shown.unionByName(facts.select(F.col("session_id").alias("id"), "member_id", F.col("event_name").alias("status"), F.col("attendance_date").cast("string").alias("day"), F.col("present").cast("string"), F.lit(None).cast("string").alias("final_table"), F.lit(None).cast("string").alias("suggested_table")))
+
+
+def variant_facts(spark, d):
+    """Arrays of rows to facts, strictly, and compatibly where no member of a session has two rows."""
+    rows, sessions = R.match_rows(spark, d), R.sessions(spark, d)
+    strict = approvals.facts_of(_approvals(spark, d, rows), sessions)
+    n = F.count("*").over(Window.partitionBy("session_id", "member_id"))
+    once = rows.withColumn("n", n).filter("n = 1 or member_id is null")
+    compat = approvals.facts_of(_approvals(spark, d, once), sessions, strict=False)
+    return _shown(strict).withColumn("way", F.lit("strict")).unionByName(_shown(compat).withColumn("way", F.lit("compat")))
+
+
+def relative_dates(spark, d):
+    o = R.table(spark, d, "orders")
+    then = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    then = F.when(F.col("o_orderkey") % 17 == 0, F.lit("1997-06-15 12:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("o_orderkey") % 3000 - 1500).cast("int"))).otherwise(then)
+    return o.select("o_orderkey", access.distance(F.when(F.col("o_orderkey") % 1009 != 0, then), F.lit("1997-06-15 12:00:30").cast("timestamp_ntz")).alias("shown"))
 
 
 def upsert_corrections(spark, d):
@@ -235,6 +261,9 @@ _FACTS = f"""{R.MATCH_ROWS}, {R.SESSIONS}, facts AS (
   FROM (SELECT * FROM match_rows WHERE NOT is_header AND member_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, member_id ORDER BY row_idx DESC) = 1) m
   JOIN sessions s ON s.id = m.session_id),
 before AS (SELECT DISTINCT session_id, member_id, DATE '2000-01-01' AS attendance_date, 'before' AS event_name, true AS present FROM match_rows WHERE member_id IS NOT NULL AND row_idx % 2 = 1)"""
+_JSON_ROWS = """json_rows AS (
+  SELECT *, '{"idx":' || row_idx || CASE WHEN is_header THEN ',"isHeader":true' ELSE '' END || CASE WHEN present THEN '' ELSE ',"present":false' END
+    || CASE WHEN member_id IS NOT NULL THEN ',"suggestedMember":{"id":"' || member_id || '"}' WHEN row_idx % 2 = 0 THEN ',"suggestedMember":null' ELSE '' END || '}' AS j FROM match_rows)"""
 _EXPORT = f"""{R.EDIT_ROWS}, x AS (
   SELECT session_id, row_id, row_idx, ocr_name, is_header, list_transform(columns, lambda c: c || CASE WHEN row_idx % 4 = 0 THEN '"q' ELSE '' END) AS columns,
     CASE WHEN row_idx = 5 THEN 'footer' WHEN row_idx = 1 THEN 'title' WHEN row_idx < 9 THEN 'data' END AS region FROM edit_rows),
@@ -244,7 +273,7 @@ _QUOTED = """array_to_string(list_transform(columns, lambda c: '"' || replace(c,
 QUERIES = {
     "q_point_lookup": point_lookup, "q_member_search": member_search, "q_session_search": session_search, "q_rls_semi": rls, "q_history": history, "q_top5": top5, "q_members_sorted": members_sorted,
     "q_route": routing, "q_counts": counts, "q_session_kpi": session_kpi, "q_row_counts": row_counts, "q_width_histogram": width_histogram, "q_session_defaults": session_defaults,
-    "q_approval_filter": approval_filter, "q_approve_upsert": approve_upsert, "q_approve_compat": approve_compat, "q_approve_session": approve_session, "q_upsert_corrections": upsert_corrections,
+    "q_approval_filter": approval_filter, "q_approve_upsert": approve_upsert, "q_approve_compat": approve_compat, "q_approve_session": approve_session, "q_variant_facts": variant_facts, "q_relative_dates": relative_dates, "q_upsert_corrections": upsert_corrections,
     "q_cascade_delete": cascade_delete, "q_json_bind": json_bind, "q_assign_member": assign_member, "q_edit_fold": edit_fold, "q_merge_up": merge_up, "q_approve_data": approve_data, "q_undo": undo,
     "q_member_append": member_append, "q_draft_update": draft_update, "q_attendance_csv": attendance_csv, "q_roster_csv": roster_csv, "q_upload_guard": upload_guard, "q_enrich": enriched, "q_recognise": recognised,
     "q_export_csv": export_csv, "q_export_tsv": export_tsv, "q_clean_export": clean_export,
@@ -257,7 +286,7 @@ SQL = {
     "q_history": f"""WITH {R.SESSIONS} SELECT id, strftime(created_at, '%b %d, %Y') AS shown, CASE status WHEN 'approved' THEN 'Approved' WHEN 'refining' THEN 'In Review' ELSE 'Pending' END AS label,
   CASE status WHEN 'approved' THEN 'Completed' ELSE 'Continue Approval' END AS action FROM sessions ORDER BY created_at DESC NULLS FIRST, id""",
     "q_top5": f"WITH {R.SESSIONS} SELECT id, event_name FROM sessions ORDER BY created_at DESC NULLS FIRST, id LIMIT 5",
-    "q_members_sorted": f"WITH {R.MEMBERS} SELECT id, full_name FROM members ORDER BY full_name, id",
+    "q_members_sorted": f"WITH {R.MEMBERS} SELECT id, full_name, row_number() OVER (ORDER BY full_name, id) AS ordinal FROM members",
     "q_route": "SELECT event_id, CASE WHEN user_id % 2 <> 0 AND event_type <> 'click' THEN '/login' WHEN user_id % 2 = 0 AND event_type = 'click' THEN '/' END AS to FROM events".replace("AS to", 'AS "to"'),
     "q_counts": "SELECT 'members' AS name, count(*) AS n FROM customer UNION ALL SELECT 'sessions', count(*) FROM orders UNION ALL SELECT 'attendance', count(*) FROM lineitem",
     "q_session_kpi": f"""WITH {R.MATCH_ROWS} SELECT session_id, count(*) AS n_rows, count(*) FILTER (status = 'correction' OR raw_override <> '') AS n_edits, count(*) FILTER (status = 'flagged') AS n_flagged,
@@ -274,11 +303,21 @@ SELECT session_id, member_id, CAST(attendance_date AS VARCHAR) AS attendance_dat
 UNION ALL SELECT session_id, member_id, CAST(attendance_date AS VARCHAR), event_name, present FROM source""",
     "q_approve_compat": f"""WITH {_FACTS} SELECT session_id, member_id, CAST(attendance_date AS VARCHAR) AS attendance_date, event_name, present FROM facts
 UNION ALL SELECT session_id, NULL, CAST(session_date AS VARCHAR), event_name, present FROM match_rows m JOIN sessions s ON s.id = m.session_id WHERE NOT is_header AND member_id IS NULL""",
-    "q_approve_session": f"""WITH {_FACTS}, mine AS (SELECT f.* FROM facts f JOIN sessions s ON s.id = f.session_id WHERE owner_id = {OWNER})
-SELECT id, NULL AS member_id, CASE WHEN hit THEN 'approved' ELSE status END AS status, CASE WHEN hit THEN '2024-05-05' END AS day, '' AS present
-FROM (SELECT *, owner_id = {OWNER} AND id IN (SELECT session_id FROM match_rows) AS hit FROM sessions)
-UNION ALL SELECT session_id, member_id, event_name, CAST(attendance_date AS VARCHAR), CAST(present AS VARCHAR) FROM before ANTI JOIN mine USING (session_id, member_id)
-UNION ALL SELECT session_id, member_id, event_name, CAST(attendance_date AS VARCHAR), CAST(present AS VARCHAR) FROM mine""",
+    "q_approve_session": f"""WITH {_FACTS}, {_JSON_ROWS}, mine AS (SELECT f.* FROM facts f JOIN sessions s ON s.id = f.session_id WHERE owner_id = {OWNER}),
+tables AS (SELECT session_id, '[' || string_agg(j, ',' ORDER BY row_idx, j) || ']' AS t FROM json_rows GROUP BY session_id)
+SELECT id, NULL AS member_id, CASE WHEN hit THEN 'approved' ELSE status END AS status, CASE WHEN hit THEN '2024-05-05' END AS day, '' AS present, CASE WHEN hit THEN t END AS final_table, CASE WHEN hit THEN t END AS suggested_table
+FROM (SELECT *, owner_id = {OWNER} AND t IS NOT NULL AS hit FROM sessions LEFT JOIN tables ON session_id = id)
+UNION ALL SELECT session_id, member_id, event_name, CAST(attendance_date AS VARCHAR), CAST(present AS VARCHAR), NULL, NULL FROM before ANTI JOIN mine USING (session_id, member_id)
+UNION ALL SELECT session_id, member_id, event_name, CAST(attendance_date AS VARCHAR), CAST(present AS VARCHAR), NULL, NULL FROM mine""",
+    "q_variant_facts": f"""WITH {_FACTS}, {_JSON_ROWS}, once AS (SELECT * FROM json_rows WHERE member_id IS NULL OR (session_id, member_id) IN (SELECT (session_id, member_id) FROM json_rows GROUP BY session_id, member_id HAVING count(*) = 1))
+SELECT session_id, member_id, CAST(attendance_date AS VARCHAR) AS attendance_date, event_name, present, 'strict' AS way FROM facts
+UNION ALL SELECT session_id, member_id, CAST(session_date AS VARCHAR), event_name, coalesce(present, true), 'compat' FROM once JOIN sessions ON id = session_id WHERE NOT is_header AND (member_id IS NOT NULL OR row_idx % 2 = 0)""",
+    "q_relative_dates": f"""WITH t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN TIMESTAMP '1997-06-15 12:00:00' + to_minutes(CAST(o_orderkey % 3000 - 1500 AS BIGINT)) ELSE CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 1440 AS BIGINT)) END AS t, TIMESTAMP '1997-06-15 12:00:30' AS now FROM orders),
+u AS (SELECT *, floor(date_sub('second', least(t, now), greatest(t, now)) / 60 + 0.5)::BIGINT AS m, date_sub('month', least(t, now), greatest(t, now)) AS months FROM t),
+w AS (SELECT *, CASE WHEN m = 0 THEN 'less than a minute' WHEN m = 1 THEN '1 minute' WHEN m < 45 THEN m || ' minutes' WHEN m < 90 THEN 'about 1 hour' WHEN m < 1440 THEN 'about ' || floor(m / 60 + 0.5)::INT || ' hours' WHEN m < 2520 THEN '1 day'
+  WHEN m < 43200 THEN floor(m / 1440 + 0.5)::INT || ' days' WHEN m < 86400 THEN CASE WHEN m < 64800 THEN 'about 1 month' ELSE 'about 2 months' END WHEN months < 12 THEN floor(m / 43200 + 0.5)::INT || ' month' || CASE WHEN floor(m / 43200 + 0.5) = 1 THEN '' ELSE 's' END
+  ELSE CASE WHEN months % 12 < 3 THEN 'about ' WHEN months % 12 < 9 THEN 'over ' ELSE 'almost ' END || (months // 12 + CASE WHEN months % 12 >= 9 THEN 1 ELSE 0 END) || CASE WHEN months // 12 + CASE WHEN months % 12 >= 9 THEN 1 ELSE 0 END = 1 THEN ' year' ELSE ' years' END END AS x FROM u)
+SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 0 THEN NULL WHEN t > now THEN 'in ' || x ELSE x || ' ago' END AS shown FROM w""",
     "q_undo": f"""WITH RECURSIVE {R.EDIT_LOG}, log AS (
   SELECT session_id, CASE WHEN seq % 3 = 2 THEN 'undo' WHEN seq % 7 = 3 THEN 'redo' ELSE 'edit' END AS op, CAST(seq AS VARCHAR) AS version, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM edit_log
 ), state(session_id, k, versions, cursor) AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import functions as F
@@ -115,6 +116,29 @@ def heal(spark, d):
     return healing.heal(cells).select("doc_id", "row_idx", F.array_join("columns", "¦").alias("cells"), F.round("confidence", 6).alias("confidence"), "is_header", "heal_note")
 
 
+def _read(image: bytes) -> tuple[str, float]:
+    k, text = image.decode().split("|", 1)
+    if int(k) % 13 == 0:
+        raise ValueError("unreadable")
+    return text, 60.0 + int(k) % 40
+
+
+def _read_again(image: bytes) -> tuple[str, float]:
+    k, text = image.decode().split("|", 1)
+    return text.translate(str.maketrans(ascii_lowercase, ascii_uppercase)), 65.0 + int(k) % 9
+
+
+def read_sheets(spark, d):
+    """Lines of documents as images of cells, of which a first recogniser fails on some; the second reads in capitals."""
+    rows = R.ocr_rows(spark, d).select("doc_id", "row_idx", F.posexplode("columns").alias("col_idx", "text"))
+    k = F.col("doc_id") + F.col("row_idx") + F.col("col_idx")
+    image = F.when(k % 11 != 0, F.encode(F.concat(k.cast("string"), F.lit("|"), "text"), "UTF-8")).alias("image")
+    cells = rows.select("doc_id", "row_idx", "col_idx", image, (F.col("col_idx") * 50).alias("x0"), (F.col("col_idx") * 50 + 44).alias("x1"), (F.col("row_idx") * 30).alias("y0"), (F.col("row_idx") * 30 + 12).alias("y1"))
+    out = healing.read_sheets(cells, _read, _read_again)
+    bits = F.array_join(F.transform("empty_cells", lambda e: e.cast("int").cast("string")), "")
+    return out.select("doc_id", "row_idx", F.array_join("columns", "¦").alias("cells"), bits.alias("empty"), F.round("confidence", 6).alias("confidence"), F.round("structural_confidence.total", 6).alias("total"), "is_header", "heal_note", "region", "bbox.x0", "bbox.x1", "bbox.y0", "bbox.y1")
+
+
 _PROFILE = R.SPARSE_INK + """,
 share_y AS (SELECT img_id, y AS p, CAST(sum(v) / CAST(any_value(w) AS DOUBLE) AS FLOAT) AS share, any_value(h) AS size FROM sparse JOIN size USING (img_id) GROUP BY img_id, y),
 share_x AS (SELECT img_id, x AS p, CAST(sum(v) / CAST(any_value(h) AS DOUBLE) AS FLOAT) AS share, any_value(w) AS size FROM sparse JOIN size USING (img_id) GROUP BY img_id, x)"""
@@ -131,6 +155,36 @@ def _line(x: str) -> str:
     return f"replace({trim_sql(x)}, chr(10), ' ')"
 
 
+def _heal_sql(failed: str) -> str:
+    """Cells as first read, and where `failed` holds not at all, to healed rows."""
+    return rf"""{R.OCR_ROWS}, cell0 AS (SELECT doc_id, row_idx, unnest(range(len(columns))) AS i, unnest(columns) AS t FROM ocr_rows), cell AS (SELECT *, doc_id + row_idx + i AS k FROM cell0),
+grid AS (
+  SELECT r.doc_id, r.row_idx, r.i, width, CASE WHEN k % 11 = 0 OR {failed} THEN '' ELSE coalesce({_line('t')}, '') END AS text, CAST(CASE WHEN k IS NULL THEN 0 WHEN k % 11 = 0 THEN 100 WHEN {failed} THEN 0 ELSE 60 + k % 40 END AS DOUBLE) AS conf, coalesce(k % 11 = 0, false) AS is_empty,
+    coalesce({_line(f"translate(t, '{ascii_lowercase}', '{ascii_uppercase}')")}, '') AS again, CASE WHEN k IS NOT NULL THEN CAST(65 + k % 9 AS DOUBLE) END AS fb
+  FROM (SELECT doc_id, row_idx, width, unnest(range(width)) AS i FROM (SELECT DISTINCT doc_id, row_idx FROM cell) JOIN (SELECT doc_id, max(i) + 1 AS width FROM cell GROUP BY doc_id) USING (doc_id)) r
+  LEFT JOIN cell c ON c.doc_id = r.doc_id AND c.row_idx = r.row_idx AND c.i = r.i
+), locked AS (
+  SELECT doc_id, row_idx, list(text ORDER BY i) AS columns, false AS is_header, string_agg(text, '  ' ORDER BY i) FILTER (text <> '') AS text FROM grid WHERE row_idx < 4
+  GROUP BY doc_id, row_idx HAVING count(*) FILTER ({trim_sql('text')} <> '') > 0
+), {classified_sql('locked', '1')}, {schema_sql()},
+typed AS (
+  SELECT g.*, kind, CASE WHEN g.row_idx >= 4 AND kind = 'numeric' THEN regexp_replace(text, '[^0-9.\-]', '', 'g') ELSE text END AS read, conf < 70 AND coalesce(fb, -1) > conf AS better
+  FROM grid g LEFT JOIN kinds n ON n.doc_id = g.doc_id AND n.col_idx = g.i
+), cleaned AS (SELECT *, {cell_sql('read', 'kind')} AS first, {cell_sql('CASE WHEN better THEN again ELSE read END', 'kind')} AS second FROM typed),
+state AS (
+  SELECT doc_id, row_idx, count(*) FILTER (len({trim_sql('first')}) > 1) = 0 AS noise, count(*) FILTER (len({trim_sql('first')}) > 1) = 0 OR sum(conf) / CAST(any_value(width) AS DOUBLE) < 75 AS weak, bool_or(better) AS better
+  FROM cleaned GROUP BY doc_id, row_idx HAVING count(*) FILTER ({trim_sql('read')} <> '') > 0
+),
+healed AS (SELECT c.doc_id, c.row_idx, string_agg(CASE WHEN NOT weak THEN first WHEN s.better THEN second ELSE read END, '¦' ORDER BY i) AS cells, list(CASE WHEN NOT weak THEN first WHEN s.better THEN second ELSE read END ORDER BY i) AS columns, string_agg(CAST(CAST(is_empty AS INT) AS VARCHAR), '' ORDER BY i) AS empty,
+  sum(CASE WHEN weak AND c.better THEN fb ELSE conf END) / CAST(any_value(width) AS DOUBLE) AS whole, round(whole, 6) AS confidence,
+  c.row_idx < 4 AND (c.doc_id, c.row_idx) IN (SELECT (doc_id, row_idx) FROM classified WHERE region = 'header') AS is_header,
+  trim(CASE WHEN any_value(weak AND noise) THEN 'Corrected: Row appears to be visual noise or separator line | ' ELSE '' END || CASE WHEN any_value(weak AND s.better) THEN 'Healed low-confidence cells using fallback model.' ELSE '' END) AS heal_note
+FROM cleaned c JOIN state s ON s.doc_id = c.doc_id AND s.row_idx = c.row_idx GROUP BY c.doc_id, c.row_idx)"""
+
+
+#: Healed lines, classified once more under names of their own.
+_FINAL = re.sub(r"\b(marked|counted|cased|classified)\b", r"\1_final", classified_sql("lines"))
+
 _PARTS = R.SPARSE_INK + """,
 inked AS (SELECT img_id, y * 1000 + x AS id, y, x FROM sparse WHERE v = 1),
 edge AS (SELECT a.img_id, a.id AS u, b.id AS v FROM inked a JOIN inked b ON a.img_id = b.img_id AND ((a.y = b.y AND abs(a.x - b.x) = 1) OR (a.x = b.x AND abs(a.y - b.y) = 1))),
@@ -163,7 +217,7 @@ cell AS (SELECT r.img_id, r.idx AS row_idx, c.idx AS col_idx, c.low + 3 AS x, r.
 QUERIES = {
     "q_binarize": binarize, "q_dilate": dilate, "q_erode": erode, "q_projection": projection, "q_boundaries": boundaries, "q_cell_grid": cell_grid, "q_crop": crop, "q_components": components, "q_density": density,
     "q_segment": segment, "q_image_cells": image_cells, "q_run_components": run_components,
-    "q_downscale": downscale, "q_sharpen": sharpened, "q_word_rows": word_rows, "q_heal": heal,
+    "q_downscale": downscale, "q_sharpen": sharpened, "q_word_rows": word_rows, "q_heal": heal, "q_read_sheets": read_sheets,
 }
 SQL = {
     "q_binarize": f"WITH {R.PIXELS} SELECT img_id, y, x, v FROM ink",
@@ -205,26 +259,14 @@ joined AS (SELECT doc_id, k, string_agg(trim(cell), '¦' ORDER BY c) AS cells, c
 stat AS (SELECT doc_id, k, avg(confidence) AS conf, avg(abs(y0 + 6 - mid)) AS off, min(x0) AS x0, max(x0 + 50) AS x1 FROM line GROUP BY ALL)
 SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INT) AS row_idx, cells, round(conf, 6) AS confidence, round((greatest(0, 100 - 5 * off) + CASE WHEN n > 1 THEN 75 ELSE 50 END + conf) / 3, 6) AS total,
   dense_rank() OVER (PARTITION BY doc_id ORDER BY k) <= 2 OR hint AS is_header, x0, x1 FROM joined JOIN stat USING (doc_id, k)""",
-    "q_heal": rf"""WITH {R.OCR_ROWS}, cell0 AS (SELECT doc_id, row_idx, unnest(range(len(columns))) AS i, unnest(columns) AS t FROM ocr_rows), cell AS (SELECT *, doc_id + row_idx + i AS k FROM cell0),
-grid AS (
-  SELECT r.doc_id, r.row_idx, r.i, width, CASE WHEN k % 11 = 0 THEN '' ELSE coalesce({_line('t')}, '') END AS text, CAST(CASE WHEN k IS NULL THEN 0 WHEN k % 11 = 0 THEN 100 ELSE 60 + k % 40 END AS DOUBLE) AS conf,
-    coalesce({_line(f"translate(t, '{ascii_lowercase}', '{ascii_uppercase}')")}, '') AS again, CASE WHEN k IS NOT NULL THEN CAST(65 + k % 9 AS DOUBLE) END AS fb
-  FROM (SELECT doc_id, row_idx, width, unnest(range(width)) AS i FROM (SELECT DISTINCT doc_id, row_idx FROM cell) JOIN (SELECT doc_id, max(i) + 1 AS width FROM cell GROUP BY doc_id) USING (doc_id)) r
-  LEFT JOIN cell c ON c.doc_id = r.doc_id AND c.row_idx = r.row_idx AND c.i = r.i
-), locked AS (
-  SELECT doc_id, row_idx, list(text ORDER BY i) AS columns, false AS is_header, string_agg(text, '  ' ORDER BY i) FILTER (text <> '') AS text FROM grid WHERE row_idx < 4
-  GROUP BY doc_id, row_idx HAVING count(*) FILTER ({trim_sql('text')} <> '') > 0
-), {classified_sql('locked', '1')}, {schema_sql()},
-typed AS (
-  SELECT g.*, kind, CASE WHEN g.row_idx >= 4 AND kind = 'numeric' THEN regexp_replace(text, '[^0-9.\-]', '', 'g') ELSE text END AS read, conf < 70 AND coalesce(fb, -1) > conf AS better
-  FROM grid g LEFT JOIN kinds n ON n.doc_id = g.doc_id AND n.col_idx = g.i
-), cleaned AS (SELECT *, {cell_sql('read', 'kind')} AS first, {cell_sql('CASE WHEN better THEN again ELSE read END', 'kind')} AS second FROM typed),
-state AS (
-  SELECT doc_id, row_idx, count(*) FILTER (len({trim_sql('first')}) > 1) = 0 AS noise, count(*) FILTER (len({trim_sql('first')}) > 1) = 0 OR sum(conf) / CAST(any_value(width) AS DOUBLE) < 75 AS weak, bool_or(better) AS better
-  FROM cleaned GROUP BY doc_id, row_idx HAVING count(*) FILTER ({trim_sql('read')} <> '') > 0
-)
-SELECT c.doc_id, c.row_idx, string_agg(CASE WHEN NOT weak THEN first WHEN s.better THEN second ELSE read END, '¦' ORDER BY i) AS cells, round(sum(CASE WHEN weak AND c.better THEN fb ELSE conf END) / CAST(any_value(width) AS DOUBLE), 6) AS confidence,
-  c.row_idx < 4 AND (c.doc_id, c.row_idx) IN (SELECT (doc_id, row_idx) FROM classified WHERE region = 'header') AS is_header,
-  trim(CASE WHEN any_value(weak AND noise) THEN 'Corrected: Row appears to be visual noise or separator line | ' ELSE '' END || CASE WHEN any_value(weak AND s.better) THEN 'Healed low-confidence cells using fallback model.' ELSE '' END) AS heal_note
-FROM cleaned c JOIN state s ON s.doc_id = c.doc_id AND s.row_idx = c.row_idx GROUP BY c.doc_id, c.row_idx""",
+    "q_heal": f"WITH {_heal_sql('false')} SELECT doc_id, row_idx, cells, confidence, is_header, heal_note FROM healed",
+    "q_read_sheets": f"""WITH {_heal_sql('k % 13 = 0')}, box AS (SELECT doc_id, row_idx, 0 AS x0, (SELECT max(i) FROM cell t WHERE t.doc_id = c.doc_id) * 50 + 44 AS x1, row_idx * 30 AS y0, row_idx * 30 + 12 AS y1 FROM cell c GROUP BY doc_id, row_idx),
+lines AS (SELECT doc_id, row_idx, columns, is_header, array_to_string(list_filter(columns, lambda x: x <> ''), '  ') AS text FROM healed),
+{_FINAL},
+near AS (SELECT f.doc_id, f.row_idx, f.region, b.x0, b.x1, b.y0, b.y1, f.region = 'header' AND lag(f.region) OVER w = 'header' AND abs(b.y0 - lag(b.y1) OVER w) < 20 AS joins, row_number() OVER w AS at0
+  FROM classified_final f JOIN box b ON b.doc_id = f.doc_id AND b.row_idx = f.row_idx WINDOW w AS (PARTITION BY f.doc_id ORDER BY f.row_idx)),
+placed AS (SELECT *, at0 - max(at0) FILTER (NOT coalesce(joins, false)) OVER (PARTITION BY doc_id ORDER BY row_idx) AS place, lead(coalesce(joins, false)) OVER (PARTITION BY doc_id ORDER BY row_idx) AS followed FROM near),
+joined AS (SELECT p.*, h.* EXCLUDE (doc_id, row_idx), lead(h.columns) OVER (PARTITION BY p.doc_id ORDER BY p.row_idx) AS under FROM placed p JOIN healed h ON h.doc_id = p.doc_id AND h.row_idx = p.row_idx)
+SELECT doc_id, row_idx, CASE WHEN coalesce(followed, false) AND region = 'header' THEN array_to_string(list_transform(columns, lambda c, i: CASE WHEN coalesce(under[i], '') <> '' THEN {trim_sql("c || ' ' || under[i]")} ELSE c END), '¦') ELSE cells END AS cells,
+  empty, confidence, round((185 + whole) / 3, 6) AS total, is_header, heal_note, region, x0, x1, y0, y1 FROM joined WHERE place % 2 = 0 AND region <> 'empty'""",
 }

@@ -184,10 +184,56 @@ def test_approvals(spark):
     assert approvals.attendance_of(rows, sessions, strict=False).count() == 2
     once = approvals.upsert(approvals.attendance_of(rows, sessions).limit(0), approvals.attendance_of(rows, sessions), ["session_id", "member_id"])
     assert approvals.upsert(once, approvals.attendance_of(rows, sessions), ["session_id", "member_id"]).count() == 1
-    with pytest.raises(ValueError):
-        approvals.approve(sessions, rows, once, 8, F.current_date())
-    done, facts = approvals.approve(sessions, rows, once, 7, F.lit("2024-02-02").cast("date"))
-    assert done.first()["status"] == "approved" and facts.count() == 1
+
+
+def test_approve_in_one_plan(spark):
+    """final_table and suggested_table are set; JSON null is told from a missing member; wrong sessions raise in the plan."""
+    table = '[{"isHeader":true,"suggestedMember":{"id":"m9"}},{"present":false,"suggestedMember":{"id":"m1"}},{"suggestedMember":null},{"x":1},{"suggestedMember":{"id":"m2"},"isHeader":"true"},{"suggestedMember":{"id":"m3"}}]'
+    sessions = spark.createDataFrame([("s", 7, "e", "pending"), ("t", 8, "f", "pending")], "id string, owner_id int, event_name string, status string").withColumns({"session_date": F.lit("2024-01-01").cast("date"), "updated_at": F.lit(None).cast("date")})
+    asked = lambda session, text: spark.createDataFrame([(session, text)], "session_id string, t string").select("session_id", F.parse_json("t").alias("rows"))
+    before = spark.createDataFrame([("s", "m1", "old", True), ("t", "m1", "old", True)], "session_id string, member_id string, event_name string, present boolean").withColumn("attendance_date", F.lit("2000-01-01").cast("date"))
+    at = F.lit("2024-02-02").cast("date")
+    done, facts = approvals.approve(sessions, asked("s", table), before, 7, at)
+    shown = {r["id"]: tuple(r)[1:] for r in done.select("id", "status", F.col("updated_at").isNotNull(), F.to_json("final_table").isNotNull(), F.to_json("suggested_table").eqNullSafe(F.to_json("final_table"))).collect()}
+    assert shown == {"s": ("approved", True, True, True), "t": ("pending", False, False, True)}
+    assert sorted((r["session_id"], r["member_id"], r["present"]) for r in facts.collect()) == [("s", "m1", False), ("s", "m3", True), ("t", "m1", True)]
+    _, compat = approvals.approve(sessions, asked("s", table), before, 7, at, strict=False)
+    assert sorted(str(r["member_id"]) for r in compat.filter("session_id = 's'").collect()) == ["None", "m1", "m3"]
+    twice = asked("s", '[{"suggestedMember":{"id":"m1"}},{"suggestedMember":{"id":"m1"}}]')
+    assert approvals.approve(sessions, twice, before, 7, at)[1].filter("session_id = 's'").count() == 1
+    for bad, strict in ((asked("t", "[]"), True), (asked("gone", table), True), (twice, False)):
+        out = approvals.approve(sessions, bad, before, 7, at, strict)
+        with pytest.raises(Exception, match="not found or not owned|two rows of member"):
+            [df.collect() for df in out]
+    assert approvals.approve(sessions, asked("s", "[]"), before, 7, at)[1].count() == 2
+
+
+def test_names_in_the_order_of_a_collation(spark):
+    names = ["Zoë", "ábel", "Abel", "abel", "Éva", "Eva", "zoe", None, "Adam"]
+    got = access.numbered(access.by_name(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, full_name string"))).orderBy("ordinal").collect()
+    assert [g["full_name"] for g in got] == ["abel", "Abel", "ábel", "Adam", "Eva", "Éva", "zoe", "Zoë", None] and [g["ordinal"] for g in got] == list(range(1, 10))
+
+
+def test_large_files_are_rejected_unread(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A") + b"x")
+    (tmp_path / "b.jpg").write_bytes(b"hello")
+    for name in ("c.jpg", "d.bin"):
+        with open(tmp_path / name, "wb") as f:
+            f.truncate(3 << 30)
+    taken, rejected = readers.admit_images(spark, str(tmp_path))
+    assert [(r["kind"], bytes(r["content"])[8:]) for r in taken.collect()] == [("image/png", b"x")]
+    assert {r["path"][-5:]: r["reason"] for r in rejected.collect()} == {"b.jpg": readers.NO_IMAGE, "c.jpg": readers.TOO_LARGE, "d.bin": readers.NO_IMAGE}
+    assert "LessThanOrEqual(length,10485760)" in taken._jdf.queryExecution().toString()
+
+
+def test_distances_of_time(spark):
+    now = "2024-06-15 12:00:00"
+    cases = {"2024-06-15 12:00:00": "less than a minute ago", "2024-06-15 11:59:30": "1 minute ago", "2024-06-15 12:03:00": "in 3 minutes", "2024-06-15 11:15:00": "about 1 hour ago", "2024-06-14 13:00:00": "about 23 hours ago",
+             "2024-06-14 11:00:00": "1 day ago", "2024-06-01 12:00:00": "14 days ago", "2024-05-10 12:00:00": "about 1 month ago", "2024-02-15 12:00:00": "4 months ago", "2023-06-15 12:00:00": "about 1 year ago",
+             "2021-01-01 00:00:00": "over 3 years ago", "2025-05-01 00:00:00": "in 11 months", "2020-08-01 00:00:00": "almost 4 years ago"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", access.distance(F.col("t").cast("timestamp"), F.lit(now).cast("timestamp")).alias("d")).collect()
+    assert {g["t"]: g["d"] for g in got} == cases
+    assert value(spark, access.distance(F.lit(None).cast("timestamp"), F.current_timestamp())) is None
 
 
 def test_corrections_grow(spark):
@@ -374,3 +420,31 @@ def test_segments_of_images_of_any_size(spark):
     for found in (scan.segment_lines(lines.filter("error is null")), scan.segment(pixels)):
         got = [{tuple(c)[1:] for c in found.filter(F.col("img_id") == i).collect()} for i in range(len(images))]
         assert got == [loops(im) for im in images]
+
+
+def test_second_reading_of_weak_cells_alone(spark, tmp_path):
+    """A recogniser that notes what it is given; only cells below 70 in weak rows are read again."""
+    data = [["Sr", "Name", "Total"], ["l.", "ada lovelace", "1O"], ["2", "bob", "3"], ["3", "cy", "4"], ["4", "dora", "5"], ["5", "ed", "6"], [None, None, None]]
+    sure = {(4, 1): 60.0, (5, 0): 50.0, (5, 1): 65.0, (5, 2): 71.0}
+    cells = [("d", r, c, None if t is None else f"{sure.get((r, c), 90.0)}|{t}".encode(), c * 10, r * 40, c * 10 + 8, r * 40 + 30) for r, row in enumerate(data) for c, t in enumerate(row)]
+    df = spark.createDataFrame(cells, "doc_id string, row_idx int, col_idx int, image binary, x0 int, y0 int, x1 int, y1 int")
+    folder = str(tmp_path)
+
+    def first(image):
+        confidence, text = image.decode().split("|")
+        return text, float(confidence)
+
+    def second(image):
+        import uuid
+
+        open(f"{folder}/{uuid.uuid4().hex}", "wb").write(image)
+        return image.decode().split("|")[1].upper() + "!", 80.0
+
+    got = {r["row_idx"]: r for r in healing.read_sheets(df, first, second).collect()}
+    seen = {f.read_bytes() for f in tmp_path.iterdir()}
+    assert seen == {b"50.0|5", b"65.0|ed"} and len(list(tmp_path.iterdir())) == 2
+    assert sorted(got) == [0, 1, 2, 3, 4, 5] and got[0]["region"] == "header" and got[4]["columns"][1] == "Dora"
+    assert "Healed" in got[5]["heal_note"] and got[5]["confidence"] == (80.0 + 80.0 + 71.0) / 3
+    assert tuple(got[5]["structural_confidence"]) == (95.0, 90.0, (185 + got[5]["confidence"]) / 3)
+    assert tuple(got[5]["bbox"]) == (0, 200, 28, 230) and got[5]["empty_cells"] == [False] * 3
+    assert healing.read_sheets(df.limit(0), first, second).count() == 0
