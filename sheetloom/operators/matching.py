@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of the name's length.
 FUZZY = 0.35
+# fixed values: what a name and an alias weigh; the score that stands for none
+WEIGHTS, SMALLEST = {0: 0.7, 1: 0.3}, 2.0**-52
 
 
 def learned(corrections: DataFrame, members: DataFrame) -> DataFrame:
@@ -24,12 +26,10 @@ def exact(texts: DataFrame, members: DataFrame, ids_contain: bool = True) -> Dat
     aliases = members.select(F.explode("aliases").alias("alias"), "member_ord", F.col("id").alias("member_id")).select(F.lower("alias").alias("t"), "member_ord", "member_id")
     keys = names.unionByName(aliases)
     if ids_contain:
-        longest = members.agg(F.coalesce(F.max(F.length("id")), F.lit(0))).first()[0]
-        # lengths of texts up to that of the longest id
-        lengths = [r[0] for r in texts.select(F.length("t").alias("n")).filter(F.col("n").between(1, longest)).distinct().collect()]
-        low, part = F.lower("id"), lambda n: F.transform(F.sequence(F.lit(1), F.length("id") - n + 1), lambda i: F.substr(low, i, F.lit(n)))
-        parts = F.array_distinct(F.concat(F.array(F.lit("")), *(F.when(F.length("id") >= n, part(n)).otherwise(F.array().cast("array<string>")) for n in lengths)))
-        keys = keys.unionByName(members.filter(F.length("id") > 0).select(F.explode(parts).alias("t"), "member_ord", F.col("id").alias("member_id")))
+        lengths = texts.agg(F.collect_set(F.length("t"))).scalar()  # one array, within the plan
+        low = F.lower("id")
+        parts = F.transform(F.filter("lengths", lambda n: n <= F.length("id")), lambda n: F.transform(F.sequence(F.lit(1), F.length("id") - n + 1), lambda i: F.substr(low, i, n)))
+        keys = keys.unionByName(members.withColumn("lengths", lengths).select(F.explode(F.array_distinct(F.flatten(parts))).alias("t"), "member_ord", F.col("id").alias("member_id")))
     first = keys.join(texts, "t", "left_semi").groupBy("t").agg(F.min_by("member_id", F.struct("member_ord", "member_id")).alias("member_id"))
     return texts.join(first, "t")
 
@@ -62,39 +62,113 @@ def edits_within(pattern: Column, text: Column) -> Column:
     return F.aggregate(letters, F.struct(start.alias("row"), n.alias("best")), step, lambda s: s["best"])
 
 
+def letters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def masks(pattern: Column) -> Column:
+    """For each letter of a pattern of up to WORD letters the places where it stands, as bits."""
+    each = letters(pattern)
+    at = lambda x: F.aggregate(F.transform(each, lambda y, i: F.when(x == y, F.element_at(_powers(), i + 1)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+    return F.map_from_entries(F.transform(F.array_distinct(each), lambda x: F.struct(x, at(x))))
+
+
+#: Letters of a pattern whose edit table fits into one 64-bit integer, with room for a carry.
+WORD = 62
+
+
+def _powers() -> Column:
+    return F.array(*(F.lit(1 << i).cast("long") for i in range(WORD)))
+
+
+def edits_by_bits(masks: Column, length: Column, text: Column) -> Column:
+    """As edits_within, for patterns of up to WORD letters: a column of the edit table is held as the signs of its steps, in
+    two integers, and each letter of the text turns it into the next by a few operations on all places at once."""
+    zero = F.lit(0).cast("long")
+    top = F.element_at(_powers(), length)
+    every = top.bitwiseOR(top - 1)
+
+    def step(s, c):
+        eq = F.coalesce(F.element_at(masks, c), zero)
+        vertical = eq.bitwiseOR(s["down"])
+        across = ((eq.bitwiseAND(s["up"]) + s["up"]).bitwiseXOR(s["up"])).bitwiseOR(eq)
+        rise = s["down"].bitwiseOR(F.bitwise_not(across.bitwiseOR(s["up"]))).bitwiseAND(every)
+        fall = s["up"].bitwiseAND(across)
+        return F.struct(vertical.alias("v"), rise.alias("rise"), fall.alias("fall"), s["edits"].alias("edits"), s["best"].alias("best"))
+
+    def settle(s):
+        edits = s["edits"] + F.when(s["rise"].bitwiseAND(top) != 0, 1).when(s["fall"].bitwiseAND(top) != 0, -1).otherwise(0)
+        rise, fall = (F.shiftleft(s[k].bitwiseAND(F.bitwise_not(top)), 1) for k in ("rise", "fall"))
+        up = fall.bitwiseOR(F.bitwise_not(s["v"].bitwiseOR(rise))).bitwiseAND(every)
+        return F.struct(up.alias("up"), rise.bitwiseAND(s["v"]).alias("down"), edits.alias("edits"), F.least(s["best"], edits).alias("best"))
+
+    start = F.struct(every.alias("up"), zero.alias("down"), length.alias("edits"), length.alias("best"))
+    return F.aggregate(letters(text), start, lambda s, c: settle(step(s, c)), lambda s: s["best"])
+
+
 def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substr(c, i, F.lit(2))))
 
 
+def _short_keys(c: Column) -> Column:
+    """Letters, pairs of letters, and pairs with one letter between them, marked by a blank character that stands first."""
+    one = letters(c)
+    at = lambda i: F.get(one, i)
+    pairs = F.transform(F.sequence(F.lit(0), F.size(one) - 2), lambda i: F.concat(at(i), at(i + 1)))
+    skips = F.transform(F.sequence(F.lit(0), F.size(one) - 3), lambda i: F.concat(F.lit("\0"), at(i), at(i + 2)))
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(one, F.when(F.size(one) > 1, pairs).otherwise(none), F.when(F.size(one) > 2, skips).otherwise(none)))
+
+
+def _short(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """t, name and edits of texts of one to three letters. One or two allow no edit, so they stand in a name as a whole. Three
+    allow one, so a name holds the first two, the last two, or the outer two with or without a letter between them."""
+    c = letters(F.col("t"))
+    three = F.array(F.concat(F.get(c, 0), F.get(c, 1)), F.concat(F.get(c, 1), F.get(c, 2)), F.concat(F.get(c, 0), F.get(c, 2)), F.concat(F.lit("\0"), F.get(c, 0), F.get(c, 2)))
+    asked = texts.filter(F.length("t") < 4).select("t", F.explode(F.array_distinct(F.when(F.length("t") == 3, three).otherwise(F.array("t")))).alias("g"))
+    held = names.select("name", F.explode(_short_keys(F.col("name"))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
+    return asked.join(held, "g").select("t", "name", F.when(F.contains("name", "t"), 0).otherwise(1).alias("edits")).distinct()
+
+
+def _long(texts: DataFrame, names: DataFrame, most: float) -> DataFrame:
+    """t, name and edits of texts of four letters or more and names that hold enough of their pairs of letters."""
+    lost = 2 * F.floor(F.length("t") * most).cast("int")
+    long = texts.filter(F.length("t") >= 4).withColumn("grams_t", _grams(F.col("t"))).withColumn("lost", lost)
+    held = names.filter(F.length("name") >= 2).withColumn("grams", _grams(F.col("name")))
+    one = held.select("name", F.explode("grams").alias("g"))
+    rare = one.groupBy("g").agg(F.count("*").alias("n"))
+    # pairs that no name holds come first, and need no looking up
+    chosen = long.select("t", "lost", F.explode("grams_t").alias("g")).join(rare, "g", "left").groupBy("t", "lost").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("by"))
+    prefix = chosen.select("t", "lost", F.explode(F.slice("by", F.lit(1), F.col("lost") + 1)).alias("x")).filter("x.n > 0").select("t", "lost", F.col("x.g").alias("g"))
+    pairs = prefix.join(one, "g").filter(F.length("name") >= F.length("t") - F.col("lost") / 2).select("t", "name").distinct()
+    near = pairs.join(held, "name").join(long.withColumn("masks", F.when(F.length("t") <= WORD, masks(F.col("t")))), "t")
+    near = near.filter(F.size(F.array_intersect("grams_t", "grams")) >= F.greatest(F.lit(1), F.size("grams_t") - F.col("lost")))
+    edits = F.when(F.length("t") <= WORD, edits_by_bits(F.col("masks"), F.length("t"), F.col("name"))).otherwise(edits_within(F.col("t"), F.col("name")))
+    return near.select("t", "name", edits.alias("edits"))
+
+
 def fuzzy(texts: DataFrame, members: DataFrame, most: float = FUZZY) -> DataFrame:
-    """For each different text t the member whose name or alias has a part nearest to it, within `most` edits a character.
+    """For each different text t the member whose name and aliases are nearest to it, each within `most` edits a character.
+
+    A key, the name or the nearest alias, that has a part within reach scores the edits to that part over the text's length;
+    a member scores the product of its keys' scores to the power of their WEIGHTS (0 counts as SMALLEST), so that two keys
+    within reach are nearer than one. Ties go by the whole edit distance of the name, then by roster order.
 
     A text of m >= 4 characters with k = floor(most * m) edits keeps all but 2k of its g different two-character parts, so
     a name within reach holds g - 2k of them at least, and one at least of the text's 2k + 1 that the fewest names
-    hold; only names that do so, and are not too short, are compared. Shorter texts keep an unbroken part of
-    floor(m / (k + 1)) characters at least, and are compared with names that hold such a part. Candidates rank by edits,
-    names before aliases, whole edit distance, then roster order."""
+    hold; only names that do so, and are not too short, are compared. Shorter texts are looked up by what must be left of them."""
     texts = texts.select("t").distinct().filter("t <> ''")
     keys = members.select(F.lower("full_name").alias("name"), F.lit(0).alias("kind"), "member_ord", F.col("id").alias("member_id")).unionByName(
         members.select(F.explode("aliases").alias("a"), "member_ord", "id").select(F.lower("a").alias("name"), F.lit(1).alias("kind"), "member_ord", F.col("id").alias("member_id"))
     )
-    held = keys.filter(F.length("name") >= 2).select("name").distinct().withColumn("grams", _grams(F.col("name"))).withColumn("g", F.explode("grams"))
-    rare = held.groupBy("g").agg(F.count("*").alias("n"))
-    lost = 2 * F.floor(F.length("t") * most).cast("int")
-    long = texts.filter(F.length("t") >= 4).withColumn("grams_t", _grams(F.col("t"))).withColumn("lost", lost)
-    # parts that no name holds come first, and need no looking up
-    chosen = long.withColumn("g", F.explode("grams_t")).join(rare, "g", "left").groupBy("t").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("by"))
-    prefix = long.join(chosen, "t").select("t", "grams_t", "lost", F.explode(F.slice("by", F.lit(1), F.col("lost") + 1)).alias("x")).filter("x.n > 0").select("t", "grams_t", "lost", F.col("x.g").alias("g"))
-    near = prefix.join(held, "g").filter(F.length("name") >= F.length("t") - F.col("lost") / 2)
-    near = near.filter(F.size(F.array_intersect("grams_t", "grams")) >= F.greatest(F.lit(1), F.size("grams_t") - F.col("lost"))).select("t", "name")
-    ones = F.array_distinct(F.filter(F.split("t", ""), lambda c: c != ""))
-    short = texts.filter(F.length("t") < 4).select("t", F.explode(ones).alias("g"))
-    letters = keys.select("name", F.explode(F.array_distinct(F.filter(F.split("name", ""), lambda c: c != ""))).alias("g")).distinct()
-    pairs = near.union(short.join(letters, "g").select("t", "name")).distinct()
-    near = pairs.withColumn("edits", edits_within(F.col("t"), F.col("name"))).filter(F.col("edits") <= most * F.length("t"))
-    near = near.withColumn("score", F.col("edits") / F.length("t")).join(keys, "name")
-    order = Window.partitionBy("t").orderBy("score", "kind", F.levenshtein("t", "name"), "member_ord")
-    return near.withColumn("k", F.row_number().over(order)).filter("k = 1").select("t", "member_id", F.col("score"))
+    names = keys.select("name").distinct().filter("name is not null")
+    near = _short(texts, names).unionByName(_long(texts, names, most)).filter(F.col("edits") <= most * F.length("t"))
+    by_member = near.join(keys, "name").groupBy("t", "member_ord", "member_id").agg(*(F.min(F.when(F.col("kind") == k, F.col("edits"))).alias(f"e{k}") for k in WEIGHTS))
+    share = lambda k: F.when(F.col(f"e{k}").isNull(), 1.0).otherwise(F.pow(F.greatest(F.col(f"e{k}") / F.length("t"), F.lit(SMALLEST)), F.lit(WEIGHTS[k])))
+    whole = members.select(F.col("id").alias("member_id"), "member_ord", F.lower("full_name").alias("full"))
+    scored = by_member.withColumn("score", share(0) * share(1)).join(whole, ["member_id", "member_ord"])
+    best = scored.groupBy("t").agg(F.min(F.struct("score", F.levenshtein("t", F.coalesce("full", F.lit(""))).alias("whole"), "member_ord", "member_id")).alias("best"))
+    return best.select("t", "best.member_id", "best.score")
 
 
 def cascade(names: DataFrame, members: DataFrame, corrections: DataFrame, with_fuzzy: bool = True) -> DataFrame:

@@ -46,9 +46,11 @@ _BASE = ",\n".join([R.ROSTER, R.READ_NAMES, R.CORRECTIONS])
 _FUZZY = """
 parts AS (SELECT DISTINCT name, substr(name, i, n) AS part FROM (SELECT name, i, unnest(range(0, len(name) - i + 2)) AS n FROM (SELECT name, unnest(range(1, len(name) + 1)) AS i FROM keys))),
 edits AS (SELECT t, name, min(levenshtein(t, part)) AS e FROM texts, parts WHERE t <> '' GROUP BY t, name),
+near AS (
+  SELECT t, member_ord, id, min(e) FILTER (kind = 0) AS e0, min(e) FILTER (kind = 1) AS e1 FROM edits JOIN keys USING (name) WHERE e <= 0.35 * len(t) GROUP BY t, member_ord, id),
 fuzzy AS (
-  SELECT t, id AS member_id, e / CAST(len(t) AS DOUBLE) AS score FROM edits JOIN keys USING (name) WHERE e <= 0.35 * len(t)
-  QUALIFY row_number() OVER (PARTITION BY t ORDER BY e, kind, levenshtein(t, name), member_ord) = 1)"""
+  SELECT t, n.id AS member_id, CASE WHEN e0 IS NULL THEN 1 ELSE pow(greatest(e0 / CAST(len(t) AS DOUBLE), pow(2::DOUBLE, -52)), 0.7::DOUBLE) END * CASE WHEN e1 IS NULL THEN 1 ELSE pow(greatest(e1 / CAST(len(t) AS DOUBLE), pow(2::DOUBLE, -52)), 0.3::DOUBLE) END AS score
+  FROM near n JOIN roster r ON r.id = n.id QUALIFY row_number() OVER (PARTITION BY t ORDER BY score, levenshtein(t, lower(full_name)), n.member_ord) = 1)"""
 
 QUERIES = {"q_match_cascade": match_cascade, "q_full_cascade": full_cascade, "q_fuzzy_match": fuzzy_match, "q_exact_match": exact_match, "q_correction_lookup": correction_lookup}
 SQL = {

@@ -144,26 +144,64 @@ def test_edits_within(spark):
     assert got == [1, 0, 3, 1]
 
 
-def test_fuzzy_blocking_loses_nothing(spark):
+def near(p, x):
+    """Least edits to any part of x."""
+    row = [0] * (len(x) + 1)
+    for i, a in enumerate(p, 1):
+        new = [i]
+        for j, b in enumerate(x, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_edits_by_bits_equal_the_table(spark):
     import random
 
-    def near(p, x):  # least edits to any part of x
-        row = [0] * (len(x) + 1)
-        for i, a in enumerate(p, 1):
+    r = random.Random(5)
+    word = lambda low, high, some: "".join(r.choice(some) for _ in range(r.randint(low, high)))
+    pairs = [(word(1, 62, some), word(0, 80, some)) for some in ("ab", "abcdé ", "abcdefghijklmnop") for _ in range(150)] + [("a" * 62, "a" * 80), ("ab" * 31, "ba" * 40)]
+    df = spark.createDataFrame([(i, p, x) for i, (p, x) in enumerate(pairs)], "i int, p string, x string")
+    got = df.select("i", matching.edits_by_bits(matching.masks(F.col("p")), F.length("p"), F.col("x")).alias("e")).collect()
+    assert [e for _, e in sorted(got)] == [near(p, x) for p, x in pairs]
+
+
+def plain_fuzzy(texts, members):
+    """The member of the least product of weighted scores; ties by the whole distance, then the roster."""
+
+    def whole(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
             new = [i]
-            for j, b in enumerate(x, 1):
-                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
             row = new
-        return min(row)
+        return row[-1]
+
+    out = {}
+    for t in texts:
+        found = []
+        for order, member, name, aliases in members:
+            reach = [[near(t, x) for x in key if near(t, x) <= 0.35 * len(t)] for key in ([name], aliases or [])]
+            if any(reach):
+                score = 1.0
+                for weight, own in zip((0.7, 0.3), reach, strict=True):
+                    score *= max(min(own) / len(t), 2.0**-52) ** weight if own else 1.0
+                found.append((round(score, 12), whole(t, name), order, member))
+        if found:
+            out[t] = (min(found)[3], min(found)[0])
+    return out
+
+
+def test_fuzzy_blocking_loses_nothing(spark):
+    import random
 
     r = random.Random(3)
     word = lambda n: "".join(r.choice("abcd") for _ in range(n))
-    names = sorted({word(r.randint(1, 9)) for _ in range(40)})
-    texts = sorted({word(r.randint(1, 8)) for _ in range(40)})
-    members = spark.createDataFrame([(i, f"m{i}", n, []) for i, n in enumerate(names)], MEMBERS)
-    got = {x["t"]: x["score"] for x in matching.fuzzy(spark.createDataFrame([(t,) for t in texts], "t string"), members).collect()}
-    want = {t: min(near(t, n) for n in names) / len(t) for t in texts}
-    assert got == {t: s for t, s in want.items() if s <= 0.35}
+    members = [(i, f"m{i}", word(r.randint(1, 9)), [word(r.randint(0, 7)) for _ in range(r.randint(0, 2))]) for i in range(40)] + [(40, "m40", word(70), None)]
+    texts = sorted({word(r.randint(1, 8)) for _ in range(60)} | {members[40][2][:66] + "a", "é", "éab"})
+    got = {x["t"]: (x["member_id"], round(x["score"], 12)) for x in matching.fuzzy(spark.createDataFrame([(t,) for t in texts], "t string"), spark.createDataFrame(members, MEMBERS)).collect()}
+    assert got == plain_fuzzy(texts, members)
 
 
 def test_boundaries_and_components(spark):
