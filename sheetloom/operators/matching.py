@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import written
+
 #: Edits allowed, as a share of the name's length.
 FUZZY = 0.35
 # fixed values: what a name and an alias weigh; the score that stands for none
@@ -22,16 +24,14 @@ def exact(texts: DataFrame, members: DataFrame, ids_contain: bool = True) -> Dat
     are joined by equality; only texts as short as an id can be part of one, and an id's substrings are joined by equality
     too."""
     texts = texts.select("t").distinct()
-    names = members.select(F.lower("full_name").alias("t"), "member_ord", F.col("id").alias("member_id"))
-    aliases = members.select(F.explode("aliases").alias("alias"), "member_ord", F.col("id").alias("member_id")).select(F.lower("alias").alias("t"), "member_ord", "member_id")
-    keys = names.unionByName(aliases)
+    keys = F.concat(F.array(F.lower("full_name")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower))
     if ids_contain:
-        lengths = texts.agg(F.collect_set(F.length("t"))).scalar()  # one array, within the plan
+        members = members.withColumn("lengths", texts.agg(F.collect_set(F.length("t"))).scalar())  # one array, within the plan
         low = F.lower("id")
         parts = F.transform(F.filter("lengths", lambda n: n <= F.length("id")), lambda n: F.transform(F.sequence(F.lit(1), F.length("id") - n + 1), lambda i: F.substr(low, i, n)))
-        keys = keys.unionByName(members.withColumn("lengths", lengths).select(F.explode(F.array_distinct(F.flatten(parts))).alias("t"), "member_ord", F.col("id").alias("member_id")))
-    first = keys.join(texts, "t", "left_semi").groupBy("t").agg(F.min_by("member_id", F.struct("member_ord", "member_id")).alias("member_id"))
-    return texts.join(first, "t")
+        keys = F.concat(keys, F.coalesce(F.flatten(parts), F.array().cast("array<string>")))
+    held = members.select(F.explode(F.array_distinct(keys)).alias("t"), "member_ord", F.col("id").alias("member_id"))
+    return held.join(texts, "t", "left_semi").groupBy("t").agg(F.min_by("member_id", F.struct("member_ord", "member_id")).alias("member_id"))
 
 
 def edits_within(pattern: Column, text: Column) -> Column:
@@ -69,7 +69,7 @@ def letters(c: Column) -> Column:
 def masks(pattern: Column) -> Column:
     """For each letter of a pattern of up to WORD letters the places where it stands, as bits."""
     each = letters(pattern)
-    at = lambda x: F.aggregate(F.transform(each, lambda y, i: F.when(x == y, F.element_at(_powers(), i + 1)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
+    at = lambda x: F.aggregate(F.transform(each, lambda y, i: F.when(x == y, _bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b))
     return F.map_from_entries(F.transform(F.array_distinct(each), lambda x: F.struct(x, at(x))))
 
 
@@ -77,15 +77,15 @@ def masks(pattern: Column) -> Column:
 WORD = 62
 
 
-def _powers() -> Column:
-    return F.array(*(F.lit(1 << i).cast("long") for i in range(WORD)))
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
 def edits_by_bits(masks: Column, length: Column, text: Column) -> Column:
     """As edits_within, for patterns of up to WORD letters: a column of the edit table is held as the signs of its steps, in
     two integers, and each letter of the text turns it into the next by a few operations on all places at once."""
     zero = F.lit(0).cast("long")
-    top = F.element_at(_powers(), length)
+    top = _bit(length - 1)
     every = top.bitwiseOR(top - 1)
 
     def step(s, c):
@@ -103,7 +103,8 @@ def edits_by_bits(masks: Column, length: Column, text: Column) -> Column:
         return F.struct(up.alias("up"), rise.bitwiseAND(s["v"]).alias("down"), edits.alias("edits"), F.least(s["best"], edits).alias("best"))
 
     start = F.struct(every.alias("up"), zero.alias("down"), length.alias("edits"), length.alias("best"))
-    return F.aggregate(letters(text), start, lambda s, c: settle(step(s, c)), lambda s: s["best"])
+    # a list of one binds what a step gives, so that it is worked out once
+    return F.aggregate(letters(text), start, lambda s, c: F.get(F.transform(F.array(step(s, c)), settle), 0), lambda s: s["best"])
 
 
 def _grams(c: Column) -> Column:
@@ -120,14 +121,14 @@ def _short_keys(c: Column) -> Column:
     return F.array_distinct(F.concat(one, F.when(F.size(one) > 1, pairs).otherwise(none), F.when(F.size(one) > 2, skips).otherwise(none)))
 
 
-def _short(texts: DataFrame, names: DataFrame) -> DataFrame:
+def _short(texts: DataFrame, names: DataFrame, most: float) -> DataFrame:
     """t, name and edits of texts of one to three letters. One or two allow no edit, so they stand in a name as a whole. Three
     allow one, so a name holds the first two, the last two, or the outer two with or without a letter between them."""
     c = letters(F.col("t"))
     three = F.array(F.concat(F.get(c, 0), F.get(c, 1)), F.concat(F.get(c, 1), F.get(c, 2)), F.concat(F.get(c, 0), F.get(c, 2)), F.concat(F.lit("\0"), F.get(c, 0), F.get(c, 2)))
     asked = texts.filter(F.length("t") < 4).select("t", F.explode(F.array_distinct(F.when(F.length("t") == 3, three).otherwise(F.array("t")))).alias("g"))
     held = names.select("name", F.explode(_short_keys(F.col("name"))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
-    return asked.join(held, "g").select("t", "name", F.when(F.contains("name", "t"), 0).otherwise(1).alias("edits")).distinct()
+    return asked.join(held, "g").select("t", "name", F.when(F.contains("name", "t"), 0).otherwise(1).alias("edits")).distinct().filter(F.col("edits") <= most * F.length("t"))
 
 
 def _long(texts: DataFrame, names: DataFrame, most: float) -> DataFrame:
@@ -141,10 +142,12 @@ def _long(texts: DataFrame, names: DataFrame, most: float) -> DataFrame:
     chosen = long.select("t", "lost", F.explode("grams_t").alias("g")).join(rare, "g", "left").groupBy("t", "lost").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("by"))
     prefix = chosen.select("t", "lost", F.explode(F.slice("by", F.lit(1), F.col("lost") + 1)).alias("x")).filter("x.n > 0").select("t", "lost", F.col("x.g").alias("g"))
     pairs = prefix.join(one, "g").filter(F.length("name") >= F.length("t") - F.col("lost") / 2).select("t", "name").distinct()
+    pairs = pairs.repartition(texts.sparkSession.sparkContext.defaultParallelism, "t", "name")  # few bytes, but much work for each
     near = pairs.join(held, "name").join(long.withColumn("masks", F.when(F.length("t") <= WORD, masks(F.col("t")))), "t")
     near = near.filter(F.size(F.array_intersect("grams_t", "grams")) >= F.greatest(F.lit(1), F.size("grams_t") - F.col("lost")))
     edits = F.when(F.length("t") <= WORD, edits_by_bits(F.col("masks"), F.length("t"), F.col("name"))).otherwise(edits_within(F.col("t"), F.col("name")))
-    return near.select("t", "name", edits.alias("edits"))
+    within = F.filter(F.array(edits), lambda e: e <= most * F.length("t"))  # as a list, so that edits are counted once
+    return near.select("t", "name", F.explode(within).alias("edits"))
 
 
 def fuzzy(texts: DataFrame, members: DataFrame, most: float = FUZZY) -> DataFrame:
@@ -157,12 +160,11 @@ def fuzzy(texts: DataFrame, members: DataFrame, most: float = FUZZY) -> DataFram
     A text of m >= 4 characters with k = floor(most * m) edits keeps all but 2k of its g different two-character parts, so
     a name within reach holds g - 2k of them at least, and one at least of the text's 2k + 1 that the fewest names
     hold; only names that do so, and are not too short, are compared. Shorter texts are looked up by what must be left of them."""
-    texts = texts.select("t").distinct().filter("t <> ''")
-    keys = members.select(F.lower("full_name").alias("name"), F.lit(0).alias("kind"), "member_ord", F.col("id").alias("member_id")).unionByName(
-        members.select(F.explode("aliases").alias("a"), "member_ord", "id").select(F.lower("a").alias("name"), F.lit(1).alias("kind"), "member_ord", F.col("id").alias("member_id"))
-    )
-    names = keys.select("name").distinct().filter("name is not null")
-    near = _short(texts, names).unionByName(_long(texts, names, most)).filter(F.col("edits") <= most * F.length("t"))
+    texts = written(texts.select("t").distinct().filter("t <> ''"), "texts")  # what earlier stages leave is found once, and read often
+    aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lower(a).alias("name"), F.lit(1).alias("kind")))
+    keys = members.select(F.inline(F.concat(F.array(F.struct(F.lower("full_name").alias("name"), F.lit(0).alias("kind"))), aliases)), "member_ord", F.col("id").alias("member_id"))
+    names = written(keys.select("name").distinct().filter("name is not null"), "names")
+    near = _short(texts, names, most).unionByName(_long(texts, names, most))
     by_member = near.join(keys, "name").groupBy("t", "member_ord", "member_id").agg(*(F.min(F.when(F.col("kind") == k, F.col("edits"))).alias(f"e{k}") for k in WEIGHTS))
     share = lambda k: F.when(F.col(f"e{k}").isNull(), 1.0).otherwise(F.pow(F.greatest(F.col(f"e{k}") / F.length("t"), F.lit(SMALLEST)), F.lit(WEIGHTS[k])))
     whole = members.select(F.col("id").alias("member_id"), "member_ord", F.lower("full_name").alias("full"))
@@ -181,7 +183,8 @@ def cascade(names: DataFrame, members: DataFrame, corrections: DataFrame, with_f
     by_name = exact(rest, members).select("t", "member_id", F.lit(1.0).alias("confidence"), F.lit("exact").alias("status"))
     found = by_correction.unionByName(by_name)
     if with_fuzzy:
-        rest = rest.join(by_name, "t", "left_anti")
+        found = written(found, "found")  # read twice
+        rest = texts.join(found, "t", "left_anti")
         found = found.unionByName(fuzzy(rest, members).select("t", "member_id", (1 - F.col("score")).alias("confidence"), F.lit("fuzzy").alias("status")))
     return names.join(found, "t", "left").withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "status": F.coalesce("status", F.lit("none"))}).drop("t")
 
