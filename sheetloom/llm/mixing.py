@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,8 @@ def _bucket(word):
 
 def posteriors(documents: DataFrame, labelled: DataFrame, scratch: Scratch, column: str = "text") -> tuple[DataFrame, list[str]]:
     """(doc_id, text_hash, n_tokens, posterior array) of each different row, and the domains in order. labelled: doc_id,
-    domain. Naive Bayes over hashed words: counts of about FIT_ROWS labelled rows at most give each bucket's weights, a
-    table of BUCKETS rows that is broadcast; a text's average weight counts for EVIDENCE words at most, so that long texts stay soft."""
+    domain. Naive Bayes over hashed words: counts of about FIT_ROWS labelled rows at most give each bucket's weights,
+    BUCKETS numbers a domain, which the plan holds; a text's average weight counts for EVIDENCE words at most, so that long texts stay soft."""
     known = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     fitted = labelled_sample(documents.select("doc_id", F.col(column).alias("text")), known, FIT_ROWS)
     words = fitted.select("domain", F.explode(_words(F.col("text"))).alias("word")).filter("word <> ''")
@@ -42,14 +44,14 @@ def posteriors(documents: DataFrame, labelled: DataFrame, scratch: Scratch, colu
         table[r["bucket"], domains.index(r["domain"])] += r["n"]
     weights = np.log(table / table.sum(0))
     priors = np.log(np.array([share[d] for d in domains]) / sum(share.values())) if domains else np.zeros(1)
-    spark = documents.sparkSession
     names = [f"w{k}" for k in range(weights.shape[1])]
-    lookup = spark.createDataFrame([(b, *map(float, w)) for b, w in enumerate(weights)], ", ".join(["bucket int", *(f"{n} double" for n in names)]))
+    # one list of BUCKETS numbers a domain, which the optimizer turns into a literal; no rows are made in Python
+    lists = {n: F.from_json(F.lit(json.dumps(weights[:, k].tolist())), "array<double>") for k, n in enumerate(names)}
     # the hash is taken below the explode, which then carries no text
     split = documents.select("doc_id", F.xxhash64(column).alias("text_hash"), _words(F.col(column)).alias("words"))
     every = split.select("doc_id", "text_hash", F.posexplode("words").alias("at", "word")).withColumn("bucket", F.when(F.col("word") != "", _bucket(F.col("word"))))
     sums = (
-        every.join(F.broadcast(lookup), "bucket", "left")
+        every.select("doc_id", "text_hash", "at", "bucket", *(F.get(own, F.col("bucket")).alias(n) for n, own in lists.items()))
         .groupBy("doc_id", "text_hash")
         .agg(F.count_if(F.col("at") == 0).alias("rows"), F.count("bucket").alias("n"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
     )
