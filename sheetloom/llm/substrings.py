@@ -40,7 +40,8 @@ _KEY = np.random.default_rng(16).integers(1, 1 << 63, 1, dtype=np.uint64)
 
 
 def segments(block: Block, length: int) -> tuple[np.ndarray, ...]:
-    """Of each run of windows: text, start in it, number of windows, minimizer, BLAKE2b hash of the bytes (which with the
+    """Of each run of windows: text, start in it, number of windows, minimizer (the whole 64-bit hash of the gram that the first
+    41 bits and the place chose, as minima crowd near zero), BLAKE2b hash of the bytes (which with the
     minimizer tells whether segments are equal), and distance of the minimizer from the start."""
     found = []
     total = len(block.data)
@@ -56,7 +57,8 @@ def _segments(block: Block, low: int, high: int, length: int) -> tuple[np.ndarra
     if n_windows < 1:
         return tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     eight = np.ndarray(n - 7, "<u8", data, strides=(1,))  # the bytes of half a gram from each place on
-    keys = (mix(mix(eight[:-8] ^ _KEY) ^ eight[8:]) & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)
+    hashes = mix(mix(eight[:-8] ^ _KEY) ^ eight[8:])
+    keys = (hashes & ~_PLACE) | np.arange(n - GRAM + 1, dtype=np.uint64)
     # sliding minimum: of the rest of one stretch of `span` grams and of the start of the next
     padded = np.full(-(-len(keys) // span) * span, np.uint64(0xFFFFFFFFFFFFFFFF))
     padded[: len(keys)] = keys
@@ -78,7 +80,7 @@ def _segments(block: Block, low: int, high: int, length: int) -> tuple[np.ndarra
     place = (least[start] & _PLACE).astype(np.int64)
     raw = memoryview(data)
     digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-    return text, start + low - block.bounds[text], last - start + 1, least[start] & ~_PLACE, np.frombuffer(b"".join(digests), np.uint64), place - start
+    return text, start + low - block.bounds[text], last - start + 1, hashes[place], np.frombuffer(b"".join(digests), np.uint64), place - start
 
 
 def insert_columns(group: np.ndarray, first: np.ndarray, sizes: np.ndarray, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
