@@ -15,20 +15,27 @@ LEAST = 40
 BLANK = " \t\r"
 _NO_ID = -(1 << 63)
 _DOC = ["doc", "row"]
+#: What tells lines apart: a 64-bit hash, and 60 bits of a digest.
+_LINE = ["line", "digest"]
+
+
+def line_hashes(text) -> tuple:
+    """124 bits in all; equal hashes of different lines in both parts are not to be met by chance, nor to be made on purpose."""
+    return F.xxhash64(text), F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def line_table(documents: DataFrame, least: int) -> DataFrame:
-    """The lines of doc_id, text and row that are not blank: doc, row, pos (number among these), line (hash of the trimmed
+    """The lines of doc_id, text and row that are not blank: doc, row, pos (number among these), line and digest (of the trimmed
     line) and k, the fewest lines from it on that hold `least` characters; k is null where the rest holds fewer."""
     split = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
     every = documents.filter("text is not null").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "row", F.posexplode(split).alias("pos", "text"))
-    every = every.select(*_DOC, "pos", F.xxhash64("text").alias("line"), F.length("text").cast("long").alias("size"))
+    every = every.select(*_DOC, "pos", *(h.alias(n) for n, h in zip(_LINE, line_hashes(F.col("text")), strict=True)), F.length("text").cast("long").alias("size"))
     every = every.repartition(*_DOC).dropDuplicates([*_DOC, "pos"])
     before = F.sum("size").over(Window.partitionBy(*_DOC).orderBy("pos")) - F.col("size")
     every = every.withColumn("before", before).withColumn("every", F.sum("size").over(Window.partitionBy(*_DOC)))
     # the lines that begin less than `least` characters below this one's beginning
     k = F.count("*").over(Window.partitionBy(*_DOC).orderBy("before").rangeBetween(0, least - 1))
-    return every.select(*_DOC, "pos", "line", F.when(F.col("every") - F.col("before") >= least, k).alias("k"))
+    return every.select(*_DOC, "pos", *_LINE, F.when(F.col("every") - F.col("before") >= least, k).alias("k"))
 
 
 def _ranked(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -46,7 +53,7 @@ def line_ranks(lines: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """The rounds of prefix doubling (all joins are merge joins, so no table passes through the driver at any size): table j ranks the suffixes (doc, row, pos) by their first 2**j lines, of those whose
     2**j lines begin another suffix too. It ends when no suffix is tied with another, so the ranks reach the full depth
     of the suffix array."""
-    rounds = [_ranked(lines.select(*_DOC, "pos", "line"), ["line"], scratch, "0")]
+    rounds = [_ranked(lines.select(*_DOC, "pos", *_LINE), _LINE, scratch, "0")]
     while not rounds[-1].isEmpty():
         last, step = rounds[-1], 1 << len(rounds) - 1
         below = last.select(*_DOC, (F.col("pos") - step).alias("pos"), F.col("rank").alias("r2"))
