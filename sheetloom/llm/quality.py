@@ -16,6 +16,8 @@ from .toxicity import fit_curve
 BITS = 18
 #: Labelled rows that the model is fitted on, at most (about), by hash of the id.
 FIT_ROWS = 8_000
+#: Bytes of their n-grams that the driver fits on at most.
+FIT_BYTES = 128 << 20
 PASSES = 10
 COST = 1.0
 MARKS = NON_SPACE & ~ALNUM
@@ -96,10 +98,24 @@ class NBSVM:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * margin, -30, 30)))
 
 
-def quality_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> NBSVM:
+def sum_until(sizes: list[tuple[int, int]], most: int) -> int:
+    """The last place up to which sizes add up to `most` at most; the first one in any case."""
+    held, total = sizes[0][0] if sizes else 0, 0
+    for place, n in sizes:
+        total += n
+        if total > most:
+            break
+        held = place
+    return held
+
+
+def quality_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> NBSVM:
     scratch = Scratch(documents.sparkSession, "quality")
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
-    labelled = scratch.write(labelled_sample(documents, known, fit_rows), "labelled")
+    # of several rows of an id the text of the smallest hash, so that the sample is bounded however often an id repeats
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    labelled = labelled_sample(documents, known, fit_rows).groupBy("doc_id", "quality").agg(first).select("doc_id", "quality", "first.text")
+    labelled = scratch.write(labelled, "labelled")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +125,12 @@ def quality_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
                 part = batch.slice(block.first, len(rows))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "grams"])
 
-    rows = labelled.mapInArrow(each, "doc_id long, quality int, grams binary").orderBy(F.xxhash64("doc_id")).toPandas()
+    grams = scratch.write(labelled.mapInArrow(each, "doc_id long, quality int, grams binary").withColumn("place", F.xxhash64("doc_id")), "grams")
+    # in the order of hashes, as many as FIT_BYTES hold
+    held = sum_until([(r["place"], r["n"]) for r in grams.groupBy("place").agg(F.sum(F.octet_length("grams")).alias("n")).orderBy("place").collect()], fit_bytes)
+    rows = grams.filter(F.col("place") <= held).orderBy("place", "doc_id", "quality", "grams").toPandas()
     scratch.drop("labelled")
+    scratch.drop("grams")
     return NBSVM().fit([np.frombuffer(g, np.int32) for g in rows["grams"]], rows["quality"].to_numpy().clip(0, 1))
 
 
@@ -118,7 +138,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     """doc_id and score (0 to 1, of the whole text alone) of each row of `documents`, learned from the labels given.
 
     labels: doc_id, quality; rows with a null in either teach nothing, and of several rows for an id the largest label
-    counts. About `fit_rows` labelled rows at most are fitted on. A null text scores as an empty one, repeated rows are
+    counts. About `fit_rows` labelled rows at most are fitted on, one an id, and of these as many as FIT_BYTES of n-grams hold,
+    by hash of the id. A null text scores as an empty one, repeated rows are
     scored each, and a null id stays null. Without labels of both kinds all texts score alike. N-grams of one hash bucket
     count as one. An empty table gives no rows. Ids are taken as long. A text is held whole by its task. Other columns are
     ignored."""
