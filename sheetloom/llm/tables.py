@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,24 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_folder
 
 #: A key is heavy if it holds more than one in HEAVY of all rows, so there are fewer than HEAVY such keys, and is dealt
 #: over SALTS tasks. Keys of LEAST_HEAVY rows or fewer need no dealing.
 HEAVY, SALTS, LEAST_HEAVY = 256, 32, 500
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or that of SparkContext.setCheckpointDir. Where neither is set: in local mode a
-    temporary folder of the application, on a cluster one in the warehouse, which driver and executors share. No setting
-    is changed."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        local = context.master.startswith("local")
-        folder = f"{tempfile.gettempdir()}/sheetloom-{context.applicationId}" if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_sheetloom"
-    return folder.rstrip("/")
-
-
 class Scratch:
     """Written tables of one job. A table is safe against the loss of executors, as its files lie in the shared
     folder; drop() removes one that no later step reads."""

@@ -270,11 +270,11 @@ def measure(documents: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFram
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Lexicon, np.ndarray]:
-    """Lexicon and curve from about `fit_rows` labelled documents at most; of equal texts one is taken."""
+    """Lexicon and curve from about `fit_rows` labelled documents at most; equal texts are one, with the largest label."""
     scratch = Scratch(documents.sparkSession, "toxicity")
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = labelled_sample(documents, known, fit_rows).withColumn("hash", F.xxhash64("text")).dropDuplicates(["hash"])
-    labelled = scratch.write(labelled.select("doc_id", "text", "toxic"), "labelled")
+    labelled = labelled_sample(documents, known, fit_rows).groupBy(F.xxhash64("text").alias("hash")).agg(F.max(F.struct("toxic", "doc_id", "text")).alias("r"))
+    labelled = scratch.write(labelled.select("r.doc_id", "r.text", "r.toxic"), "labelled")
     lexicon = learn_lexicon(labelled)
     rows = measure(labelled, lexicon, ["toxic"]).toPandas()
     scratch.drop("labelled")
