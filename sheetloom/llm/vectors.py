@@ -16,6 +16,8 @@ from .tables import Scratch, groups, spread_join
 #: Vectors for each pivot, on average; with more than PIVOTS pivots at this rate, fewer are taken.
 CELL = 2000
 PIVOTS = 4096
+#: Distances to pivots that a task holds at a time.
+DISTANCES = 1 << 20
 #: Vectors of a cell that are compared with as many others in one step.
 BLOCK = 2048
 
@@ -59,31 +61,35 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = 0.98, cell: int =
     shared = spark.sparkContext.broadcast({k: _unit(np.array(v)) for k, v in chosen.items()})
     radius = math.sqrt(max(0.0, 2 - 2 * least_cosine)) + 1e-7
 
+    def cells(x: np.ndarray, points: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, pivot and whether it is the nearest one, of each copy of unit vectors."""
+        every = np.arange(len(x))
+        if points is None:
+            return every, np.zeros(len(x), np.int32), np.ones(len(x), bool)
+        distance = np.sqrt(np.maximum(0, 2 - 2 * x @ points.T))
+        nearest = distance.argmin(1)
+        least = distance[every, nearest][:, None]
+        apart = np.sqrt(np.maximum(0, 2 - 2 * points[nearest] @ points.T))
+        near = (distance - least <= 2 * radius) & (distance**2 - least**2 <= 2 * radius * apart + 1e-9)
+        near[every, nearest] = True
+        there, where = np.nonzero(near)
+        return there, where, where == nearest[there]
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, labels = batch.column("embedding"), np.array(batch.column("label").to_pylist(), object)
             dims = np.array([len(x) for x in lists])
             for key in {*zip(labels.tolist(), dims.tolist(), strict=True)}:
-                rows = np.flatnonzero((labels == key[0]) & (dims == key[1]))
-                raw = np.array(lists.take(pa.array(rows)).to_pylist(), np.float64)
-                x, points = _unit(raw), shared.value.get(key)
-                if points is None:
-                    there, own = np.arange(len(rows)), np.ones(len(rows), bool)
-                    where = np.zeros(len(rows), np.int32)
-                else:
-                    distance = np.sqrt(np.maximum(0, 2 - 2 * x @ points.T))
-                    nearest = distance.argmin(1)
-                    least = distance[np.arange(len(x)), nearest][:, None]
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * points @ points.T))[nearest]
-                    near = (distance - least <= 2 * radius) & (distance**2 - least**2 <= 2 * radius * apart + 1e-9)
-                    near[np.arange(len(x)), nearest] = True
-                    there, where = np.nonzero(near)
-                    own = where == nearest[there]
-                pick = pa.array(rows[there])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("label").take(pick), pa.array(np.full(len(there), key[1], np.int32)), pa.array(where.astype(np.int32)), pa.array(own), batch.column("vec_id").take(pick), batch.column("row").take(pick), batch.column("members").take(pick), pa.array([v.tobytes() for v in raw[there]], pa.binary())],
-                    ["label", "dims", "pivot", "own", "vec_id", "row", "members", "vector"],
-                )
+                points, every = shared.value.get(key), np.flatnonzero((labels == key[0]) & (dims == key[1]))
+                step = max(1, DISTANCES // (1 if points is None else len(points)))
+                for rows in (every[k : k + step] for k in range(0, len(every), step)):
+                    raw = np.array(lists.take(pa.array(rows)).to_pylist(), np.float64)
+                    there, where, own = cells(_unit(raw), points)
+                    pick = pa.array(rows[there])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("label").take(pick), pa.array(np.full(len(there), key[1], np.int32)), pa.array(where.astype(np.int32)), pa.array(own), batch.column("vec_id").take(pick), batch.column("row").take(pick), batch.column("members").take(pick), pa.array([v.tobytes() for v in raw[there]], pa.binary())],
+                        ["label", "dims", "pivot", "own", "vec_id", "row", "members", "vector"],
+                    )
 
     at = ["label", "dims", "pivot"]
     assigned = scratch.write(valid.select("label", "vec_id", "row", "members", "embedding").mapInArrow(assign, "label string, dims int, pivot int, own boolean, vec_id long, row long, members long, vector binary"), "assigned", "lz4")
