@@ -82,11 +82,11 @@ def template_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
     while not tree.isEmpty():
         depth += 1
         level = tree.withColumn("segment", F.get("segments", F.lit(depth - 1)))
-        values = level.groupBy(*node, "segment").agg(F.sum("n").alias("n"))
+        values = level.groupBy(*node, "segment").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
         totals = values.groupBy(*node).agg(F.sum("n").alias("total"))
         literal = values.filter(F.col("n") >= LEAST_PAGES).join(totals, node).filter(F.col("n") >= F.col("total") * LEAST_SHARE).select(*node, "segment", F.lit(True).alias("literal"))
         below = F.slice("segments", depth + 1, F.greatest(F.size("segments") - depth, F.lit(0)))
-        named = spread_join(scratch.write(level, f"level-{depth}"), literal, [*node, "segment"], "left")
+        named = spread_join(level, literal, [*node, "segment"], "left", counts=values.select(*node, "segment", F.col("paths").alias("n")))
         branch = F.concat(F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(wildcard(F.col("segment"))))
         named = named.select(*keep, "template", branch.alias("branch"), F.array_join(F.transform(below, lambda x: F.concat(F.lit("/"), wildcard(x))), "").alias("rest"), F.array_join(F.transform(below, lambda x: F.concat(F.lit("/"), x)), "").alias("end"))
         named = scratch.write(named, f"named-{depth}")
@@ -96,14 +96,14 @@ def template_tree(pages: DataFrame, scratch: Scratch) -> DataFrame:
         sizes = shapes.groupBy(*node, "branch").agg(F.sum("n").alias("n"), F.sum("paths").alias("paths"))
         sizes = scratch.write(sizes.join(roots, [*node, "branch"], "left").withColumn("root", F.coalesce("root", "branch")), f"sizes-{depth}")
         nodes = sizes.groupBy(*node, "root").agg(F.sum("n").alias("node_n"), F.sum("paths").alias("node_paths"))
-        grown = spread_join(named, sizes.select(*node, "branch", "root").join(nodes, [*node, "root"]), [*node, "branch"])
+        grown = spread_join(named, sizes.select(*node, "branch", "root").join(nodes, [*node, "root"]), [*node, "branch"], counts=sizes.select(*node, "branch", F.col("paths").alias("n")))
         # a node of few pages or of one path can part no further, which settles all that is below
         tail = F.when(F.size("segments") <= depth, "").when(F.col("node_n") < LEAST_PAGES, F.col("rest")).when(F.col("node_paths") == 1, F.col("end"))
         grown = grown.withColumn("tail", tail).withColumn("template", F.concat("template", "root"))
         grown = scratch.write(grown.select(*keep, "template", "tail"), f"grown-{depth}")
         finished.append(grown.filter("tail is not null").select(*keep[:-1], F.concat("template", "tail").alias("template")))
         tree = grown.filter("tail is null").select(*keep, "template")
-        for name in ("level", "named", "shapes", "sizes"):
+        for name in ("named", "shapes", "sizes"):
             scratch.drop(f"{name}-{depth}")
     out = pages.select("host", "path", "n", "labelled", "blocked", F.lit("").alias("template")).limit(0)
     for part in finished:
