@@ -128,7 +128,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, out_path: str, end_i
 
     * codes: id, bits of its canonical Huffman code (from the counts of the whole table, `longest` bits at most);
     * blocks: part and number in it, ids before it in its part, doc_ids, n_tokens of each, payload (the codes, first
-      bit first) and offsets (32-bit little-endian bit offsets of every 1024th id). A block holds whole documents of
+      bit first) and offsets (64-bit little-endian bit offsets of every 1024th id). A block holds whole documents of
       about `block_ids` ids and is decoded by itself.
 
     Parts, blocks and the documents in them ascend by doc_id; null ids come first, rows of one id in any order, each row is
@@ -182,7 +182,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, out_path: str, end_i
 
         def block() -> pa.RecordBatch:
             payload, offsets = pack(np.concatenate(texts), lengths, codes)
-            row = [part, number, before, docs, [len(t) for t in texts], payload, offsets.astype("<u4").tobytes()]
+            row = [part, number, before, docs, [len(t) for t in texts], payload, offsets.astype("<u8").tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
@@ -230,7 +230,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for k in range(0, whole.num_rows, BLOCKS_AT_ONCE):
                 batch = whole.slice(k, BLOCKS_AT_ONCE)
                 sizes = [np.array(n, np.int64) for n in batch.column("n_tokens").to_pylist()]
-                offsets = [np.frombuffer(o, "<u4").astype(np.int64) for o in batch.column("offsets").to_pylist()]
+                offsets = [np.frombuffer(o, "<u8").astype(np.int64) for o in batch.column("offsets").to_pylist()]
                 decoded = table.unpack(batch.column("payload").to_pylist(), offsets, [int(n.sum()) for n in sizes])
                 for part, before, docs, n, ids in zip(batch.column("part").to_pylist(), batch.column("before").to_pylist(), batch.column("doc_ids").to_pylist(), sizes, decoded, strict=True):
                     edge = np.append(0, np.cumsum(n))
