@@ -79,6 +79,15 @@ def fold(text: str, edges: bool = False) -> str:
     return text.translate(_FOLD)
 
 
+def _words(text: str) -> Iterator[str]:
+    """Folded words, and those that signs at an edge make when these are read as letters."""
+    folded = fold(text)
+    yield from _WORD.findall(folded)
+    lettered = fold(text, edges=True) if any(s in text for s in "@$€!") else folded
+    if lettered != folded:
+        yield from (m[0] for m in _WORD.finditer(lettered) if folded[m.start() : m.end()] != m[0])
+
+
 def _stems(word: str) -> list[str]:
     """The beginnings of a word that may be stems, shortest first, each with a closing *."""
     return [word[:k] + "*" for k in range(STEM, min(len(word), LONGEST_STEM) + 1)]
@@ -179,7 +188,7 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
             for batch in batches:
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                     if toxic in (0, 1):
-                        for term, n in keep(fold(text)).items():
+                        for term, n in keep(text).items():
                             own = sums.setdefault(term, [0, 0, 0, 0])
                             own[1 - toxic] += 1
                             own[3 - toxic] += n
@@ -198,7 +207,7 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
 
     def terms(text: str, among: set[str] | None = None) -> Counter:
         uses: Counter = Counter()
-        for word, n in Counter(_WORD.findall(text)).items():
+        for word, n in Counter(_words(text)).items():
             for t in (word, *_stems(word)):
                 if among is None or t in among:
                     uses[t] += n
@@ -223,6 +232,7 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     lexicon = Lexicon(weights)
 
     def phrases(text: str) -> dict[str, int]:
+        text = fold(text)
         words = _WORD.findall(text)
         held = {w for w in set(words) if lexicon.holds(w)}
         pairs = {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in held or b in held}

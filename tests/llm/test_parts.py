@@ -2,6 +2,9 @@
 
 import collections
 
+import numpy as np
+
+from sheetloom.llm import components, tables, toxicity, vectors
 from sheetloom.llm import decontaminate as D
 
 from . import odd
@@ -86,3 +89,45 @@ def test_mixing_starts_no_python_workers(spark, data):
 
     mixing.posteriors(docs, mixing.label_domains(labels), Seen(spark, "t"))
     assert plans and not any(w in p for p in plans for w in ("ExistingRDD", "Python", "Arrow", "BroadcastExchange"))
+
+
+def test_components_of_nodes_with_many_links(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST_HEAVY", 20)
+    monkeypatch.setattr(tables, "LEAST_HEAVY", 20)
+    hub, late = [(500, k) for k in range(501, 900)], [(k, 2000) for k in range(1000, 1300)]
+    chain = [(k, k + 1) for k in range(3000, 3020)]
+    pairs = [*hub, *late, (700, 3010), *chain, (3, 900), (7, 7), (None, 4), (5000, 4999), (4999, 5000)]
+    seen = []
+    whole = components.spread_join
+    monkeypatch.setattr(components, "spread_join", lambda *a, **k: seen.append(1) or whole(*a, **k))
+    got = components.connected_components(spark.createDataFrame(pairs, "u long, v long"), tables.Scratch(spark, "test")).collect()
+    near = {}
+    for u, v in pairs:
+        if u is not None and u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+    want = {}
+    for start in sorted(near):
+        todo = [start] if start not in want else []
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = start
+                todo.extend(near[x])
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    assert seen
+
+
+def test_vectors_against_pivots_in_slices(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(12, 6))[r.integers(0, 12, 300)] + 0.05 * r.normal(size=(300, 6))
+    rows = spark.createDataFrame([(k, str(k % 2), v.tolist()) for k, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    whole = sorted(vectors.near_vectors(rows, cell=20).collect())
+    monkeypatch.setattr(vectors, "DISTANCES", 40)
+    assert sorted(vectors.near_vectors(rows, cell=20).collect()) == whole
+    assert any(row["n_links"] for row in whole)
+
+
+def test_signs_at_an_edge_teach_both_readings():
+    assert sorted(toxicity._words("pay $crew or c@t $")) == sorted(["pay", "crew", "or", "cat", "screw"])
+    assert list(toxicity._words("plain words")) == ["plain", "words"]
