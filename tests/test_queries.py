@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sheetloom.plans import registry
@@ -13,6 +15,18 @@ def test_query_equals_its_sql(spark, data, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["q_boundaries", "q_cell_grid", "q_crop"])
+@pytest.mark.parametrize("blank", [(22, 62), (None, None), (24, 63)])
+def test_gaps_of_one_line_before_the_last(spark, tmp_path, name, blank):
+    """A gap whose middle is the last line; images of 24 and of one line."""
+    value = lambda y, x: -0.5 if y == blank[0] or x == blank[1] else 0.2
+    lines = [(i * 25 + y, [value(y, x) for x in range(64)]) for i, h in enumerate((24, 25, 1)) for y in range(h)]
+    table = pa.table({"vec_id": pa.array([i for i, _ in lines], pa.int64()), "embedding": pa.array([v for _, v in lines], pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(sql(registry.SQL[name], str(tmp_path)))
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_runs(spark, data, name):
     assert registry.QUERIES[name](spark, data).count() > 0
