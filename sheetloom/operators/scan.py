@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.folders import written
-from .grid import INK, binarize, boundaries, cells, sizes
+from .grid import INK, binarize, boundaries, cells
 
 BITS = 64
 #: The longest side of an image that is analysed; larger ones are shrunk.
@@ -24,11 +24,11 @@ LONGEST = 1000
 STRIP = 256
 
 
-def pack(pixels: DataFrame) -> DataFrame:
-    """pixels: img_id, y, x, v. Words are put together before they are shuffled."""
+def pack(pixels: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """pixels: img_id, y, x, v. Words are put together before they are shuffled. Columns of `also` (one value an image) stay."""
     bit = F.expr("shiftleft(1L, cast(x % 64 as int))")
     ink = F.when(F.col("v") == 1, bit).otherwise(F.lit(0).cast("long"))
-    return pixels.groupBy("img_id", "y", F.expr("cast(x div 64 as int)").alias("k")).agg(F.bit_or(ink).alias("bits"), F.bit_or(bit).alias("there"))
+    return pixels.groupBy("img_id", "y", F.expr("cast(x div 64 as int)").alias("k")).agg(F.bit_or(ink).alias("bits"), F.bit_or(bit).alias("there"), *(F.max(c).alias(c) for c in also))
 
 
 def unpack(words: DataFrame) -> DataFrame:
@@ -85,14 +85,15 @@ def shrunk_size(w: Column, h: Column, longest: int = LONGEST) -> tuple[Column, C
     return side(w, h), side(h, w), scale
 
 
-def shrink(pixels: DataFrame, of: DataFrame) -> DataFrame:
-    """Pixels of the shrunk images. of: img_id, sw, sh, scale. A shrunk pixel is the one that holds its middle."""
-    p = pixels.join(of, "img_id")
+def shrink(words: DataFrame, of: DataFrame) -> DataFrame:
+    """Words of the shrunk images. of: img_id, sw, sh, scale. A shrunk pixel is the one that holds its middle; lines that hold
+    none go before words are taken apart."""
     to = lambda c: F.ceil(F.col(c) / F.col("scale") - 0.5)
-    p = p.withColumns({"tx": to("x"), "ty": to("y")})
     held = lambda t, c: F.floor((F.col(t) + 0.5) * F.col("scale")) == F.col(c)
-    p = p.filter(held("tx", "x") & held("ty", "y") & (F.col("tx") < F.col("sw")) & (F.col("ty") < F.col("sh")))
-    return p.withColumns({"x": F.col("tx").cast("int"), "y": F.col("ty").cast("int")}).drop("tx", "ty", "sw", "sh", "scale")
+    lines = words.join(of, "img_id").withColumn("ty", to("y")).filter(held("ty", "y") & (F.col("ty") < F.col("sh")))
+    each = lines.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))).filter("shiftright(there, j) & 1 = 1").withColumn("x", F.col("k") * BITS + F.col("j"))
+    each = each.withColumn("tx", to("x")).filter(held("tx", "x") & (F.col("tx") < F.col("sw")))
+    return pack(each.select("img_id", F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x"), F.expr("shiftright(bits, j) & 1").alias("v")))
 
 
 def pack_lines(lines: DataFrame, longest: int = LONGEST) -> DataFrame:
@@ -132,7 +133,8 @@ def bounds(words: DataFrame, of: DataFrame, axis: str, threshold: float, gap: in
 
 def grid_of(words: DataFrame, of: DataFrame) -> DataFrame:
     """Cells of each image. words: of the shrunk images; of: img_id, sw, sh, scale. Ink is spread along lines for rows, and
-    down columns for columns, before it is projected."""
+    down columns for columns, before it is projected. Both read the words, which are written first."""
+    words = written(words, "shrunk")
     rows = bounds(dilate(words, 20, 2), of, "y", 0.015, 8)
     columns = bounds(dilate(words, 2, 20), of, "x", 0.005, 10)
     return cells(rows, columns)
@@ -140,17 +142,20 @@ def grid_of(words: DataFrame, of: DataFrame) -> DataFrame:
 
 def segment(pixels: DataFrame) -> DataFrame:
     """From pixels (img_id, y, x, r, g, b; w and h too, if they are known) to cells: img_id, row_idx, col_idx, x, y, w, h.
-    Images of no pixels have no cells."""
-    size = pixels.select("img_id", "w", "h").distinct() if {"w", "h"} <= set(pixels.columns) else sizes(pixels)
+    Images of no pixels have no cells. Pixels are read once, into written words, which give the sizes and are shrunk."""
+    known = ("w", "h") if {"w", "h"} <= set(pixels.columns) else ()
+    words = written(pack(binarize(pixels.select("img_id", "y", "x", "r", "g", "b", *known)), known), "words")
+    last = F.col("k") * BITS + F.length(F.bin("there"))  # a word's last pixel is its highest bit
+    size = words.groupBy("img_id").agg((F.max("w") if known else F.max(last)).alias("w"), (F.max("h") if known else F.max("y") + 1).alias("h"))
     sw, sh, scale = shrunk_size(F.col("w"), F.col("h"))
-    of = size.select("img_id", sw.alias("sw"), sh.alias("sh"), scale.alias("scale"))
-    return grid_of(pack(binarize(shrink(pixels.select("img_id", "y", "x", "r", "g", "b"), of))), of)
+    of = written(size.select("img_id", sw.alias("sw"), sh.alias("sh"), scale.alias("scale")), "sizes")
+    return grid_of(shrink(words.select("img_id", "y", "k", "bits", "there"), of), of)
 
 
 def segment_lines(lines: DataFrame) -> DataFrame:
     """From scan lines (img_id, y, w, h, line) to cells."""
     sw, sh, scale = shrunk_size(F.col("w"), F.col("h"))
-    of = lines.filter("y = 0").select("img_id", sw.alias("sw"), sh.alias("sh"), scale.alias("scale"))
+    of = written(lines.filter("y = 0").select("img_id", sw.alias("sw"), sh.alias("sh"), scale.alias("scale")), "sizes")
     return grid_of(pack_lines(lines), of)
 
 

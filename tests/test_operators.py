@@ -486,3 +486,17 @@ def test_second_reading_of_weak_cells_alone(spark, tmp_path):
     assert tuple(got[5]["structural_confidence"]) == (95.0, 90.0, (185 + got[5]["confidence"]) / 3)
     assert tuple(got[5]["bbox"]) == (0, 200, 28, 230) and got[5]["empty_cells"] == [False] * 3
     assert healing.read_sheets(df.limit(0), first, second).count() == 0
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_segmenting_reads_pixels_once(spark, known):
+    """What remains to be run reads written words, not the pixels again; widths end within and at the end of a word."""
+    sizes = ((0, 1100, 30), (1, 64, 20), (2, 65, 9))
+    r = spark.range(40000).select(*(F.expr(f"CASE {' '.join(f'WHEN id < {n} THEN {v}' for n, v in ((33000, a), (34280, b), (34865, c)))} END").alias(name) for name, a, b, c in (
+        ("img_id", 0, 1, 2), ("w", *(w for _, w, _ in sizes)), ("h", *(h for _, _, h in sizes)), ("at", "id", "id - 33000", "id - 34280"))))
+    white = F.when(F.col("at") % F.col("w") % 40 < 20, 0).otherwise(255)
+    pixels = r.filter("at is not null").select("img_id", *(("w", "h") if known else ()), F.expr("cast(at div w as int)").alias("y"), F.expr("cast(at % w as int)").alias("x"), *(white.alias(c) for c in "rgb"))
+    found = scan.segment(pixels)
+    assert "Range (0, 40000" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(row["img_id"], row["col_idx"]): (row["x"], row["w"]) for row in found.collect() if row["row_idx"] == 0}
+    assert got[1, 0][0] == 3 and max(x + w + 3 for (i, _), (x, w) in got.items() if i == 1) == 63 and max(x + w + 3 for (i, _), (x, w) in got.items() if i == 2) == 64
