@@ -500,3 +500,12 @@ def test_segmenting_reads_pixels_once(spark, known):
     assert "Range (0, 40000" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(row["img_id"], row["col_idx"]): (row["x"], row["w"]) for row in found.collect() if row["row_idx"] == 0}
     assert got[1, 0][0] == 3 and max(x + w + 3 for (i, _), (x, w) in got.items() if i == 1) == 63 and max(x + w + 3 for (i, _), (x, w) in got.items() if i == 2) == 64
+
+
+def test_sheets_are_judged_once(spark):
+    """What remains after the second reading infers no kinds again; rows with absent cells keep their places."""
+    cells = [("d", r, c, f"{r}|x{c}".encode(), 0, 0, 1, 1) for r in range(6) for c in ((0, 1, 2, 3) if r == 0 else (1, 3) if r == 5 else (0, 1))]
+    df = spark.createDataFrame(cells, "doc_id string, row_idx int, col_idx int, image binary, x0 int, y0 int, x1 int, y1 int")
+    found = healing.read_sheets(df, lambda i: (i.decode().split("|")[1], 60.0), lambda i: (i.decode().split("|")[1] + "!", 80.0))
+    assert "samples" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["row_idx"]: r["columns"] for r in found.collect()}[5] == ["", "x1!", "", "x3!"]
