@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,30 +21,71 @@ def cluster_rows(words: DataFrame) -> DataFrame:
     """words: doc_id, word_ord, text, confidence, x0, y0, x1, y1. Adds row_idx, row_y and row_height.
 
     Words join, in order, the first row whose mean middle is close enough to theirs, and shift that mean. The outcome hangs
-    on the order and on all words before, so each document is folded in turn."""
+    on the order and on all words before, so each document is folded in turn. Documents stream through a task, and a word
+    looks at the rows near it alone."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("word_ord")
-        means, counts, heights, member = [], [], [], []
-        for y0, y1 in zip(rows["y0"], rows["y1"], strict=True):
-            middle, height = (y0 + y1) / 2, y1 - y0
-            reach = max(LEAST_APART, SHARE_APART * height)
-            at = next((k for k, m in enumerate(means) if abs(m - middle) < reach), None)
-            if at is None:
-                at = len(means)
-                means.append(middle)
-                counts.append(1)
-                heights.append(height)
-            else:
-                means[at] = (means[at] * counts[at] + middle) / (counts[at] + 1)
-                counts[at] += 1
-                heights[at] = max(heights[at], height)
-            member.append(at)
-        rank = pd.Series(means).rank(method="first").astype(int) - 1
-        return rows.assign(row_idx=[int(rank[k]) for k in member], row_y=[means[k] for k in member], row_height=[heights[k] for k in member])
+        """Whole documents, one after another."""
+        row_idx, row_y, row_height = [], [], []
+        codes, y0s, y1s = pd.factorize(rows["doc_id"], use_na_sentinel=False)[0].tolist(), rows["y0"].tolist(), rows["y1"].tolist()
+        begin = 0
+        while begin < len(codes):
+            end = bisect_right(codes, codes[begin], begin)
+            means, heights, member = _rows_of(y0s[begin:end], y1s[begin:end])
+            rank = pd.Series(means).rank(method="first").tolist()
+            row_idx += [int(rank[k]) - 1 for k in member]
+            row_y += [means[k] for k in member]
+            row_height += [heights[k] for k in member]
+            begin = end
+        return rows.assign(row_idx=row_idx, row_y=row_y, row_height=row_height)
+
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []  # parts of the last document, which may go on
+        for part in parts:
+            if part.empty:
+                continue
+            codes = pd.factorize(part["doc_id"], use_na_sentinel=False)[0]
+            same = bool(held) and (held[0]["doc_id"].iloc[0] == part["doc_id"].iloc[0] or bool(pd.isna(held[0]["doc_id"].iloc[0]) and pd.isna(part["doc_id"].iloc[0])))
+            if same and codes[-1] == 0:
+                held.append(part)
+                continue
+            last = codes == codes[-1]
+            if held or not last.all():
+                yield fold(pd.concat([*held, part[~last]], ignore_index=True))
+            held = [part[last]]
+        if held:
+            yield fold(pd.concat(held, ignore_index=True))
 
     schema = words.withColumns({"row_idx": F.lit(0), "row_y": F.lit(0.0), "row_height": F.lit(0.0)}).schema
-    return words.groupBy("doc_id").applyInPandas(fold, schema)
+    return words.repartition("doc_id").sortWithinPartitions("doc_id", "word_ord").mapInPandas(stream, schema)
+
+
+def _rows_of(y0s: list[float], y1s: list[float]) -> tuple[list[float], list[float], list[int]]:
+    """Mean middle and height of each row of a document in the order of their first words, and the row of each word. Rows
+    are found by the strip of LEAST_APART that holds their mean."""
+    means, counts, heights, member, strips = [], [], [], [], {}
+    for y0, y1 in zip(y0s, y1s, strict=True):
+        middle, height = (y0 + y1) / 2, y1 - y0
+        reach = max(LEAST_APART, SHARE_APART * height)
+        at = None
+        if math.isfinite(middle):
+            low, high = math.floor((middle - reach) / LEAST_APART) - 1, math.floor((middle + reach) / LEAST_APART) + 1
+            near = (k for s in range(low, high + 1) for k in strips.get(s, ())) if high - low < len(means) else range(len(means))
+            at = min((k for k in near if abs(means[k] - middle) < reach), default=None)
+        if at is None:
+            at = len(means)
+            means.append(middle)
+            counts.append(1)
+            heights.append(height)
+        else:
+            strips[math.floor(means[at] / LEAST_APART)].discard(at)
+            means[at] = (means[at] * counts[at] + middle) / (counts[at] + 1)
+            counts[at] += 1
+            heights[at] = max(heights[at], height)
+        if math.isfinite(means[at]):
+            strips.setdefault(math.floor(means[at] / LEAST_APART), set()).add(at)
+        member.append(at)
+    return means, heights, member
 
 
 def split_columns(words: DataFrame) -> DataFrame:

@@ -509,3 +509,28 @@ def test_sheets_are_judged_once(spark):
     found = healing.read_sheets(df, lambda i: (i.decode().split("|")[1], 60.0), lambda i: (i.decode().split("|")[1] + "!", 80.0))
     assert "samples" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r["row_idx"]: r["columns"] for r in found.collect()}[5] == ["", "x1!", "", "x3!"]
+
+
+def test_words_stream_through_their_task(spark):
+    """Random words against a plain search of all rows; one document is longer than a batch, one has no id."""
+    from sheetloom.operators import words as W
+
+    r = np.random.default_rng(3)
+    docs = [(d, n, tall) for d, (n, tall) in enumerate(((12000, 9.0), (40, 60.0), (1, 5.0), (300, 20.0)))]
+    data = [(d or None, i, "t", 1.0, 0.0, float(y), 1.0, float(y + r.uniform(0, tall))) for d, n, tall in docs for i, y in enumerate(r.uniform(0, n / 4 + 50, n))]
+    df = spark.createDataFrame(data, "doc_id int, word_ord int, text string, confidence double, x0 double, y0 double, x1 double, y1 double").orderBy(F.rand(5))
+    found = W.cluster_rows(df)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(p["doc_id"], p["word_ord"]): (p["row_idx"], p["row_y"], p["row_height"]) for p in found.collect()}
+    for d, _, _ in docs:
+        means, counts, heights, member = [], [], [], []
+        for p in (p for p in data if p[0] == (d or None)):
+            middle, height = (p[5] + p[7]) / 2, p[7] - p[5]
+            at = next((k for k, m in enumerate(means) if abs(m - middle) < max(14.0, 0.45 * height)), len(means))
+            if at == len(means):
+                means, counts, heights = [*means, middle], [*counts, 1], [*heights, height]
+            else:
+                means[at], counts[at], heights[at] = (means[at] * counts[at] + middle) / (counts[at] + 1), counts[at] + 1, max(heights[at], height)
+            member.append(at)
+        rank = {k: i for i, k in enumerate(sorted(range(len(means)), key=lambda k: means[k]))}
+        assert all(got[d or None, i] == (rank[k], means[k], heights[k]) for i, k in enumerate(member))
