@@ -47,7 +47,11 @@ def attendance_of(rows: DataFrame, sessions: DataFrame, strict: bool = True) ->
     kept = rows.filter(~F.coalesce(F.col("is_header").eqNullSafe("true"), F.lit(False)))
     last = Window.partitionBy("session_id", "member_id").orderBy(F.desc("row_idx"))
     ranked = kept.filter("member_id is not null").withColumn("k", F.row_number().over(last)).filter("k = 1").drop("k")
-    facts = ranked if strict else ranked.unionByName(kept.filter("member_id is null"))
+    return _dated(ranked if strict else ranked.unionByName(kept.filter("member_id is null")), sessions)
+
+
+def _dated(facts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Facts with the day and name of their session."""
     return facts.join(sessions.select(F.col("id").alias("session_id"), "event_name", F.col("session_date").alias("attendance_date")), "session_id").select(
         "session_id", "member_id", "attendance_date", "event_name", F.coalesce("present", F.lit(True)).alias("present")
     )
@@ -81,11 +85,12 @@ def facts_of(approvals: DataFrame, sessions: DataFrame, strict: bool = True) ->
     JSON null stay, each a fact without a member, rows that lack the member drop, and two rows of one member of a session
     raise an error."""
     rows = rows_of(approvals).filter(F.col("has_member") & ~F.col("is_header").eqNullSafe("true")).withColumn("row_idx", F.col("pos"))
-    if not strict:
-        rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("session_id", "member_id")))
-        twice = F.col("member_id").isNotNull() & (F.col("n") > 1)
-        rows = rows.filter(F.when(twice, F.raise_error(F.concat(F.lit("two rows of member "), "member_id", F.lit(" in session "), "session_id"))).otherwise(F.lit(True)).cast("boolean"))
-    return attendance_of(rows, sessions, strict)
+    if strict:
+        return attendance_of(rows, sessions)
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("session_id", "member_id")))
+    twice = F.col("member_id").isNotNull() & (F.col("n") > 1)
+    once = rows.filter(F.when(twice, F.raise_error(F.concat(F.lit("two rows of member "), "member_id", F.lit(" in session "), "session_id"))).otherwise(F.lit(True)).cast("boolean"))
+    return _dated(once, sessions)  # each member has one row, so none is left to choose
 
 
 def approve(sessions: DataFrame, approvals: DataFrame, attendance: DataFrame, owner, now, strict: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -118,8 +118,9 @@ def approve_session(spark, d):
 
 
 def variant_facts(spark, d):
-    """Arrays of rows to facts, strictly, and compatibly where no member of a session has two rows."""
-    rows, sessions = R.match_rows(spark, d), R.sessions(spark, d)
+    """Arrays of rows to facts, strictly, and compatibly where no member of a session has two rows. Rows are dealt by session
+    once, for both ways."""
+    rows, sessions = R.match_rows(spark, d).select("session_id", "row_idx", "member_id", "is_header", "present").repartition("session_id"), R.sessions(spark, d)
     strict = approvals.facts_of(_approvals(spark, d, rows), sessions)
     n = F.count("*").over(Window.partitionBy("session_id", "member_id"))
     once = rows.withColumn("n", n).filter("n = 1 or member_id is null")

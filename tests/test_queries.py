@@ -1,3 +1,5 @@
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -27,6 +29,14 @@ def test_gaps_of_one_line_before_the_last(spark, tmp_path, name, blank):
     assert rows(got) == rows(sql(registry.SQL[name], str(tmp_path)))
 
 
+def test_variant_facts_deal_rows_once(spark, data):
+    """Both ways start from one scan of the rows, dealt by session once."""
+    facts = registry.QUERIES["q_variant_facts"](spark, data)
+    facts.collect()
+    ran = facts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", ran)) == 1
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_runs(spark, data, name):
     assert registry.QUERIES[name](spark, data).count() > 0
