@@ -121,7 +121,9 @@ def learn_corrections(corrections: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def delete_cascade(parents: DataFrame, gone: DataFrame, children: dict[str, tuple[DataFrame, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """Parents without the ids in `gone`, and each child table (with its foreign key) without rows of these."""
+    """Parents without the ids in `gone`, and each child table (with its foreign key) without rows of these. Few ids are broadcast
+    by their size. For many, give `gone` the hint shuffle_hash, which reaches the joins: a task then holds its share of the
+    ids, each once, and lets rows pass, where a merge join sorts the rows too."""
     ids = gone.select("id").distinct()
     left = {name: child.join(ids.withColumnRenamed("id", key), key, "left_anti").select(*child.columns) for name, (child, key) in children.items()}
     return parents.join(ids, "id", "left_anti").select(*parents.columns), left

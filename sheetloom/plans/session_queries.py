@@ -142,8 +142,10 @@ def upsert_corrections(spark, d):
 
 
 def cascade_delete(spark, d):
+    """A third of the owners go with their sessions, too many to broadcast."""
     s = R.sessions(spark, d)
-    left, children = approvals.delete_cascade(s, s.filter(F.col("owner_id") % 3 == 0).select("id"), {"rows": (R.match_rows(spark, d), "session_id")})
+    gone = s.filter(F.col("owner_id") % 3 == 0).select("id").hint("shuffle_hash")
+    left, children = approvals.delete_cascade(s, gone, {"rows": (R.match_rows(spark, d), "session_id")})
     return left.select(F.lit("sessions").alias("of"), "id", F.lit("").alias("row_idx")).union(children["rows"].select(F.lit("rows"), "session_id", F.col("row_idx").cast("string")))
 
 

@@ -126,6 +126,17 @@ MEMBERS = "member_ord int, id string, full_name string, aliases array<string>"
 CORRECTIONS = "ord int, incorrect_text string, corrected_member_id string"
 
 
+@pytest.mark.parametrize("hint", [None, "shuffle_hash"])
+def test_delete_cascade_of_ids_twice_and_null(spark, hint):
+    """Ids given twice, null ids and keys, and rows of a parent that is not there: a null meets nothing."""
+    parents = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "id string, n int")
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c"), (5, "a"), (6, "d")], "k int, parent string")
+    gone = spark.createDataFrame([("a",), ("a",), (None,), ("c",)], "id string")
+    left, children = approvals.delete_cascade(parents, gone.hint(hint) if hint else gone, {"rows": (rows, "parent")})
+    assert sorted(r["n"] for r in left.collect()) == [2, 3]
+    assert sorted(r["k"] for r in children["rows"].collect()) == [2, 3, 6]
+
+
 def test_cascade(spark):
     members = spark.createDataFrame([(1, "m1", "Ada Lovelace", ["Ada"]), (2, "m2", "Grace Hopper", []), (3, "m3", "Grace Hopper", None)], MEMBERS)
     corrections = spark.createDataFrame([(1, "Adaa", "m1"), (2, "AB", "m1"), (3, "ab", "m2"), (4, "gone", "m9")], CORRECTIONS)

@@ -37,6 +37,17 @@ def test_variant_facts_deal_rows_once(spark, data):
     assert len(re.findall(r"FileScan parquet \[l_orderkey", ran)) == 1
 
 
+def test_cascade_delete_sorts_no_rows(spark, data):
+    """Where ids are too many to broadcast, rows pass hashed ids."""
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.QUERIES["q_cascade_delete"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert "LeftAnti" in plan and "Sort" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_runs(spark, data, name):
     assert registry.QUERIES[name](spark, data).count() > 0
