@@ -545,3 +545,16 @@ def test_words_stream_through_their_task(spark):
             member.append(at)
         rank = {k: i for i, k in enumerate(sorted(range(len(means)), key=lambda k: means[k]))}
         assert all(got[d or None, i] == (rank[k], means[k], heights[k]) for i, k in enumerate(member))
+
+
+def test_rows_are_held_unfilled(spark):
+    """A sheet of one wide row and many narrow ones: what is sorted and dealt grows with its cells, not with rows by columns."""
+    n = 300
+    at = spark.range(2 * n - 1).select(F.lit("d").alias("doc_id"), F.greatest(F.col("id") - n + 1, F.lit(0)).cast("int").alias("row_idx"), F.when(F.col("id") < n, F.col("id")).otherwise(0).cast("int").alias("col_idx"))
+    cells = at.select("*", F.lit("word").alias("text"), F.lit(90.0).alias("confidence"), F.lit(False).alias("is_empty"))
+    held = healing._judged(healing.to_rows(cells))
+    assert held.agg(F.sum(F.size("cells")), F.sum(F.size("columns")), F.sum(F.size("kinds"))).first() == (2 * n - 1,) * 3
+    fallback = cells.withColumns({"fallback_text": F.lit(None).cast("string"), "fallback_confidence": F.lit(None).cast("double")})
+    assert healing.heal(fallback).agg(F.sum(F.size("columns")), F.sum(F.size("empty_cells"))).first() == (n * n,) * 2
+    weak = {tuple(r) for r in healing.weak_cells(cells.filter("row_idx < 2")).collect()}
+    assert weak == {("d", 1, i) for i in range(1, n)}

@@ -48,6 +48,22 @@ def test_cascade_delete_sorts_no_rows(spark, data):
     assert "LeftAnti" in plan and "Sort" not in plan
 
 
+@pytest.mark.parametrize("name", ["q_read_sheets", "q_heal"])
+def test_sheets_of_repeated_documents(spark, data, tmp_path, name):
+    """Tables in which documents stand again under the same id: cells at one place stay side by side, as in the SQL."""
+    documents = pq.read_table(f"{data}/documents.parquet")
+    pq.write_table(pa.concat_tables([documents, documents.slice(0, 200), documents.slice(100, 50)]), tmp_path / "documents.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(sql(registry.SQL[name], str(tmp_path)))
+
+
+@pytest.mark.parametrize(("name", "deals"), [("q_read_sheets", 2), ("q_heal", 1)])
+def test_cells_of_sheets_are_dealt_once(spark, data, name, deals):
+    """By document, with neither joins nor another scan; rows are dealt once more after the call of the second recogniser."""
+    plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == deals and "Join" not in plan and plan.count("FileScan") == 1
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_query_without_sql_runs(spark, data, name):
     assert registry.QUERIES[name](spark, data).count() > 0
